@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hustings.llm import chat_format, embedding_dedup, exact_dedup, language_id, packing, secret_scan, sentencepiece_codec, token_files
+from hustings.llm import chat_format, embedding_dedup, exact_dedup, jaccard_join, language_id, packing, secret_scan, sentencepiece_codec, token_files
 from hustings.workers import scratch
 
 
@@ -62,6 +62,10 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.link(_table(spark, sf_dir, "documents"))
+
+
 def op9_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(_table(spark, sf_dir, "embeddings"))
 
@@ -70,7 +74,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.annotate(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op3_token_files, op4_language_id, op5_chat_format, op6_secret_scan, op7_packing, op9_embedding_dedup, op10_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_sentencepiece, op3_token_files, op4_language_id, op5_chat_format, op6_secret_scan, op7_packing, op8_jaccard_join, op9_embedding_dedup, op10_exact_dedup)}
 
 ORACLE_SQL = {
     "op5_chat_format": r"""
