@@ -13,7 +13,18 @@ from functools import lru_cache
 import numpy as np
 
 #: Pieces remembered by a worker, and the longest piece that is remembered.
-REMEMBERED, LONGEST = 400_000, 48
+REMEMBERED, LONGEST = 1_000_000, 48
+
+
+def plain(piece: str) -> tuple[str, str]:
+    """(stem, mark): two pieces with the same ids, end to end. A stop or comma after letters or digits is a token of its own, and Latin-1 has its lower case in place."""
+    try:
+        piece.encode("latin-1")
+    except UnicodeEncodeError:
+        return piece, ""
+    if piece[-1] in ".," and piece[:-1].isalnum():
+        return piece[:-1].lower(), piece[-1]
+    return (piece.lower(), "") if piece.isalnum() else (piece, "")
 
 
 class WordEncoder:
@@ -25,23 +36,53 @@ class WordEncoder:
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.known: dict[str, bytes] = {"": b""}
 
+    def _learn(self, missing: set[str]) -> None:
+        known = self.known
+        made = {piece: plain(piece) for piece in missing}
+        new = [x for x in {x for two in made.values() for x in two} if x not in known]
+        words = [x for x in new if x.isalpha() and max(x) < "\u0100"]
+        for at in range(0, len(words), 1000):  # words of letters alone are encoded together: the library numbers them
+            part = words[at : at + 1000]
+            got = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            packed, width = np.array(got.ids, self.dtype).tobytes(), self.dtype.itemsize
+            start = 0
+            for piece, end in zip(part, (np.searchsorted(got.word_ids, np.arange(len(part)), "right") * width).tolist(), strict=True):
+                known[piece] = packed[start:end]
+                start = end
+        rest = [x for x in new if x not in known]
+        for piece, got in zip(rest, self.tokenizer.encode_batch(rest, add_special_tokens=False), strict=True):
+            known[piece] = np.array(got.ids, self.dtype).tobytes()
+        for piece, (stem, mark) in made.items():
+            known[piece] = known[stem] + known[mark] if mark else known[stem]
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text, packed as self.dtype; null counts as empty."""
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if t else [] for t in texts]
-        own = set().union(*split) if split else set()
-        missing = own - self.known.keys()
-        if len(self.known) + len(missing) > REMEMBERED:
+        if len(self.known) > REMEMBERED:
             self.known = {"": b""}
-            missing = own - {""}
-        if missing:
-            order = list(missing)
-            for word, got in zip(order, self.tokenizer.encode_batch(order, add_special_tokens=False), strict=True):
-                self.known[word] = np.array(got.ids, self.dtype).tobytes()
-        out = [b"".join(map(self.known.__getitem__, words)) for words in split]
-        for word in missing:
-            if len(word) > LONGEST:
-                del self.known[word]
-        return out
+        split, found, gaps, missing = [], [], [], set()
+        for t in texts:
+            words = t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if t else []
+            ids = list(map(self.known.get, words))
+            own, at = [], -1
+            try:
+                while True:
+                    at = ids.index(None, at + 1)
+                    own.append(at)
+            except ValueError:
+                pass
+            missing.update(words[at] for at in own)
+            split.append(words)
+            found.append(ids)
+            gaps.append(own)
+        self._learn(missing)
+        for words, ids, own in zip(split, found, gaps, strict=True):
+            for at in own:
+                ids[at] = self.known[words[at]]
+        for piece in missing:
+            if len(piece) > LONGEST:
+                self.known.pop(piece, None)
+                self.known.pop(plain(piece)[0], None)
+        return [b"".join(ids) for ids in found]
 
 
 @lru_cache(maxsize=4)
