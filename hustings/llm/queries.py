@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hustings.llm import chat_format, embedding_dedup, exact_dedup, jaccard_join, language_id, packing, secret_scan, sentencepiece_codec, token_files
+from hustings.llm import chat_format, embedding_dedup, exact_dedup, jaccard_join, language_id, packing, secret_scan, sentencepiece_codec, substring_dedup, token_files
 from hustings.workers import scratch
 
 
@@ -24,6 +24,11 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring_dedup.remove_repeats(_table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch(spark, "token-files")
     manifest = token_files.write(_table(spark, sf_dir, "documents"), folder, vocabulary("word_bpe_49k.json"), end_id=2)
@@ -74,7 +79,13 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.annotate(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_sentencepiece, op3_token_files, op4_language_id, op5_chat_format, op6_secret_scan, op7_packing, op8_jaccard_join, op9_embedding_dedup, op10_exact_dedup)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_sentencepiece, op2_substring_dedup, op3_token_files, op4_language_id, op5_chat_format,
+        op6_secret_scan, op7_packing, op8_jaccard_join, op9_embedding_dedup, op10_exact_dedup,
+    )
+}
 
 ORACLE_SQL = {
     "op5_chat_format": r"""
