@@ -13,9 +13,8 @@ def person_clusters(df: DataFrame, name: str, row_id: str, birth: str, script: s
 
     Two rows of a name never link if both births or both second spellings (script) are there and differ. They link if one of
     these is equal, or else if they share the area and lie at most most_years apart. Clusters are what links reach; one with
-    several births is split by birth, its rows without one apart. Rows link through neighbours only, so no name's pairs are
-    all listed: rows of equal birth, script and area form chains by year, and blocked pairs are kept apart by chaining within
-    equal (birth, script). Row ids are distinct numbers.
+    several births is split by birth, its rows without one apart. Rows of a name that agree in all attributes are one node, so
+    only distinct combinations of attributes within a name are compared, however many rows share them. Row ids are distinct numbers.
     """
     rows = written(df.select(F.col(row_id).alias("id"), F.col(name).alias("name"), F.col(birth).alias("b"), F.col(script).alias("s"), F.col(area).alias("a"), F.col(year).alias("y")), "candidacies")
     # rows that agree in name, birth, script, area and year are one node
