@@ -1,15 +1,20 @@
 """N-gram Jaccard join by rare-first prefix filtering, with length, positional and suffix filters.
 
-1. One pass makes each document's shingle set, its size and 128-bit digest (equal sets are one node), and counts shingles in a
-   sketch of `buckets` counters over all documents; its size is fixed, so it is broadcast.
-2. A set's shingles are ordered by their bucket's count, then hash: the same order in all sets, common ones last. Two sets
-   with Jaccard similarity >= t share a shingle among the first n - ceil(t * n) + 1 of each. Those prefixes are dealt out by
-   shingle; shingles of a single node end there.
+1. One pass makes each document's shingle set, its size and 128-bit digest (equal sets are one node), and two sketches over all
+   documents: `buckets` counters of shingles, and a bit map of places that one document alone has touched. A shingle at such a
+   place is in no other document: it is the rarest there is. Both sketches have a fixed size, so they are broadcast; where the
+   data outgrow them, fewer shingles are known to be rare, and results stay the same.
+2. A set's shingles are ordered by rarity: those of no other document, then by their bucket's count, then hash. The order is the
+   same in all sets, common ones last. Two sets with Jaccard similarity >= t share a shingle among the first
+   n - ceil(t * n) + 1 of each. Of those prefixes the shingles that other documents may have are dealt out by shingle;
+   shingles of a single node end there.
+   (Rows of a document that an earlier row of the task equals aren't dealt out again.)
 3. Nodes that share a prefix shingle are candidates if sizes and positions allow the overlap (length and positional filters).
-   Short runs give all their pairs. A long run is first tried along a chain in an order of its own by hash, O(run) pairs.
+   Short runs give all their pairs. A long run is first tried along a chain in an order of its own by hash, CHAIN pairs a row.
 4. Candidates are verified once a pair: each partner's text goes to its leader's part, at most `block` partners a part; before
-   the exact intersection of the sets, class counts of both bound the overlap (suffix filter).
-5. Linked nodes get component labels. In long runs only pairs between components are left to try, so a large group of near
+   the exact intersection of the sets, the numbers of their shingles in each of CLASSES classes bound the overlap (suffix filter).
+   Texts are fetched for candidates only: a Bloom filter of their ids keeps the others out of the shuffle.
+5. Linked nodes get component labels. In long runs only pairs between components that the suffix filter lets by are left, so a large group of near
    copies costs about its size, not its square; what they add joins the links for the final components. No link between
    components is skipped: every pair that passes the filters is verified or already in one component.
 
@@ -21,6 +26,7 @@ Very long texts are used whole. An empty table gives an empty result. Other colu
 from __future__ import annotations
 
 import hashlib
+import zlib
 from collections.abc import Iterator
 from itertools import pairwise
 
@@ -30,15 +36,20 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hustings.llm import bloom
 from hustings.llm.batches import pieces
 from hustings.llm.components import components
 from hustings.llm.shingles import mixed, shingle_set
 from hustings.workers import importable, written
 
 K, PERCENT = 4, 85
-#: Counters of the sketch (a power of two) and counters a block of it; pairs of runs up to SHORT are all tried; partners in a part.
-BUCKETS, SLICE, SHORT, BLOCK = 1 << 20, 1 << 14, 8, 256
-CLASSES = 64
+#: Counters of the sketch (a power of two) and counters a block of it; pairs of runs up to SHORT are all tried;
+#: neighbours along a chain that a row of a longer run is tried with; partners in a part.
+BUCKETS, SLICE, SHORT, CHAIN, BLOCK = 1 << 20, 1 << 14, 8, 4, 256
+#: Places of the bit map (16 MB), and of a block of it.
+PLACES, MAP_BLOCK = 1 << 27, 1 << 20
+#: Classes of shingles that the suffix filter counts (a power of two), and bits of the filter of ids (4 MB).
+CLASSES, ID_BITS = 64, 1 << 25
 
 
 def least_overlap(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
@@ -55,25 +66,55 @@ def _digest(shingles: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(b[:8], "little", signed=True), int.from_bytes(b[8:], "little", signed=True)
 
 
+def _kinds(shingles: np.ndarray) -> np.ndarray:
+    """How many shingles there are in each class."""
+    return np.bincount((shingles >> np.uint64(64 - (CLASSES.bit_length() - 1))).astype(np.int64), minlength=CLASSES)
+
+
 def _measure(k: int, buckets: int):
     shift = np.uint64(64 - (buckets.bit_length() - 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sketch = np.zeros(buckets, np.uint32)
+        once, twice = np.zeros(PLACES // 8, np.uint8), np.zeros(PLACES // 8, np.uint8)
         for part in pieces(batches):
             sets = [shingle_set(t, k) for t in part.column(1).to_pylist()]
             if any(map(len, sets)):
                 sketch += np.bincount((np.concatenate(sets) >> shift).astype(np.int64), minlength=buckets).astype(np.uint32)
+            for s in sets:
+                at, bit = _place(s)
+                np.bitwise_or.at(twice, at, once[at] & bit)
+                np.bitwise_or.at(once, at, bit)
             keys = [_digest(s) if len(s) else (None, None) for s in sets]
-            yield _rows([part.column(0).to_pylist(), [len(s) for s in sets], [a for a, _ in keys], [b for _, b in keys], [None] * len(sets), [None] * len(sets)])
+            yield _rows([part.column(0).to_pylist(), [len(s) for s in sets], [a for a, _ in keys], [b for _, b in keys], [_kinds(s).astype("<u4").tobytes() if len(s) else None for s in sets], *[[None] * len(sets)] * 3])
         for at in range(0, buckets, SLICE):
             if sketch[at : at + SLICE].any():
-                yield _rows([[None], [None], [None], [None], [at], [sketch[at : at + SLICE].tobytes()]])
+                yield _rows([[None], [None], [None], [None], [None], [at], [sketch[at : at + SLICE].tobytes()], [None]])
+        for at in range(0, PLACES // 8, MAP_BLOCK // 8):
+            block = slice(at, at + MAP_BLOCK // 8)
+            if once[block].any():
+                yield _rows([[None], [None], [None], [None], [None], [-1 - at], [zlib.compress(once[block].tobytes(), 1)], [zlib.compress(twice[block].tobytes(), 1)]])
 
     return run
 
 
-MEASURED = "doc_id long, n long, hi long, lo long, at long, counts binary"
+def _place(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Byte and bit of each shingle in the map; low bits, for the high ones number the buckets."""
+    place = (shingles & np.uint64(PLACES - 1)).astype(np.int64)
+    return place >> 3, np.uint8(1) << (place & 7).astype(np.uint8)
+
+
+def _alone(pdf: pd.DataFrame) -> pd.DataFrame:
+    """A block of the map: places that exactly one document touches."""
+    once, twice = np.zeros(MAP_BLOCK // 8, np.uint8), np.zeros(MAP_BLOCK // 8, np.uint8)
+    for a, b in zip(pdf["counts"], pdf["more"], strict=True):
+        a, b = (np.frombuffer(zlib.decompress(x), np.uint8) for x in (a, b))
+        twice |= b | (once & a)
+        once |= a
+    return pd.DataFrame({"at": [pdf["at"].iloc[0]], "counts": [(once & ~twice).tobytes()]})
+
+
+MEASURED = "doc_id long, n long, hi long, lo long, kinds binary, at long, counts binary, more binary"
 
 
 def _rows(columns: list[list], schema: str = MEASURED) -> pa.RecordBatch:
@@ -86,7 +127,7 @@ def _added(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"at": [pdf["at"].iloc[0]], "counts": [np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()]})
 
 
-def _prefixes(k: int, percent: int, counts, buckets: int):
+def _prefixes(k: int, percent: int, counts, alone, buckets: int):
     shift = np.uint64(64 - (buckets.bit_length() - 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,8 +145,12 @@ def _prefixes(k: int, percent: int, counts, buckets: int):
                 seen.add(key)
                 n = len(s)
                 p = prefix_length(n, percent)
-                order = np.argsort(sketch[(s >> shift).astype(np.int64)], kind="stable")[:p]  # s ascends: ties by hash
-                for c, x in zip(columns, (s[order].view(np.int64), np.full(p, n), np.arange(p), np.full(p, key[0]), np.full(p, key[1])), strict=True):
+                at, bit = _place(s)
+                rare = (alone.value[at] & bit) > 0
+                order = np.argsort(np.where(rare, 0, sketch[(s >> shift).astype(np.int64)]), kind="stable")[:p]  # s ascends: ties by hash
+                pos = np.flatnonzero(~rare[order])
+                m = len(pos)
+                for c, x in zip(columns, (s[order[pos]].view(np.int64), np.full(m, n), pos, np.full(m, key[0]), np.full(m, key[1])), strict=True):
                     c.append(x)
             if columns[0]:
                 yield pa.record_batch([pa.array(np.concatenate(c)) for c in columns], names=["token", "n", "pos", "hi", "lo"])
@@ -142,7 +187,7 @@ def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[dict[str, np.
 
 def _columns(tables: list[pa.Table]) -> dict[str, np.ndarray]:
     t = pa.concat_tables(tables)
-    return {c: t.column(c).to_numpy() for c in t.column_names}
+    return {c: t.column(c).to_numpy() if t.schema.field(c).type != pa.binary() else np.frombuffer(b"".join(t.column(c).to_pylist()), "<u4").reshape(t.num_rows, -1) for c in t.column_names}
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,7 +226,7 @@ def _first_pairs(percent: int):
             mine = np.repeat(size, size)
             pairs = []
             for step in range(1, SHORT):
-                i = np.flatnonzero((token[step:] == token[:-step]) & ((mine[step:] <= SHORT) | (step == 1)))
+                i = np.flatnonzero((token[step:] == token[:-step]) & ((mine[step:] <= SHORT) | (step <= CHAIN)))
                 j = i + step
                 ok = _allowed(n[i], pos[i], n[j], pos[j], percent)
                 pairs.append((doc[i[ok]], doc[j[ok]]))
@@ -191,7 +236,7 @@ def _first_pairs(percent: int):
 
 
 def _later_pairs(percent: int):
-    """Between components, in runs longer than SHORT; rows have label."""
+    """Between components, in runs longer than SHORT; rows have label and the counts of classes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in _runs(batches, "token"):
@@ -200,7 +245,7 @@ def _later_pairs(percent: int):
                 names, own = np.unique(c["label"][a:b], return_inverse=True)
                 if len(names) < 2:
                     continue
-                doc, n, pos = (c[k][a:b] for k in ("doc", "n", "pos"))
+                doc, n, pos, kinds = (c[k][a:b] for k in ("doc", "n", "pos", "kinds"))
                 small = np.flatnonzero(own != np.bincount(own).argmax())
                 rank = np.full(b - a, -1)
                 rank[small] = np.arange(len(small))
@@ -208,6 +253,7 @@ def _later_pairs(percent: int):
                 for k, i in enumerate(small):
                     j = np.flatnonzero((own != own[i]) & (rank < k))  # each pair once
                     j = j[_allowed(n[i], pos[i], n[j], pos[j], percent)]
+                    j = j[np.minimum(kinds[i], kinds[j]).sum(1) >= least_overlap(n[i], n[j], percent)]  # suffix filter
                     pairs.append((np.full(len(j), doc[i]), doc[j]))
                     held += len(j)
                     if held > 1 << 20:
@@ -229,7 +275,7 @@ def _verified(k: int, percent: int):
                 s = shingle_set(text, k)
                 if len(s) != n or _digest(s) != (hi, lo):
                     continue  # another row with the same id
-                kind = np.bincount((s >> np.uint64(58)).astype(np.int64), minlength=CLASSES)
+                kind = _kinds(s)
                 if b is None:
                     lead, key, kinds = s, (a, salt), kind
                 elif key == (a, salt):
@@ -261,24 +307,29 @@ def link(docs: DataFrame, k: int = K, percent: int = PERCENT, buckets: int = BUC
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     measured = written(rows.mapInArrow(_measure(k, buckets), MEASURED), "shingle-counts")
-    found = measured.filter("at IS NULL").select("doc_id", "n", "hi", "lo")
+    found = measured.filter("at IS NULL").select("doc_id", "n", "hi", "lo", "kinds")
     sketch = np.zeros(buckets, np.uint32)
-    for r in measured.filter("at IS NOT NULL").select("at", "counts").groupBy("at").applyInPandas(_added, "at long, counts binary").toLocalIterator():  # 4 * buckets bytes in all
+    for r in measured.filter("at >= 0").select("at", "counts").groupBy("at").applyInPandas(_added, "at long, counts binary").toLocalIterator():  # 4 * buckets bytes in all
         sketch[r["at"] : r["at"] + SLICE] = np.frombuffer(r["counts"], np.uint32)
-    counts = spark.sparkContext.broadcast(sketch)
+    single = np.zeros(PLACES // 8, np.uint8)
+    for r in measured.filter("at < 0").select("at", "counts", "more").groupBy("at").applyInPandas(_alone, "at long, counts binary").toLocalIterator():  # PLACES / 8 bytes in all
+        single[-1 - r["at"] : -1 - r["at"] + MAP_BLOCK // 8] = np.frombuffer(r["counts"], np.uint8)
+    counts, alone = spark.sparkContext.broadcast(sketch), spark.sparkContext.broadcast(single)
 
-    nodes = written(found.filter("hi IS NOT NULL AND doc_id IS NOT NULL").groupBy("hi", "lo").agg(F.min("doc_id").alias("doc"), F.max("n").alias("n")), "nodes")
-    prefixes = rows.mapInArrow(_prefixes(k, percent, counts, buckets), PREFIX)
+    nodes = written(found.filter("hi IS NOT NULL AND doc_id IS NOT NULL").groupBy("hi", "lo").agg(F.min("doc_id").alias("doc"), F.max("n").alias("n"), F.max("kinds").alias("kinds")), "nodes")
+    prefixes = rows.mapInArrow(_prefixes(k, percent, counts, alone, buckets), PREFIX)
     shared = written(prefixes.repartition(parts, "token").sortWithinPartitions("token", "hi", "lo").mapInArrow(_shared, PREFIX), "shared")
     tokens = written(shared.join(nodes.select("hi", "lo", "doc"), ["hi", "lo"]).select("token", "doc", "n", "pos"), "tokens")
-    texts = written(nodes.join(tokens.select("doc").distinct(), "doc", "left_semi").join(rows, F.col("doc") == F.col("doc_id")).select("doc", "n", "hi", "lo", "text"), "texts")
+    wanted = written(nodes.join(tokens.select("doc").distinct(), "doc", "left_semi"), "wanted")
+    near = bloom.only(rows, "doc_id", bloom.build(wanted, "doc", ID_BITS))
+    texts = written(wanted.join(near, F.col("doc") == F.col("doc_id")).select("doc", "n", "hi", "lo", "text"), "texts")
 
     dealt = lambda t: t.repartition(parts, "token").sortWithinPartitions("token")
     first = written(dealt(tokens).mapInArrow(_first_pairs(percent), "a long, b long").distinct(), "pairs")
     links = written(_verify(first, texts, k, percent), "links")
     labels = written(components(links), "labels")
     long_runs = tokens.groupBy("token").agg(F.count("*").alias("rows")).filter(F.col("rows") > SHORT).select("token")
-    rest = tokens.join(long_runs, "token", "left_semi").join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("token", "doc", "n", "pos", F.coalesce("component", "doc").alias("label"))
+    rest = tokens.join(long_runs, "token", "left_semi").join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("token", "doc", "n", "pos", F.coalesce("component", "doc").alias("label")).join(wanted.select("doc", "kinds"), "doc")
     later = dealt(rest).mapInArrow(_later_pairs(percent), "a long, b long").distinct().join(first, ["a", "b"], "left_anti")
     more = written(_verify(written(later, "pairs"), texts, k, percent), "links")
     joined = components(links.unionByName(more)) if more.take(1) else labels

@@ -26,6 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from hustings.llm import bloom
 from hustings.llm.batches import pieces
 from hustings.llm.fm_index import FMIndex
 from hustings.llm.jaccard_join import _runs
@@ -33,8 +34,8 @@ from hustings.llm.shingles import ODD, mixed, word_hashes
 from hustings.workers import importable, written
 
 WINDOW, GRAM = 50, 8
-#: Bits of the filters (4 MB, 8 MB), hashes of each, words of a shard's index at least, contexts that are cut at once.
-ANCHOR_BITS, ID_BITS, HASHES = 1 << 26, 1 << 25, 3
+#: Bits of the filters (8 MB, 4 MB), words of a shard's index at least, contexts that are cut at once.
+ANCHOR_BITS, ID_BITS = 1 << 26, 1 << 25
 SHARD_WORDS, AT_ONCE = 400_000, 20_000
 MORE = np.uint64(0xD6E8FEB86659FD93)
 
@@ -90,41 +91,6 @@ def anchors(words: np.ndarray, sizes: np.ndarray, window: int, gram: int = GRAM)
     return where, g[where], first, last
 
 
-def _bits(keys: np.ndarray, bits: int) -> list[np.ndarray]:
-    return [(mixed(keys ^ np.uint64(j * 0x51_7C_C1_B7 + 1)) & np.uint64(bits - 1)).astype(np.int64) for j in range(HASHES)]
-
-
-def _holds(table: np.ndarray, keys: np.ndarray, bits: int) -> np.ndarray:
-    out = np.ones(len(keys), bool)
-    for at in _bits(keys, bits):
-        out &= (table[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
-    return out
-
-
-def _filter(keys: DataFrame, column: str, bits: int):
-    """A broadcast Bloom filter of the column's values; each task gives the blocks it has bits in, their union is bits / 8 bytes in all."""
-    size = min(1 << 16, bits // 8)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(bits // 8, np.uint8)
-        for batch in batches:
-            for at in _bits(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), bits):
-                np.bitwise_or.at(table, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
-        places = [k for k in range(0, bits // 8, size) if table[k : k + size].any()]
-        yield pa.record_batch([pa.array(places, pa.int64()), pa.array([table[k : k + size].tobytes() for k in places], pa.binary())], names=["at", "bits"])
-
-    def union(pdf):
-        import pandas as pd
-
-        return pd.DataFrame({"at": [pdf["at"].iloc[0]], "bits": [np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in pdf["bits"]]).tobytes()]})
-
-    table = np.zeros(bits // 8, np.uint8)
-    found = keys.select(column).mapInArrow(run, "at long, bits binary").groupBy("at").applyInPandas(union, "at long, bits binary")
-    for r in found.toLocalIterator():
-        table[r["at"] : r["at"] + size] = np.frombuffer(r["bits"], np.uint8)
-    return keys.sparkSession.sparkContext.broadcast(table)
-
-
 def _texts(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word hashes end to end, words of each row, ids (rows of a null id have no words)."""
     ids, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
@@ -163,7 +129,7 @@ def _contexts(window: int, known):
             words, sizes, ids = _texts(part)
             marks = part.column(2).to_pylist()
             place, value, first, last = anchors(words, sizes, window)
-            keep = _holds(known.value, value, ANCHOR_BITS)
+            keep = bloom.holds(known.value, value)
             place, value, first, last = place[keep], value[keep], first[keep], last[keep]
             if not len(place):
                 continue
@@ -333,7 +299,7 @@ def _untouched(touched):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in pieces(batches):
             ids = part.column(0).to_pylist()
-            held = _holds(touched.value, np.array([i or 0 for i in ids], np.int64).view(np.uint64), ID_BITS)
+            held = bloom.holds(touched.value, np.array([i or 0 for i in ids], np.int64))
             rows = [(i, t, None) for i, t, h in zip(ids, part.column(1).to_pylist(), held.tolist(), strict=True) if i is None or not h]
             if rows:
                 yield _finished(rows)
@@ -341,16 +307,6 @@ def _untouched(touched):
     return run
 
 
-def _touched(touched):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in pieces(batches):
-            ids = part.column(0).to_pylist()
-            held = _holds(touched.value, np.array([i or 0 for i in ids], np.int64).view(np.uint64), ID_BITS)
-            yield part.filter(pa.array([i is not None and h for i, h in zip(ids, held.tolist(), strict=True)], pa.bool_()))
-
-    return run
-
-
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in pieces(batches):
         spans = [None if s is None else np.array([(x["start"], x["stop"]) for x in s], np.int32).tobytes() for s in part.column(2).to_pylist()]
@@ -365,10 +321,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id"
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("mark", F.xxhash64("text"))
     seen = rows.mapInArrow(_anchored(window), "anchor long, doc long")
     repeated = written(seen.repartition(parts, "anchor").sortWithinPartitions("anchor", "doc").mapInArrow(_repeated, "anchor long"), "anchors")
-    known = _filter(repeated, "anchor", ANCHOR_BITS)
+    known = bloom.build(repeated, "anchor", ANCHOR_BITS)
     contexts = rows.mapInArrow(_contexts(window, known), CONTEXT).repartition(parts, "anchor").sortWithinPartitions("anchor", "one", "two")
     intervals = written(contexts.mapInArrow(_searched(window), INTERVAL), "intervals")
-    touched = _filter(intervals.select("doc").distinct(), "doc", ID_BITS)
+    touched = bloom.build(intervals.select("doc").distinct(), "doc", ID_BITS)
     spans = intervals.distinct().groupBy("doc", "mark").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
-    met = rows.mapInArrow(_touched(touched), "doc_id long, text string, mark long").join(spans.withColumnRenamed("doc", "doc_id"), ["doc_id", "mark"], "left").select("doc_id", "text", "spans")
+    met = bloom.only(rows, "doc_id", touched).join(spans.withColumnRenamed("doc", "doc_id"), ["doc_id", "mark"], "left").select("doc_id", "text", "spans")
     return rows.mapInArrow(_untouched(touched), FINISHED).unionByName(met.mapInArrow(_cut, FINISHED))
