@@ -7,21 +7,21 @@ from pyspark.sql import functions as F
 
 
 def day_buckets(points: DataFrame, by: list[str], day: str, value: str) -> DataFrame:
-    """(by, day) -> n, s = sum v, q = sum v^2: all that kernels need of a day."""
-    return points.groupBy(*by, day).agg(F.count(value).alias("n"), F.sum(value).alias("s"), F.sum(F.col(value) * F.col(value)).alias("q"))
+    """(by, day) -> __n, __sum of v, __squares of v: all that kernels need of a day."""
+    return points.groupBy(*by, day).agg(F.count(value).alias("__n"), F.sum(value).alias("__sum"), F.sum(F.col(value) * F.col(value)).alias("__squares"))
 
 
 def _grid(buckets: DataFrame, by: list[str], day: str, step: int) -> DataFrame:
-    span = buckets.groupBy(*by).agg(F.min(day).alias("__a"), F.max(day).alias("__b"), F.sum("n").alias("points"))
+    span = buckets.groupBy(*by).agg(F.min(day).alias("__a"), F.max(day).alias("__b"), F.sum("__n").alias("points"))
     return span.select(*by, "points", F.explode(F.sequence("__a", "__b", F.expr(f"interval {step} day"))).alias("t"))
 
 
 def kernel(buckets: DataFrame, at: DataFrame, by: list[str], day: str, bandwidth: float, t: str = "t") -> DataFrame:
     """Gaussian kernel exp(-(d / bandwidth)^2) over day buckets at the times t of each series: mean, sd and days to the nearest point."""
-    b = buckets.select(*by, F.col(day).alias("__d"), "n", "s", "q")
+    b = buckets.select(*by, F.col(day).alias("__d"), "__n", "__sum", "__squares")
     d = F.datediff(F.col(t), F.col("__d"))
     w = F.exp(-(d * d) / (bandwidth * bandwidth))
-    sums = at.join(b, by).groupBy(*at.columns).agg(F.sum(w * F.col("n")).alias("__w"), F.sum(w * F.col("s")).alias("__s"), F.sum(w * F.col("q")).alias("__q"), F.min(F.abs(d)).alias("nearest"))
+    sums = at.join(b, by).groupBy(*at.columns).agg(F.sum(w * F.col("__n")).alias("__w"), F.sum(w * F.col("__sum")).alias("__s"), F.sum(w * F.col("__squares")).alias("__q"), F.min(F.abs(d)).alias("nearest"))
     mean = F.col("__s") / F.col("__w")
     return sums.withColumn("mean", mean).withColumn("sd", F.sqrt(F.greatest(F.lit(0.0), F.col("__q") / F.col("__w") - mean * mean))).drop("__w", "__s", "__q")
 

@@ -25,10 +25,12 @@ def first_of(spark: SparkSession, paths: list[str], schema: str, key: str) -> Da
 
 
 def json_documents(spark: SparkSession, path: str, schema: str | T.StructType) -> tuple[DataFrame, DataFrame]:
-    """(documents, paths of broken ones) of a folder of JSON files, a document each."""
+    """(documents, broken ones) of a folder of JSON files, a document each, with their file; the broken ones have what could be read."""
     shape = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
-    rows = spark.read.schema(T.StructType([*shape.fields]).add("__bad", T.StringType())).option("multiLine", True).option("columnNameOfCorruptRecord", "__bad").json(path).withColumn("file", F.input_file_name())
-    return rows.filter("__bad IS NULL").drop("__bad"), rows.filter("__bad IS NOT NULL").select("file")
+    whole = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), "value")
+    read = F.from_json("value", T.StructType([*shape.fields]).add("__bad", T.StringType()), {"columnNameOfCorruptRecord": "__bad"})
+    rows = whole.select("file", read.alias("d")).select("file", "d.*")
+    return rows.filter("__bad IS NULL").drop("__bad"), rows.filter("__bad IS NOT NULL").drop("__bad")
 
 
 def chunks(spark: SparkSession, path: str, schema: str | T.StructType, parts: list[str] | None = None) -> DataFrame:

@@ -36,7 +36,12 @@ def upsert(old: DataFrame, new: DataFrame, key: list[str], keep: list[str]) -> D
     o = old.select(*key, F.struct(*values).alias("__o"))
     n = new.select(*key, F.struct(*values).alias("__n"))
     j = o.join(n, key, "full")
-    pick = lambda c: F.coalesce(F.when(F.nullif(F.col(f"__o.{c}").cast("string"), F.lit("")).isNotNull(), F.col(f"__o.{c}")), F.col(f"__n.{c}")) if c in keep else F.when(F.col("__n").isNotNull(), F.col(f"__n.{c}")).otherwise(F.col(f"__o.{c}"))
+
+    def pick(c: str) -> Column:
+        was, now = F.col(f"__o.{c}"), F.col(f"__n.{c}")
+        stays = F.nullif(was.cast("string"), F.lit("")).isNotNull() if c in keep else F.lit(False)
+        return F.when(F.col("__n").isNull() | stays, was).otherwise(now)
+
     return j.select(*key, *[pick(c).alias(c) for c in values])
 
 
