@@ -25,12 +25,11 @@ def first_of(spark: SparkSession, paths: list[str], schema: str, key: str) -> Da
 
 
 def json_documents(spark: SparkSession, path: str, schema: str | T.StructType) -> tuple[DataFrame, DataFrame]:
-    """(documents, broken ones) of a folder of JSON files, a document each, with their file; the broken ones have what could be read."""
+    """(documents with their file, files of broken ones) of a folder of JSON files, a document each."""
     shape = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
     whole = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), "value")
-    read = F.from_json("value", T.StructType([*shape.fields]).add("__bad", T.StringType()), {"columnNameOfCorruptRecord": "__bad"})
-    rows = whole.select("file", read.alias("d")).select("file", "d.*")
-    return rows.filter("__bad IS NULL").drop("__bad"), rows.filter("__bad IS NOT NULL").drop("__bad")
+    rows = whole.withColumn("__fine", F.try_parse_json("value").isNotNull())
+    return rows.filter("__fine").select("file", F.from_json("value", shape).alias("d")).select("file", "d.*"), rows.filter("NOT __fine").select("file")
 
 
 def chunks(spark: SparkSession, path: str, schema: str | T.StructType, parts: list[str] | None = None) -> DataFrame:
