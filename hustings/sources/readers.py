@@ -27,7 +27,7 @@ def first_of(spark: SparkSession, paths: list[str], schema: str, key: str) -> Da
 def json_documents(spark: SparkSession, path: str, schema: str | T.StructType) -> tuple[DataFrame, DataFrame]:
     """(documents with their file, files of broken ones) of a folder of JSON files, a document each."""
     shape = T._parse_datatype_string(schema) if isinstance(schema, str) else schema
-    whole = spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("file"), "value")
+    whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
     rows = whole.withColumn("__fine", F.try_parse_json("value").isNotNull())
     return rows.filter("__fine").select("file", F.from_json("value", shape).alias("d")).select("file", "d.*"), rows.filter("NOT __fine").select("file")
 
