@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import uuid
 from pathlib import Path
 
@@ -19,9 +21,17 @@ def importable(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join([ROOT, *paths])
 
 
+#: Where spark.checkpoint.dir is unset, as in tests on one machine; removed when the process ends.
+LOCAL = f"/tmp/hustings-{os.getpid()}"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a local one where none is set (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/hustings-shared"
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    atexit.register(shutil.rmtree, LOCAL, ignore_errors=True)
+    return f"file://{LOCAL}"
 
 
 def scratch(spark: SparkSession, name: str) -> str:
