@@ -38,7 +38,8 @@ def by_signature(df: DataFrame, record: list[str], header: list[str], items: lis
 
 def mode(df: DataFrame, by: list[str], value: str, pos: list[str]) -> DataFrame:
     """Most frequent value of each group, its count and the group's; ties go to the value seen first by pos (numeric)."""
-    counts = df.groupBy(*by, value).agg(F.count("*").alias("n"), F.min(F.struct(*pos)).alias("__first"))
+    first = F.min(pos[0]) if len(pos) == 1 else F.min(F.struct(*pos))  # a plain value aggregates by hash, a struct by sort
+    counts = df.groupBy(*by, value).agg(F.count("*").alias("n"), first.alias("__first"))
     w = Window.partitionBy(*by)
     ranked = counts.withColumn("total", F.sum("n").over(w)).withColumn("__rank", F.row_number().over(w.orderBy(F.col("n").desc(), "__first")))
     return ranked.filter("__rank = 1").select(*by, value, "n", "total")
