@@ -37,7 +37,7 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of at most 2048 tokens, as packing.pack gives them."""
-    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1)
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), end_id=1, remember=False)
 
 
 STAGES = [

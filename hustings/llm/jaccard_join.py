@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from hustings.llm import bloom
 from hustings.llm.batches import pieces
 from hustings.llm.components import components
-from hustings.llm.shingles import mixed, shingle_set
+from hustings.llm.shingles import forget, mixed, shingle_set
 from hustings.workers import importable, written
 
 K, PERCENT = 4, 85
@@ -87,6 +87,7 @@ def _measure(k: int, buckets: int):
                 np.bitwise_or.at(once, at, bit)
             keys = [_digest(s) if len(s) else (None, None) for s in sets]
             yield _rows([part.column(0).to_pylist(), [len(s) for s in sets], [a for a, _ in keys], [b for _, b in keys], [_kinds(s).astype("<u4").tobytes() if len(s) else None for s in sets], *[[None] * len(sets)] * 3])
+        forget()
         for at in range(0, buckets, SLICE):
             if sketch[at : at + SLICE].any():
                 yield _rows([[None], [None], [None], [None], [None], [at], [sketch[at : at + SLICE].tobytes()], [None]])
@@ -154,6 +155,7 @@ def _prefixes(k: int, percent: int, counts, alone, buckets: int):
                     c.append(x)
             if columns[0]:
                 yield pa.record_batch([pa.array(np.concatenate(c)) for c in columns], names=["token", "n", "pos", "hi", "lo"])
+        forget()
 
     return run
 

@@ -112,7 +112,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     table = written(sample.mapInArrow(measured, "l string, n binary, h double"), "language-sample")
 
     def capped(pdf):
-        return np.stack([np.frombuffer(b, "<u4") for b in pdf.sort_values(["h", "n"])["n"].head(per_language)]).astype(np.int64)
+        return np.stack([np.frombuffer(b, "<u4") for b in pdf.sort_values(["h", "n"])["n"].head(per_language)])
 
     def spreadth(key, pdf):
         import pandas as pd
@@ -142,13 +142,14 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     importable(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
+    # nondeterministic: else a filter on its result makes the optimizer run it twice
     @F.pandas_udf("lang_pred string, score double, rejected boolean")
     def guess(texts):
         import pandas as pd
 
         return pd.DataFrame([held.value.predict(t) for t in texts], columns=["lang_pred", "score", "rejected"])
 
-    out = docs.withColumn("__guess", guess(F.col(text_col)))
+    out = docs.withColumn("__guess", guess.asNondeterministic()(F.col(text_col)))
     return out.withColumns({c: F.col(f"__guess.{c}") for c in ("lang_pred", "score", "rejected")}).drop("__guess")
 
 

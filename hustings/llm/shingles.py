@@ -19,6 +19,12 @@ class _Known(dict):
 _known = _Known()
 
 
+def forget() -> None:
+    """Free the words that a worker knows, at a task's end."""
+    global _known
+    _known = _Known()
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit values that spreads them evenly."""
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
