@@ -32,7 +32,7 @@ from hustings.workers import importable, written
 #: Fixed values of the public seekable layout, and a magic number of its own for the document index.
 SKIPPABLE_TABLE, SKIPPABLE_INDEX, FOOTER_MAGIC = 0x184D2A5E, 0x184D2A50, 0x8F92EAB1
 FRAME_TOKENS, LEVEL = 32_768, 3
-MANIFEST = "part int, path string, n_docs long, n_tokens long"
+MANIFEST = "part int, path string, n_docs long, n_tokens long, first_id long, last_id long"
 
 
 class Writer:
@@ -149,7 +149,9 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, frame_t
         if writer is not None:
             writer.close()
             sink.close()
-            yield pa.record_batch([pa.array([part], pa.int32()), pa.array([path]), pa.array([len(writer.ids)]), pa.array([sum(writer.tokens)])], names=["part", "path", "n_docs", "n_tokens"])
+            known = [i for i in writer.ids if i is not None] or [None]
+            ends = [pa.array([known[k]], pa.int64()) for k in (0, -1)]
+            yield pa.record_batch([pa.array([part], pa.int32()), pa.array([path]), pa.array([len(writer.ids)]), pa.array([sum(writer.tokens)]), *ends], names=["part", "path", "n_docs", "n_tokens", "first_id", "last_id"])
 
     keys = [F.col("doc_id"), F.xxhash64("text")]
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
@@ -184,3 +186,23 @@ def read(manifest: DataFrame, folder: str) -> DataFrame:
     files = manifest.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0))).select("path", "base")
     n = int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return files.repartition(n).mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+
+
+def lookup(manifest: DataFrame, folder: str, wanted: list[int]) -> DataFrame:
+    """(doc_id, n_tokens, ids) of the documents with these ids: opens the files whose range holds one, decompresses the frames they lie in."""
+    importable(manifest.sparkSession)
+    asked = sorted(set(wanted))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, _ = pyarrow.fs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for path, low, high in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
+                with fs.open_input_file(path) as source:
+                    file = Reader(source)
+                    places = [k for i in asked if low <= i <= high for k in file.find(i)]
+                    ids = [np.frombuffer(file.document(k), file.dtype).astype("<u4").tobytes() for k in places]
+                    yield pa.record_batch([pa.array(file.ids[places], pa.int64()), pa.array(file.tokens[places], pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "n_tokens", "ids"])
+
+    near = F.exists(F.array(*map(F.lit, asked)), lambda i: i.between(F.col("first_id"), F.col("last_id"))) if asked else F.lit(False)
+    files = manifest.filter(near).select("path", "first_id", "last_id")
+    return files.repartition(int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions"))).mapInArrow(run, "doc_id long, n_tokens long, ids binary")

@@ -112,6 +112,9 @@ def test_token_files_round_trip(spark, plain, tmp_path):
         at += r.n_tokens
         if r.doc_id not in (None, 3):
             assert np.frombuffer(r.ids, "<u4").tolist() == [*plain.encode(HARD[r.doc_id] or "", add_special_tokens=False).ids, 2]
+    some = token_files.lookup(manifest, folder, [3, 30, 777]).collect()
+    assert sorted(r.doc_id for r in some) == [3, 3, 3, 30] and all(r.ids in [x.ids for x in rows if x.doc_id == r.doc_id] for r in some)
+    assert token_files.lookup(manifest, folder, []).count() == 0
     empty = token_files.write(spark.createDataFrame([], SCHEMA), folder, WORDS)
     assert empty.count() == 0 and token_files.read(empty, folder).count() == 0
 
