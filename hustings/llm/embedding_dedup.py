@@ -6,7 +6,7 @@ values decides nearly all pairs: surely below the threshold, or surely above it;
 computed again in double precision. (Tiles multiply as float32, in which products of int8 vectors of up to 1040 parts are
 exact; longer ones multiply as float64.)
 
-Vectors lie in cells around `pivots` vectors, a bounded sample; cells are cut into tiles of about `tile` rows by a hash. A pair
+Vectors lie in cells around up to `pivots` vectors, a bounded sample; cells are cut into tiles of about `tile` rows by a hash. A pair
 of cells is left out only if the angle between their centres less both radii is over the threshold's angle, so no link is
 lost. A tile pair gives each vector's weighted number of links and a spanning set of its links, never all pairs.
 
@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from hustings.llm.components import components, spanning
 from hustings.workers import importable, written
 
-THRESHOLD, PIVOTS, TILE = 0.9, 64, 2048
+THRESHOLD, PIVOTS, TILE = 0.9, 64, 4096
 #: Above all rounding of double arithmetic here.
 EPS = 1e-11
 
@@ -90,7 +90,8 @@ def near_duplicates(table: DataFrame, threshold: float = THRESHOLD, pivots: int
     good = rows.filter(fine)
     distinct = written(good.groupBy("x").agg(F.min("vec_id").alias("rep"), F.count("*").alias("weight")), "vectors")
 
-    chosen = distinct.withColumn("d", F.size("x")).orderBy(F.xxhash64("rep"), "rep").limit(pivots).collect()
+    cells_wanted = max(1, min(pivots, distinct.count() // (2 * tile)))  # cells of two tiles or more: each tile is sent to all tiles near it
+    chosen = distinct.withColumn("d", F.size("x")).orderBy(F.xxhash64("rep"), "rep").limit(cells_wanted).collect()
     centres = {d: unit(np.array([r.x for r in chosen if r.d == d], np.float32)) for d in {r.d for r in chosen}}
 
     def celled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -127,7 +128,6 @@ def near_duplicates(table: DataFrame, threshold: float = THRESHOLD, pivots: int
     pairs = pairs.unionByName(rest)
     right = tiles.select("d", F.col("cell").alias("other"), F.col("chunk").alias("chunk2"))
     jobs = tiles.select("d", "cell", "chunk").join(pairs, ["d", "cell"]).join(right, ["d", "other"]).filter("cell < other OR chunk <= chunk2")
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     jobs = jobs.join(tiles, ["d", "cell", "chunk"]).join(tiles.select("d", F.col("cell").alias("other"), F.col("chunk").alias("chunk2"), F.col("tile").alias("tile2")), ["d", "other", "chunk2"])
 
     def multiplied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,7 +150,7 @@ def near_duplicates(table: DataFrame, threshold: float = THRESHOLD, pivots: int
                 on = np.flatnonzero(count)
                 yield pa.record_batch([pa.array(every[on]), pa.array(count[on].astype(np.int64)), pa.array(least[on])], names=["rep", "links", "least"])
 
-    jobs = jobs.select("tile", "tile2", F.expr("cell = other AND chunk = chunk2").alias("same")).repartition(n)
+    jobs = jobs.select("tile", "tile2", F.expr("cell = other AND chunk = chunk2").alias("same"))
     found = written(jobs.mapInArrow(multiplied, "rep long, links long, least long"), "links")
     labels = components(found.select(F.col("rep").alias("a"), F.col("least").alias("b")))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
