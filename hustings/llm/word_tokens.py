@@ -7,24 +7,30 @@ them, one after another, and each distinct piece needs encoding once per worker.
 
 from __future__ import annotations
 
+import gc
 import os
 from functools import lru_cache
 
 import numpy as np
 
-#: Pieces remembered by a worker, and the longest piece that is remembered.
-REMEMBERED, LONGEST = 1_000_000, 48
+#: Pieces remembered by a worker, the longest piece that is remembered, and the longest that stays when there are too many.
+REMEMBERED, LONGEST, SHORT = 1_000_000, 48, 8
+#: The first character beyond Latin-1.
+LATIN = "\u0100"
 
 
 def plain(piece: str) -> tuple[str, str]:
-    """(stem, mark): two pieces with the same ids, end to end. A stop or comma after letters or digits is a token of its own, and Latin-1 has its lower case in place."""
+    """(stem, mark): two pieces with the same ids, end to end. A stop or comma after letters or digits is a token of its own."""
+    return (piece[:-1], piece[-1]) if piece[-1] in ".," and piece[:-1].isalnum() and max(piece) < LATIN else (piece, "")
+
+
+def lowered(text: str) -> str:
+    """In lower case, where that changes no ids: Latin-1 without the start of a special token, composed as it is."""
     try:
-        piece.encode("latin-1")
+        text.encode("latin-1")
     except UnicodeEncodeError:
-        return piece, ""
-    if piece[-1] in ".," and piece[:-1].isalnum():
-        return piece[:-1].lower(), piece[-1]
-    return (piece.lower(), "") if piece.isalnum() else (piece, "")
+        return text
+    return text if "<|" in text else text.lower()
 
 
 class WordEncoder:
@@ -40,7 +46,7 @@ class WordEncoder:
         known = self.known
         made = {piece: plain(piece) for piece in missing}
         new = [x for x in {x for two in made.values() for x in two} if x not in known]
-        words = [x for x in new if x.isalpha() and max(x) < "\u0100"]
+        words = [x for x in new if x.isalpha() and max(x) < LATIN]
         for at in range(0, len(words), 1000):  # words of letters alone are encoded together: the library numbers them
             part = words[at : at + 1000]
             got = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
@@ -57,11 +63,21 @@ class WordEncoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text, packed as self.dtype; null counts as empty."""
-        if len(self.known) > REMEMBERED:
-            self.known = {"": b""}
+        collects = gc.isenabled()
+        gc.disable()  # many short-lived tuples, no cycles
+        try:
+            return self._encode(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _encode(self, texts: list[str | None]) -> list[bytes]:
+        if len(self.known) > REMEMBERED:  # short pieces are the ones that come again
+            keep = {k: v for k, v in self.known.items() if len(k) <= SHORT}
+            self.known = keep if len(keep) < REMEMBERED * 3 // 4 else {"": b""}
         split, found, gaps, missing = [], [], [], set()
         for t in texts:
-            words = t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if t else []
+            words = lowered(t).replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if t else []
             ids = list(map(self.known.get, words))
             own, at = [], -1
             try:
