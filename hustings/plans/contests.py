@@ -8,7 +8,7 @@ from hustings.operators import ranking, rollups, seats
 from hustings.plans.tables import PLACED_SQL, POS, options, placed, table
 
 ORDERED = "l_quantity desc, l_linenumber, l_partkey, l_suppkey, l_extendedprice"
-RANKED_SQL = f"ranked as (select *, row_number() over (partition by l_orderkey order by {ORDERED}) as rank from lineitem)"
+RANKED_SQL = f"ranked as (select *, cast(row_number() over (partition by l_orderkey order by {ORDERED}) as integer) as rank from lineitem)"
 
 
 def contest_winner(spark, sf_dir):

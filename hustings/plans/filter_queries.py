@@ -155,7 +155,7 @@ select event_id from o qualify count(*) over (partition by user_id) between 20 a
     "embargo": f"with {POLLS_SQL} select event_id from polls where not (k % 5 <> 0) or k is null or ts <= timestamp '2024-01-15'",
     "free_text": "select c_custkey from customer join nation on c_nationkey = n_nationkey where contains(lower(replace(c_mktsegment || n_name, ' ', '')), 'ynat')",
     "search_tiered": """with n as (select p_name, min(p_partkey) as first, case when lower(p_name) = 're' then 0 when starts_with(lower(p_name), 're') then 1 when contains(lower(p_name), 're') then 2 end as tier from part group by 1)
-select p_name, tier from n where tier is not null order by tier, first limit 6""",
+select p_name, cast(tier as bigint) as tier from n where tier is not null order by tier, first limit 6""",
     "faceted_list": "select p_partkey, p_size from part where p_brand = 'Brand#11' order by p_size desc, p_partkey limit 20",
     "faceted_total": "select count(*) as total from part where p_brand = 'Brand#11'",
     "admission_rule": f"""with {PLACED_SQL}, kn as (select distinct l_suppkey, l_returnflag from placed where l_quantity = 50 and l_linenumber = 1), m as (select l_partkey, count(*) as races from placed group by 1)

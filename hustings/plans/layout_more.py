@@ -101,7 +101,7 @@ select * from n qualify row_number() over (partition by o_custkey order by o_ord
 f as (select s_suppkey % 70 as name, case when s_suppkey % 2 = 0 then 'BUILDING' else 'MACHINERY' end as kind, cast(s_nationkey as varchar) as place, s_suppkey as born from supplier),
 g as (select k, count(*) as n, min(born) as b, count(*) filter (c.kind = f.kind) as m, min(born) filter (c.kind = f.kind) as o, min(born) filter (c.kind = f.kind and contains(c.place, f.place)) as p from c join f using (name) group by 1)
 select c.k, case when n = 1 then b when m = 1 then o else p end as born from c left join g on c.k = g.k""",
-    "ring_measures": "select cast(n_nationkey as bigint) as zone, 288.0 as area, cast(n_nationkey * 37 % 100 as double) as x, cast(n_nationkey * 53 % 100 as double) as y from nation",
+    "ring_measures": "select cast(n_nationkey as bigint) as zone, cast(288 as double) as area, cast(n_nationkey * 37 % 100 as double) as x, cast(n_nationkey * 53 % 100 as double) as y from nation",
     "points_in_zones": """with z as (select n_nationkey as zone, n_nationkey * 37 % 100 as cx, n_nationkey * 53 % 100 as cy from nation), p as (select p_partkey, p_partkey * 17 % 101 + 0.25 as x, p_partkey * 29 % 103 + 0.35 as y from part)
 select p_partkey, cast(min(zone) as bigint) as zone from p left join z on abs(x - cx) + abs(y - cy) < 12 group by 1""",
 }

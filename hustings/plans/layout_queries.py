@@ -220,12 +220,12 @@ ORACLE_SQL = {
     "hex_neighbours": f"with {NEAR_SQL} select key, nc, nr from near",
     "hex_distance": f"""with {CELLS_SQL}, d as (select key, (c - (r - r % 2) / 2) - (10 - (7 - 7 % 2) / 2) as dx, r - 7 as dz from cells)
 select key, cast((abs(dx) + abs(dz) + abs(dx + dz)) / 2 as bigint) as steps from d""",
-    "hex_pixels": f"with {CELLS_SQL} select key, round(10 * sqrt(3) * (c + 0.5 * (r % 2)), 6) as x, round(15.0 * r, 6) as y from cells",
+    "hex_pixels": f"with {CELLS_SQL} select key, round(10 * sqrt(3) * (c + 0.5 * (r % 2)), 6) as x, cast(round(15.0 * r, 6) as double) as y from cells",
     "border_edges": f"with {NEAR_SQL} select n.c, n.r, n.nc, n.nr, n.zone, o.zone as other from near n left join cells o on n.nc = o.c and n.nr = o.r where n.zone is distinct from o.zone",
     "grid_holes": f"with {NEAR_SQL} select nc, nr, count(*) as n from near where (nc, nr) not in (select c, r from cells) group by 1, 2 having count(*) >= 3",
     "adjacency_f1": f"""with {NEAR_SQL}, adj as (select n.key as a, o.key as b, n.zone < 2 and o.zone < 2 as inside from near n join cells o on n.nc = o.c and n.nr = o.r where n.key < o.key),
 s as (select count(*) as f, count(*) filter (inside) as t from adj)
-select t as "both", round(t / f, 6) as precision, 1.0 as recall, round(2 * t / (f + t), 6) as f1 from s""",
+select t as "both", round(t / f, 6) as precision, cast(1 as double) as recall, round(2 * t / (f + t), 6) as f1 from s""",
     "grid_components": f"""with recursive {NEAR_SQL}, e as (select n.c * 1000000 + n.r as a, o.c * 1000000 + o.r as b from near n join cells o on n.nc = o.c and n.nr = o.r and n.zone = o.zone),
 reach(a, b) as (select c * 1000000 + r, c * 1000000 + r from cells union select reach.a, e.b from reach join e on reach.b = e.a)
 select a // 1000000 as c, a % 1000000 as r, min(b) as component from reach group by a""",
@@ -244,7 +244,7 @@ select o_orderkey, case when l = 0 then 'ELECTION' when l between 1 and 6 then '
     "region_parse": r"""with d as (select doc_id, string_split(trim(regexp_replace(split_part(coalesce(text, ''), '.', 1), '\s+', ' ', 'g')), ' ') as w from documents)
 select doc_id, w[1] as region, coalesce(w[2], '') as unit from d where regexp_full_match(w[1], '[A-Za-z]+')""",
     "zip_careers": """with z as (select p_partkey, unnest([0, 1, 2]) as n, p_size, p_brand, p_type, p_name from part)
-select p_partkey, n, case n when 0 then 't1' when 1 then 't' || p_size else 't9' end as term, case n when 0 then p_brand else p_type end as party, p_name as district from z""",
+select p_partkey, cast(n as bigint) as n, case n when 0 then 't1' when 1 then 't' || p_size else 't9' end as term, case n when 0 then p_brand else p_type end as party, p_name as district from z""",
     "aggregate_or_sum": f"""with {POLLS_SQL}, g as (select user_id, day, list_sort(list(round(pct))) as v0 from polls group by all), h as (select user_id, day, case when user_id % 2 = 0 then list_append(v0, list_sum(v0)) else v0 end as v from g)
 select user_id, day, case when len(v) > 1 and len(list_filter(v, lambda x: abs(2 * x - list_sum(v)) < 1.2)) > 0 then list_filter(v, lambda x: abs(2 * x - list_sum(v)) < 1.2)[1] else list_sum(v) end as total from h""",
     "label_cascade": f"with {POLLS_SQL} select event_id, case when regexp_matches(party || ' ' || k, '1$|7$') then 'dk' when contains(party, 'e') then 'neg' when contains(party, 'i') then 'pos' end as label from polls",

@@ -169,7 +169,7 @@ select p.p_partkey, base from p left join s on p.zone = s.zone and contains(p_na
 k as (select p_partkey, p_name || '!' as key, 0 as pos from part union all select p_partkey, upper(p_name), 1 from part
   union all select p_partkey, split_part(p_name, ' ', -1), 2 from part union all select p_partkey, split_part(p_name, ' ', 1), 3 from part),
 h as (select p_partkey, found, pos from k join w on key = word qualify row_number() over (partition by p_partkey order by pos) = 1)
-select p.p_partkey, found, pos as used from part p left join h on p.p_partkey = h.p_partkey""",
+select p.p_partkey, found, cast(pos as bigint) as used from part p left join h on p.p_partkey = h.p_partkey""",
     "positional_zip": """with a as (select o_custkey, o_orderkey as a, row_number() over (partition by o_custkey order by o_orderkey) as place, count(*) over (partition by o_custkey) as n from orders where o_orderstatus = 'F'),
 b as (select o_custkey, o_orderkey as b, row_number() over (partition by o_custkey order by o_orderkey) as place, count(*) over (partition by o_custkey) as n from orders where o_orderstatus = 'O')
 select o_custkey, a, b, place from a join b using (o_custkey, place, n)""",

@@ -122,5 +122,5 @@ select event_id, name from j where not (named >= 2 and hits < 2)""",
     "continuation_runs": f"""with {POLLS_SQL}, f as (select *, case when lag(party) over (partition by user_id order by ts, event_id) is distinct from party then 1 else 0 end as fresh from polls)
 select event_id, cast(sum(fresh) over (partition by user_id order by ts, event_id rows unbounded preceding) as bigint) as run from f""",
     "keyed_merge": """with o as (select o_custkey, min(o_orderstatus) as note from orders where o_orderkey % 7 = 0 group by 1)
-select c_custkey as key, c_nationkey, c_acctbal, note, 1 + case when o_custkey is null then 0 else 1 end as n_rows from customer left join o on o_custkey = c_custkey where c_custkey % 10 <> 0""",
+select c_custkey as key, c_nationkey, c_acctbal, note, cast(1 + case when o_custkey is null then 0 else 1 end as bigint) as n_rows from customer left join o on o_custkey = c_custkey where c_custkey % 10 <> 0""",
 }

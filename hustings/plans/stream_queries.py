@@ -135,7 +135,7 @@ select user_id, min(ts) as start, max(ts) as stop, count(*) as n from s group by
 
 ORACLE_SQL = {
     "unpivot_wide": f"with {POLLS_SQL} select day, agency, party as option, cast(sum(k) as double) as votes from polls group by all having sum(k) is not null",
-    "numbered_unpivot": "select l_orderkey, l_linenumber as pos, max(l_suppkey) as option, max(l_quantity) as votes from lineitem where l_linenumber <= 7 group by 1, 2",
+    "numbered_unpivot": "select l_orderkey, cast(l_linenumber as bigint) as pos, max(l_suppkey) as option, max(l_quantity) as votes from lineitem where l_linenumber <= 7 group by 1, 2",
     "pseudo_attributes": f"""with {POLLS_SQL} select day, agency, cast(sum(k) filter (party = 'signup') as bigint) as electors, cast(sum(k) filter (party = 'view') as bigint) as voters,
   cast(sum(k) filter (party not in ('signup', 'view')) as bigint) as votes, nullif(count(*) filter (party not in ('signup', 'view')), 0) as options from polls group by 1, 2""",
     "subtotal_policy": """select l_linestatus, sum(l_quantity) as l_quantity, 'parts' as which from lineitem where l_returnflag <> 'R' group by 1 union all
