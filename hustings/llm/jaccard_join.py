@@ -15,7 +15,7 @@
    the exact intersection of the sets, the numbers of their shingles in each of CLASSES classes bound the overlap (suffix filter).
    Texts are fetched for candidates only: a Bloom filter of their ids keeps the others out of the shuffle.
 5. Linked nodes get component labels. In long runs only pairs between components that the suffix filter lets by are left, so a large group of near
-   copies costs about its size, not its square; what they add joins the links for the final components. No link between
+   copies costs about its size, not its square (runs of over RUN rows are dealt out in parts, by the rows of the main component); what they add joins the links for the final components. No link between
    components is skipped: every pair that passes the filters is verified or already in one component.
 
 Documents of null or empty text, or without words, have no shingles and link with nothing. Rows of a null id link with nothing.
@@ -44,8 +44,8 @@ from hustings.workers import importable, written
 
 K, PERCENT = 4, 85
 #: Counters of the sketch (a power of two) and counters a block of it; pairs of runs up to SHORT are all tried;
-#: neighbours along a chain that a row of a longer run is tried with; partners in a part.
-BUCKETS, SLICE, SHORT, CHAIN, BLOCK = 1 << 20, 1 << 14, 8, 4, 256
+#: neighbours along a chain that a row of a longer run is tried with; partners in a part; rows of a run that aren't dealt out further.
+BUCKETS, SLICE, SHORT, CHAIN, BLOCK, RUN = 1 << 20, 1 << 14, 8, 4, 256, 512
 #: Places of the bit map (16 MB), and of a block of it.
 PLACES, MAP_BLOCK = 1 << 27, 1 << 20
 #: Classes of shingles that the suffix filter counts (a power of two), and bits of the filter of ids (4 MB).
@@ -327,11 +327,19 @@ def link(docs: DataFrame, k: int = K, percent: int = PERCENT, buckets: int = BUC
     texts = written(wanted.join(near, F.col("doc") == F.col("doc_id")).select("doc", "n", "hi", "lo", "text"), "texts")
 
     dealt = lambda t: t.repartition(parts, "token").sortWithinPartitions("token")
-    first = written(dealt(tokens).mapInArrow(_first_pairs(percent), "a long, b long").distinct(), "pairs")
+    split = lambda token, part: F.xxhash64(token, part)  # noqa: E731  a part of a run; two that fell together would only add candidates
+    hot = written(tokens.groupBy("token").agg(F.count("*").alias("rows")).filter(F.col("rows") > SHORT), "runs").withColumn("split", F.ceil(F.col("rows") / RUN).cast("int"))
+    salted = tokens.join(hot.filter("split > 1").select("token", "split"), "token", "left").withColumn("token", F.when(F.col("split").isNull(), F.col("token")).otherwise(split("token", F.pmod(F.xxhash64("doc"), F.col("split")))))
+    first = written(dealt(salted.drop("split")).mapInArrow(_first_pairs(percent), "a long, b long").distinct(), "pairs")
     links = written(_verify(first, texts, k, percent), "links")
     labels = written(components(links), "labels")
-    long_runs = tokens.groupBy("token").agg(F.count("*").alias("rows")).filter(F.col("rows") > SHORT).select("token")
-    rest = tokens.join(long_runs, "token", "left_semi").join(labels.withColumnRenamed("node", "doc"), "doc", "left").select("token", "doc", "n", "pos", F.coalesce("component", "doc").alias("label")).join(wanted.select("doc", "kinds"), "doc")
+    rest = tokens.join(hot.select("token", "split"), "token").join(labels.withColumnRenamed("node", "doc"), "doc", "left").withColumn("label", F.coalesce("component", "doc")).drop("component")
+    most = rest.groupBy("token", "label").agg(F.count("*").alias("rows")).groupBy("token").agg(F.max_by("label", F.struct("rows", "label")).alias("main"), F.count("*").alias("labels"))
+    rest = written(rest.join(most.filter("labels > 1").select("token", "main"), "token").join(wanted.select("doc", "kinds"), "doc"), "later")
+    # of a long run, rows of the main component lie in one part each, the others in every part: all pairs between components still meet
+    every = F.when(F.col("split") == 1, F.array("token")).when(F.col("label") == F.col("main"), F.array(split("token", F.pmod(F.xxhash64("doc"), F.col("split")))))
+    every = every.otherwise(F.transform(F.sequence(F.lit(0), F.col("split") - 1), lambda i: split("token", i.cast("long"))))
+    rest = rest.select(F.explode(every).alias("token"), "doc", "n", "pos", "label", "kinds")
     later = dealt(rest).mapInArrow(_later_pairs(percent), "a long, b long").distinct().join(first, ["a", "b"], "left_anti")
     more = written(_verify(written(later, "pairs"), texts, k, percent), "links")
     joined = components(links.unionByName(more)) if more.take(1) else labels
