@@ -142,7 +142,7 @@ ORACLE_SQL = {
 select l_linestatus, sum(l_quantity), 'totals' from lineitem where l_returnflag = 'R' group by 1""",
     "filled_down": """select event_id, last_value(case when event_type = 'click' then cast(event_id as varchar) end ignore nulls) over (partition by user_id order by event_id rows unbounded preceding) as head from events""",
     "chunk_split": "select 'drill' as chunk, l_returnflag, l_linestatus, count(*) as n, sum(l_quantity) as q from lineitem where l_linestatus = 'O' and l_returnflag <> 'A' group by 2, 3",
-    "upsert_preserving": """select c_custkey, case when c_custkey % 2 = 0 and c_custkey % 4 <> 0 then c_mktsegment when c_custkey % 3 = 0 then lower(c_mktsegment) end as c_mktsegment,
+    "upsert_preserving": """select c_custkey, case when c_custkey % 2 = 0 and c_custkey % 4 <> 0 then c_mktsegment when c_custkey % 3 = 0 then lower(c_mktsegment) else '' end as c_mktsegment,
   case when c_custkey % 3 = 0 then 0 else c_acctbal end as c_acctbal from customer where c_custkey % 2 = 0 or c_custkey % 3 = 0""",
     "overwrite_guard": """select o_orderkey, o_custkey, o_orderstatus from orders where o_orderstatus = 'P' union all
 select o_orderkey, o_custkey, o_orderstatus from orders where o_orderstatus = 'F' and o_custkey not in (select o_custkey from orders where o_orderstatus = 'P')""",
