@@ -64,8 +64,9 @@ def horse_race(spark, sf_dir):
 
 
 def title_reject(spark, sf_dir):
+    # whole texts; a null text is neither rejected nor accepted: no row
     d = table(spark, sf_dir, "documents")
-    return d.filter(~filters.any_rule(F.substring("text", 1, 400), REJECT)).select("doc_id")
+    return d.filter(~filters.any_rule(F.col("text"), REJECT)).select("doc_id")
 
 
 def classify_cascade(spark, sf_dir):
