@@ -49,3 +49,20 @@ def test_too_many_languages(spark):
 def test_counts_are_those_of_the_text_whole():
     a, b = language_id.counts("abc def"), language_id.counts("ABC   def!")
     assert np.array_equal(a, b) and a.sum() == 8 + 7 + 6
+
+
+DUTCH = "Het was een mooie dag in de stad en de mensen liepen rustig door de straten terwijl de zon langzaam onderging achter de oude huizen"
+FINNISH = "Kaupungin kaduilla kulki paljon ihmisiä jotka olivat matkalla töihin tai kouluun ja aurinko paistoi kirkkaasti vanhojen talojen yllä"
+
+
+@pytest.mark.skipif(not os.path.exists(SF), reason="no test data")
+def test_gibberish_and_unlearned_languages_go(spark):
+    rng = np.random.default_rng(1)
+    model = language_id.fit(spark.read.parquet(f"{SF}/documents.parquet"))
+    for size in (64, 300, 2000):
+        for symbols in ("abcdefghijklmnopqrstuvwxyz", "abcdefghijklmnopqrstuvwxyz     ", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"):
+            assert model.predict("".join(rng.choice(list(symbols), size)))[2]
+    assert model.predict(DUTCH)[2] and model.predict(FINNISH)[2] and model.predict(DUTCH * 20)[2]
+    for text in ("Von.", "That it.", "Pachque çaneux et.", "Des enberge die enver.", "Of anntre erthnd, thlyre to the."):
+        assert not model.predict(text)[2]
+    assert (model.limits > 0).all() and (np.linalg.norm(model.centroids, axis=0) > 0.99).all()
