@@ -76,7 +76,7 @@ def lane_pack(spark, sf_dir):
 
 
 def next_first_wednesday(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").filter("o_orderkey % 10 = 0").select("o_orderkey", F.to_date("o_orderdate").alias("term_end"))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("term_end"))
     lead = F.when(F.col("o_orderkey") % 3 == 0, 70).when(F.col("o_orderkey") % 3 == 1, 50).otherwise(30)
     return calendar.predicted(o, "term_end", lead, F.lit(4), F.lit("2006-12-31").cast("date")).select("o_orderkey", F.col("nth").cast("long").alias("nth"), "election_day")
 

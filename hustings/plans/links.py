@@ -73,8 +73,10 @@ def name_by_date(spark, sf_dir):
 
 
 def ordered_fallback_match(spark, sf_dir):
-    left = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_brand", "p_type").filter("p_partkey % 3 = 0")
-    right = table(spark, sf_dir, "part").filter("p_partkey % 3 = 1")
+    # small parts against all others; not split by brand, which is a rule's key
+    parts = table(spark, sf_dir, "part").withColumn("small", F.coalesce(F.col("p_size") <= 25, F.lit(False)))
+    left = parts.filter("small").select("p_partkey", "p_name", "p_brand", "p_type")
+    right = parts.filter("NOT small")
     right = right.groupBy("p_name", "p_brand", "p_type").agg(F.min("p_partkey").alias("match"))
     rules = [
         left.join(right, ["p_name", "p_brand"]).groupBy("p_partkey").agg(F.min("match").alias("match")),

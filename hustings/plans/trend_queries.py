@@ -72,8 +72,10 @@ def spearman_corr(spark, sf_dir):
 
 
 def nearest_month(spark, sf_dir):
-    o = table(spark, sf_dir, "orders").filter("o_orderkey % 5 = 0").select("o_custkey", F.trunc("o_orderdate", "month").alias("m")).distinct()
-    c = table(spark, sf_dir, "orders").filter("o_orderkey % 5 = 1").select("o_custkey", F.trunc("o_orderdate", "month").alias("m2"), "o_orderkey")
+    # months of filled orders against those of all others; of a month the least key, so that months meet and not orders
+    d = table(spark, sf_dir, "orders").select("o_custkey", F.trunc("o_orderdate", "month").alias("m"), "o_orderkey", F.col("o_orderstatus").eqNullSafe("F").alias("filled"))
+    o = d.filter("filled").select("o_custkey", "m").distinct()
+    c = d.filter("NOT filled").groupBy("o_custkey", F.col("m").alias("m2")).agg(F.min("o_orderkey").alias("o_orderkey"))
     return trends.nearest_month(o, c, ["o_custkey"], "m", "m2", "o_orderkey", ["o_orderkey"]).select("o_custkey", "m", F.col("o_orderkey").alias("nearest"))
 
 
