@@ -46,7 +46,7 @@ def source_priority_union(spark, sf_dir):
 
 def _names(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("lang", F.explode(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+")).alias("name"))
-    return d.filter(F.length("name").between(4, 5) & F.col("name").rlike("^[a-z]+$"))
+    return d.filter("name <> ''")
 
 
 def name_snap(spark, sf_dir):
@@ -55,8 +55,7 @@ def name_snap(spark, sf_dir):
 
 
 def bleed_repair(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("lang", F.explode(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+")).alias("name"))
-    return dedup.bleed_repair(d.filter(F.length("name").between(3, 5) & F.col("name").rlike("^[a-z]+$")), ["lang"], "name")
+    return dedup.bleed_repair(_names(spark, sf_dir), ["lang"], "name")
 
 
 def known_candidate_gate(spark, sf_dir):

@@ -2,7 +2,7 @@
 
 import datetime as dt
 
-from hustings.plans import filter_queries, layout_queries, links, trend_queries
+from hustings.plans import filter_queries, layout_queries, links, records, trend_queries
 
 
 def ids(df):
@@ -40,3 +40,20 @@ def test_ordered_fallback_match_takes_every_part(spark, tmp_path):
     out = links.ordered_fallback_match(spark, stored(spark, tmp_path, "part", rows, "p_partkey long, p_name string, p_brand string, p_type string, p_size int"))
     found = {r.p_partkey: r.match for r in out.collect()}
     assert found == {2: 5, 8: 11, 14: 17, 20: None}
+
+
+NAMES = "doc_id long, lang string, text string"
+
+
+def test_name_snap_takes_every_word(spark, tmp_path):
+    rows = [(1, "de", "Straße " * 12 + " Straßes it's"), (2, "de", "überlang " * 10 + "uberlang überlanx a"), (3, "en", None)]
+    out = records.name_snap(spark, stored(spark, tmp_path, "documents", rows, NAMES))
+    found = {r.name: r.snapped for r in out.collect()}
+    assert found == {"Straße": "Straße", "Straßes": "Straße", "it's": "it's", "überlang": "überlang", "überlanx": "überlang", "uberlang": "uberlang", "a": "a"}
+
+
+def test_bleed_repair_takes_every_word(spark, tmp_path):
+    rows = [(1, "fr", "été été étés Kim Kim Kimo longword longword longwords"), (2, "fr", " a I'm")]
+    out = records.bleed_repair(spark, stored(spark, tmp_path, "documents", rows, NAMES))
+    found = {r.name: r.repaired for r in out.collect()}
+    assert found == {"été": "été", "étés": "été", "Kim": "Kim", "Kimo": "Kim", "longword": "longword", "longwords": "longwords", "a": "a", "I'm": "I'm"}
