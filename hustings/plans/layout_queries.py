@@ -97,7 +97,8 @@ def range_parse(spark, sf_dir):
 
 
 def region_parse(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", text.region_parts(F.substring_index(F.coalesce("text", F.lit("")), ".", 1)).alias("p"))
+    # full stops part words, they don't end the text
+    d = table(spark, sf_dir, "documents").select("doc_id", text.region_parts(F.replace(F.coalesce("text", F.lit("")), F.lit("."), F.lit(" "))).alias("p"))
     return d.filter("p.region RLIKE '^[A-Za-z]+$'").select("doc_id", "p.region", "p.unit")
 
 

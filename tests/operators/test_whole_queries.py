@@ -57,3 +57,9 @@ def test_bleed_repair_takes_every_word(spark, tmp_path):
     out = records.bleed_repair(spark, stored(spark, tmp_path, "documents", rows, NAMES))
     found = {r.name: r.repaired for r in out.collect()}
     assert found == {"été": "été", "étés": "été", "Kim": "Kim", "Kimo": "Kim", "longword": "longword", "longwords": "longwords", "a": "a", "I'm": "I'm"}
+
+
+def test_region_parse_reads_past_full_stops(spark, tmp_path):
+    rows = [(1, "de", "Das. Von x"), (2, "de", "Eins zwei. Drei"), (3, "de", "Ja."), (4, "de", ". Nach vorn"), (5, "de", None), (6, "de", "4 Orte")]
+    out = layout_queries.region_parse(spark, stored(spark, tmp_path, "documents", rows, "doc_id long, lang string, text string"))
+    assert sorted(tuple(r) for r in out.collect()) == [(1, "Das", "Von"), (2, "Eins", "zwei"), (3, "Ja", ""), (4, "Nach", "vorn")]
