@@ -6,6 +6,8 @@ import atexit
 import os
 import shutil
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,10 +28,12 @@ LOCAL = f"/tmp/hustings-{os.getpid()}"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where none is set (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode (tests) a local one where none is set."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise RuntimeError("spark.checkpoint.dir is unset: on a cluster it must name a folder that the driver and all executors share")
     atexit.register(shutil.rmtree, LOCAL, ignore_errors=True)
     return f"file://{LOCAL}"
 
@@ -47,8 +51,35 @@ def remove(spark: SparkSession, *paths: str) -> None:
         p.getFileSystem(conf).delete(p, True)
 
 
+#: Paths of tables written in the blocks of `temporary` that are open, by block.
+_open: list[dict[str, DataFrame]] = []
+
+
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Tables that `written` makes in the block are deleted at its end, save those given to what the block gets (keep)."""
+    made: dict[str, DataFrame] = {}
+
+    def keep(df: DataFrame) -> DataFrame:
+        for path in [p for p, t in made.items() if t is df]:
+            del made[path]
+            if len(_open) > 1:  # an outer block still has it
+                _open[-2][path] = df
+        return df
+
+    _open.append(made)
+    try:
+        yield keep
+    finally:
+        _open.pop()
+        remove(spark, *made)
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet into the shared folder and read it again: cuts the lineage and survives lost executors."""
     path = scratch(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    table = df.sparkSession.read.schema(df.schema).parquet(path)
+    if _open:
+        _open[-1][path] = table
+    return table
