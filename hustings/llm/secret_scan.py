@@ -1,9 +1,13 @@
 """Secret scans in DataFrame functions only.
 
-Base kinds are patterns. The entropy kind looks at candidate strings (runs of token characters): a window slides over each,
-symbol counts of the candidate's character class are kept up to date as one symbol enters and one leaves, and the Shannon
-entropy of the window follows from the running sum of c * log2(c). A candidate whose best window reaches the threshold of its
-class is a span, unless an allow-list pattern explains it or a base span overlaps it.
+Base kinds are patterns. The entropy kind looks at candidate strings: runs of token characters in the text from which base
+matches have been blanked, kind after kind (what is left on either side of a base match is a candidate of its own). A window
+slides over each candidate; the counts of the symbols of the candidate's character class, packed into a few whole numbers, are
+kept up to date as one symbol enters and one leaves, and the Shannon entropy of the window follows from the running sum of
+c * log2(c). A candidate whose best window reaches the threshold of its class is a span, unless the allow-list explains it.
+
+All work is linear in the text: places come from running sums over what lies between matches, symbols are looked up once, and
+no pattern repeats a group. Running values are computed in stretches of BLOCK, so that arrays are not copied for each step.
 
 Positions are in code points, end exclusive. Null text counts as empty: no spans. Texts of any length are scanned whole;
 equal rows give equal results; an empty table gives an empty one. Extra columns don't matter, save that `scan` replaces
@@ -13,6 +17,7 @@ columns of its own names.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -37,72 +42,131 @@ CLASSES = {
     "alnum": (r"^[A-Za-z0-9]+$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", 3.7),
     "base64": (r"^.*$", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=.-", 3.8),
 }
-#: What looks random and is none: no digit at all, digits and marks only, UUIDs, versions and dates, paths and host names of words.
+#: What looks random and is none: no digit at all, digits and marks only, UUIDs.
 ALLOWED = (
     r"^[^0-9]*$",
     r"^[0-9+/_=.-]*$",
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
-    r"^v?[0-9]+([._-][A-Za-z0-9]{1,8})+$",
-    r"^[./_-]*([A-Za-z]+|[0-9]{1,4})([./_=-]+([A-Za-z]+|[0-9]{1,4}))*[./_=-]*$",
 )
+#: And, cut at marks: paths and host names of words and short numbers; versions and dates, which begin with a number.
+MARKS, WORDS = r"[./_=-]+", r"^([A-Za-z]*|[0-9]{1,4})$"
+POINTS, NUMBER, SHORT = r"[._-]", r"^v?[0-9]+$", r"^[A-Za-z0-9]{1,8}$"
+
+#: Steps of a running value that are kept together, counters in a whole number, and units of a bit in exact sums of c * log2(c).
+BLOCK, PACKED, UNIT = 512, 12, 1 << 40
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _running(items: Column, zero: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """The running value after each item: linear, for stretches of BLOCK are appended to the result whole."""
+    run = lambda carry, part: F.aggregate(
+        part, F.struct(carry.alias("at"), F.array_repeat(zero, 0).alias("out")),
+        lambda a, x: _let(step(a["at"], x), lambda now: F.struct(now.alias("at"), F.array_append(a["out"], now).alias("out"))),
+    )
+
+    def blocks(all_: Column) -> Column:
+        cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / BLOCK).cast("int")), lambda k: F.slice(all_, k * BLOCK + 1, F.lit(BLOCK)))
+        start = F.struct(zero.alias("at"), F.array_repeat(F.array_repeat(zero, 0), 0).alias("out"))
+        joined = lambda a, part: _let(run(a["at"], part), lambda r: F.struct(r["at"].alias("at"), F.array_append(a["out"], r["out"]).alias("out")))
+        return F.flatten(F.aggregate(cut, start, joined, lambda a: a["out"]))
+
+    return _let(items, lambda all_: F.when(F.size(all_) > 0, blocks(all_)).otherwise(F.array_repeat(zero, 0)))
+
+
+def _matches(text: Column, pattern: str) -> Column:
+    """array<struct<before, hit>> of the leftmost non-overlapping matches, each with what lies before it; last, what is left and no hit."""
+    return F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda b, h: F.struct(b.alias("before"), h.alias("hit")))
 
 
 def _located(text: Column, pattern: str) -> Column:
     """array<struct<start, end, hit>> of the leftmost non-overlapping matches: lengths of what lies between them give places."""
-    between, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    empty = F.expr("cast(array() as array<struct<start:int,end:int,hit:string>>)")
-    step = lambda a, i: F.struct(
-        (a["at"] + F.length(F.get(between, i)) + F.length(F.get(hits, i))).alias("at"),
-        F.array_append(a["found"], F.struct((a["at"] + F.length(F.get(between, i))).alias("start"), (a["at"] + F.length(F.get(between, i)) + F.length(F.get(hits, i))).alias("end"), F.get(hits, i).alias("hit"))).alias("found"),
-    )
-    start = F.struct(F.lit(0).alias("at"), empty.alias("found"))
-    return F.when(F.size(hits) > 0, F.aggregate(F.sequence(F.lit(0), F.size(hits) - 1), start, step, lambda a: a["found"])).otherwise(empty)
+
+    def places(found: Column) -> Column:
+        ends = _running(found, F.lit(0), lambda at, x: at + F.length(x["before"]) + F.length(x["hit"]))
+        return F.zip_with(found, ends, lambda x, e: F.struct((e - F.length(x["hit"])).alias("start"), e.alias("end"), x["hit"].alias("hit")))
+
+    return _let(F.filter(_matches(text, pattern), lambda x: x["hit"].isNotNull()), places)
+
+
+def _blanked(text: Column, pattern: str, keep: Callable[[Column], Column]) -> Column:
+    """The text with its kept matches as blanks, as long as before."""
+    blank = lambda h: F.when(keep(h), F.repeat(F.lit(" "), F.length(h))).otherwise(h)
+    return F.array_join(F.transform(_matches(text, pattern), lambda x: F.concat(x["before"], F.coalesce(blank(x["hit"]), F.lit("")))), "")
 
 
-def _spans(kind: str, located: Column, keep) -> Column:
+def _spans(kind: str, located: Column, keep: Callable[[Column], Column]) -> Column:
     rank = F.lit(KINDS.index(kind))
-    return F.transform(F.filter(located, keep), lambda x: F.struct(x["start"].alias("start"), rank.alias("rank"), x["end"].alias("end")))
+    return F.transform(F.filter(located, lambda x: keep(x["hit"])), lambda x: F.struct(x["start"].alias("start"), rank.alias("rank"), x["end"].alias("end")))
+
+
+def least_sum(s: Column, alphabet: str, window: int = WINDOW) -> Column:
+    """The least sum of c * log2(c), in UNITs, of any window over s; c counts a symbol, those outside the alphabet share one counter."""
+    weight = F.array(*[F.lit(round(k * math.log2(k) * UNIT) if k else 0) for k in range(window + 2)])
+    counters = F.array_repeat(F.lit(0).cast("long"), len(alphabet) // PACKED + 1)
+    number = lambda k: F.struct(F.floor(k / PACKED).cast("int").alias("word"), (k % PACKED * 5).alias("shift"))
+    count = lambda n, k: F.call_function("shiftright", F.get(n, k["word"]), k["shift"]).bitwiseAND(F.lit(31)).cast("int")
+    one = lambda k: F.call_function("shiftleft", F.lit(1).cast("long"), k["shift"])
+
+    def step(a: Column, x: Column) -> Column:
+        enters, leaves = x["enters"], x["leaves"]
+        moved = F.transform(a["n"], lambda c, j: c + F.when(j == enters["word"], one(enters)).otherwise(0) - F.when(j == leaves["word"], one(leaves)).otherwise(0))
+        was, gone = count(a["n"], enters), count(a["n"], leaves)
+        grown = F.get(weight, was + 1) - F.get(weight, was)
+        shrunk = F.coalesce(F.get(weight, gone) - F.get(weight, gone - 1), F.lit(0).cast("long"))
+        total = F.when(enters == leaves, a["sum"]).otherwise(a["sum"] + grown - shrunk)
+        return _let(total, lambda now: F.struct(
+            moved.alias("n"), now.alias("sum"), (a["seen"] + 1).alias("seen"), F.when(a["seen"] + 1 >= window, F.least(a["least"], now)).otherwise(a["least"]).alias("least")
+        ))
+
+    def slid(symbols: Column) -> Column:
+        gone = F.concat(F.array_repeat(F.lit(None).cast("struct<word:int,shift:int>"), window), F.slice(symbols, F.lit(1), F.greatest(F.size(symbols) - window, F.lit(0))))
+        moves = F.zip_with(symbols, F.slice(gone, F.lit(1), F.size(symbols)), lambda e, l: F.struct(e.alias("enters"), l.alias("leaves")))
+        start = F.struct(counters.alias("n"), F.lit(0).cast("long").alias("sum"), F.lit(0).alias("seen"), F.lit((1 << 62)).cast("long").alias("least"))
+        return F.aggregate(moves, start, step, lambda a: a["least"])
+
+    return _let(F.transform(F.split(s, ""), lambda c: number(F.instr(F.lit(alphabet), c))), slid)
 
 
 def best_entropy(s: Column, alphabet: str, window: int = WINDOW) -> Column:
-    """The largest entropy, in bits per symbol, of any window over s; symbols outside the alphabet share one counter."""
-    weight = F.array(*[F.lit(k * math.log2(k) if k else 0.0) for k in range(window + 1)])
-    symbol = lambda i: F.instr(F.lit(alphabet), F.substr(s, i, F.lit(1)))
+    """The largest entropy, in bits per symbol, of any window over s."""
+    return F.lit(math.log2(window)) - least_sum(s, alphabet, window) / F.lit(float(UNIT) * window)
 
-    def step(a: Column, i: Column) -> Column:
-        enters, leaves = symbol(i), F.when(i > window, symbol(i - window)).otherwise(F.lit(-1))
-        moved = F.transform(a["n"], lambda c, k: c + F.when(k == enters, 1).otherwise(0) - F.when(k == leaves, 1).otherwise(0))
-        was, gone = F.get(a["n"], enters), F.get(a["n"], leaves)
-        total = F.when(enters == leaves, a["sum"]).otherwise(
-            a["sum"] + F.get(weight, was + 1) - F.get(weight, was) - F.when(leaves >= 0, F.get(weight, gone) - F.get(weight, gone - 1)).otherwise(0.0)
-        )
-        bits = F.lit(math.log2(window)) - total / window
-        return F.struct(moved.alias("n"), total.alias("sum"), F.when(i >= window, F.greatest(a["best"], bits)).otherwise(a["best"]).alias("best"))
 
-    start = F.struct(F.array_repeat(F.lit(0), len(alphabet) + 1).alias("n"), F.lit(0.0).alias("sum"), F.lit(0.0).alias("best"))
-    return F.aggregate(F.sequence(F.lit(1), F.length(s)), start, step, lambda a: a["best"])
+def _allowed(s: Column) -> Column:
+    told = F.lit(False)
+    for pattern in ALLOWED:
+        told = told | s.rlike(pattern)
+    version = lambda p: (F.size(p) > 1) & F.get(p, F.lit(0)).rlike(NUMBER) & F.forall(F.slice(p, F.lit(2), F.size(p)), lambda x: x.rlike(SHORT))
+    return told | F.forall(F.split(s, MARKS, -1), lambda x: x.rlike(WORDS)) | _let(F.split(s, POINTS, -1), version)
 
 
 def _random(s: Column) -> Column:
     test = F.lit(False)
     for pattern, alphabet, least in reversed(CLASSES.values()):
         test = F.when(s.rlike(pattern), best_entropy(s, alphabet) >= least).otherwise(test)
-    allowed = F.lit(False)
-    for pattern in ALLOWED:
-        allowed = allowed | s.rlike(pattern)
-    return F.when(allowed, F.lit(False)).otherwise(test)
+    return F.when(_allowed(s), F.lit(False)).otherwise(test)
 
 
 def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs with base_spans and spans: array<struct<start, rank, end>>, by start, then kind as in KINDS."""
     none = F.expr("cast(array() as array<struct<start:int,rank:int,end:int>>)")
     t = F.coalesce(F.col(text_col), F.lit(""))
-    assign = F.when(t.rlike(MAY_ASSIGN), _spans("assign", _located(t, ASSIGN), lambda x: F.length(F.regexp_extract(x["hit"], ASSIGN, 2)) >= LEAST["assign"])).otherwise(none)
-    access = F.when(t.rlike(MAY_ACCESS), _spans("access", _located(t, ACCESS), lambda x: x["end"] - x["start"] >= LEAST["access"])).otherwise(none)
-    hexes = F.when(t.rlike(MAY_HEX), _spans("hex", _located(t, HEX.replace("+", "{%d,}" % LEAST["hex"])), lambda x: F.lit(True))).otherwise(none)
-    out = docs.withColumn("base_spans", F.array_sort(F.concat(assign, access, hexes)))
-    free = lambda x: ~F.exists(F.col("base_spans"), lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-    extra = F.when(t.rlike(CANDIDATE), _spans("entropy", F.filter(F.filter(_located(t, CANDIDATE), free), lambda x: _random(x["hit"])), lambda x: F.lit(True))).otherwise(none)
+    kinds = (
+        ("assign", MAY_ASSIGN, ASSIGN, lambda h: F.length(F.regexp_extract(h, ASSIGN, 2)) >= LEAST["assign"]),
+        ("access", MAY_ACCESS, ACCESS, lambda h: F.length(h) >= LEAST["access"]),
+        ("hex", MAY_HEX, HEX.replace("+", "{%d,}" % LEAST["hex"]), lambda h: F.lit(True)),
+    )
+    base, rest = [], t
+    for kind, may, pattern, keep in kinds:
+        base.append(F.when(t.rlike(may), _spans(kind, _located(t, pattern), keep)).otherwise(none))
+        rest = F.when(t.rlike(may), _blanked(rest, pattern, keep)).otherwise(rest)
+    out = docs.withColumn("base_spans", F.array_sort(F.concat(*base)))
+    random = lambda text: _spans("entropy", _located(text, CANDIDATE), _random)
+    extra = F.when(t.rlike(CANDIDATE), _let(rest, random)).otherwise(none)
     return out.withColumn("spans", F.array_sort(F.concat(F.col("base_spans"), extra)))
 
 
@@ -112,14 +176,27 @@ def written_out(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", kind(x), x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _redacted(text: Column, spans: Column, mark: str) -> Column:
+    """The text with a mark for each stretch of overlapping spans, which come by start."""
+
+    def cut(chars: Column) -> Column:
+        covered = _running(spans, F.lit(0), lambda at, x: F.greatest(at, x["end"]))  # by this span and those before it
+        before = F.concat(F.array(F.lit(0)), F.slice(covered, F.lit(1), F.size(covered) - 1))
+        kept = lambda start, end: F.array_join(F.slice(chars, start + 1, end - start), "")
+        pieces = F.zip_with(spans, before, lambda x, at: F.when(x["start"] < at, "").otherwise(F.concat(kept(at, F.greatest(at, x["start"])), F.lit(mark))))
+        end = F.element_at(covered, -1)
+        return F.concat(F.array_join(pieces, ""), kept(end, F.greatest(end, F.size(chars))))
+
+    return _let(F.split(text, ""), cut)
+
+
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """docs with every span of text_col replaced by the mark, overlapping spans by one; all rows stay, null text stays null."""
-    t = F.col(text_col)
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    step = lambda a, x: F.when(x["end"] <= a["at"], a).otherwise(
-        F.struct(x["end"].alias("at"), F.when(x["start"] < a["at"], a["out"]).otherwise(F.concat(a["out"], F.substr(t, a["at"] + 1, x["start"] - a["at"]), F.lit(mark))).alias("out"))
-    )
-    clean = F.aggregate("__scan_spans", start, step, lambda a: F.concat(a["out"], F.substr(t, a["at"] + 1)))
-    found = scan(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__scan_row"), t.alias("__scan_text")), "__scan_text")
-    back = found.select("__scan_row.*", F.col("spans").alias("__scan_spans"))
-    return back.withColumn(text_col, F.when(F.size("__scan_spans") > 0, clean).otherwise(t)).select(*docs.columns)
+    names = [_quoted(c) for c in docs.columns]
+    found = scan(docs.select(F.struct(*names).alias("__scan_row"), F.col(_quoted(text_col)).alias("__scan_text")), "__scan_text")
+    clean = F.when(F.size("spans") > 0, _redacted(F.col("__scan_text"), F.col("spans"), mark)).otherwise(F.col("__scan_text"))
+    return found.select(*[clean.alias(c) if c == text_col else F.col(f"__scan_row.{n}").alias(c) for c, n in zip(docs.columns, names, strict=True)])
