@@ -6,6 +6,7 @@ small for its keys lets more through, and results stay the same.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,13 +41,13 @@ def build(keys: DataFrame, column: str, bits: int):
             for at in _bits(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64), bits):
                 np.bitwise_or.at(table, at >> 3, np.uint8(1) << (at & 7).astype(np.uint8))
         places = [k for k in range(0, bits // 8, size) if table[k : k + size].any()]
-        yield pa.record_batch([pa.array(places, pa.int64()), pa.array([table[k : k + size].tobytes() for k in places], pa.binary())], names=["at", "bits"])
+        yield pa.record_batch([pa.array(places, pa.int64()), pa.array([zlib.compress(table[k : k + size].tobytes(), 1) for k in places], pa.binary())], names=["at", "bits"])
 
     def union(pdf: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame({"at": [pdf["at"].iloc[0]], "bits": [np.bitwise_or.reduce([np.frombuffer(b, np.uint8) for b in pdf["bits"]]).tobytes()]})
+        return pd.DataFrame({"at": [pdf["at"].iloc[0]], "bits": [np.bitwise_or.reduce([np.frombuffer(zlib.decompress(b), np.uint8) for b in pdf["bits"]]).tobytes()]})
 
     table = np.zeros(bits // 8, np.uint8)
-    parts = keys.select(column).coalesce(TASKS).mapInArrow(run, "at long, bits binary").groupBy("at").applyInPandas(union, "at long, bits binary")
+    parts = keys.select(column).repartition(TASKS).mapInArrow(run, "at long, bits binary").groupBy("at").applyInPandas(union, "at long, bits binary")
     for r in parts.toLocalIterator():  # bits / 8 bytes in all
         table[r["at"] : r["at"] + size] = np.frombuffer(r["bits"], np.uint8)
     return keys.sparkSession.sparkContext.broadcast(table)

@@ -3,20 +3,23 @@
 1. One pass makes each document's shingle set, its size and 128-bit digest (equal sets are one node), and two sketches over all
    documents: `buckets` counters of shingles, and a bit map of places that one document alone has touched. A shingle at such a
    place is in no other document: it is the rarest there is. Both sketches have a fixed size, so they are broadcast; where the
-   data outgrow them, fewer shingles are known to be rare, and results stay the same.
+   data outgrow them, fewer shingles are known to be rare, and results stay the same. What tasks have counted is joined FAN tasks
+   at a time, level by level.
 2. A set's shingles are ordered by rarity: those of no other document, then by their bucket's count, then hash. The order is the
    same in all sets, common ones last. Two sets with Jaccard similarity >= t share a shingle among the first
    n - ceil(t * n) + 1 of each. Of those prefixes the shingles that other documents may have are dealt out by shingle;
-   shingles of a single node end there.
+   shingles of a single node end there. Shingles that the sketch holds for very common are dealt out in parts, by node.
    (Rows of a document that an earlier row of the task equals aren't dealt out again.)
 3. Nodes that share a prefix shingle are candidates if sizes and positions allow the overlap (length and positional filters).
    Short runs give all their pairs. A long run is first tried along a chain in an order of its own by hash, CHAIN pairs a row.
 4. Candidates are verified once a pair: each partner's text goes to its leader's part, at most `block` partners a part; before
-   the exact intersection of the sets, the numbers of their shingles in each of CLASSES classes bound the overlap (suffix filter).
+   the exact intersection of the sets, the suffix filter bounds the overlap: a set's parity is, for each of CLASSES classes, whether
+   it has an odd number of shingles there, so two sets differ in at least as many shingles as their parities do in classes.
    Texts are fetched for candidates only: a Bloom filter of their ids keeps the others out of the shuffle.
-5. Linked nodes get component labels. In long runs only pairs between components that the suffix filter lets by are left, so a large group of near
-   copies costs about its size, not its square (runs of over RUN rows are dealt out in parts, by the rows of the main component); what they add joins the links for the final components. No link between
-   components is skipped: every pair that passes the filters is verified or already in one component.
+5. Linked nodes get component labels. In long runs only pairs between components that all filters let by are left, so a large
+   group of near copies costs about its size, not its square (runs of over RUN rows are dealt out in parts, by the rows of the
+   main component; rows that no size in the run suits stay out). What they add joins the links for the final components. No link
+   between components is skipped: every pair that passes the filters is verified or already in one component.
 
 Documents of null or empty text, or without words, have no shingles and link with nothing. Rows of a null id link with nothing.
 Rows that share an id but not the text are told apart by digest. Repeated rows and equal sets are one node whatever their number.
@@ -33,6 +36,7 @@ from itertools import pairwise
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,7 +44,7 @@ from hustings.llm import bloom
 from hustings.llm.batches import pieces
 from hustings.llm.components import components
 from hustings.llm.shingles import forget, mixed, shingle_set
-from hustings.workers import importable, written
+from hustings.workers import importable, temporary, written
 
 K, PERCENT = 4, 85
 #: Counters of the sketch (a power of two) and counters a block of it; pairs of runs up to SHORT are all tried;
@@ -48,8 +52,10 @@ K, PERCENT = 4, 85
 BUCKETS, SLICE, SHORT, CHAIN, BLOCK, RUN = 1 << 20, 1 << 14, 8, 4, 256, 512
 #: Places of the bit map (16 MB), and of a block of it.
 PLACES, MAP_BLOCK = 1 << 27, 1 << 20
-#: Classes of shingles that the suffix filter counts (a power of two), and bits of the filter of ids (4 MB).
-CLASSES, ID_BITS = 64, 1 << 25
+#: Classes of shingles of the suffix filter (a power of two), and bits of the filter of ids (4 MB).
+CLASSES, ID_BITS = 512, 1 << 25
+#: Tasks whose sketches are joined at once; a shingle is very common if its counter is over HEAVY and over SPREAD times the mean one.
+FAN, HEAVY, SPREAD = 32, 1024, 8
 
 
 def least_overlap(n: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
@@ -66,15 +72,22 @@ def _digest(shingles: np.ndarray) -> tuple[int, int]:
     return int.from_bytes(b[:8], "little", signed=True), int.from_bytes(b[8:], "little", signed=True)
 
 
-def _kinds(shingles: np.ndarray) -> np.ndarray:
-    """How many shingles there are in each class."""
-    return np.bincount((shingles >> np.uint64(64 - (CLASSES.bit_length() - 1))).astype(np.int64), minlength=CLASSES)
+def _parity(shingles: np.ndarray) -> np.ndarray:
+    """Whether there is an odd number of shingles in each class, as bits."""
+    odd = np.bincount((shingles >> np.uint64(64 - (CLASSES.bit_length() - 1))).astype(np.int64), minlength=CLASSES) & 1
+    return np.packbits(odd.astype(bool)).view(np.uint64)
+
+
+def _near_enough(parity: np.ndarray, others: np.ndarray, n, m, percent: int) -> np.ndarray:
+    """Suffix filter: sets that share enough differ in at most n + m - 2 * least overlap shingles."""
+    return np.bitwise_count(parity ^ others).sum(-1, dtype=np.int64) <= n + m - 2 * least_overlap(n, m, percent)
 
 
 def _measure(k: int, buckets: int):
     shift = np.uint64(64 - (buckets.bit_length() - 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get().partitionId()
         sketch = np.zeros(buckets, np.uint32)
         once, twice = np.zeros(PLACES // 8, np.uint8), np.zeros(PLACES // 8, np.uint8)
         for part in pieces(batches):
@@ -86,15 +99,15 @@ def _measure(k: int, buckets: int):
                 np.bitwise_or.at(twice, at, once[at] & bit)
                 np.bitwise_or.at(once, at, bit)
             keys = [_digest(s) if len(s) else (None, None) for s in sets]
-            yield _rows([part.column(0).to_pylist(), [len(s) for s in sets], [a for a, _ in keys], [b for _, b in keys], [_kinds(s).astype("<u4").tobytes() if len(s) else None for s in sets], *[[None] * len(sets)] * 3])
+            yield _rows([part.column(0).to_pylist(), [len(s) for s in sets], [a for a, _ in keys], [b for _, b in keys], [_parity(s).tobytes() if len(s) else None for s in sets], *[[None] * len(sets)] * 4])
         forget()
         for at in range(0, buckets, SLICE):
             if sketch[at : at + SLICE].any():
-                yield _rows([[None], [None], [None], [None], [None], [at], [sketch[at : at + SLICE].tobytes()], [None]])
+                yield _rows([*[[None]] * 5, [at], [task], [zlib.compress(sketch[at : at + SLICE].tobytes(), 1)], [None]])
         for at in range(0, PLACES // 8, MAP_BLOCK // 8):
             block = slice(at, at + MAP_BLOCK // 8)
             if once[block].any():
-                yield _rows([[None], [None], [None], [None], [None], [-1 - at], [zlib.compress(once[block].tobytes(), 1)], [zlib.compress(twice[block].tobytes(), 1)]])
+                yield _rows([*[[None]] * 5, [-1 - at], [task], [zlib.compress(once[block].tobytes(), 1)], [zlib.compress(twice[block].tobytes(), 1)]])
 
     return run
 
@@ -105,17 +118,8 @@ def _place(shingles: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return place >> 3, np.uint8(1) << (place & 7).astype(np.uint8)
 
 
-def _alone(pdf: pd.DataFrame) -> pd.DataFrame:
-    """A block of the map: places that exactly one document touches."""
-    once, twice = np.zeros(MAP_BLOCK // 8, np.uint8), np.zeros(MAP_BLOCK // 8, np.uint8)
-    for a, b in zip(pdf["counts"], pdf["more"], strict=True):
-        a, b = (np.frombuffer(zlib.decompress(x), np.uint8) for x in (a, b))
-        twice |= b | (once & a)
-        once |= a
-    return pd.DataFrame({"at": [pdf["at"].iloc[0]], "counts": [(once & ~twice).tobytes()]})
-
-
-MEASURED = "doc_id long, n long, hi long, lo long, kinds binary, at long, counts binary, more binary"
+MEASURED = "doc_id long, n long, hi long, lo long, parity binary, at long, part long, counts binary, more binary"
+SKETCHED = "at long, part long, counts binary, more binary"
 
 
 def _rows(columns: list[list], schema: str = MEASURED) -> pa.RecordBatch:
@@ -123,19 +127,48 @@ def _rows(columns: list[list], schema: str = MEASURED) -> pa.RecordBatch:
     return pa.record_batch([pa.array(c, {"long": pa.int64(), "binary": pa.binary(), "string": pa.string()}[t]) for c, (_, t) in zip(columns, fields, strict=True)], names=[f for f, _ in fields])
 
 
-def _added(pdf: pd.DataFrame) -> pd.DataFrame:
-    total = sum(np.frombuffer(b, np.uint32).astype(np.uint64) for b in pdf["counts"])
-    return pd.DataFrame({"at": [pdf["at"].iloc[0]], "counts": [np.minimum(total, 2**32 - 1).astype(np.uint32).tobytes()]})
+def _joined(pdf: pd.DataFrame) -> pd.DataFrame:
+    """One block of the sketches of several tasks: counters are added (at >= 0), places touched once and more often are told apart."""
+    inflated = lambda column, kind: (np.frombuffer(zlib.decompress(x), kind) for x in pdf[column])
+    packed = lambda x: [zlib.compress(x.tobytes(), 1)]
+    first = pdf[["at", "part"]].head(1).reset_index(drop=True)
+    if first["at"][0] >= 0:
+        total = sum(c.astype(np.uint64) for c in inflated("counts", np.uint32))
+        return first.assign(counts=packed(np.minimum(total, 2**32 - 1).astype(np.uint32)), more=None)
+    once, twice = np.zeros(MAP_BLOCK // 8, np.uint8), np.zeros(MAP_BLOCK // 8, np.uint8)
+    for a, b in zip(inflated("counts", np.uint8), inflated("more", np.uint8), strict=True):
+        twice |= b | (once & a)
+        once |= a
+    return first.assign(counts=packed(once), more=packed(twice))
+
+
+def _sketches(blocks: DataFrame, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The counters, and the bits of places that one document alone touches; of fixed size in all."""
+    tasks = blocks.agg(F.max("part")).first()[0] or 0
+    while True:
+        blocks = blocks.withColumn("part", F.floor(F.col("part") / FAN)).groupBy("at", "part").applyInPandas(_joined, SKETCHED)
+        tasks //= FAN
+        if not tasks:
+            break
+    counts, alone = np.zeros(buckets, np.uint32), np.zeros(PLACES // 8, np.uint8)
+    for r in blocks.toLocalIterator():  # 4 * buckets + PLACES / 4 bytes in all
+        got = zlib.decompress(r["counts"])
+        if r["at"] >= 0:
+            counts[r["at"] : r["at"] + SLICE] = np.frombuffer(got, np.uint32)
+        else:
+            alone[-1 - r["at"] : -1 - r["at"] + MAP_BLOCK // 8] = np.frombuffer(got, np.uint8) & ~np.frombuffer(zlib.decompress(r["more"]), np.uint8)
+    return counts, alone
 
 
 def _prefixes(k: int, percent: int, counts, alone, buckets: int):
     shift = np.uint64(64 - (buckets.bit_length() - 1))
+    heavy = max(HEAVY, SPREAD * int(counts.value.mean()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
         sketch = counts.value
         for part in pieces(batches):
-            columns: list[list[np.ndarray]] = [[], [], [], [], []]
+            columns: list[list[np.ndarray]] = [[] for _ in DEALT.split(", ")]
             for text in part.column(1).to_pylist():
                 s = shingle_set(text, k)
                 key = _digest(s) if len(s) else None
@@ -150,17 +183,20 @@ def _prefixes(k: int, percent: int, counts, alone, buckets: int):
                 rare = (alone.value[at] & bit) > 0
                 order = np.argsort(np.where(rare, 0, sketch[(s >> shift).astype(np.int64)]), kind="stable")[:p]  # s ascends: ties by hash
                 pos = np.flatnonzero(~rare[order])
-                m = len(pos)
-                for c, x in zip(columns, (s[order[pos]].view(np.int64), np.full(m, n), pos, np.full(m, key[0]), np.full(m, key[1])), strict=True):
+                m, token = len(pos), s[order[pos]]
+                parts = sketch[(token >> shift).astype(np.int64)] // heavy + 1
+                deal = np.where(parts > 1, mixed(token ^ mixed((key[0] % parts.astype(np.int64)).astype(np.uint64) + np.uint64(1))), token)
+                for c, x in zip(columns, (deal.view(np.int64), token.view(np.int64), np.full(m, n), pos, np.full(m, key[0]), np.full(m, key[1])), strict=True):
                     c.append(x)
             if columns[0]:
-                yield pa.record_batch([pa.array(np.concatenate(c)) for c in columns], names=["token", "n", "pos", "hi", "lo"])
+                yield pa.record_batch([pa.array(np.concatenate(c)) for c in columns], names=[f.split()[0] for f in DEALT.split(", ")])
         forget()
 
     return run
 
 
 PREFIX = "token long, n long, pos long, hi long, lo long"
+DEALT = f"deal long, {PREFIX}"  # deal is the token, or names one part of a very common one
 
 
 def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[dict[str, np.ndarray]]:
@@ -189,18 +225,19 @@ def _runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[dict[str, np.
 
 def _columns(tables: list[pa.Table]) -> dict[str, np.ndarray]:
     t = pa.concat_tables(tables)
-    return {c: t.column(c).to_numpy() if t.schema.field(c).type != pa.binary() else np.frombuffer(b"".join(t.column(c).to_pylist()), "<u4").reshape(t.num_rows, -1) for c in t.column_names}
+    return {c: t.column(c).to_numpy() if t.schema.field(c).type != pa.binary() else np.frombuffer(b"".join(t.column(c).to_pylist()), np.uint64).reshape(t.num_rows, -1) for c in t.column_names}
 
 
 def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of rows sorted by (token, hi, lo): without repeats, and only tokens of more than one node."""
-    for c in _runs(batches, "token"):
-        new = np.ones(len(c["token"]), bool)
-        new[1:] = (c["token"][1:] != c["token"][:-1]) | (c["hi"][1:] != c["hi"][:-1]) | (c["lo"][1:] != c["lo"][:-1])
+    """Of rows sorted by (deal, token, hi, lo): without repeats, and only tokens of more than one node or dealt out in parts."""
+    for c in _runs(batches, "deal"):
+        new = np.ones(len(c["deal"]), bool)
+        new[1:] = np.logical_or.reduce([c[k][1:] != c[k][:-1] for k in ("deal", "token", "hi", "lo")])
         c = {k: v[new] for k, v in c.items()}
-        starts = np.flatnonzero(np.append(True, c["token"][1:] != c["token"][:-1]))
-        size = np.diff(np.append(starts, len(c["token"])))
-        keep = np.repeat(size > 1, size)
+        starts = np.flatnonzero(np.append(True, (c["deal"][1:] != c["deal"][:-1]) | (c["token"][1:] != c["token"][:-1])))
+        size = np.diff(np.append(starts, len(c["deal"])))
+        deal = c.pop("deal")
+        keep = np.repeat(size > 1, size) | (deal != c["token"])
         if keep.any():
             yield pa.record_batch([pa.array(v[keep]) for v in c.values()], names=list(c))
 
@@ -238,7 +275,7 @@ def _first_pairs(percent: int):
 
 
 def _later_pairs(percent: int):
-    """Between components, in runs longer than SHORT; rows have label and the counts of classes."""
+    """Between components, in runs longer than SHORT; rows have label and parity."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in _runs(batches, "token"):
@@ -247,7 +284,7 @@ def _later_pairs(percent: int):
                 names, own = np.unique(c["label"][a:b], return_inverse=True)
                 if len(names) < 2:
                     continue
-                doc, n, pos, kinds = (c[k][a:b] for k in ("doc", "n", "pos", "kinds"))
+                doc, n, pos, parity = (c[k][a:b] for k in ("doc", "n", "pos", "parity"))
                 small = np.flatnonzero(own != np.bincount(own).argmax())
                 rank = np.full(b - a, -1)
                 rank[small] = np.arange(len(small))
@@ -255,7 +292,7 @@ def _later_pairs(percent: int):
                 for k, i in enumerate(small):
                     j = np.flatnonzero((own != own[i]) & (rank < k))  # each pair once
                     j = j[_allowed(n[i], pos[i], n[j], pos[j], percent)]
-                    j = j[np.minimum(kinds[i], kinds[j]).sum(1) >= least_overlap(n[i], n[j], percent)]  # suffix filter
+                    j = j[_near_enough(parity[i], parity[j], n[i], n[j], percent)]
                     pairs.append((np.full(len(j), doc[i]), doc[j]))
                     held += len(j)
                     if held > 1 << 20:
@@ -270,19 +307,17 @@ def _verified(k: int, percent: int):
     """Rows sorted by (a, salt, b null first): the leader's text, then its partners'."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lead, key, kinds = None, None, None
+        lead, key, parity = None, None, None
         for part in pieces(batches, 6):
             found = []
             for a, salt, b, n, hi, lo, text in zip(*(part.column(i).to_pylist() for i in range(7)), strict=True):
                 s = shingle_set(text, k)
                 if len(s) != n or _digest(s) != (hi, lo):
                     continue  # another row with the same id
-                kind = _kinds(s)
                 if b is None:
-                    lead, key, kinds = s, (a, salt), kind
-                elif key == (a, salt):
-                    need = int(least_overlap(len(lead), n, percent))
-                    if np.minimum(kinds, kind).sum() >= need and len(np.intersect1d(lead, s, assume_unique=True)) >= need:
+                    lead, key, parity = s, (a, salt), _parity(s)
+                elif key == (a, salt) and _near_enough(parity, _parity(s), len(lead), n, percent):
+                    if len(np.intersect1d(lead, s, assume_unique=True)) >= least_overlap(len(lead), n, percent):
                         found.append((a, b))
             if found:
                 yield pa.record_batch([pa.array([x[0] for x in found]), pa.array([x[1] for x in found])], names=["a", "b"])
@@ -306,21 +341,22 @@ def link(docs: DataFrame, k: int = K, percent: int = PERCENT, buckets: int = BUC
     """One row per document: doc_id, n_shingles, component_id."""
     spark = docs.sparkSession
     importable(spark)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    with temporary(spark) as keep:
+        return keep(written(_linked(rows, k, percent, buckets), "linked"))
+
+
+def _linked(rows: DataFrame, k: int, percent: int, buckets: int) -> DataFrame:
+    """The result, from intermediate tables that it still needs."""
+    spark = rows.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     measured = written(rows.mapInArrow(_measure(k, buckets), MEASURED), "shingle-counts")
-    found = measured.filter("at IS NULL").select("doc_id", "n", "hi", "lo", "kinds")
-    sketch = np.zeros(buckets, np.uint32)
-    for r in measured.filter("at >= 0").select("at", "counts").groupBy("at").applyInPandas(_added, "at long, counts binary").toLocalIterator():  # 4 * buckets bytes in all
-        sketch[r["at"] : r["at"] + SLICE] = np.frombuffer(r["counts"], np.uint32)
-    single = np.zeros(PLACES // 8, np.uint8)
-    for r in measured.filter("at < 0").select("at", "counts", "more").groupBy("at").applyInPandas(_alone, "at long, counts binary").toLocalIterator():  # PLACES / 8 bytes in all
-        single[-1 - r["at"] : -1 - r["at"] + MAP_BLOCK // 8] = np.frombuffer(r["counts"], np.uint8)
-    counts, alone = spark.sparkContext.broadcast(sketch), spark.sparkContext.broadcast(single)
-
-    nodes = written(found.filter("hi IS NOT NULL AND doc_id IS NOT NULL").groupBy("hi", "lo").agg(F.min("doc_id").alias("doc"), F.max("n").alias("n"), F.max("kinds").alias("kinds")), "nodes")
-    prefixes = rows.mapInArrow(_prefixes(k, percent, counts, alone, buckets), PREFIX)
-    shared = written(prefixes.repartition(parts, "token").sortWithinPartitions("token", "hi", "lo").mapInArrow(_shared, PREFIX), "shared")
+    found = measured.filter("at IS NULL").select("doc_id", "n", "hi", "lo", "parity")
+    counts, alone = map(spark.sparkContext.broadcast, _sketches(measured.filter("at IS NOT NULL").select("at", "part", "counts", "more"), buckets))
+
+    nodes = written(found.filter("hi IS NOT NULL AND doc_id IS NOT NULL").groupBy("hi", "lo").agg(F.min("doc_id").alias("doc"), F.max("n").alias("n"), F.max("parity").alias("parity")), "nodes")
+    prefixes = rows.mapInArrow(_prefixes(k, percent, counts, alone, buckets), DEALT)
+    shared = written(prefixes.repartition(parts, "deal").sortWithinPartitions("deal", "token", "hi", "lo").mapInArrow(_shared, PREFIX), "shared")
     tokens = written(shared.join(nodes.select("hi", "lo", "doc"), ["hi", "lo"]).select("token", "doc", "n", "pos"), "tokens")
     wanted = written(nodes.join(tokens.select("doc").distinct(), "doc", "left_semi"), "wanted")
     near = bloom.only(rows, "doc_id", bloom.build(wanted, "doc", ID_BITS))
@@ -328,18 +364,25 @@ def link(docs: DataFrame, k: int = K, percent: int = PERCENT, buckets: int = BUC
 
     dealt = lambda t: t.repartition(parts, "token").sortWithinPartitions("token")
     split = lambda token, part: F.xxhash64(token, part)  # noqa: E731  a part of a run; two that fell together would only add candidates
-    hot = written(tokens.groupBy("token").agg(F.count("*").alias("rows")).filter(F.col("rows") > SHORT), "runs").withColumn("split", F.ceil(F.col("rows") / RUN).cast("int"))
+    runs = tokens.groupBy("token").agg(F.count("*").alias("rows"), F.min("n").alias("least"), F.max("n").alias("most")).filter(F.col("rows") > SHORT)
+    hot = written(runs, "runs").withColumn("split", F.ceil(F.col("rows") / RUN).cast("int"))
     salted = tokens.join(hot.filter("split > 1").select("token", "split"), "token", "left").withColumn("token", F.when(F.col("split").isNull(), F.col("token")).otherwise(split("token", F.pmod(F.xxhash64("doc"), F.col("split")))))
     first = written(dealt(salted.drop("split")).mapInArrow(_first_pairs(percent), "a long, b long").distinct(), "pairs")
     links = written(_verify(first, texts, k, percent), "links")
     labels = written(components(links), "labels")
-    rest = tokens.join(hot.select("token", "split"), "token").join(labels.withColumnRenamed("node", "doc"), "doc", "left").withColumn("label", F.coalesce("component", "doc")).drop("component")
+
+    smallest = F.greatest("least", F.ceil(percent * F.col("n") / 100))  # the partner in the run that asks least of a row
+    suits = (smallest <= F.col("most")) & (F.col("n") - F.col("pos") >= F.ceil(percent * (F.col("n") + smallest) / (100 + percent)))
+    rest = tokens.join(hot.select("token", "split", "least", "most"), "token").filter(suits).select("token", "split", "doc", "n", "pos")
+    rest = rest.join(labels.withColumnRenamed("node", "doc"), "doc", "left").join(wanted.select("doc", "parity"), "doc")
+    # written before it is counted, so that rows of a common token are counted where they lie and not by token
+    rest = written(rest.withColumn("label", F.coalesce("component", "doc")).drop("component"), "later")
     most = rest.groupBy("token", "label").agg(F.count("*").alias("rows")).groupBy("token").agg(F.max_by("label", F.struct("rows", "label")).alias("main"), F.count("*").alias("labels"))
-    rest = written(rest.join(most.filter("labels > 1").select("token", "main"), "token").join(wanted.select("doc", "kinds"), "doc"), "later")
+    rest = rest.join(written(most.filter("labels > 1").select("token", "main"), "mains"), "token")
     # of a long run, rows of the main component lie in one part each, the others in every part: all pairs between components still meet
     every = F.when(F.col("split") == 1, F.array("token")).when(F.col("label") == F.col("main"), F.array(split("token", F.pmod(F.xxhash64("doc"), F.col("split")))))
     every = every.otherwise(F.transform(F.sequence(F.lit(0), F.col("split") - 1), lambda i: split("token", i.cast("long"))))
-    rest = rest.select(F.explode(every).alias("token"), "doc", "n", "pos", "label", "kinds")
+    rest = rest.select(F.explode(every).alias("token"), "doc", "n", "pos", "label", "parity")
     later = dealt(rest).mapInArrow(_later_pairs(percent), "a long, b long").distinct().join(first, ["a", "b"], "left_anti")
     more = written(_verify(written(later, "pairs"), texts, k, percent), "links")
     joined = components(links.unionByName(more)) if more.take(1) else labels

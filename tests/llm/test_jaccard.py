@@ -53,8 +53,9 @@ def corpus():
 
 @pytest.mark.parametrize("k,percent,buckets", [(4, 85, 1 << 14), (5, 80, 1 << 14), (4, 85, 1 << 20)])
 def test_links(spark, k, percent, buckets, monkeypatch):
-    if buckets == 1 << 20:
-        monkeypatch.setattr(jaccard_join, "RUN", 16)  # the hot group's runs are dealt out in parts
+    if buckets == 1 << 20:  # the hot group's shingles and runs are dealt out in parts, sketches joined in levels
+        for name, value in (("RUN", 16), ("HEAVY", 8), ("SPREAD", 0), ("FAN", 2)):
+            monkeypatch.setattr(jaccard_join, name, value)
     rows = corpus()
     docs = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, token string, n int")
     got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.link(docs, k, percent, buckets).collect())
@@ -64,6 +65,41 @@ def test_links(spark, k, percent, buckets, monkeypatch):
         assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(i for i, _, c in got if i == c)
 
 
+def test_many_small_groups_share_a_run(spark):
+    """Far copies of one text: nearly all hold its shingles, few are near enough to another; pairs are few all the same."""
+    from hustings.workers import temporary
+
+    base = [f"b{i}" for i in range(150)]
+    rows = []
+    for i in range(600):
+        words = list(base)
+        for at in random.sample(range(150), random.choice((1, 4, 5, 6))):
+            words[at] = f"u{i}x{at}"
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    later = jaccard_join._later_pairs
+
+    def spied(percent):
+        run = later(percent)
+
+        def counting(batches):
+            for b in run(batches):
+                counter.add(b.num_rows)
+                yield b
+
+        return counting
+
+    counter = spark.sparkContext.accumulator(0)
+    jaccard_join._later_pairs = spied
+    try:
+        with temporary(spark):
+            got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.link(docs).collect())
+    finally:
+        jaccard_join._later_pairs = later
+    assert got == brute(rows, 4, 85) and len({c for _, _, c in got}) > 200
+    assert counter.value < 5 * len(rows), counter.value
+
+
 def test_odd_rows(spark):
     docs = spark.createDataFrame([(None, "a b c d"), (5, "a b c d"), (5, "p q r s"), (7, "p q r s"), (5, "a b c d"), (9, "a B c D"), (None, None)], "doc_id long, text string")
     got = sorted((r.doc_id or -1, r.n_shingles, r.component_id or -1) for r in jaccard_join.link(docs, buckets=1 << 14).collect())
