@@ -26,11 +26,26 @@ def brute(rows, threshold=0.9):
             if ok[i] and ok[j] and len(u[i]) == len(u[j]) and u[i] @ u[j] >= threshold:
                 links[i] += 1
                 links[j] += 1
-                a, b = root(i), root(j)
-                if a != b:
-                    a, b = (a, b) if rows[a][0] < rows[b][0] else (b, a)
-                    label[b] = a
-    return sorted((r[0], links[i], rows[root(i)][0]) for i, r in enumerate(rows))
+                label[root(i)] = root(j)
+    least = {}
+    for i, (name, _) in enumerate(rows):
+        if name is not None:
+            least[root(i)] = min(name, least.get(root(i), name))
+    return sorted((no_null(r[0]), links[i], no_null(least.get(root(i)))) for i, r in enumerate(rows))
+
+
+def no_null(x):
+    return -1 if x is None else x
+
+
+def test_repeated_and_null_ids(spark):
+    rows = [(5, [1.0, 0.0]), (5, [0.0, 1.0]), (7, [1.0, 0.01]), (None, [1.0, 0.0]), (9, [1.0, 0.0]), (None, None), (None, [-1.0, 0.0]), (None, [-1.0, 0.01]), (3, [0.01, 1.0]), (3, [0.01, 1.0])]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((no_null(r.vec_id), r.n_links, no_null(r.component_id)) for r in got) == brute(rows)
+    assert (5, 2, 3) in [(r.vec_id, r.n_links, r.component_id) for r in got] and all(r.kept == (r.vec_id == r.component_id) for r in got)
+    mixed = [(random.choice([None, 1, 2, 3]), [float(x) for x in rng.integers(-2, 3, 3)]) for _ in range(120)]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(mixed, "vec_id long, embedding array<double>"), tile=16).collect()
+    assert sorted((no_null(r.vec_id), r.n_links, no_null(r.component_id)) for r in got) == brute(mixed)
 
 
 def test_near_duplicates(spark):
