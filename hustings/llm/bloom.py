@@ -53,14 +53,14 @@ def build(keys: DataFrame, column: str, bits: int):
     return keys.sparkSession.sparkContext.broadcast(table)
 
 
-def only(rows: DataFrame, column: str, table) -> DataFrame:
-    """The rows whose value in a long column the filter may hold; null ones go."""
+def only(rows: DataFrame, column: str, table, held: bool = True) -> DataFrame:
+    """The rows whose value in a long column the filter may hold (or, not held, surely doesn't); null ones go."""
     at = rows.columns.index(column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = batch.column(at)
             fine = holds(table.value, keys.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64))
-            yield batch.filter(pa.array(fine & keys.is_valid().to_numpy(zero_copy_only=False)))
+            yield batch.filter(pa.array((fine == held) & keys.is_valid().to_numpy(zero_copy_only=False)))
 
     return rows.mapInArrow(run, rows.schema)

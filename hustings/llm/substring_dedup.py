@@ -4,11 +4,14 @@
    window are a text's anchors. Equal windows have equal anchors at equal places. One shuffle of (anchor, id) finds the anchors
    of more than one id; a Bloom filter of fixed size holds them for the next pass (a false hit costs a row, nothing is missed).
 2. Contexts. Around each such anchor lie the words of the windows it is the least of. A row for each document and distinct
-   context goes to the shard of its anchor; the words go with the first such row of a task only.
-3. A shard's distinct contexts, separated, become an FM-index (fm_index); the contexts are streamed through it by backward
-   search, and each place that matches `window` words learns the least id of all documents that have those words.
-   Word numbers are given to whole words, so matches are exact. Intervals of words to remove go back by id.
-   (Rows that share an id are told apart by a hash of the text.)
+   context of it is written, with the words in the first such row of a task only. Aggregated, there is one row for each distinct
+   context, with the least and the largest id that have it.
+3. Distinct contexts go to the shard of their anchor, become an FM-index there (fm_index), separated, and are streamed through it
+   by backward search; each place that matches `window` words learns the least id of all documents that have those words.
+   Word numbers are given to whole words, so matches are exact. An anchor of more than CROWD distinct contexts (at the edges of a
+   passage that very many documents share) is split: its contexts are cut into their windows, those are aggregated, and what
+   several ids have is dealt out by window. A shard so holds a bounded number of contexts of an anchor whatever the number of copies.
+   What was found is joined back to the rows of documents. (Rows that share an id are told apart by a hash of the text.)
 4. Documents without an interval (again by a Bloom filter of fixed size) are finished where they are read; the others meet
    their intervals by a shuffle on the id.
 
@@ -29,13 +32,13 @@ from pyspark.sql import functions as F
 from hustings.llm import bloom
 from hustings.llm.batches import pieces
 from hustings.llm.fm_index import FMIndex
-from hustings.llm.jaccard_join import _runs
 from hustings.llm.shingles import ODD, mixed, word_hashes
-from hustings.workers import importable, written
+from hustings.workers import importable, temporary, written
 
 WINDOW, GRAM = 50, 8
-#: Bits of the filters (8 MB, 4 MB), words of a shard's index at least, contexts that are cut at once.
-ANCHOR_BITS, ID_BITS = 1 << 26, 1 << 25
+#: Bits of the filters (8 MB, 4 MB, 1 MB), distinct contexts of an anchor that is not split at most.
+ANCHOR_BITS, ID_BITS, CROWD_BITS, CROWD = 1 << 26, 1 << 25, 1 << 23, 512
+#: Words of a shard's index at least, contexts that are cut at once.
 SHARD_WORDS, AT_ONCE = 400_000, 20_000
 MORE = np.uint64(0xD6E8FEB86659FD93)
 
@@ -110,16 +113,8 @@ def _anchored(window: int):
     return run
 
 
-def _repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Anchors of more than one id, from rows sorted by (anchor, doc)."""
-    for c in _runs(batches, "anchor"):
-        a, d = c["anchor"], c["doc"]
-        starts = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
-        ends = np.append(starts[1:], len(a)) - 1
-        yield pa.record_batch([pa.array(a[starts][d[starts] != d[ends]])], names=["anchor"])
-
-
-CONTEXT = "anchor long, one long, two long, doc long, mark long, left long, at binary, words binary"
+CONTEXT = "anchor long, one long, two long, doc long, mark long, left int, at array<int>, words binary"
+COLUMNS = (*[pa.int64()] * 5, pa.int32(), pa.list_(pa.int32()), pa.binary())
 
 
 def _contexts(window: int, known):
@@ -165,60 +160,69 @@ def _contexts(window: int, known):
                         spelt = (q, part.column(1)[q].as_py().encode(errors="surrogatepass").split())
                     text = b" ".join(spelt[1][int(begin[k] - base[q]) : int(end[k] - base[q])])
                 at = (place[own] - base[q]).astype(np.int32)
-                out.append((*(np.array(key, np.uint64).view(np.int64).tolist()), int(ids[q]), marks[q], int(last[k]), at.tobytes(), text))
-            yield pa.record_batch([pa.array(c, pa.binary() if n > 5 else pa.int64()) for n, c in enumerate(zip(*out, strict=True))], names=[f.split()[0] for f in CONTEXT.split(", ")])
+                out.append((*(np.array(key, np.uint64).view(np.int64).tolist()), int(ids[q]), marks[q], int(last[k]), at, text))
+            yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), COLUMNS, strict=True)], names=[f.split()[0] for f in CONTEXT.split(", ")])
 
     return run
 
 
-INTERVAL = "doc long, mark long, start int, stop int"
+WINDOWS = "w1 long, w2 long, anchor long, one long, two long, start int, newest long, oldest long, words binary"
+
+
+def _windows(window: int, crowded):
+    """The windows of contexts (anchor, one, two, oldest, newest, words) of split anchors, by two hashes; words once a task."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sent: set[tuple[int, int]] = set()
+        for part in pieces(batches, 5):
+            part = part.filter(pa.array(bloom.holds(crowded.value, part.column(0).to_numpy())))
+            if not part.num_rows:
+                continue
+            spelt = [t.split(b" ") for t in part.column(5).to_pylist()]
+            hashes = [word_hashes(t.decode(errors="surrogatepass")) for t in part.column(5).to_pylist()]
+            sizes = np.array([len(h) for h in hashes])
+            words, ends = np.concatenate(hashes), np.cumsum(sizes)
+            w1, w2 = _hashed(words, window), _hashed(words, window, MORE)
+            at = np.arange(len(w1))
+            row = np.searchsorted(ends, at, "right")
+            at = at[at + window <= ends[row]]
+            row = row[at]
+            start = at - (ends - sizes)[row]
+            text: list[bytes | None] = []
+            for a, b, r, k in zip(w1[at].tolist(), w2[at].tolist(), row.tolist(), start.tolist(), strict=True):
+                new = (a, b) not in sent
+                if new:
+                    if len(sent) >= 1_000_000:
+                        sent.clear()
+                    sent.add((a, b))
+                text.append(b" ".join(spelt[r][k : k + window]) if new else None)
+            of = lambda k: part.column(k).to_numpy()[row]  # noqa: B023, E731
+            columns = [w1[at].view(np.int64), w2[at].view(np.int64), of(0), of(1), of(2), start.astype(np.int32), of(4), of(3)]
+            yield pa.record_batch([*map(pa.array, columns), pa.array(text, pa.binary())], names=[f.split()[0] for f in WINDOWS.split(", ")])
 
-def _intervals(window: int, anchor, one, two, doc, mark, left, at, texts: list[bytes | None]) -> tuple[np.ndarray, ...] | None:
-    """Words to remove, of the rows of a shard sorted by (anchor, one, two): doc, mark, start, stop."""
-    new = np.append(True, (anchor[1:] != anchor[:-1]) | (one[1:] != one[:-1]) | (two[1:] != two[:-1]))
-    context, starts = np.cumsum(new) - 1, np.flatnonzero(new)
-    spelt: list[bytes] = [b""] * len(starts)
-    for k, t in zip(context.tolist(), texts, strict=True):
-        if t is not None:
-            spelt[k] = t
+    return run
+
+
+HIT = "anchor long, one long, two long, first int, last int, who long"
+
+
+def _hits(window: int, oldest: np.ndarray, newest: np.ndarray, texts: list[bytes]) -> tuple[np.ndarray, ...]:
+    """Of distinct contexts: row, first and last start (in words) of neighbouring windows, the least id with them; only if that isn't newest's own."""
     numbers: dict[bytes, int] = {}
-    flat = np.array([n for t in spelt for n in (*(numbers.setdefault(w, len(numbers) + 1) for w in t.split(b" ")), 0)], np.int64)
+    flat = np.array([n for t in texts for n in (*(numbers.setdefault(w, len(numbers) + 1) for w in t.split(b" ")), 0)], np.int64)
     ends = np.flatnonzero(flat == 0)
     begins = np.append(0, ends[:-1] + 1)
     index = FMIndex(flat, window)
-    oldest = np.minimum.reduceat(doc, starts)
     least = index.least_by_group(np.repeat(oldest, ends - begins + 1))
     length, group = index.matches(flat, ends, int((ends - begins).max()))
-    # offsets of the anchor in its windows: of each context, its places that start a window
     hit = np.flatnonzero((length >= window) & (group >= 0))
     of = np.searchsorted(ends, hit)
     who = least[group[hit]]
-    count = np.bincount(of, minlength=len(starts))
-    base = np.cumsum(count) - count
-    rows = np.flatnonzero(count[context])
-    n = count[context[rows]]
-    inside = np.repeat(base[context[rows]], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-    row = np.repeat(rows, n)
-    cut = who[inside] < doc[row]
-    row, start = row[cut], (hit - begins[of])[inside[cut]]  # words from the context's start to the window's
-    if not len(row):
-        return None
-    # neighbouring windows are one interval
-    fresh = np.append(True, (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1))
-    a = np.flatnonzero(fresh)
-    b = np.append(a[1:], len(row)) - 1
-    row, lo, hi = row[a], start[a], start[b] + window
-    out: list[tuple[int, int, int, int]] = []
-    for r, x, y in zip(row.tolist(), lo.tolist(), hi.tolist(), strict=True):
-        places = np.frombuffer(at[r], np.int32) - int(left[r])
-        if len(places) == 1:
-            out.append((doc[r], mark[r], places[0] + x, places[0] + y))
-        else:
-            s, e = places + x, places + y
-            gap = np.flatnonzero(np.append(True, s[1:] > e[:-1]))
-            out += [(doc[r], mark[r], p, q) for p, q in zip(s[gap].tolist(), e[np.append(gap[1:], len(s)) - 1].tolist(), strict=True)]
-    return tuple(np.array(c) for c in zip(*out, strict=True))
+    hit, of, who = (x[who < newest[of]] for x in (hit, of, who))
+    start = hit - begins[of]
+    fresh = np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (start[1:] != start[:-1] + 1) | (who[1:] != who[:-1]))[: len(hit)])
+    last = np.append(fresh[1:], len(hit)) - 1 if len(fresh) else fresh
+    return of[fresh], start[fresh], start[last], who[fresh]
 
 
 def _searched(window: int):
@@ -226,27 +230,26 @@ def _searched(window: int):
         held: list[pa.Table] = []
         size = 0
 
-        def shard() -> Iterator[pa.RecordBatch]:
-            t = pa.concat_tables(held)
-            c = {k: t.column(k).to_numpy() for k in ("anchor", "one", "two", "doc", "mark", "left")}
-            got = _intervals(window, *c.values(), t.column("at").to_pylist(), t.column("words").to_pylist())
-            if got is not None:
-                yield pa.record_batch([pa.array(x, pa.int64() if k < 2 else pa.int32()) for k, x in enumerate(got)], names=["doc", "mark", "start", "stop"])
+        def shard() -> pa.RecordBatch:
+            t = pa.concat_tables(held).combine_chunks()
+            row, first, last, who = _hits(window, t.column("oldest").to_numpy(), t.column("newest").to_numpy(), t.column("words").to_pylist())
+            keys = [pa.array(t.column(k).to_numpy()[row]) for k in ("anchor", "one", "two")]
+            return pa.record_batch([*keys, pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32)), pa.array(who)], names=[f.split()[0] for f in HIT.split(", ")])
 
         for table in _run_tables(batches):
-            a, d = table.column("anchor").to_numpy(), table.column("doc").to_numpy()
+            a, oldest, newest = (table.column(k).to_numpy() for k in ("anchor", "oldest", "newest"))
             starts = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
-            shared = np.repeat(np.minimum.reduceat(d, starts) != np.maximum.reduceat(d, starts), np.diff(np.append(starts, len(a))))
+            shared = np.repeat(np.minimum.reduceat(oldest, starts) != np.maximum.reduceat(newest, starts), np.diff(np.append(starts, len(a))))
             table = table.filter(pa.array(shared))
             if not table.num_rows:
                 continue
             held.append(table)
-            size += int(pa.compute.sum(pa.compute.binary_length(table.column("words"))).as_py() or 0) // 6
+            size += int(pa.compute.sum(pa.compute.binary_length(table.column("words"))).as_py()) // 6
             if size >= SHARD_WORDS:
-                yield from shard()
+                yield shard()
                 held, size = [], 0
         if held:
-            yield from shard()
+            yield shard()
 
     return run
 
@@ -313,18 +316,35 @@ def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _finished(list(zip(part.column(0).to_pylist(), part.column(1).to_pylist(), spans, strict=True)))
 
 
+def _cuts(rows: DataFrame, window: int) -> DataFrame:
+    """doc, mark, start, stop: words to remove, from start on and before stop."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    seen = rows.mapInArrow(_anchored(window), "anchor long, doc long").groupBy("anchor").agg(F.min("doc").alias("oldest"), F.max("doc").alias("newest"))
+    known = bloom.build(written(seen.filter("oldest < newest").select("anchor"), "anchors"), "anchor", ANCHOR_BITS)
+    contexts = written(rows.mapInArrow(_contexts(window, known), CONTEXT), "contexts")
+    merged = [F.min("oldest").alias("oldest"), F.max("newest").alias("newest"), F.first("words", ignorenulls=True).alias("words")]
+    key = ["anchor", "one", "two"]
+    distinct = written(contexts.withColumns({"oldest": F.col("doc"), "newest": F.col("doc")}).groupBy(*key).agg(*merged), "distinct-contexts")
+    crowded = bloom.build(distinct.groupBy("anchor").count().filter(F.col("count") > CROWD), "anchor", CROWD_BITS)
+    windows = written(distinct.mapInArrow(_windows(window, crowded), WINDOWS), "windows")
+    alike = windows.groupBy("w1", "w2").agg(*merged).filter("oldest < newest").select(F.col("w1").alias("anchor"), F.col("w1").alias("one"), F.col("w2").alias("two"), "oldest", "newest", "words")
+    shards = bloom.only(distinct, "anchor", crowded, held=False).unionByName(alike).repartition(parts, "anchor").sortWithinPartitions(*key)
+    hits = written(shards.mapInArrow(_searched(window), HIT), "hits")
+    of_windows = hits.select(F.col("one").alias("w1"), F.col("two").alias("w2"), "who")
+    of_split = windows.join(of_windows, ["w1", "w2"]).filter("who < newest").select(*key, F.col("start").alias("first"), F.col("start").alias("last"), "who")
+    found = contexts.select(*key, "doc", "mark", "left", "at").join(hits.unionByName(of_split), key).filter("who < doc")
+    placed = found.select("doc", "mark", F.explode(F.transform("at", lambda p: p - F.col("left"))).alias("begin"), "first", "last")
+    return placed.select("doc", "mark", (F.col("begin") + F.col("first")).alias("start"), (F.col("begin") + F.col("last") + window).alias("stop")).distinct()
+
+
 def remove_repeats(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per document: doc_id, kept (text), n_words, n_removed."""
     spark = docs.sparkSession
     importable(spark)
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).withColumn("mark", F.xxhash64("text"))
-    seen = rows.mapInArrow(_anchored(window), "anchor long, doc long")
-    repeated = written(seen.repartition(parts, "anchor").sortWithinPartitions("anchor", "doc").mapInArrow(_repeated, "anchor long"), "anchors")
-    known = bloom.build(repeated, "anchor", ANCHOR_BITS)
-    contexts = rows.mapInArrow(_contexts(window, known), CONTEXT).repartition(parts, "anchor").sortWithinPartitions("anchor", "one", "two")
-    intervals = written(contexts.mapInArrow(_searched(window), INTERVAL), "intervals")
+    with temporary(spark) as keep:
+        intervals = keep(written(_cuts(rows, window), "intervals"))
     touched = bloom.build(intervals.select("doc").distinct(), "doc", ID_BITS)
-    spans = intervals.distinct().groupBy("doc", "mark").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    spans = intervals.groupBy("doc", "mark").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
     met = bloom.only(rows, "doc_id", touched).join(spans.withColumnRenamed("doc", "doc_id"), ["doc_id", "mark"], "left").select("doc_id", "text", "spans")
     return rows.mapInArrow(_untouched(touched), FINISHED).unionByName(met.mapInArrow(_cut, FINISHED))

@@ -94,9 +94,9 @@ def corpus(window):
     return rows + [(None, texts[8]), (rows[9][0], texts[12]), rows[10]]
 
 
-@pytest.mark.parametrize("window,shard", [(50, 400_000), (12, 2_000)])
-def test_removal(spark, window, shard, monkeypatch):
-    monkeypatch.setattr(substring_dedup, "SHARD_WORDS", shard)
+@pytest.mark.parametrize("window,crowd", [(50, 512), (12, 3), (12, 0)])
+def test_removal(spark, window, crowd, monkeypatch):
+    monkeypatch.setattr(substring_dedup, "CROWD", crowd)  # anchors of more contexts are split by window
     rows = corpus(window)
     docs = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, kept string, start int")
     got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_words, r.n_removed, r.kept) for r in substring_dedup.remove_repeats(docs, window).collect())
