@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from hustings.llm import bloom
 from hustings.llm.batches import pieces
 from hustings.llm.components import components
-from hustings.llm.shingles import forget, mixed, shingle_set
+from hustings.llm.shingles import mixed, shingle_sets
 from hustings.workers import importable, temporary, written
 
 K, PERCENT = 4, 85
@@ -91,7 +91,7 @@ def _measure(k: int, buckets: int):
         sketch = np.zeros(buckets, np.uint32)
         once, twice = np.zeros(PLACES // 8, np.uint8), np.zeros(PLACES // 8, np.uint8)
         for part in pieces(batches):
-            sets = [shingle_set(t, k) for t in part.column(1).to_pylist()]
+            sets = shingle_sets(part.column(1).to_pylist(), k)
             if any(map(len, sets)):
                 sketch += np.bincount((np.concatenate(sets) >> shift).astype(np.int64), minlength=buckets).astype(np.uint32)
             for s in sets:
@@ -100,7 +100,6 @@ def _measure(k: int, buckets: int):
                 np.bitwise_or.at(once, at, bit)
             keys = [_digest(s) if len(s) else (None, None) for s in sets]
             yield _rows([part.column(0).to_pylist(), [len(s) for s in sets], [a for a, _ in keys], [b for _, b in keys], [_parity(s).tobytes() if len(s) else None for s in sets], *[[None] * len(sets)] * 4])
-        forget()
         for at in range(0, buckets, SLICE):
             if sketch[at : at + SLICE].any():
                 yield _rows([*[[None]] * 5, [at], [task], [zlib.compress(sketch[at : at + SLICE].tobytes(), 1)], [None]])
@@ -169,8 +168,7 @@ def _prefixes(k: int, percent: int, counts, alone, buckets: int):
         sketch = counts.value
         for part in pieces(batches):
             columns: list[list[np.ndarray]] = [[] for _ in DEALT.split(", ")]
-            for text in part.column(1).to_pylist():
-                s = shingle_set(text, k)
+            for s in shingle_sets(part.column(1).to_pylist(), k):
                 key = _digest(s) if len(s) else None
                 if key is None or key in seen:
                     continue
@@ -190,7 +188,6 @@ def _prefixes(k: int, percent: int, counts, alone, buckets: int):
                     c.append(x)
             if columns[0]:
                 yield pa.record_batch([pa.array(np.concatenate(c)) for c in columns], names=[f.split()[0] for f in DEALT.split(", ")])
-        forget()
 
     return run
 
@@ -310,8 +307,8 @@ def _verified(k: int, percent: int):
         lead, key, parity = None, None, None
         for part in pieces(batches, 6):
             found = []
-            for a, salt, b, n, hi, lo, text in zip(*(part.column(i).to_pylist() for i in range(7)), strict=True):
-                s = shingle_set(text, k)
+            sets = shingle_sets(part.column(6).to_pylist(), k)
+            for a, salt, b, n, hi, lo, s in zip(*(part.column(i).to_pylist() for i in range(6)), sets, strict=True):
                 if len(s) != n or _digest(s) != (hi, lo):
                     continue  # another row with the same id
                 if b is None:

@@ -1,60 +1,77 @@
-"""Words and word shingles of texts as 64-bit hashes."""
+"""Words and word shingles of texts as 64-bit hashes, many texts at once.
+
+A word's hash is a sum over its bytes of a random number of the byte times a power for its place, modulo 2**64, then mixed. Sums
+of all words come from one running sum over the bytes: differences between ends and starts, divided by the power of the start.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 import numpy as np
-import xxhash
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
-REMEMBERED = 500_000
 ODD = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes that are summed at once (a longer word is summed alone).
+STRETCH = 1 << 18
+
+
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A bijection of 64-bit values that spreads them evenly."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
-class _Known(dict):
-    def __missing__(self, word: bytes) -> int:
-        value = self[word] = xxhash.xxh64_intdigest(word)
-        return value
+SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
+VALUE = mixed(np.arange(1, 257, dtype=np.uint64) * ODD)
+BASE = np.uint64(0xD1342543DE82EF95)
+INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
 
 
-_known = _Known()
+def _powers(base: np.uint64, n: int) -> np.ndarray:
+    return np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, base, np.uint64)]))
 
 
-def forget() -> None:
-    """Free the words that a worker knows, at a task's end."""
-    global _known
-    _known = _Known()
+_power, _inverse = _powers(BASE, STRETCH), _powers(INVERSE, STRETCH)
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit values that spreads them evenly."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+def hashed_words(texts: Iterable[str | None], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+    r"""Hashes of the words [^\x20\x09-\x0D]+ of all texts, end to end, and how many each has; lower: A-Z first become a-z."""
+    raw = [(t or "").encode(errors="surrogatepass") for t in texts]
+    joined = b" ".join([*raw, b""])
+    text = np.frombuffer(joined.translate(LOWER) if lower else joined, np.uint8)
+    space = SPACE[text]
+    edge = np.flatnonzero(np.diff(space, prepend=True, append=True))
+    starts, ends = edge[::2], edge[1::2]
+    out = np.empty(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):
+        to = max(at + 1, int(np.searchsorted(ends, starts[at] + STRETCH, "right")))
+        begin, n = starts[at], int(ends[to - 1] - starts[at])
+        power, inverse = (_power, _inverse) if n <= STRETCH else (_powers(BASE, n), _powers(INVERSE, n))
+        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(VALUE[text[begin : begin + n]] * power[:n], dtype=np.uint64)])
+        out[at:to] = (sums[ends[at:to] - begin] - sums[starts[at:to] - begin]) * inverse[starts[at:to] - begin]
+        at = to
+    bounds = np.cumsum([0, *(len(r) + 1 for r in raw)])
+    return mixed(out), np.diff(np.searchsorted(starts, bounds))
 
 
-def word_hashes(text: str | None, lower: bool = False) -> np.ndarray:
-    r"""Hashes of the words [^\x20\x09-\x0D]+ of a text, in order; lower: A-Z first become a-z."""
-    global _known
-    if len(_known) > REMEMBERED:
-        _known = _Known()
-    raw = (text or "").encode(errors="surrogatepass")
-    words = (raw.translate(LOWER) if lower else raw).split()  # bytes split at exactly these six
-    return np.fromiter(map(_known.__getitem__, words), np.uint64, len(words))
-
-
-def shingle_set(text: str | None, k: int) -> np.ndarray:
-    """Ascending distinct hashes of the k-word shingles; of fewer words the whole sequence is one; no words, none."""
-    words = word_hashes(text, lower=True)
-    n = len(words)
-    if n == 0:
-        return words
-    if n < k:
-        out = np.uint64(n)
-        with np.errstate(over="ignore"):
-            for w in words:
-                out = mixed(np.array([out * ODD + w], np.uint64))[0]
-        return np.array([out], np.uint64)
-    acc = np.zeros(n - k + 1, np.uint64)
+def shingle_sets(texts: Iterable[str | None], k: int) -> list[np.ndarray]:
+    """Of each text, lower-cased, the ascending distinct hashes of its k-word shingles; of fewer words the whole sequence is one; no words, none."""
+    words, sizes = hashed_words(texts, lower=True)
+    ends = np.cumsum(sizes)
+    acc = np.zeros(max(0, len(words) - k + 1), np.uint64)
     for j in range(k):
-        acc = acc * ODD + words[j : n - k + 1 + j]
-    return np.unique(mixed(acc))
+        acc = acc * ODD + words[j : len(acc) + j]
+    acc = mixed(acc)
+    out = []
+    for n, b in zip(sizes.tolist(), ends.tolist(), strict=True):
+        if n >= k:
+            out.append(np.unique(acc[b - n : b - k + 1]))
+        else:
+            whole = np.full(min(n, 1), n, np.uint64)
+            for w in words[b - n : b]:
+                whole = mixed(whole * ODD + w)
+            out.append(whole)
+    return out
