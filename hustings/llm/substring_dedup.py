@@ -8,10 +8,10 @@
    context, with the least and the largest id that have it.
 3. Distinct contexts go to the shard of their anchor, become an FM-index there (fm_index), separated, and are streamed through it
    by backward search; each place that matches `window` words learns the least id of all documents that have those words.
-   Word numbers are given to whole words, so matches are exact. An anchor of more than CROWD distinct contexts (at the edges of a
-   passage that very many documents share) is split: its contexts are cut into their windows, those are aggregated, and what
-   several ids have is dealt out by window. A shard so holds a bounded number of contexts of an anchor whatever the number of copies.
-   What was found is joined back to the rows of documents. (Rows that share an id are told apart by a hash of the text.)
+   Word numbers are given to whole words, so matches are exact. Where very many documents share a passage, the anchors near its
+   edges have a context of its own in each of them. So the contexts of anchors with more than CROWD of them are first trimmed to
+   windows that more than one document may have (by a bit map of fixed size; a false hit costs a row) and aggregated again, which
+   leaves few. What was found is joined back to the rows of documents, which are told apart by a hash of the text if they share an id.
 4. Documents without an interval (again by a Bloom filter of fixed size) are finished where they are read; the others meet
    their intervals by a shuffle on the id.
 
@@ -26,18 +26,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from hustings.llm import bloom
 from hustings.llm.batches import pieces
 from hustings.llm.fm_index import FMIndex
-from hustings.llm.shingles import ODD, mixed, word_hashes
+from hustings.llm.shingles import ODD, hashed_words, mixed
 from hustings.workers import importable, temporary, written
 
 WINDOW, GRAM = 50, 8
-#: Bits of the filters (8 MB, 4 MB, 1 MB), distinct contexts of an anchor that is not split at most.
-ANCHOR_BITS, ID_BITS, CROWD_BITS, CROWD = 1 << 26, 1 << 25, 1 << 23, 512
+#: Bits of the filters and of the bit map (8 MB, 4 MB, 4 MB), distinct contexts of an anchor that are not trimmed at most.
+ANCHOR_BITS, ID_BITS, WINDOW_BITS, CROWD = 1 << 26, 1 << 25, 1 << 25, 512
 #: Words of a shard's index at least, contexts that are cut at once.
 SHARD_WORDS, AT_ONCE = 400_000, 20_000
 MORE = np.uint64(0xD6E8FEB86659FD93)
@@ -97,8 +98,8 @@ def anchors(words: np.ndarray, sizes: np.ndarray, window: int, gram: int = GRAM)
 def _texts(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Word hashes end to end, words of each row, ids (rows of a null id have no words)."""
     ids, texts = part.column(0).to_pylist(), part.column(1).to_pylist()
-    words = [word_hashes(t if i is not None else None) for i, t in zip(ids, texts, strict=True)]
-    return np.concatenate(words), np.array([len(w) for w in words]), np.array([i or 0 for i in ids], np.int64)
+    words, sizes = hashed_words(t if i is not None else None for i, t in zip(ids, texts, strict=True))
+    return words, sizes, np.array([i or 0 for i in ids], np.int64)
 
 
 def _anchored(window: int):
@@ -166,39 +167,49 @@ def _contexts(window: int, known):
     return run
 
 
-WINDOWS = "w1 long, w2 long, anchor long, one long, two long, start int, newest long, oldest long, words binary"
+TRIMMED = "anchor long, one long, two long, start int, t1 long, t2 long, oldest long, newest long, words binary"
 
 
-def _windows(window: int, crowded):
-    """The windows of contexts (anchor, one, two, oldest, newest, words) of split anchors, by two hashes; words once a task."""
+def _starts(part: pa.RecordBatch, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the windows of contexts (words in the last column): hash, row, first word."""
+    words, sizes = hashed_words(t.decode(errors="surrogatepass") for t in part.column(5).to_pylist())
+    ends = np.cumsum(sizes)
+    value = _hashed(words, window)
+    at = np.arange(len(value))
+    row = np.searchsorted(ends, at, "right")
+    real = at + window <= ends[row]
+    at, row = at[real], row[real]
+    return value[at], row, at - (ends - sizes)[row]
+
+
+def _touches(window: int):
+    """What a context's windows add to the bit map: those of several ids count twice."""
+
+    def run(part: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        value, row, _ = _starts(part, window)
+        return value, (part.column(3).to_numpy() < part.column(4).to_numpy())[row]
+
+    return run
+
+
+def _trimmed(window: int, often):
+    """Contexts (anchor, one, two, oldest, newest, words) cut down to stretches of windows that the bit map holds for repeated."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sent: set[tuple[int, int]] = set()
         for part in pieces(batches, 5):
-            part = part.filter(pa.array(bloom.holds(crowded.value, part.column(0).to_numpy())))
-            if not part.num_rows:
+            value, row, start = _starts(part, window)
+            keep = bloom.repeats(often.value, value)
+            row, start = row[keep], start[keep]
+            if not len(row):
                 continue
-            spelt = [t.split(b" ") for t in part.column(5).to_pylist()]
-            hashes = [word_hashes(t.decode(errors="surrogatepass")) for t in part.column(5).to_pylist()]
-            sizes = np.array([len(h) for h in hashes])
-            words, ends = np.concatenate(hashes), np.cumsum(sizes)
-            w1, w2 = _hashed(words, window), _hashed(words, window, MORE)
-            at = np.arange(len(w1))
-            row = np.searchsorted(ends, at, "right")
-            at = at[at + window <= ends[row]]
-            row = row[at]
-            start = at - (ends - sizes)[row]
-            text: list[bytes | None] = []
-            for a, b, r, k in zip(w1[at].tolist(), w2[at].tolist(), row.tolist(), start.tolist(), strict=True):
-                new = (a, b) not in sent
-                if new:
-                    if len(sent) >= 1_000_000:
-                        sent.clear()
-                    sent.add((a, b))
-                text.append(b" ".join(spelt[r][k : k + window]) if new else None)
-            of = lambda k: part.column(k).to_numpy()[row]  # noqa: B023, E731
-            columns = [w1[at].view(np.int64), w2[at].view(np.int64), of(0), of(1), of(2), start.astype(np.int32), of(4), of(3)]
-            yield pa.record_batch([*map(pa.array, columns), pa.array(text, pa.binary())], names=[f.split()[0] for f in WINDOWS.split(", ")])
+            first = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (start[1:] != start[:-1] + 1)))
+            last = np.append(first[1:], len(row)) - 1
+            spelt = {r: part.column(5)[r].as_py().split(b" ") for r in np.unique(row).tolist()}
+            texts = [b" ".join(spelt[r][a : b + window]) for r, a, b in zip(row[first].tolist(), start[first].tolist(), start[last].tolist(), strict=True)]
+            digests = [np.array([xxhash.xxh64_intdigest(t, seed) for t in texts], np.uint64).view(np.int64) for seed in (0, 1)]
+            anchor, one, two, oldest, newest = (part.column(k).to_numpy()[row[first]] for k in range(5))
+            columns = [anchor, one, two, start[first].astype(np.int32), *digests, oldest, newest]
+            yield pa.record_batch([*map(pa.array, columns), pa.array(texts, pa.binary())], names=[f.split()[0] for f in TRIMMED.split(", ")])
 
     return run
 
@@ -325,14 +336,15 @@ def _cuts(rows: DataFrame, window: int) -> DataFrame:
     merged = [F.min("oldest").alias("oldest"), F.max("newest").alias("newest"), F.first("words", ignorenulls=True).alias("words")]
     key = ["anchor", "one", "two"]
     distinct = written(contexts.withColumns({"oldest": F.col("doc"), "newest": F.col("doc")}).groupBy(*key).agg(*merged), "distinct-contexts")
-    crowded = bloom.build(distinct.groupBy("anchor").count().filter(F.col("count") > CROWD), "anchor", CROWD_BITS)
-    windows = written(distinct.mapInArrow(_windows(window, crowded), WINDOWS), "windows")
-    alike = windows.groupBy("w1", "w2").agg(*merged).filter("oldest < newest").select(F.col("w1").alias("anchor"), F.col("w1").alias("one"), F.col("w2").alias("two"), "oldest", "newest", "words")
-    shards = bloom.only(distinct, "anchor", crowded, held=False).unionByName(alike).repartition(parts, "anchor").sortWithinPartitions(*key)
+    crowded = written(distinct.groupBy("anchor").count().filter(F.col("count") > CROWD).select("anchor"), "crowded")
+    busy = distinct.join(crowded, "anchor", "left_semi").select(*key, "oldest", "newest", "words")
+    trimmed = written(busy.mapInArrow(_trimmed(window, bloom.map_repeated(busy, _touches(window), WINDOW_BITS)), TRIMMED), "trimmed")
+    alike = trimmed.groupBy("anchor", "t1", "t2").agg(*merged).select("anchor", F.col("t1").alias("one"), F.col("t2").alias("two"), "oldest", "newest", "words")
+    shards = distinct.join(crowded, "anchor", "left_anti").unionByName(alike).repartition(parts, "anchor").sortWithinPartitions(*key)
     hits = written(shards.mapInArrow(_searched(window), HIT), "hits")
-    of_windows = hits.select(F.col("one").alias("w1"), F.col("two").alias("w2"), "who")
-    of_split = windows.join(of_windows, ["w1", "w2"]).filter("who < newest").select(*key, F.col("start").alias("first"), F.col("start").alias("last"), "who")
-    found = contexts.select(*key, "doc", "mark", "left", "at").join(hits.unionByName(of_split), key).filter("who < doc")
+    back = trimmed.join(hits.withColumnsRenamed({"one": "t1", "two": "t2"}), ["anchor", "t1", "t2"]).filter("who < newest")
+    back = back.select(*key, (F.col("first") + F.col("start")).alias("first"), (F.col("last") + F.col("start")).alias("last"), "who")
+    found = contexts.select(*key, "doc", "mark", "left", "at").join(hits.unionByName(back), key).filter("who < doc")
     placed = found.select("doc", "mark", F.explode(F.transform("at", lambda p: p - F.col("left"))).alias("begin"), "first", "last")
     return placed.select("doc", "mark", (F.col("begin") + F.col("first")).alias("start"), (F.col("begin") + F.col("last") + window).alias("stop")).distinct()
 

@@ -102,3 +102,17 @@ def test_removal(spark, window, crowd, monkeypatch):
     got = sorted((-1 if r.doc_id is None else r.doc_id, r.n_words, r.n_removed, r.kept) for r in substring_dedup.remove_repeats(docs, window).collect())
     assert got == brute(rows, window)
     assert substring_dedup.remove_repeats(docs.limit(0), window).count() == 0
+
+
+def test_word_hashes():
+    from hustings.llm import shingles
+
+    texts = [None, "", " \t", "a b  a", "x" * 600_000 + " y " + "x" * 600_000 + "z", "é\x1c ü b", "a b", *(" ".join(random.choices(VOCABULARY, k=60_000)) for _ in range(3))]
+    words, sizes = shingles.hashed_words(texts)
+    spelt = [re.findall(r"[^\x20\x09-\x0D]+", t or "") for t in texts]
+    assert sizes.tolist() == [len(w) for w in spelt]
+    known = {}
+    for w, h in zip((x for s in spelt for x in s), words.tolist(), strict=True):
+        assert known.setdefault(w, h) == h
+    assert len(set(known.values())) == len(known)
+    assert shingles.hashed_words(["AÉ b"], lower=True)[0].tolist() == shingles.hashed_words(["aÉ", "B "], lower=True)[0].tolist()
