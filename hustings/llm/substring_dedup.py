@@ -38,7 +38,7 @@ from hustings.workers import importable, temporary, written
 
 WINDOW, GRAM = 50, 8
 #: Bits of the filters and of the bit map (8 MB, 4 MB, 4 MB), distinct contexts of an anchor that are not trimmed at most.
-ANCHOR_BITS, ID_BITS, WINDOW_BITS, CROWD = 1 << 26, 1 << 25, 1 << 25, 512
+ANCHOR_BITS, ID_BITS, WINDOW_BITS, CROWD = 1 << 26, 1 << 25, 1 << 25, 128
 #: Words of a shard's index at least, contexts that are cut at once.
 SHARD_WORDS, AT_ONCE = 400_000, 20_000
 MORE = np.uint64(0xD6E8FEB86659FD93)
