@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 def first_source(parts: list[DataFrame], key: list[str], pos: list[str]) -> DataFrame:
     """Union in order of priority; each key keeps its row of the first part that has it."""
     every = reduce(DataFrame.unionByName, [p.withColumn("__prio", F.lit(i)) for i, p in enumerate(parts)])
-    rank = F.row_number().over(Window.partitionBy(*key).orderBy("__prio", *pos))
-    return every.withColumn("__rank", rank).filter("__rank = 1").drop("__rank", "__prio")
+    names = [c for c in every.columns if c != "__prio"]
+    best = every.groupBy(*key).agg(F.min_by(F.struct(*names), F.struct("__prio", *[F.struct(F.col(p).isNotNull(), F.col(p)) for p in pos])).alias("__best"))
+    return best.select("__best.*")
 
 
 def best_card(df: DataFrame, key: list[str], score: list[Column], pos: list[str]) -> DataFrame:

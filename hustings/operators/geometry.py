@@ -36,13 +36,14 @@ def inside(ring: Column, x: Column, y: Column) -> Column:
 def located(points: DataFrame, polygons: DataFrame, x: str, y: str, key: str, ring: str, cell: float) -> DataFrame:
     """points with the least key of the polygons that hold each (null: none).
 
-    Polygons are dealt to the grid cells of their boxes and points to their own, so the join is on cells; the exact test follows.
+    Polygons are dealt to the grid cells of their boxes, a list a cell, and points to their own cell, so the join is on cells and each
+    point stays one row; the exact test follows.
     """
     low = lambda c: F.floor(F.array_min(F.transform(ring, lambda p: p[c])) / cell)
     high = lambda c: F.floor(F.array_max(F.transform(ring, lambda p: p[c])) / cell)
     boxes = polygons.select(F.col(key).alias("__key"), F.col(ring).alias("__ring"), F.explode(F.sequence(low("x"), high("x"))).alias("__cx"), F.sequence(low("y"), high("y")).alias("__ys"))
     boxes = boxes.select("__key", "__ring", "__cx", F.explode("__ys").alias("__cy"))
-    own = points.withColumn("__cx", F.floor(F.col(x) / cell)).withColumn("__cy", F.floor(F.col(y) / cell))
-    hit = own.join(boxes, ["__cx", "__cy"]).filter(inside(F.col("__ring"), F.col(x), F.col(y)))
-    best = hit.groupBy(*points.columns).agg(F.min("__key").alias(key))
-    return points.join(best, points.columns, "left")
+    listed = boxes.groupBy("__cx", "__cy").agg(F.collect_list(F.struct(F.col("__key").alias("k"), F.col("__ring").alias("r"))).alias("__zones"))
+    own = points.withColumn("__cx", F.floor(F.col(x) / cell)).withColumn("__cy", F.floor(F.col(y) / cell)).join(listed, ["__cx", "__cy"], "left")
+    holding = F.filter("__zones", lambda z: inside(z["r"], F.col(x), F.col(y)))
+    return own.select(*points.columns, F.array_min(F.transform(holding, lambda z: z["k"])).alias(key))

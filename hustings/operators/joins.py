@@ -82,11 +82,15 @@ def as_of(df: DataFrame, eras: DataFrame, by: list[str], when: str, start: str,
 
 
 def name_by_upper_bound(df: DataFrame, eras: DataFrame, key: str, when: str, upper: str, name: str) -> DataFrame:
-    """The name of the first era of the key whose upper bound lies after `when`; a key without one keeps its own name."""
-    e = eras.select(F.col(key).alias("__k"), F.col(upper).alias("__u"), F.col(name).alias("__n"))
-    j = df.withColumn("__id", F.struct(*df.columns)).join(e, (F.col(key) == F.col("__k")) & ((F.col(when) < F.col("__u")) | F.col("__u").isNull()), "left")
-    best = j.groupBy(*df.columns).agg(F.min_by("__n", F.struct(F.col("__u").isNull(), "__u")).alias("__n"))
-    return best.select(*df.columns, F.coalesce("__n", F.col(key).cast("string")).alias("name_then"))
+    """The name of the first era of the key whose upper bound lies after `when`; a key without one keeps its own name.
+
+    The few eras of a key are one sorted list, so each row stays one row. A null upper bound is open; a null `when` is in open eras only.
+    """
+    era = F.struct(F.col(upper).isNull().alias("open"), F.col(upper).alias("u"), F.col(name).alias("n"))
+    known = eras.groupBy(F.col(key).alias("__k")).agg(F.array_sort(F.collect_list(era)).alias("__eras"))
+    j = df.join(known, F.col(key) == F.col("__k"), "left")
+    first = F.get(F.filter("__eras", lambda e: e["open"] | (F.col(when) < e["u"])), F.lit(0))
+    return j.select(*df.columns, F.coalesce(first["n"], F.col(key).cast("string")).alias("name_then"))
 
 
 def ordered_match(left: DataFrame, key: list[str], rules: list[DataFrame], merge: bool = False) -> DataFrame:
@@ -100,18 +104,23 @@ def ordered_match(left: DataFrame, key: list[str], rules: list[DataFrame], merge
 
 
 def longest_contained(df: DataFrame, text: str, bases: DataFrame, base: str, on: list[str]) -> DataFrame:
-    """The longest base that each row's text holds, among bases of the same `on`; ties go to the name that sorts first."""
-    b = bases.select(*[F.col(c).alias(f"__{c}") for c in on], F.col(base).alias("__base")).distinct()
-    cond = reduce(lambda x, c: x & (F.col(c) == F.col(f"__{c}")), on, F.contains(F.col(text), F.col("__base")))
-    best = df.join(b, cond).groupBy(*df.columns).agg(F.min_by("__base", F.struct(-F.length("__base"), "__base")).alias("base"))
-    return df.join(best, df.columns, "left")
+    """The longest base that each row's text holds, among bases of the same `on`; ties go to the name that sorts first.
+
+    The bases of one `on` are a roster: they form one list, longest first, and each row stays one row.
+    """
+    b = bases.select(*on, F.col(base).alias("__base")).filter("__base IS NOT NULL").distinct()
+    listed = b.groupBy(*on).agg(F.array_sort(F.collect_list(F.struct((-F.length("__base")).alias("n"), F.col("__base").alias("t")))).alias("__bases"))
+    longest = F.get(F.filter("__bases", lambda x: F.contains(F.col(text), x["t"])), F.lit(0))["t"]
+    return df.join(listed, on, "left").select(*df.columns, longest.alias("base"))
 
 
 def first_key_that_matches(df: DataFrame, keys: Column, table: DataFrame, key: str, take: str) -> DataFrame:
-    """keys: an array of derived spellings. The take of the first one that the table has."""
-    k = df.withColumn("__row", F.struct(*df.columns)).select("__row", F.posexplode(keys).alias("__pos", "__key"))
-    hit = k.join(table.select(F.col(key).alias("__key"), take), "__key").groupBy("__row").agg(F.min_by(take, "__pos").alias(take), F.min("__pos").alias("used"))
-    return df.withColumn("__row", F.struct(*df.columns)).join(hit, "__row", "left").select(*df.columns, take, "used")
+    """keys: an array of derived spellings. The take of the first one that the table has; of several rows of a spelling the least take."""
+    known = table.groupBy(F.col(key).alias("__key")).agg(F.min(take).alias("__take"))
+    spelt = df.select(keys.alias("__keys")).distinct()  # rows with the same spellings share a look-up
+    hit = spelt.select("__keys", F.posexplode("__keys").alias("__pos", "__key")).join(known, "__key")
+    hit = hit.groupBy("__keys").agg(F.min_by("__take", "__pos").alias(take), F.min("__pos").alias("used"))
+    return df.withColumn("__keys", keys).join(hit, "__keys", "left").select(*df.columns, take, "used")
 
 
 def positional(left: DataFrame, right: DataFrame, by: list[str], left_order: list[str], right_order: list[str]) -> DataFrame:

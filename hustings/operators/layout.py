@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hustings.operators.graph import components
+from hustings.workers import written
+
 #: Neighbours in odd-r offset coordinates, for even and odd rows: (column, row) steps.
 EVEN = ((1, 0), (-1, 0), (0, -1), (-1, -1), (0, 1), (-1, 1))
 ODD = ((1, 0), (-1, 0), (0, -1), (1, -1), (0, 1), (1, 1))
@@ -55,27 +58,21 @@ def agreement(found: DataFrame, truth: DataFrame, keys: list[str]) -> DataFrame:
     return n.select("both", safe(F.col("both"), F.col("f")).alias("precision"), safe(F.col("both"), F.col("t")).alias("recall"), safe(2 * F.col("both"), F.col("f") + F.col("t")).alias("f1"))
 
 
-def grid_components(cells: DataFrame, group: str, c: str = "c", r: str = "r", rounds: int = 200) -> DataFrame:
-    """(group, c, r, component): cells of one group that touch; component is the least of c * 10^6 + r among them.
+def grid_components(cells: DataFrame, group: str, c: str = "c", r: str = "r") -> DataFrame:
+    """(group, c, r, component): cells of one group that touch; component is the least of c * 10^6 + r among them, unique within a group.
 
-    Labels spread and then jump to their label's label; each round is written to the shared folder, and the loop ends when nothing changes.
+    Distinct cells are numbered nodes. Cells without a place are on their own, with a null component. Repeated rows stay.
     """
-    from hustings.workers import written
-
-    key = F.col(c).cast("long") * 1_000_000 + F.col(r)
-    cells = written(cells.select(group, c, r, key.alias("node")), "cells")
-    own = cells.select(F.col(c).alias("nc"), F.col(r).alias("nr"), F.col(group).alias("__g"), F.col("node").alias("b"))
-    edges = written(neighbours(cells, c, r).join(own, ["nc", "nr"]).filter(F.col(group).eqNullSafe(F.col("__g"))).select(F.col("node").alias("a"), "b"), "edges")
-    labels = cells.select("node", F.col("node").alias("label"))
-    for _ in range(rounds):
-        spread = edges.join(labels, F.col("b") == F.col("node")).select(F.col("a").alias("node"), "label")
-        low = labels.unionByName(spread).groupBy("node").agg(F.min("label").alias("label"))
-        jump = low.join(labels.select(F.col("node").alias("__n"), F.col("label").alias("__l")), F.col("label") == F.col("__n"))
-        new = written(jump.select("node", F.least("label", "__l").alias("label")), "labels")
-        if not new.join(labels.withColumnRenamed("label", "was"), "node").filter("label <> was").take(1):
-            break
-        labels = new
-    return cells.join(labels, "node").select(group, c, r, F.col("label").alias("component"))
+    rows = written(cells.select(group, c, r), "cells")
+    placed = rows.filter(F.col(c).isNotNull() & F.col(r).isNotNull())
+    nodes = written(placed.distinct().withColumn("__node", F.monotonically_increasing_id()), "nodes")  # numbers are fixed once written
+    own = nodes.select(F.col(c).alias("nc"), F.col(r).alias("nr"), F.col(group).alias("__g"), F.col("__node").alias("b"))
+    edges = neighbours(nodes, c, r).join(own, ["nc", "nr"]).filter(F.col(group).eqNullSafe(F.col("__g"))).select(F.col("__node").alias("a"), "b")
+    labels = nodes.join(components(edges).withColumnRenamed("node", "__node"), "__node", "left").withColumn("__label", F.coalesce("component", "__node"))
+    least = labels.groupBy("__label").agg(F.min(F.col(c).cast("long") * 1_000_000 + F.col(r)).alias("component"))
+    named = labels.drop("component").join(least, "__label").select(F.col(group).alias("__g"), F.col(c).alias("__c"), F.col(r).alias("__r"), "component")
+    same = (F.col(c) == F.col("__c")) & (F.col(r) == F.col("__r")) & F.col(group).eqNullSafe(F.col("__g"))
+    return rows.join(named, same, "left").select(group, c, r, "component")
 
 
 def lines(words: DataFrame, page: list[str], y: str, gap: float, pos: list[str]) -> DataFrame:
@@ -84,12 +81,14 @@ def lines(words: DataFrame, page: list[str], y: str, gap: float, pos: list[str])
     return words.withColumn("__new", F.coalesce(F.col(y) - F.lag(y).over(w) > gap, F.lit(True)).cast("int")).withColumn("line", F.sum("__new").over(w)).drop("__new")
 
 
-def anchored(words: DataFrame, anchors: DataFrame, page: list[str], x: str, anchor: str, most: float, pos: list[str]) -> DataFrame:
-    """words with the nearest anchor of their page within `most`, the lower of two as near; null if there is none. Anchors of a page are few."""
-    a = anchors.select(*page, F.col(anchor).alias("__a"))
-    far = F.abs(F.col(x) - F.col("__a"))
-    j = words.join(a, page, "left").groupBy(*words.columns).agg(F.min(F.when(far <= most, F.struct(far.alias("d"), F.col("__a").alias("a")))).alias("__best"))
-    return j.select(*words.columns, F.col("__best.a").alias("anchor"))
+def anchored(words: DataFrame, anchors: DataFrame, page: list[str], x: str, anchor: str, most: float) -> DataFrame:
+    """words with the nearest anchor of their page within `most`, the lower of two as near; null if there is none.
+
+    Anchors of a page are few: they form one list, and each word stays one row.
+    """
+    listed = anchors.groupBy(*page).agg(F.collect_set(F.col(anchor)).alias("__anchors"))
+    near = F.filter(F.transform("__anchors", lambda a: F.struct(F.abs(F.col(x) - a).alias("d"), a.alias("a"))), lambda s: s["d"] <= most)
+    return words.join(listed, page, "left").select(*words.columns, F.array_min(near)["a"].alias("anchor"))
 
 
 def greedy_alignment(labels: DataFrame, numbers: DataFrame, page: list[str], x: str, label: str, value: str) -> DataFrame:

@@ -5,36 +5,40 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from hustings.operators.graph import components
 from hustings.workers import written
 
 
-def person_clusters(df: DataFrame, name: str, row_id: str, birth: str, script: str, area: str, year: str, most_years: int = 16, rounds: int = 60) -> DataFrame:
+def person_clusters(df: DataFrame, name: str, row_id: str, birth: str, script: str, area: str, year: str, most_years: int = 16) -> DataFrame:
     """(row_id, person): candidacies of one name that are one person; person is the least row_id of the cluster.
 
     Two rows of a name never link if both births or both second spellings (script) are there and differ. They link if one of
     these is equal, or else if they share the area and lie at most most_years apart. Clusters are what links reach; one with
     several births is split by birth, its rows without one apart. Rows of a name that agree in all attributes are one node, so
-    only distinct combinations of attributes within a name are compared, however many rows share them. Row ids are distinct numbers.
+    only distinct combinations of attributes are compared, however many rows share them, and only within a birth, a script or an
+    area and stretch of years, never all of a name. Row ids are distinct numbers; rows of a null name link with nothing.
     """
     rows = written(df.select(F.col(row_id).alias("id"), F.col(name).alias("name"), F.col(birth).alias("b"), F.col(script).alias("s"), F.col(area).alias("a"), F.col(year).alias("y")), "candidacies")
     # rows that agree in name, birth, script, area and year are one node
     node = rows.groupBy("name", "b", "s", "a", "y").agg(F.min("id").alias("n"))
     node = written(node, "nodes")
-    j = node.alias("p").join(node.alias("q"), (F.col("p.name") == F.col("q.name")) & (F.col("p.n") < F.col("q.n")))
+    # rows with one birth (or script) link if the other attribute doesn't part them: a star for each of its values, and the rows without
+    # one, which nothing parts from the others, joined to all stars; these chains reach what all pairs would
+    def stars(by: str, other: str) -> DataFrame:
+        whole = Window.partitionBy("name", by)
+        hub = node.filter(F.col(by).isNotNull() & F.col("name").isNotNull()).select("n", F.min("n").over(Window.partitionBy("name", by, other)).alias("m"), F.min(F.when(F.col(other).isNull(), F.col("n"))).over(whole).alias("z"))
+        return hub.select("n", "m").union(hub.filter("z IS NOT NULL").select("m", "z").distinct())
+
+    # rows of one area and at most most_years apart lie in the same or neighbouring stretches of years
+    width = most_years + 1
+    stretch = node.filter("a IS NOT NULL AND y IS NOT NULL").withColumn("k", F.floor(F.col("y") / width))
+    p, q = stretch.alias("p"), stretch.withColumn("k", F.explode(F.array("k", F.col("k") + 1))).alias("q")
+    pairs = p.join(q, (F.col("p.name") == F.col("q.name")) & (F.col("p.a") == F.col("q.a")) & (F.col("p.k") == F.col("q.k")) & (F.col("p.n") != F.col("q.n")))
     vetoed = F.coalesce(F.col("p.b") != F.col("q.b"), F.lit(False)) | F.coalesce(F.col("p.s") != F.col("q.s"), F.lit(False))
-    same = F.coalesce(F.col("p.b") == F.col("q.b"), F.lit(False)) | F.coalesce(F.col("p.s") == F.col("q.s"), F.lit(False))
-    near = F.coalesce((F.col("p.a") == F.col("q.a")) & (F.abs(F.col("p.y") - F.col("q.y")) <= most_years), F.lit(False))
-    links = j.filter(~vetoed & (same | near)).select(F.col("p.n").alias("u"), F.col("q.n").alias("v"))
-    edges = written(links.union(links.select("v", "u")), "links")
-    labels = node.select("n", F.col("n").alias("label"))
-    for _ in range(rounds):
-        spread = edges.join(labels, F.col("v") == F.col("n")).select(F.col("u").alias("n"), "label")
-        low = labels.unionByName(spread).groupBy("n").agg(F.min("label").alias("label"))
-        jump = low.join(labels.select(F.col("n").alias("__n"), F.col("label").alias("__l")), F.col("label") == F.col("__n"))
-        new = written(jump.select("n", F.least("label", "__l").alias("label")), "labels")
-        if not new.join(labels.withColumnRenamed("label", "was"), "n").filter("label <> was").take(1):
-            break
-        labels = new
+    near = pairs.filter(~vetoed & (F.abs(F.col("p.y") - F.col("q.y")) <= most_years)).select("p.n", F.col("q.n").alias("m"))
+    edges = stars("b", "s").union(stars("s", "b")).union(near).select(F.col("n").alias("a"), F.col("m").alias("b"))
+    found = components(edges).withColumnRenamed("node", "n")
+    labels = node.select("n").join(found, "n", "left").select("n", F.coalesce("component", "n").alias("label"))
     known = node.join(labels, "n")
     births = known.groupBy("label").agg(F.count_distinct("b").alias("births"))
     split = known.join(births, "label").withColumn("part", F.when(F.col("births") > 1, F.coalesce(F.col("b").cast("string"), F.lit("?"))).otherwise(""))

@@ -111,12 +111,17 @@ def spearman(df: DataFrame, by: list[str], x: str, y: str, pos: list[str]) -> Da
 
 
 def nearest_month(df: DataFrame, candidates: DataFrame, by: list[str], month: str, other: str, take: str, pos: list[str]) -> DataFrame:
-    """The take of the candidate in the same month, else the nearest in the same year, else the nearest at all; months are first days."""
-    c = candidates.select(*by, F.col(other).alias("__m"), F.col(take).alias("__take"), *[F.col(p).alias(f"__p_{p}") for p in pos])
-    far = F.abs(F.months_between(F.col(month), F.col("__m")))
-    key = F.struct((F.col(month) != F.col("__m")).alias("a"), (F.year(month) != F.year("__m")).alias("b"), far.alias("c"), *[F.col(f"__p_{p}") for p in pos])
-    best = df.join(c, by).groupBy(*df.columns).agg(F.min_by("__take", key).alias(take))
-    return df.join(best, df.columns, "left")
+    """The take of the candidate in the same month, else the nearest in the same year, else the nearest at all; months are first days.
+
+    Of the candidates of a month the first by pos (take, if it is listed, last) counts, so a key has one for each month; they form one
+    list and each row stays one row. A row of a null month gets nothing.
+    """
+    order = [F.col(p).alias(f"p{i}") for i, p in enumerate(pos)]
+    of_month = candidates.filter(F.col(other).isNotNull()).groupBy(*by, F.col(other).alias("__m")).agg(F.min(F.struct(*order, F.col(take).alias("take"))).alias("__first"))
+    months = of_month.groupBy(*by).agg(F.collect_list(F.struct(F.col("__m").alias("m"), F.col("__first").alias("first"))).alias("__months"))
+    m = F.col(month)
+    near = F.transform("__months", lambda c: F.struct((m != c["m"]).alias("a"), (F.year(m) != F.year(c["m"])).alias("b"), F.abs(F.months_between(m, c["m"])).alias("c"), c["first"].alias("first")))
+    return df.join(months, by, "left").select(*df.columns, F.when(m.isNotNull(), F.array_min(near)["first"]["take"]).alias(take))
 
 
 def latest_series_top(points: DataFrame, series: str, value: str, day: str, now: str, n: int = 2, within: int = 14) -> DataFrame:

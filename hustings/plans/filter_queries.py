@@ -146,7 +146,7 @@ having count(*) filter (name <> '') >= 3 and sum(floor(pct)) between 60 and 300
     "mislabel_filter": f"with {ROWS_SQL}, f as (select *, bool_or(party = 'purchase') over (partition by user_id, day) as named from r) select event_id from f where not (named and party = 'view')",
     "horse_race": f"""with {ROWS_SQL}, o as (select * from r where name in (select name from r where agency < 4 and name <> ''))
 select event_id from o qualify count(*) over (partition by user_id) between 20 and 60 and bool_or(name in ('1', '2', '3', '4', '5')) over (partition by user_id)""",
-    "title_reject": "select doc_id from documents where not regexp_matches(substr(text, 1, 400), '((?i)^is)|(reedes)|([0-9]{4})')",
+    "title_reject": "select doc_id from documents where not regexp_matches(text, '((?i)^is)|(reedes)|([0-9]{4})')",
     "classify_cascade": """select doc_id, case when regexp_matches(text, '[0-9]{3}') then 'numbers' when regexp_matches(text, '(?i)^the') then 'article' when contains(text, 'tion') then 'abstract'
   when contains(text, 'er') then 'person' else 'other' end as label from documents""",
     "metric_titles": "select p_partkey from part where regexp_matches(replace(p_name, ' ', ''), 'dwid|ering|otg|kst')",

@@ -62,7 +62,7 @@ def line_grouping(spark, sf_dir):
 def anchor_assignment(spark, sf_dir):
     e = polls(spark, sf_dir).select("event_id", "user_id", "pct")
     anchors = polls(spark, sf_dir).filter("k % 7 = 0 AND party = 'click'").select("user_id", F.floor("pct").cast("double").alias("at")).distinct()
-    return layout.anchored(e, anchors, ["user_id"], "pct", "at", 14, ["event_id"]).select("event_id", "anchor")
+    return layout.anchored(e, anchors, ["user_id"], "pct", "at", 14).select("event_id", "anchor")
 
 
 def greedy_align(spark, sf_dir):
@@ -234,7 +234,7 @@ select a // 1000000 as c, a % 1000000 as r, min(b) as component from reach group
 select event_id, cast(sum(fresh) over (partition by user_id order by value, event_id rows unbounded preceding) as bigint) as line from f""",
     "anchor_assignment": f"""with {POLLS_SQL}, a as (select distinct user_id, floor(pct) as place from polls where k % 7 = 0 and party = 'click')
 select event_id, place as anchor from polls left join a on polls.user_id = a.user_id and abs(pct - place) <= 14 qualify row_number() over (partition by event_id order by abs(pct - place), place) = 1""",
-    "next_first_wednesday": """with o as (select o_orderkey, cast(o_orderdate as date) - case o_orderkey % 3 when 0 then 70 when 1 then 50 else 30 end as f from orders where o_orderkey % 10 = 0),
+    "next_first_wednesday": """with o as (select o_orderkey, cast(o_orderdate as date) - case o_orderkey % 3 when 0 then 70 when 1 then 50 else 30 end as f from orders),
 y as (select o_orderkey, f, unnest(generate_series(0, 12, 4)) as y from o), d as (select o_orderkey, y, cast(f + to_years(cast(y as int)) as date) as x from y),
 w as (select o_orderkey, y, x + cast((9 - isodow(x) + 1) % 7 as int) as election_day from d)
 select o_orderkey, y // 4 as nth, election_day from w where election_day <= date '2006-12-31'""",
@@ -242,7 +242,7 @@ select o_orderkey, y // 4 as nth, election_day from w where election_day <= date
 select o_orderkey, case when l = 0 then 'ELECTION' when l between 1 and 6 then 'BLACKOUT' when l between 7 and 14 then 'CAMPAIGN' when l > 14 then 'PRE' when l >= -30 then 'POST' when l >= -365 then 'RECENT' else 'ARCHIVED' end as phase from d""",
     "explode_json": "select event_id, 'k' as name, cast(json_extract_string(props, '$.k') as bigint) as v from events where json_extract_string(props, '$.k') is not null",
     "range_parse": "select p_partkey, cast(case when p_size % 3 < 2 then p_size end as bigint) as low, cast(case p_size % 3 when 0 then p_size + 18 when 1 then p_size end as bigint) as high from part",
-    "region_parse": r"""with d as (select doc_id, string_split(trim(regexp_replace(split_part(coalesce(text, ''), '.', 1), '\s+', ' ', 'g')), ' ') as w from documents)
+    "region_parse": r"""with d as (select doc_id, string_split(trim(regexp_replace(replace(coalesce(text, ''), '.', ' '), '\s+', ' ', 'g')), ' ') as w from documents)
 select doc_id, w[1] as region, coalesce(w[2], '') as unit from d where regexp_full_match(w[1], '[A-Za-z]+')""",
     "zip_careers": """with z as (select p_partkey, unnest([0, 1, 2]) as n, p_size, p_brand, p_type, p_name from part)
 select p_partkey, cast(n as bigint) as n, case n when 0 then 't1' when 1 then 't' || p_size else 't9' end as term, case n when 0 then p_brand else p_type end as party, p_name as district from z""",

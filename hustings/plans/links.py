@@ -160,7 +160,7 @@ select o_orderkey, era from orders asof left join e on o_custkey = k and o_order
     "interval_term": f"with {TERMS_SQL} select o_orderkey, coalesce(holder, '') as holder from orders left join terms on cast(o_orderdate as date) >= start and (stop is null or cast(o_orderdate as date) <= stop)",
     "name_by_date": """with r as (select strftime(o_orderdate, '%Y-%m') as ym, o_orderstatus as party, count(*) as n from orders group by all)
 select ym, party, n, case when party = 'F' then case when ym < '1997-01' then 'F-one' when ym < '1999-06' then 'F-two' else 'F-now' end when party = 'O' and ym < '1996-03' then 'O-one' else party end as name_then from r""",
-    "ordered_fallback_match": """with l as (select p_partkey, p_name, p_brand, p_type from part where p_partkey % 3 = 0), r as (select * from part where p_partkey % 3 = 1),
+    "ordered_fallback_match": """with l as (select p_partkey, p_name, p_brand, p_type from part where p_size <= 25), r as (select * from part where p_size is null or p_size > 25),
 c as (select l.p_partkey, 0 as rule, min(r.p_partkey) as match from l join r using (p_name, p_brand) group by 1 union all
   select l.p_partkey, 1, min(r.p_partkey) from l join r using (p_name, p_type) group by 1 union all select l.p_partkey, 2, min(r.p_partkey) from l join r using (p_name) group by 1)
 select l.p_partkey, rule, match from l left join (select * from c qualify row_number() over (partition by p_partkey order by rule) = 1) using (p_partkey)""",

@@ -106,11 +106,11 @@ t as (select *, cast(sum(n) over (partition by o_custkey) as bigint) as total fr
     "unique_value": "select o_custkey, case when count(distinct o_orderstatus) = 1 then min(o_orderstatus) end as o_orderstatus from orders group by 1",
     "source_priority_union": f"""with {POLLS_SQL} select event_id, user_id, day, party from polls
 qualify row_number() over (partition by user_id, day order by case party when 'click' then 0 when 'view' then 1 else 2 end, event_id) = 1""",
-    "name_snap": f"""with {WORDS_SQL}, c as (select lang, substr(name, 1, 3) as zone, name, count(*) as n from words where length(name) between 4 and 5 and regexp_full_match(name, '[a-z]+') group by all),
+    "name_snap": f"""with {WORDS_SQL}, c as (select lang, substr(name, 1, 3) as zone, name, count(*) as n from words where name <> '' group by all),
 t as (select *, first_value(name) over w as top, first_value(n) over w as top_n, count(*) over (partition by lang, zone) as names from c window w as (partition by lang, zone order by n desc, name))
 select lang, zone, name, case when n < 10 and top_n >= 10 and names < 40 and abs(length(name) - length(top)) <= 1
-  and (starts_with(name, top) or starts_with(top, name) or suffix(name, top) or suffix(top, name) or (length(name) = length(top) and hamming(name, top) <= 1)) then top else name end as snapped from t""",
-    "bleed_repair": f"""with {WORDS_SQL}, c as (select lang, name, count(*) as n from words where length(name) between 3 and 5 and regexp_full_match(name, '[a-z]+') group by all)
+  and (starts_with(name, top) or starts_with(top, name) or suffix(name, top) or suffix(top, name) or (length(name) = length(top) and len(list_filter(range(1, length(name) + 1), lambda i: substr(name, i, 1) <> substr(top, i, 1))) <= 1)) then top else name end as snapped from t""",
+    "bleed_repair": f"""with {WORDS_SQL}, c as (select lang, name, count(*) as n from words where name <> '' group by all)
 select a.lang, a.name, case when length(a.name) between 4 and 5 and b.n >= 2 and b.n > a.n then b.name else a.name end as repaired
 from c a left join c b on a.lang = b.lang and b.name = left(a.name, length(a.name) - 1)""",
     "known_candidate_gate": f"""with {POLLS_SQL}, n as (select *, case when k % 9 = 0 then '' else cast(cast(floor(pct / 5) as bigint) as varchar) end as name from polls),

@@ -57,12 +57,12 @@ def upsert_preserving(spark, sf_dir):
 
 def overwrite_guard(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderstatus")
-    return sinks.guarded(o.filter("o_orderstatus = 'F'"), o.filter("o_orderstatus = 'P'"), ["o_custkey"])
+    return sinks.guarded(o.filter("o_orderstatus <> 'P'"), o.filter("o_orderstatus = 'P'"), ["o_custkey"])
 
 
 def incremental_merge(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
-    return sinks.incremental(e.filter("event_id % 3 = 0"), e.filter("event_id % 2 = 0").withColumn("event_type", F.upper("event_type")), ["event_id"])
+    return sinks.incremental(e.filter("event_type < 'p'"), e.withColumn("event_type", F.upper("event_type")), ["event_id"])
 
 
 def file_catalog(spark, sf_dir):
@@ -145,8 +145,8 @@ select l_linestatus, sum(l_quantity), 'totals' from lineitem where l_returnflag
     "upsert_preserving": """select c_custkey, case when c_custkey % 2 = 0 and c_custkey % 4 <> 0 then c_mktsegment when c_custkey % 3 = 0 then lower(c_mktsegment) else '' end as c_mktsegment,
   case when c_custkey % 3 = 0 then 0 else c_acctbal end as c_acctbal from customer where c_custkey % 2 = 0 or c_custkey % 3 = 0""",
     "overwrite_guard": """select o_orderkey, o_custkey, o_orderstatus from orders where o_orderstatus = 'P' union all
-select o_orderkey, o_custkey, o_orderstatus from orders where o_orderstatus = 'F' and o_custkey not in (select o_custkey from orders where o_orderstatus = 'P')""",
-    "incremental_merge": "select event_id, user_id, case when event_id % 3 = 0 then event_type else upper(event_type) end as event_type from events where event_id % 3 = 0 or event_id % 2 = 0",
+select o_orderkey, o_custkey, o_orderstatus from orders where o_orderstatus <> 'P' and o_custkey not in (select o_custkey from orders where o_orderstatus = 'P')""",
+    "incremental_merge": "select event_id, user_id, case when event_type < 'p' then event_type else upper(event_type) end as event_type from events",
     "wiki_cells": "select n_nationkey, n_name as name, cast(1234 as double) as votes from nation",
     "xml_rows": "select s_suppkey, 'a' || s_nationkey as name, cast(1 as bigint) as v from supplier union all select s_suppkey, 'b', s_suppkey from supplier",
     "stream_dedup_append": "select distinct user_id as id from events",

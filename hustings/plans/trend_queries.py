@@ -139,8 +139,8 @@ select event_id, n, round(md, 6) as median, round(mad, 6) as mad from d where ma
 select event_id, cast(sum(fresh) over (partition by user_id order by ts, event_id rows unbounded preceding) as bigint) as session from f""",
     "spearman_corr": f"""with {POLLS_SQL}, r as (select party, row_number() over (partition by party order by pct, event_id) as x, row_number() over (partition by party order by k nulls first, event_id) as y from polls)
 select party, count(*) as n, round(corr(x, y), 6) as rho from r group by 1""",
-    "nearest_month": """with o as (select distinct o_custkey, cast(date_trunc('month', o_orderdate) as date) as m from orders where o_orderkey % 5 = 0),
-c as (select o_custkey as ck, cast(date_trunc('month', o_orderdate) as date) as m2, o_orderkey from orders where o_orderkey % 5 = 1)
+    "nearest_month": """with o as (select distinct o_custkey, cast(date_trunc('month', o_orderdate) as date) as m from orders where o_orderstatus = 'F'),
+c as (select o_custkey as ck, cast(date_trunc('month', o_orderdate) as date) as m2, o_orderkey from orders where o_orderstatus is distinct from 'F')
 select o_custkey, m, o_orderkey as nearest from o left join c on o_custkey = ck
 qualify row_number() over (partition by o_custkey, m order by m <> m2, year(m) <> year(m2), abs((year(m) - year(m2)) * 12 + month(m) - month(m2)), o_orderkey) = 1""",
     "latest_series_top": f"""with {POLLS_SQL}, s as (select party || '-' || user_id as series, avg(pct) as mean, max(day) as last_seen from polls group by 1)

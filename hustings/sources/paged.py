@@ -43,8 +43,8 @@ class PagedReader(DataSourceReader):
             try:
                 with urllib.request.urlopen(self.template.format(key=partition.value, page=page), timeout=60) as f:
                     got = json.load(f)
-            except (FileNotFoundError, urllib.error.URLError):
-                if page == 1:
+            except urllib.error.URLError as e:
+                if page == 1 and (getattr(e, "code", None) == 404 or isinstance(e.reason, FileNotFoundError)):
                     return
                 raise
             for row in got["rows"]:

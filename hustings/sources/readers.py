@@ -65,7 +65,7 @@ def attributes(df: DataFrame, by: list[str], name: str, value: str, metrics: dic
 
 def totals_or_parts(df: DataFrame, unit: str, totals: list[str], by: list[str], value: str) -> DataFrame:
     """Sums by group: where the table has any total row, of total rows alone, else of all rows."""
-    is_total = F.col(unit).isin(totals)
+    is_total = F.coalesce(F.col(unit).isin(totals), F.lit(False))  # a null unit is a part
     some = df.filter(is_total).agg((F.count("*") > 0).alias("__some"))
     return df.join(F.broadcast(some)).filter(is_total == F.col("__some")).groupBy(*by).agg(F.sum(value).alias(value))
 

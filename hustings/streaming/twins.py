@@ -48,12 +48,17 @@ def windowed_counts(stream: DataFrame, by: list[str], when: str, size: str, slid
 
 
 def completeness(stream: DataFrame, by: list[str], pct: str, name: str, least: float = 98.0, mean: float = 99.5) -> DataFrame:
-    """Counting state after each batch, kept in memory as `name`: final when the least share reaches `least` and the mean `mean`."""
+    """Counting state after the last batch, each batch's snapshot in place of the one before: final when the least share reaches `least` and the mean `mean`."""
     out = stream.groupBy(*by).agg(F.min(pct).alias("least"), F.avg(pct).alias("mean"))
-    out = out.withColumn("is_final", (F.col("least") >= least) & (F.col("mean") >= mean))
-    query = out.writeStream.format("memory").queryName(name).outputMode("complete").trigger(availableNow=True).start()
+    out = out.withColumn("is_final", F.coalesce((F.col("least") >= least) & (F.col("mean") >= mean), F.lit(False)))
+    path = scratch(stream.sparkSession, f"stream-{name}")
+
+    def replace(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/rows")
+
+    query = out.writeStream.foreachBatch(replace).option("checkpointLocation", f"{path}/checkpoint").outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.table(name)
+    return stream.sparkSession.read.schema(out.schema).parquet(f"{path}/rows")
 
 
 def merged(stream: DataFrame, path: str, key: list[str], name: str) -> None:
