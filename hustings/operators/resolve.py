@@ -20,13 +20,13 @@ def person_clusters(df: DataFrame, name: str, row_id: str, birth: str, script: s
     """
     rows = written(df.select(F.col(row_id).alias("id"), F.col(name).alias("name"), F.col(birth).alias("b"), F.col(script).alias("s"), F.col(area).alias("a"), F.col(year).alias("y")), "candidacies")
     # rows that agree in name, birth, script, area and year are one node
-    node = rows.groupBy("name", "b", "s", "a", "y").agg(F.min("id").alias("n"))
+    node = rows.filter("name IS NOT NULL").groupBy("name", "b", "s", "a", "y").agg(F.min("id").alias("n"))
     node = written(node, "nodes")
     # rows with one birth (or script) link if the other attribute doesn't part them: a star for each of its values, and the rows without
     # one, which nothing parts from the others, joined to all stars; these chains reach what all pairs would
     def stars(by: str, other: str) -> DataFrame:
         whole = Window.partitionBy("name", by)
-        hub = node.filter(F.col(by).isNotNull() & F.col("name").isNotNull()).select("n", F.min("n").over(Window.partitionBy("name", by, other)).alias("m"), F.min(F.when(F.col(other).isNull(), F.col("n"))).over(whole).alias("z"))
+        hub = node.filter(F.col(by).isNotNull()).select("n", F.min("n").over(Window.partitionBy("name", by, other)).alias("m"), F.min(F.when(F.col(other).isNull(), F.col("n"))).over(whole).alias("z"))
         return hub.select("n", "m").union(hub.filter("z IS NOT NULL").select("m", "z").distinct())
 
     # rows of one area and at most most_years apart lie in the same or neighbouring stretches of years
@@ -46,7 +46,8 @@ def person_clusters(df: DataFrame, name: str, row_id: str, birth: str, script: s
     r = rows.select("id", *[F.col(k).alias(f"__{k}") for k in keys])
     cond = [F.col(k).eqNullSafe(F.col(f"__{k}")) for k in keys]
     own = r.join(split, cond[0] & cond[1] & cond[2] & cond[3] & cond[4]).select("id", "label", "part")
-    return own.withColumn("person", F.min("id").over(Window.partitionBy("label", "part"))).select(F.col("id").alias(row_id), "person")
+    named = own.withColumn("person", F.min("id").over(Window.partitionBy("label", "part"))).select(F.col("id").alias(row_id), "person")
+    return named.unionByName(rows.filter("name IS NULL").select(F.col("id").alias(row_id), F.col("id").alias("person")))
 
 
 def collapsed(df: DataFrame, key: list[str], votes: str, won: str, area: str, birth: str, take: list[str]) -> DataFrame:
