@@ -51,6 +51,14 @@ def stem(text: Column, suffixes: list[str]) -> Column:
     return out
 
 
+def district_parts(name: Column, source: Column, markers: list[str], suffixes: list[str], parted: str = "·") -> Column:
+    """struct<parts, marker> of a compound district: its units without suffixes, and the marker at its end (else in the source's name, else empty)."""
+    either = "|".join(markers)
+    bare = F.regexp_replace(F.trim(name), rf"\s*(?:{either})$", "")
+    marker = F.coalesce(F.nullif(F.regexp_extract(F.trim(name), rf"({either})$", 1), F.lit("")), F.regexp_extract(source, rf"({either})", 1))
+    return F.struct(F.transform(F.split(bare, parted), lambda p: stem(F.trim(p), suffixes)).alias("parts"), F.coalesce(marker, F.lit("")).alias("marker"))
+
+
 def round_label(identifier: Column, kinds: dict[str, str]) -> Column:
     """"9th-local-2026" -> "9 local": number and label of the kind."""
     n, kind = F.regexp_extract(identifier, r"^([0-9]+)(?:st|nd|rd|th)-", 1), F.regexp_extract(identifier, r"^[0-9]+[a-z]+-([a-z]+)", 1)

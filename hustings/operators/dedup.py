@@ -84,13 +84,29 @@ def bleed_repair(df: DataFrame, by: list[str], name: str, lengths: tuple[int, in
     return j.select(*by, name, F.when(cut, F.col("__base")).otherwise(F.col(name)).alias("repaired"))
 
 
-def known_candidates(df: DataFrame, poll: list[str], name: str, known: DataFrame) -> DataFrame:
-    """Polls of which fewer than 2 named candidates are known go, if they name at least 2."""
+def known_candidates(df: DataFrame, poll: list[str], name: str, known: DataFrame, party: str | None = None, plain: str = r"^\p{L}{2,4}$") -> DataFrame:
+    """Polls of which fewer than 2 named candidates are known go, if they name at least 2; not if (party given) each named one has a party and a plain name."""
     k = known.select(name).distinct().withColumn("__known", F.lit(1))
     j = df.join(k, name, "left")
     w = Window.partitionBy(*poll)
-    named = F.sum((F.coalesce(F.col(name), F.lit("")) != "").cast("int")).over(w)
-    return j.withColumn("__named", named).withColumn("__hits", F.sum(F.coalesce("__known", F.lit(0))).over(w)).filter("NOT (__named >= 2 AND __hits < 2)").select(*df.columns)
+    is_named = F.coalesce(F.col(name), F.lit("")) != ""
+    named = F.sum(is_named.cast("int")).over(w)
+    full = F.min(F.coalesce(~is_named | (F.col(name).rlike(plain) & (F.coalesce(F.col(party), F.lit("")) != "")), F.lit(False))).over(w) if party else F.lit(False)
+    return j.withColumn("__named", named).withColumn("__hits", F.sum(F.coalesce("__known", F.lit(0))).over(w)).withColumn("__full", full).filter("__full OR NOT (__named >= 2 AND __hits < 2)").select(*df.columns)
+
+
+def reclassified(df: DataFrame, unit: list[str], office: str, pos: list[str], known: Column) -> DataFrame:
+    """Rows of a unit take the office that its known rows vote for by a qualified majority; without one they keep their own."""
+    vote = qualified_mode(df.filter(known), unit, office, pos).select(*unit, F.col(office).alias("__office"))
+    return df.join(vote, unit, "left").withColumn(office, F.coalesce("__office", office)).drop("__office")
+
+
+def party_support(df: DataFrame, poll: list[str], party: str, value: str, majors: list[str], most: float = 65, low: float = 20, high: float = 102) -> DataFrame:
+    """(poll, party, value): each party's largest value, of polls where none is over `most`, their sum is low..high and all majors are there."""
+    best = df.groupBy(*poll, party).agg(F.max(value).alias(value))
+    w = Window.partitionBy(*poll)
+    total, top, there = F.sum(value).over(w), F.max(value).over(w), F.size(F.array_intersect(F.collect_set(party).over(w), F.array(*map(F.lit, majors))))
+    return best.withColumns({"__total": total, "__top": top, "__there": there}).filter(F.col("__total").between(low, high) & (F.col("__top") <= most) & (F.col("__there") == len(majors))).select(*poll, party, value)
 
 
 def continued(df: DataFrame, by: list[str], order: list[str], same: list[str]) -> DataFrame:

@@ -45,6 +45,23 @@ def header(rows: DataFrame, table: list[str], row: str, cells: str) -> DataFrame
     return g.groupBy(*table).agg(F.transform(F.array_sort(F.collect_list(F.struct("__at", "__t"))), lambda x: F.struct(x["__at"].alias("column"), x["__t"].alias("text"))).alias("header"))
 
 
+def paired_header(lines: DataFrame, page: list[str], line: str, text: str, parties: list[str], least: int = 2, window: int = 3, below: int = 7) -> DataFrame:
+    """(page, pos, party, name): the first `window` lines that hold `least` distinct parties, and as many names in the `below` lines after them.
+
+    A party within a longer one that is found doesn't count. Names are words of 2 to 4 letters that are no party, in order of reading;
+    pages of which parties and names don't have the same number have no pairs.
+    """
+    w = Window.partitionBy(*page).orderBy(line)
+    near = F.array_join(F.collect_list(text).over(w.rowsBetween(0, window - 1)), " ")
+    after = F.array_join(F.collect_list(text).over(w.rowsBetween(window, window + below - 1)), " ")
+    longest = "|".join(sorted(parties, key=lambda p: (-len(p), p)))
+    found = lines.withColumn("__parties", F.array_distinct(F.regexp_extract_all(near, F.lit(f"({longest})"), F.lit(1)))).withColumn("__after", after)
+    first = found.filter(F.size("__parties") >= least).groupBy(*page).agg(F.min_by(F.struct("__parties", "__after"), line).alias("h"))
+    words = F.filter(F.split("h.__after", r"\s+"), lambda x: x.rlike(r"^\p{L}{2,4}$") & ~x.isin(parties))
+    both = first.select(*page, F.col("h.__parties").alias("__p"), words.alias("__n")).filter(F.size("__p") <= F.size("__n"))
+    return both.select(*page, F.posexplode(F.arrays_zip("__p", F.slice("__n", F.lit(1), F.size("__p")).alias("__n"))).alias("pos", "z")).select(*page, "pos", F.col("z.__p").alias("party"), F.col("z.__n").alias("name"))
+
+
 def names_above(words: DataFrame, anchors: DataFrame, page: list[str], x: str, y: str, text: str, anchor: str, within: float) -> DataFrame:
     """(page, anchor, text): for each anchor from left to right the topmost word within `within` that no anchor took before.
 

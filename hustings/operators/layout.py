@@ -101,16 +101,18 @@ def greedy_alignment(labels: DataFrame, numbers: DataFrame, page: list[str], x:
     schema = f"{', '.join(f'{c} {labels.schema[c].dataType.simpleString()}' for c in page)}, {label} {labels.schema[label].dataType.simpleString()}, {value} double"
 
     def align(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        free = list(zip(right[x], right[value], strict=True)) if len(right) else []
+        free = list(zip(right.iloc[:, -2], right.iloc[:, -1], strict=True)) if len(right) else []
         free.sort()
         out = []
-        for at, name in sorted(zip(left[x], left[label], strict=True)) if len(left) else []:
+        for at, name in sorted(zip(left["__x"], left[label], strict=True)) if len(left) else []:
             if free:
                 k = min(range(len(free)), key=lambda i: (abs(free[i][0] - at), free[i][0]))
                 out.append((*key, name, float(free.pop(k)[1])))
         return pd.DataFrame(out, columns=[*page, label, value])
 
-    return labels.groupBy(*page).cogroup(numbers.groupBy(*page)).applyInPandas(align, schema)
+    left = labels.select(*page, F.col(x).alias("__x"), label)
+    right = numbers.select(*page, F.col(x).cast("double").alias("__x"), F.col(value).cast("double").alias("__v"))
+    return left.groupBy(*page).cogroup(right.groupBy(*page)).applyInPandas(align, schema)
 
 
 def lanes(intervals: DataFrame, group: list[str], start: str, end: str, pos: str) -> DataFrame:

@@ -234,6 +234,18 @@ select a // 1000000 as c, a % 1000000 as r, min(b) as component from reach group
 select event_id, cast(sum(fresh) over (partition by user_id order by value, event_id rows unbounded preceding) as bigint) as line from f""",
     "anchor_assignment": f"""with {POLLS_SQL}, a as (select distinct user_id, floor(pct) as place from polls where k % 7 = 0 and party = 'click')
 select event_id, place as anchor from polls left join a on polls.user_id = a.user_id and abs(pct - place) <= 14 qualify row_number() over (partition by event_id order by abs(pct - place), place) = 1""",
+    "lane_pack": """with recursive o as (select o_orderkey as k, o_custkey as c, cast(o_orderdate as date) as a, cast(o_orderdate as date) + cast(o_orderkey % 300 as int) as b from orders),
+n as (select *, row_number() over (partition by c order by a, k) as i from o),
+r(c, i, k, lane, ends) as (select c, i, k, cast(0 as bigint), [b] from n where i = 1 union all
+  select c, i, k, case when free > 0 then free - 1 else len(ends) end, case when free > 0 then list_transform(ends, lambda e, j: case when j = free then b else e end) else list_append(ends, b) end
+  from (select n.c, n.i, n.k, n.b, r.ends, coalesce(list_position(list_transform(r.ends, lambda e: e <= n.a), true), 0) as free from r join n on n.c = r.c and n.i = r.i + 1))
+select k, lane from r""",
+    "greedy_align": f"""with recursive {POLLS_SQL}, l as (select user_id, event_id, pct as x, row_number() over (partition by user_id order by pct, event_id) as i from polls where party = 'click'),
+f as (select user_id, list_sort(list(pct)) as free from polls where party = 'view' group by 1),
+r(user_id, i, event_id, pct, free) as (select user_id, cast(0 as bigint), cast(null as bigint), cast(null as double), free from f union all
+  select user_id, i, event_id, best, list_filter(free, lambda v, j: j <> list_position(free, best))
+  from (select l.user_id, l.i, l.event_id, r.free, list_sort(list_transform(r.free, lambda v: {{'d': abs(v - l.x), 'v': v}}))[1].v as best from r join l on l.user_id = r.user_id and l.i = r.i + 1 where len(r.free) > 0))
+select user_id, event_id, pct from r where i > 0""",
     "next_first_wednesday": """with o as (select o_orderkey, cast(o_orderdate as date) - case o_orderkey % 3 when 0 then 70 when 1 then 50 else 30 end as f from orders),
 y as (select o_orderkey, f, unnest(generate_series(0, 12, 4)) as y from o), d as (select o_orderkey, y, cast(f + to_years(cast(y as int)) as date) as x from y),
 w as (select o_orderkey, y, x + cast((9 - isodow(x) + 1) % 7 as int) as election_day from d)

@@ -1,7 +1,8 @@
 """A Python data source for paged JSON lists: one partition a key, pages read until the total is reached.
 
 Options: template, a path or URL with {key} and {page}; keys, comma-separated; most, pages of a key at most (an error beyond it,
-never a silent end). Pages are {"total": n, "rows": [{...}]}; rows come as JSON text with their key and page. A missing first page
+never a silent end); known, ids already there, comma-separated, of rows' field `id`, and stop: newest come first, so a key ends after
+`stop` pages in a row whose rows are all known. Pages are {"total": n, "rows": [{...}]}; rows come as JSON text with their key and page. A missing first page
 is an empty list.
 """
 
@@ -31,12 +32,13 @@ class PagedSource(DataSource):
 class PagedReader(DataSourceReader):
     def __init__(self, options):
         self.template, self.keys, self.most = options["template"], options["keys"].split(","), int(options.get("most", "1000"))
+        self.known, self.id, self.stop = {k for k in options.get("known", "").split(",") if k}, options.get("id", "id"), int(options.get("stop", "0"))
 
     def partitions(self) -> list[InputPartition]:
         return [InputPartition(k) for k in self.keys]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        seen, page = 0, 1
+        seen, page, stale = 0, 1, 0
         while True:
             if page > self.most:
                 raise ValueError(f"{partition.value} has more than {self.most} pages")
@@ -50,6 +52,9 @@ class PagedReader(DataSourceReader):
             for row in got["rows"]:
                 yield partition.value, page, json.dumps(row, ensure_ascii=False)
             seen += len(got["rows"])
+            stale = stale + 1 if got["rows"] and all(str(r.get(self.id)) in self.known for r in got["rows"]) else 0
+            if self.stop and stale >= self.stop:
+                return
             if seen >= int(got["total"]) or not got["rows"]:
                 return
             page += 1

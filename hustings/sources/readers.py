@@ -44,6 +44,24 @@ def tsv(spark: SparkSession, path: str, names: dict[str, str], numbers: list[str
     return raw.select(*[(F.regexp_replace(F.col(f"`{h}`"), ",", "").try_cast("double") if o in numbers else F.col(f"`{h}`")).alias(o) for o, h in names.items()])
 
 
+def encoding_of(spark: SparkSession, path: str, fallback: str = "ISO-8859-1", head: int = 4096) -> str:
+    """The character set of the first file of a path, by its first bytes: a mark at its start, else UTF-8 if they are, else the fallback."""
+    start = bytes(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).orderBy("path").select(F.substring("content", 1, head)).first()[0])
+    if start[:2] in (b"\xff\xfe", b"\xfe\xff"):
+        return "UTF-16"
+    try:
+        start.decode("utf-8-sig")
+    except UnicodeDecodeError as e:
+        if e.start < len(start) - 3:  # a character cut off at the end of the head is none of another set
+            return fallback
+    return "UTF-8"
+
+
+def encoded_csv(spark: SparkSession, path: str, schema: str, fallback: str = "ISO-8859-1") -> DataFrame:
+    """A CSV file or folder in the character set that its first bytes tell."""
+    return spark.read.schema(schema).option("header", True).option("encoding", encoding_of(spark, path, fallback)).csv(path)
+
+
 def unpivot(df: DataFrame, meta: list[str], name: str = "option", value: str = "votes") -> DataFrame:
     """Every column outside meta is an option; null and blank values are left out, commas removed."""
     wide = df.select(*meta, *[F.regexp_replace(F.col(f"`{c}`").cast("string"), ",", "").try_cast("double").alias(c) for c in df.columns if c not in meta])

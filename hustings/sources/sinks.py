@@ -55,6 +55,16 @@ def replaced(old: DataFrame, new: DataFrame, match: Column) -> DataFrame:
     return old.filter(~F.coalesce(match, F.lit(False))).unionByName(new.select(*old.columns))
 
 
+def lite(df: DataFrame, path: str, keep: Column, columns: list[str]) -> None:
+    """Overwrite a smaller table: the rows to keep, with the named columns only."""
+    df.filter(keep).select(*columns).write.mode("overwrite").parquet(path)
+
+
+def to_scan(candidates: DataFrame, scanned: DataFrame, key: list[str], version: str) -> DataFrame:
+    """Candidates never scanned, or scanned in another version: scans without a result are remembered too and not repeated."""
+    return candidates.join(scanned.select(*key, version).distinct(), [*key, version], "left_anti")
+
+
 def append_csv(df: DataFrame, path: str) -> None:
     df.write.mode("append").option("header", True).csv(path)
 
