@@ -2,9 +2,10 @@
 
 A text becomes segments that no vocabulary piece crosses (a space or line break starts one). Segments not seen before by the
 worker are laid end to end in flat numpy arrays: symbols, and the rank of the pair that starts at each. In every round the
-least rank of each segment is found by a segmented minimum, its leftmost pair is merged in all segments at once, the arrays
+least rank of each segment is found by a segmented minimum, its pairs of that rank are merged in all segments at once, the arrays
 are compacted, and only pairs beside a merge are ranked again; segments without a pair that merges leave. That is the
-library's order exactly: best score first, then leftmost. Segments of over LONG symbols take the same merges from a heap.
+library's order exactly: best score first, then leftmost. Of overlapping pairs the left ones merge, and a merge beside which a
+better pair comes up is the last of its segment in a round. So rounds follow the ranks in a segment, not its length.
 
 Null text counts as empty. The empty text has the begin and end ids alone. Texts are encoded whole. Repeated rows are
 encoded each; an empty table gives an empty result; only the id and text columns are read.
@@ -13,7 +14,6 @@ encoded each; an empty table gives an empty result; only the id and text columns
 from __future__ import annotations
 
 import codecs
-import heapq
 import re
 from collections.abc import Iterator
 from functools import lru_cache
@@ -27,8 +27,8 @@ from hustings.llm.batches import pieces
 from hustings.workers import importable
 
 SPACE = "▁"
-#: Segments remembered by a worker, the longest that is remembered, and the longest that is merged in rounds.
-REMEMBERED, LONGEST, LONG = 400_000, 48, 4096
+#: Segments remembered by a worker, and the longest that is remembered.
+REMEMBERED, LONGEST = 400_000, 48
 NONE = np.iinfo(np.int32).max
 SEGMENTS = re.compile(f"{SPACE}+[^{SPACE}\n]*|\n[^{SPACE}\n]*")
 
@@ -72,7 +72,6 @@ class Codec:
         self.keys = np.array([p[0] for p in pairs] + [np.iinfo(np.int64).max], np.int64)
         self.ranks = np.array([p[1] for p in pairs] + [NONE], np.int32)
         self.merged = np.array([p[2] for p in pairs] + [-1], np.int32)
-        self.by_pair = {p[0]: (p[1], p[2]) for p in pairs}
 
     def _decoding(self, text: list[str], special: list[bool], byte: list[bool], unknown: int, n: int) -> None:
         surface = [b"" if special[i] else bytes([int(text[i][3:5], 16)]) if byte[i] else text[i].replace(SPACE, " ").encode() for i in range(n)]
@@ -110,8 +109,7 @@ class Codec:
                 if not len(symbols):
                     break
             hit = np.flatnonzero(rank == np.repeat(least, size))
-            own = segment[hit]
-            hit = hit[np.append(True, own[1:] != own[:-1])]
+            hit = self._at_once(hit, symbols, segment, rank, into)
             symbols[hit] = into[hit]
             keep = np.ones(len(symbols), bool)
             keep[hit + 1] = False
@@ -128,27 +126,25 @@ class Codec:
         order = np.argsort(segment, kind="stable")
         return symbols[order], segment[order]
 
-    def _heap(self, symbols: list[int]) -> list[int]:
-        """The same merges of one long segment."""
-        after, before = [*range(1, len(symbols)), -1], [*range(-1, len(symbols) - 1)]
-        alive, queue = [True] * len(symbols), []
-
-        def offer(i: int, j: int) -> None:
-            if i >= 0 and j >= 0 and symbols[i] >= 0 and symbols[j] >= 0 and (x := self.by_pair.get(symbols[i] * self.symbols + symbols[j])):
-                heapq.heappush(queue, (x[0], i, j, symbols[i], symbols[j], x[1]))
-
-        for i in range(len(symbols) - 1):
-            offer(i, i + 1)
-        while queue:
-            _, i, j, a, b, into = heapq.heappop(queue)
-            if not (alive[i] and alive[j]) or after[i] != j or symbols[i] != a or symbols[j] != b:
-                continue
-            symbols[i], alive[j], after[i] = into, False, after[j]
-            if after[j] >= 0:
-                before[after[j]] = i
-            offer(before[i], i)
-            offer(i, after[i])
-        return [s for s, x in zip(symbols, alive, strict=True) if x]
+    def _at_once(self, hit: np.ndarray, symbols: np.ndarray, segment: np.ndarray, rank: np.ndarray, into: np.ndarray) -> np.ndarray:
+        """Of the places of each segment's best pairs those that the library merges one after another, with no other pair between."""
+        nth = np.arange(len(hit))
+        run = np.append(True, hit[1:] != hit[:-1] + 1)  # pairs of one run overlap: every second merges
+        hit = hit[(nth - np.maximum.accumulate(np.where(run, nth, 0))) % 2 == 0]
+        first = np.append(True, segment[hit[1:]] != segment[hit[:-1]])
+        if first.all():
+            return hit
+        k = np.flatnonzero(~first | np.append(~first[1:], False))
+        h, end = hit[k], len(symbols) - 1
+        beside = ~first[k] & (hit[k - 1] + 2 == h)  # what lies to the left has just been merged
+        left = np.where(beside, into[hit[k - 1]], symbols[np.maximum(h - 1, 0)])
+        right = np.minimum(h + 2, end)
+        better = (h > 0) & (segment[h - 1] == segment[h]) & (self._rank(left, into[h])[0] < rank[h])
+        better |= (h + 2 <= end) & (segment[right] == segment[h]) & (self._rank(into[h], symbols[right])[0] < rank[h])
+        found = np.zeros(len(hit), np.int64)
+        found[k] = better
+        before = np.cumsum(found) - found
+        return hit[before == before[np.flatnonzero(first)][np.cumsum(first) - 1]]
 
     def _spelt(self, symbols: list[int], chars: str, at: int) -> list[int]:
         """Ids of symbols of which some have none: those are characters, spelt in bytes. symbols cover chars from `at` on."""
@@ -164,20 +160,14 @@ class Codec:
 
     def _learn(self, missing: list[str]) -> None:
         full = [w if w[:1] == "\n" else SPACE + w for w in missing]
-        short = [k for k, w in enumerate(full) if len(w) <= LONG]
-        for k in (k for k, w in enumerate(full) if len(w) > LONG):
-            points = np.frombuffer(full[k].encode("utf-32-le"), np.uint32)
-            self.known[missing[k]] = np.array(self._spelt(self._heap(self.of_char[points].tolist()), full[k], 0), "<u4").tobytes()
-        if not short:
-            return
-        flat = "".join(full[k] for k in short)
-        sizes = np.array([len(full[k]) for k in short])
-        symbols, segment = self._rounds(self.of_char[np.frombuffer(flat.encode("utf-32-le"), np.uint32)], np.repeat(np.arange(len(short)), sizes))
-        ends = np.searchsorted(segment, np.arange(len(short)), "right")
-        odd = np.zeros(len(short), bool)
+        sizes = np.array([len(w) for w in full])
+        points = np.frombuffer("".join(full).encode("utf-32-le"), np.uint32)
+        symbols, segment = self._rounds(self.of_char[points], np.repeat(np.arange(len(full)), sizes))
+        ends = np.searchsorted(segment, np.arange(len(full)), "right")
+        odd = np.zeros(len(full), bool)
         odd[segment[(symbols < 0) | (symbols >= self.real)]] = True
         packed, a = symbols.astype("<u4").tobytes(), 0
-        for k, b, x in zip(short, ends.tolist(), odd.tolist(), strict=True):
+        for k, (b, x) in enumerate(zip(ends.tolist(), odd.tolist(), strict=True)):
             self.known[missing[k]] = np.array(self._spelt(symbols[a:b].tolist(), full[k], 0), "<u4").tobytes() if x else packed[4 * a : 4 * b]
             a = b
 

@@ -3,11 +3,14 @@
 The word-level vocabulary file drops white space and splits at it after composing (NFC) and lower-casing; neither step looks
 across a space, tab or line break, and no special token holds one. So the ids of a text are those of its pieces between
 them, one after another, and each distinct piece needs encoding once per worker. The memory for pieces is bounded.
+
+All this holds for files with the settings below alone; with a file of other settings texts are encoded whole.
 """
 
 from __future__ import annotations
 
 import gc
+import json
 import os
 from functools import lru_cache
 
@@ -15,6 +18,9 @@ import numpy as np
 
 #: Pieces remembered by a worker, the longest piece that is remembered, and the longest that stays when there are too many.
 REMEMBERED, LONGEST, SHORT = 1_000_000, 48, 8
+#: The settings of a file whose words can be encoded one by one.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLITTER = {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}
 #: The first character beyond Latin-1.
 LATIN = "\u0100"
 
@@ -33,6 +39,16 @@ def lowered(text: str) -> str:
     return text if "<|" in text else text.lower()
 
 
+def splits_at_space(settings: dict) -> bool:
+    """Whether a tokenizer file's settings are those that word-wise encoding relies on."""
+    first = (settings["pre_tokenizer"] or {}).get("pretokenizers", [{}])[0]
+    split = (first.get("type"), first.get("pattern"), first.get("behavior"), first.get("invert")) == ("Split", SPLITTER, "Removed", True)
+    special = all(a["content"][:2] == "<|" and not any(c.isspace() for c in a["content"]) and not (a["lstrip"] or a["rstrip"]) for a in settings["added_tokens"])
+    model = settings["model"]
+    sure = not model.get("dropout") and not model.get("ignore_merges") and settings["truncation"] is None and settings["padding"] is None
+    return settings["normalizer"] == NORMALIZER and split and special and sure and model["type"] == "BPE"
+
+
 class WordEncoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -41,6 +57,7 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.known: dict[str, bytes] = {"": b""}
+        self.by_word = splits_at_space(json.loads(self.tokenizer.to_str()))
 
     def _learn(self, missing: set[str]) -> None:
         known = self.known
@@ -63,6 +80,8 @@ class WordEncoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text, packed as self.dtype; null counts as empty."""
+        if not self.by_word:
+            return [np.array(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)]
         collects = gc.isenabled()
         gc.disable()  # many short-lived tuples, no cycles
         try:

@@ -55,10 +55,11 @@ def test_sentencepiece_decodes_any_ids(sp, own, ids):
     assert own.decode(np.array(ids, "<u4").tobytes()) == sp.decode(ids)
 
 
-def test_sentencepiece_heap_makes_the_same_merges(own, sp):
-    text = "".join(random.choices("abcdeth", k=300))
-    points = [int(own.of_char[ord(c)]) for c in "▁" + text]
-    assert own._heap(points) == sp.encode(text)
+def test_sentencepiece_merges_equal_pairs_at_once(own, sp):
+    parts = ["the", "ing", "tion", "under", "stand", "aaa", "ababab", "xyxy", "é", "漢字", "isis"]
+    texts = ["".join(random.choices(of, k=n)) for n in (3, 8, 40, 3000) for of in (parts, "ab", "abcdeth", "aab") for _ in range(30 if n < 100 else 2)]
+    for t, got in zip(texts, own.encode(texts), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == sp.encode(t), t[:80]
 
 
 def test_sentencepiece_forgets(own, sp, monkeypatch):
@@ -193,3 +194,18 @@ def test_packing_on_spark(spark, plain):
     assert packing.pack(spark.createDataFrame([], SCHEMA), WORDS).count() == 0
     crc = spark.createDataFrame(rows[:1]).select(F.crc32("ids")).first()[0]
     assert crc == zlib.crc32(rows[0].ids)
+
+
+def test_other_tokenizer_files_are_encoded_whole(tmp_path):
+    import json
+
+    from tokenizers import Tokenizer
+
+    settings = json.loads(open(WORDS, encoding="utf-8").read())
+    settings["normalizer"]["normalizers"].pop(1)  # white space stays as it is
+    path = tmp_path / "other.json"
+    path.write_text(json.dumps(settings), encoding="utf-8")
+    own, plain = word_tokens.WordEncoder(str(path)), Tokenizer.from_file(str(path))
+    assert not own.by_word and word_tokens.WordEncoder(WORDS).by_word
+    for t, got in zip(HARD, own.encode(HARD), strict=True):
+        assert np.frombuffer(got, own.dtype).tolist() == plain.encode(t or "", add_special_tokens=False).ids
