@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hustings.llm import exact_dedup, jaccard_join, language_id, packing, secret_scan
-from hustings.workers import written
+from hustings.workers import temporary, written
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,6 +55,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The rows of the last stage, over all of documents."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), f"stage-{name}")
-    return docs
+    with temporary(spark) as last:
+        for name, stage in STAGES:
+            with temporary(spark) as keep:  # a stage's own tables go when it is written
+                docs = keep(written(stage(spark, docs, sf_dir), f"stage-{name}"))
+        return last(docs)
