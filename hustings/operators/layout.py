@@ -81,8 +81,8 @@ def lines(words: DataFrame, page: list[str], y: str, gap: float, pos: list[str])
     return words.withColumn("__new", F.coalesce(F.col(y) - F.lag(y).over(w) > gap, F.lit(True)).cast("int")).withColumn("line", F.sum("__new").over(w)).drop("__new")
 
 
-def anchored(words: DataFrame, anchors: DataFrame, page: list[str], x: str, anchor: str, most: float) -> DataFrame:
-    """words with the nearest anchor of their page within `most`, the lower of two as near; null if there is none.
+def anchored(words: DataFrame, anchors: DataFrame, page: list[str], x: str, anchor: str, most: float, pos: tuple[str, ...] | list[str] = ()) -> DataFrame:
+    """words with the nearest anchor of their page within `most`, the lower of two as near (so pos settles nothing); null if there is none.
 
     Anchors of a page are few: they form one list, and each word stays one row.
     """

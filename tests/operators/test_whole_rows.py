@@ -168,3 +168,14 @@ def test_the_shared_folder_must_be_named_on_a_cluster():
         workers.shared_dir(Session)
     Session.conf.get = staticmethod(lambda key, default: "hdfs:///shared")
     assert workers.shared_dir(Session) == "hdfs:///shared"
+
+
+def test_paged_source_stops_at_known_pages(tmp_path):
+    (tmp_path / "k").mkdir()
+    for page in range(1, 6):
+        (tmp_path / "k" / str(page)).write_text(json.dumps({"total": 10, "rows": [{"id": 20 - 2 * page}, {"id": 19 - 2 * page}]}))
+    options = {"template": f"file://{tmp_path}/{{key}}/{{page}}", "keys": "k,none"}
+    read = lambda **more: [p for _, p, _ in PagedReader(options | more).read(PagedReader(options).partitions()[0])]
+    assert read() == [1, 1, 2, 2, 3, 3, 4, 4, 5, 5]
+    assert read(known="16,15,14,13,12,11", stop="2") == [1, 1, 2, 2, 3, 3] and read(known="16,14", stop="1") == [1, 1, 2, 2, 3, 3, 4, 4, 5, 5]
+    assert list(PagedReader(options).read(PagedReader(options).partitions()[1])) == []
