@@ -149,11 +149,13 @@ def resolve_aliases(df: DataFrame, lifecycle: DataFrame, name: str, when: str, r
     """Follow names through time: lifecycle (name, since, until, before_as, after_as), a small dimension with one row a name.
 
     Before its since a name becomes before_as (null: hidden), from its until on after_as, again and again, at most `rounds` times.
+    Only distinct pairs of name and time go through the rounds; one join takes what they become back to the rows, which all stay.
     """
-    life = F.broadcast(lifecycle.select(F.col("name").alias("__l"), "since", "until", "before_as", "after_as"))
-    out = df.withColumn("resolved", F.col(name))
+    life = lifecycle.select(F.col("name").alias("__l"), "since", "until", "before_as", "after_as")
+    pairs = df.select(F.col(name).alias("__name"), F.col(when).alias("__when")).distinct().withColumn("__to", F.col("__name"))
     for _ in range(rounds):
-        j = out.join(life, F.col("resolved") == F.col("__l"), "left")
-        nxt = F.when(F.col(when) < F.col("since"), F.col("before_as")).when(F.col(when) >= F.col("until"), F.col("after_as")).otherwise(F.col("resolved"))
-        out = j.withColumn("resolved", nxt).select(*df.columns, "resolved")
-    return out
+        j = pairs.join(life, F.col("__to") == F.col("__l"), "left")
+        nxt = F.when(F.col("__when") < F.col("since"), F.col("before_as")).when(F.col("__when") >= F.col("until"), F.col("after_as")).otherwise(F.col("__to"))
+        pairs = j.select("__name", "__when", nxt.alias("__to"))
+    back = F.col(name).eqNullSafe(F.col("__name")) & F.col(when).eqNullSafe(F.col("__when"))
+    return df.join(pairs, back, "left").select(*df.columns, F.col("__to").alias("resolved"))

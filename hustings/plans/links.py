@@ -62,14 +62,14 @@ def asof_era(spark, sf_dir):
 def interval_term(spark, sf_dir):
     orders = table(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("day"))
     terms = _values(spark, ERAS, "n int, start string, stop string, holder string").select(F.to_date("start").alias("start"), F.to_date("stop").alias("stop"), "holder")
-    out = joins.within_term(orders, F.broadcast(terms), "day", "start", "stop", ["holder"])
+    out = joins.within_term(orders, terms, "day", "start", "stop", ["holder"])
     return out.select("o_orderkey", F.coalesce("holder", F.lit("")).alias("holder"))
 
 
 def name_by_date(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").groupBy(F.date_format("o_orderdate", "yyyy-MM").alias("ym"), F.col("o_orderstatus").alias("party")).agg(F.count("*").alias("n"))
     eras = _values(spark, [("F", "1997-01", "F-one"), ("F", "1999-06", "F-two"), ("F", None, "F-now"), ("O", "1996-03", "O-one")], "party string, upper string, name string")
-    return joins.name_by_upper_bound(rows, F.broadcast(eras), "party", "ym", "upper", "name")
+    return joins.name_by_upper_bound(rows, eras, "party", "ym", "upper", "name")
 
 
 def ordered_fallback_match(spark, sf_dir):

@@ -2,10 +2,13 @@
 
 import datetime as dt
 import json
+import random
+import statistics
 import threading
 from http.server import BaseHTTPRequestHandler, HTTPServer
 
 import pytest
+from pyspark.sql import functions as F
 
 from hustings.operators import geometry, joins, layout, resolve, trends
 from hustings.sources import readers
@@ -179,3 +182,30 @@ def test_paged_source_stops_at_known_pages(tmp_path):
     assert read() == [1, 1, 2, 2, 3, 3, 4, 4, 5, 5]
     assert read(known="16,15,14,13,12,11", stop="2") == [1, 1, 2, 2, 3, 3] and read(known="16,14", stop="1") == [1, 1, 2, 2, 3, 3, 4, 4, 5, 5]
     assert list(PagedReader(options).read(PagedReader(options).partitions()[1])) == []
+
+
+def test_outliers_as_python_finds_them(spark):
+    rng = random.Random(3)
+    rows = [(i, rng.choice(["a", "b", None]), rng.choice([None, *range(40)]), rng.choice([None, 1.0, 5.5, 20.0, 30.0, 31.0, 90.0]), "x") for i in range(400)]
+    rows += rows[:20]
+    df = spark.createDataFrame(rows, "i long, k string, d int, v double, extra string").withColumn("day", F.date_add(F.lit("2024-01-01"), F.col("d")))
+    want = []
+    for i, k, d, v, _ in rows:
+        near = [y for _, k2, d2, y, _ in rows if k2 == k and None not in (d, d2, y) and abs(d - d2) <= 3]
+        if v is None or len(near) < 3:
+            continue
+        m = statistics.median(near)
+        mad = statistics.median(abs(y - m) for y in near)
+        if mad >= 2 and abs(v - m) > max(15, 1.5 * mad):
+            want.append((i, len(near), m, mad))
+    got = trends.mad_outliers(df, ["k"], "day", "v", "i", days=3, times=1.5).select("i", "n", "median", "mad").collect()
+    assert want and sorted(map(tuple, got)) == sorted(want)
+    assert trends.mad_outliers(df.limit(0), ["k"], "day", "v", "i").count() == 0
+
+
+def test_aliases_keep_every_row(spark):
+    rows = [("a", 1), ("a", 1), ("a", 9), ("b", 9), (None, 3), ("a", None), ("z", 3)]
+    df = spark.createDataFrame(rows, "n string, t int")
+    life = spark.createDataFrame([("a", 2, None, "b", None), ("b", None, 5, None, "c")], "name string, since int, until int, before_as string, after_as string")
+    got = sorted(map(tuple, joins.resolve_aliases(df, life, "n", "t", rounds=3).collect()), key=str)
+    assert got == sorted([("a", 1, "b"), ("a", 1, "b"), ("a", 9, "a"), ("b", 9, "c"), (None, 3, None), ("a", None, "a"), ("z", 3, "z")], key=str)
