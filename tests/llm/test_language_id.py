@@ -1,5 +1,6 @@
 """Language ID: held-out accuracy, rejection and odd rows."""
 
+import math
 import os
 
 import numpy as np
@@ -66,3 +67,61 @@ def test_gibberish_and_unlearned_languages_go(spark):
     for text in ("Von.", "That it.", "Pachque çaneux et.", "Des enberge die enver.", "Of anntre erthnd, thlyre to the."):
         assert not model.predict(text)[2]
     assert (model.limits > 0).all() and (np.linalg.norm(model.centroids, axis=0) > 0.99).all()
+
+
+def plain_counts(text: str) -> dict[int, int]:
+    """Hashed n-grams of 2 to 4 bytes, one by one."""
+    kept = "".join(chr(c) if chr(c).isalpha() and c < 0x80 or c >= 0x80 else " " for c in text.lower().encode())
+    raw = " " + " ".join(kept.split(" ")) + " "
+    while "  " in raw:
+        raw = raw.replace("  ", " ")
+    out: dict[int, int] = {}
+    for n in (2, 3, 4):
+        for i in range(len(raw) - n + 1):
+            h = ord(raw[i])
+            for c in raw[i + 1 : i + n]:
+                h = (h * 0x01000193 & 0xFFFFFFFF) ^ (ord(c) * 0x9E3779B1 & 0xFFFFFFFF)
+            at = (h * 0x85EBCA6B & 0xFFFFFFFF) >> 18
+            out[at] = out.get(at, 0) + 1
+    return out
+
+
+def unit(v: dict[int, float]) -> dict[int, float]:
+    size = math.sqrt(sum(x * x for x in v.values()))
+    return {k: x / size for k, x in v.items()}
+
+
+def dot(a: dict[int, float], b: dict[int, float]) -> float:
+    return sum(x * b[k] for k, x in a.items() if k in b)
+
+
+@pytest.mark.skipif(not os.path.exists(SF), reason="no test data")
+def test_predictions_as_plain_centroids_give_them(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").filter("lang IS NOT NULL AND length(text) BETWEEN 1 AND 3000 AND text RLIKE '[a-z]'")
+    model = language_id.fit(docs, per_language=10_000)
+    rows = docs.collect()
+    assert len(rows) > 50
+    seen = [plain_counts(r.text) for r in rows]
+    held: dict[int, int] = {}
+    for c in seen:
+        for k in c:
+            held[k] = held.get(k, 0) + 1
+    idf = lambda k: math.log((1 + len(rows)) / (1 + held.get(k, 0))) + 1
+    vectors = [unit({k: (1 + math.log(n)) * idf(k) for k, n in c.items()}) for c in seen]
+    found = [({k: float(x) for k, x in enumerate(model.centroids[:, c]) if x}, lang) for c, lang in enumerate(model.languages)]
+    for r, v in zip(language_id.predict(docs, model).collect(), vectors, strict=True):
+        scores = [(dot(v, c), lang) for c, lang in found]
+        best = max(s for s, _ in scores)
+        assert abs(r.score - min(1.0, best)) < 1e-9
+        assert r.lang_pred in {lang for s, lang in scores if s > best - 1e-9}
+    for lang in set(model.languages):  # a centroid is the mean direction of the texts nearest to it
+        own, near = [c for c, x in found if x == lang], {}
+        for r, v in zip(rows, vectors, strict=True):
+            if r.lang == lang:
+                near.setdefault(max(range(len(own)), key=lambda i: dot(v, own[i])), []).append(v)
+        for i, vs in near.items():
+            mean: dict[int, float] = {}
+            for v in vs:
+                for k, x in v.items():
+                    mean[k] = mean.get(k, 0.0) + x
+            assert dot(unit(mean), own[i]) > 0.99
