@@ -43,8 +43,6 @@ def test_longest_contained(spark):
 
 
 def test_first_key_that_matches(spark):
-    from pyspark.sql import functions as F
-
     df = spark.createDataFrame([("a", None), ("a", None), (None, 1), ("c", 2)], "k string, n int")
     table = spark.createDataFrame([("A", 7), ("A", 5), ("a!", 9)], "w string, v int")
     got = rows(joins.first_key_that_matches(df, F.array(F.upper("k"), F.concat("k", F.lit("!"))), table, "w", "v"))
