@@ -85,12 +85,18 @@ def valid_answer(positive: Column, negative: Column, unknown: Column) -> Column:
     return F.when(unknown.isNotNull(), (positive + negative + unknown).between(97, 103)).otherwise((positive + negative).between(80, 100))
 
 
-def noise_name(name: Column, words: list[str], endings: list[str]) -> Column:
-    """Whether a token isn't a name: not 2 to 4 letters, a listed word, or with a listed ending."""
-    ends = F.lit(False)
-    for e in endings:
-        ends = ends | F.endswith(name, F.lit(e))
-    return ~F.coalesce(name.rlike(r"^\p{L}{2,4}$"), F.lit(False)) | name.isin(words) | ends
+def noise_name(name: Column, words: list[str], endings: list[str], starts: list[str] = [], holds: list[str] = [], patterns: list[str] = [], longer: list[str] = []) -> Column:  # noqa: B006
+    """Whether a token isn't a name: not 2 to 4 letters (null included), a listed word, with a listed start or ending, holding a listed part
+    anywhere, matching a pattern, or holding a part of `longer` and more letters than that part.
+
+    The lists are the caller's vocabulary; as all rules are or-ed, their order doesn't matter. Lists of texts become one alternation each.
+    """
+    quoted = lambda parts: "|".join(rf"\Q{p}\E" for p in parts)
+    whole = [rf"^(?:{quoted(starts)})"] * bool(starts) + [f"(?:{quoted(holds)})"] * bool(holds) + [f"(?:{quoted(endings)})$"] * bool(endings)
+    found = ~F.coalesce(name.rlike(r"^\p{L}{2,4}$"), F.lit(False)) | name.isin(words)
+    for rule in whole + patterns + [rf"(?:.{p}|{p}.)" for p in map(lambda x: rf"\Q{x}\E", longer)]:
+        found = found | name.rlike(rule)
+    return found
 
 
 def fused(token: Column, parties: list[str]) -> Column:

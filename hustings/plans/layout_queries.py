@@ -126,7 +126,7 @@ def answer_validation(spark, sf_dir):
 
 def noise_names(spark, sf_dir):
     d = table(spark, sf_dir, "documents").select("lang", F.explode(F.split(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+")).alias("w"))
-    return d.filter(~text.noise_name(F.col("w"), ["the", "of", "die"], ["n", "er"])).groupBy("lang", "w").agg(F.count("*").alias("n"))
+    return d.filter(~text.noise_name(F.col("w"), ["the", "of", "die"], ["n", "er"], ["ch", "qu"], ["ll", "."], ["[aeiou]{3}", "^(.).?\\1$"], ["que"])).groupBy("lang", "w").agg(F.count("*").alias("n"))
 
 
 def fused_tokens(spark, sf_dir):
@@ -263,7 +263,7 @@ select user_id, day, case when len(v) > 1 and len(list_filter(v, lambda x: abs(2
     "label_cascade": f"with {POLLS_SQL} select event_id, case when regexp_matches(party || ' ' || k, '1$|7$') then 'dk' when contains(party, 'e') then 'neg' when contains(party, 'i') then 'pos' end as label from polls",
     "answer_validation": f"""with {POLLS_SQL}, g as (select user_id, day, sum(round(pct)) filter (party = 'click') as p, sum(round(pct)) filter (party = 'view') as n, sum(round(pct)) filter (party = 'error') as u from polls group by all)
 select user_id, day from g where case when u is not null then p + n + u between 97 and 103 else p + n between 80 and 100 end""",
-    "noise_names": rf"with {WORDS_SQL} select lang, w, count(*) as n from words where regexp_full_match(w, '\pL{{2,4}}') and w not in ('the', 'of', 'die') and not suffix(w, 'n') and not suffix(w, 'er') group by all",
+    "noise_names": rf"with {WORDS_SQL} select lang, w, count(*) as n from words where regexp_full_match(w, '\pL{{2,4}}') and w not in ('the', 'of', 'die') and not suffix(w, 'n') and not suffix(w, 'er') and not prefix(w, 'ch') and not prefix(w, 'qu') and not contains(w, 'll') and not regexp_matches(w, '[aeiou]{{3}}') and not (length(w) in (2, 3) and w[1] = w[-1]) and not (contains(w, 'que') and length(w) > 3) group by all",
     "fused_tokens": """with t as (select p_partkey, replace(p_name, ' ', '') as t from part), p as (select * from (values ('bolt'), ('gear'), ('red'), ('hot')) v(p)),
 c as (select p_partkey, t, p, suffix(t, p) as ends from t join p on length(t) >= 5 and length(t) - length(p) between 2 and 4 and (suffix(t, p) or starts_with(t, p)))
 select p_partkey, case when ends then left(t, length(t) - length(p)) else right(t, length(t) - length(p)) end as name, p as party from c
