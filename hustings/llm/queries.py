@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hustings.llm import chat_format, embedding_dedup, exact_dedup, jaccard_join, language_id, packing, secret_scan, sentencepiece_codec, substring_dedup, token_files
+from hustings.llm import chat_format, collocations, embedding_dedup, exact_dedup, jaccard_join, language_id, packing, secret_scan, sentencepiece_codec, substring_dedup, token_files
 from hustings.workers import scratch
 
 
@@ -79,11 +79,15 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.annotate(_table(spark, sf_dir, "documents"))
 
 
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_sentencepiece, op2_substring_dedup, op3_token_files, op4_language_id, op5_chat_format,
-        op6_secret_scan, op7_packing, op8_jaccard_join, op9_embedding_dedup, op10_exact_dedup,
+        op6_secret_scan, op7_packing, op8_jaccard_join, op9_embedding_dedup, op10_exact_dedup, op13_collocations,
     )
 }
 
@@ -98,6 +102,21 @@ select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text |
   sha256(coalesce(string_agg(text, '' order by turn nulls last, role, text) filter (role = 'assistant'), '')) as loss_sha256,
   cast(sum(12 + length(role) + 1 + length(x) + 11) as bigint) as formatted_chars
 from e group by conv_id""",
+    "op13_collocations": r"""
+with t as (select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents),
+p as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from t),
+n as (select lang, cast(sum(len(w)) as bigint) as n from p group by 1),
+s as (select lang, size, array_to_string(list_slice(w, i, i + size - 1), ' ') as phrase
+  from (select *, unnest(range(1, len(w) - size + 2)) as i from p, (values (1), (2), (3)) as k(size) where len(w) >= size)),
+f as (select lang, size, phrase, count(*) as f from s group by 1, 2, 3 having count(*) >= 10),
+c as (select lang, size, phrase, f as a, string_split(phrase, ' ') as w from f where size > 1),
+k as (select c.*, unnest(range(1, size)) as k from c),
+z as (select k.lang, k.phrase, k.a, k.k, x.f as l, y.f as r, cast(k.a::hugeint * k.a * 1000000 // (x.f::hugeint * y.f) as bigint) as score from k
+  join f x on x.lang = k.lang and x.phrase = array_to_string(list_slice(k.w, 1, k.k), ' ') join f y on y.lang = k.lang and y.phrase = array_to_string(list_slice(k.w, k.k + 1, len(k.w)), ' ')),
+b as (select * from z qualify row_number() over (partition by lang, phrase order by score, k) = 1),
+d as (select lang, phrase, max(a) as most from (select lang, a, array_to_string(list_slice(w, i, i + 1), ' ') as phrase from (select *, unnest([1, 2]) as i from c where size = 3)) group by 1, 2)
+select b.lang, row_number() over (partition by b.lang order by score desc, a desc, b.phrase) as rank, b.phrase, a, l, r, n, score
+from b join n on n.lang = b.lang left join d on d.lang = b.lang and d.phrase = b.phrase where most is null or 100 * most < 50 * a qualify rank <= 2000""",
     "op10_exact_dedup": """
 with d as (select doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) as text_sha256 from documents)
 select doc_id, max(doc_id) over g as keep_id, count(*) over g as group_size, doc_id = max(doc_id) over g as kept, text_sha256
