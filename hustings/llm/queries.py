@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hustings.llm import chat_format, collocations, embedding_dedup, exact_dedup, jaccard_join, language_id, packing, secret_scan, sentencepiece_codec, substring_dedup, token_files
+from hustings.llm import chat_format, collocations, embedding_dedup, exact_dedup, jaccard_join, language_id, mixing, packing, secret_scan, sentencepiece_codec, substring_dedup, token_files, vector_codes
 from hustings.workers import scratch
 
 
@@ -79,6 +79,14 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.annotate(_table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.annotate(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
 def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(_table(spark, sf_dir, "documents"))
 
@@ -87,11 +95,47 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_sentencepiece, op2_substring_dedup, op3_token_files, op4_language_id, op5_chat_format,
-        op6_secret_scan, op7_packing, op8_jaccard_join, op9_embedding_dedup, op10_exact_dedup, op13_collocations,
+        op6_secret_scan, op7_packing, op8_jaccard_join, op9_embedding_dedup, op10_exact_dedup, op11_vector_codes, op12_source_mix, op13_collocations,
     )
 }
 
+
+
+def _codes_sql(rounds: int = 6) -> str:
+    """Assignment and movement, round by round."""
+    near = lambda c: f"""select p.vec_id, p.label, p.part, p.x, arg_min(k, (d, k)) as k, min(d) as d from
+  (select p.*, c.k, list_sum(list_transform(list_zip(p.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) as d from p join {c} c using (part)) p group by all"""
+    steps = [f"""a{i} as materialized (select part, k, x from ({near(f"c{i}")})),
+m{i} as materialized (select part, k, list((s - ((s % n) + n) % n) // n order by j) as x from (select part, k, j, sum(x[j]) as s, count(*) as n from (select part, k, x, unnest(range(1, len(x) + 1)) as j from a{i}) group by all) group by all),
+c{i + 1} as materialized (select c.part, c.k, coalesce(m.x, c.x) as x from c{i} c left join m{i} m using (part, k)),""" for i in range(rounds)]
+    return f"""
+with v as materialized (select vec_id, label, list_transform(embedding, lambda v: cast(floor(v::double * 4096) as hugeint)) as x from embeddings
+  where len(list_filter(embedding, lambda v: v is not null and isfinite(v))) = len(embedding)),
+p as materialized (select vec_id, label, part, list_slice(x, part * len(x) // 8 + 1, (part + 1) * len(x) // 8) as x from v, range(8) r(part)),
+c0 as materialized (select part, row_number() over (partition by part order by vec_id) - 1 as k, x from p where vec_id in (select vec_id from v order by 1 limit 16)),
+{chr(10).join(steps)}
+f as materialized ({near(f"c{rounds}")}),
+e as (select vec_id, label, string_agg(format('{{:02x}}', k), '' order by part) as code, cast(sum(d) as bigint) as error from f group by all)
+select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error,
+  (select sha256(string_agg(v, ',' order by part, k, j)) from (select part, k, unnest(range(len(x))) as j, cast(unnest(x) as varchar) as v from c{rounds})) as codebooks_sha256 from e"""
+
+
 ORACLE_SQL = {
+    "op11_vector_codes": _codes_sql(),
+    "op12_source_mix": r"""
+with recursive d as materialized (select doc_id, source, cast(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) as bigint) as size,
+  substr(md5(coalesce(cast(doc_id as varchar), '') || ':' || coalesce(text, '')), 1, 15) as h from documents),
+s as materialized (select *, [3, 1, 2][1 + (row_number() over (order by source nulls last) - 1) % 3] as w from (select source, cast(sum(size) as bigint) as z from d group by 1)),
+t as materialized (select cast(sum(z) as hugeint) as total from s),
+r(step, rest, open) as (select 0, 150 * total, (select cast(sum(w) as hugeint) from s) from t
+  union all select step + 1, 150 * total - 200 * coalesce((select sum(z) from s where rest * w >= 200 * z * open), 0), coalesce((select sum(w) from s where rest * w < 200 * z * open), 0) from r, t where step < 40 and open > 0),
+l as (select rest, open from r where open > 0 order by step desc limit 1),
+g as (select source, z, case when rest * w >= 200 * z * open then 2.0 * z else cast(rest * w as double) / (100.0 * open) end as target from s, l),
+b as (select *, case when z > 0 then floor(target / z) else 0 end as full_copies from g),
+c as (select d.*, z, target, full_copies, target - full_copies * z as budget, sum(size) over (partition by d.source order by h rows unbounded preceding) - size as before
+  from d join b on d.source is not distinct from b.source),
+n as (select *, case when size = 0 then 0 else cast(full_copies as bigint) + case when before <= budget and 2.0 * before + size <= 2 * budget then 1 else 0 end end as copies from c)
+select doc_id, size, z as source_size, cast(target as double) as target, cast(copies * size as bigint) as taken, cast(copies as bigint) as copies from n""",
     "op5_chat_format": r"""
 with r as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
            union all values (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
