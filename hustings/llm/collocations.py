@@ -35,7 +35,7 @@ from hustings.workers import importable, temporary, written
 
 LEAST, LONGEST, SHARE, TOP, SHARD = 10, 3, 50, 2000, 2_000_000
 #: Positions of a bitmap's block; entries of prefixes that are extended at once; parts of a language that are ranked by themselves first.
-BITS, BUNDLE, SALTS = 16, 1 << 18, 32
+BITS, BUNDLE, SALTS = 16, 1 << 16, 32
 #: A-Z become a-z and what ends a piece becomes a line feed, byte by byte.
 BYTES = bytes(10 if c in b".,;:!?\n\x0b\x0c\r" else c + 32 if 65 <= c <= 90 else c for c in range(256))
 TOKENS = re.compile(rb"[^ \t\n]+|\n")
