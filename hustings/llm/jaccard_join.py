@@ -1,6 +1,7 @@
 """N-gram Jaccard join by rare-first prefix filtering, with length, positional and suffix filters.
 
-1. One pass makes each document's shingle set, its size and 128-bit digest (equal sets are one node), and two sketches over all
+1. One pass makes each document's shingle set (as 64-bit hashes), its size and a 128-bit digest of its lower-cased words (equal word
+   sequences are one node), and two sketches over all
    documents: `buckets` counters of shingles, and a bit map of places that one document alone has touched. A shingle at such a
    place is in no other document: it is the rarest there is. Both sketches have a fixed size, so they are broadcast; where the
    data outgrow them, fewer shingles are known to be rare, and results stay the same. What tasks have counted is joined FAN tasks
@@ -15,6 +16,7 @@
 4. Candidates are verified once a pair: each partner's text goes to its leader's part, at most `block` partners a part; before
    the exact intersection of the sets, the suffix filter bounds the overlap: a set's parity is, for each of CLASSES classes, whether
    it has an odd number of shingles there, so two sets differ in at least as many shingles as their parities do in classes.
+   What the hashes say is linked is decided by the words themselves.
    Texts are fetched for candidates only: a Bloom filter of their ids keeps the others out of the shuffle.
 5. Linked nodes get component labels. In long runs only pairs between components that all filters let by are left, so a large
    group of near copies costs about its size, not its square (runs of over RUN rows are dealt out in parts, by the rows of the
@@ -22,13 +24,12 @@
    between components is skipped: every pair that passes the filters is verified or already in one component.
 
 Documents of null or empty text, or without words, have no shingles and link with nothing. Rows of a null id link with nothing.
-Rows that share an id but not the text are told apart by digest. Repeated rows and equal sets are one node whatever their number.
+Rows that share an id but not the text are told apart by digest. Repeated rows and equal word sequences are one node whatever their number.
 Very long texts are used whole. An empty table gives an empty result. Other columns don't matter.
 """
 
 from __future__ import annotations
 
-import hashlib
 import zlib
 from collections.abc import Iterator
 from itertools import pairwise
@@ -43,7 +44,7 @@ from pyspark.sql import functions as F
 from hustings.llm import bloom
 from hustings.llm.batches import pieces
 from hustings.llm.components import components
-from hustings.llm.shingles import mixed, shingle_sets
+from hustings.llm.shingles import exact_shingles, mixed, shingle_sets, spelling, words_of
 from hustings.workers import importable, temporary, written
 
 K, PERCENT = 4, 85
@@ -67,9 +68,9 @@ def prefix_length(n: int, percent: int) -> int:
     return n - -(-percent * n // 100) + 1
 
 
-def _digest(shingles: np.ndarray) -> tuple[int, int]:
-    b = hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
-    return int.from_bytes(b[:8], "little", signed=True), int.from_bytes(b[8:], "little", signed=True)
+def _spelt(texts: list[str | None], sets: list[np.ndarray]) -> list[tuple[int | None, int | None]]:
+    """128 bits of each text's lower-cased words; none of texts without words."""
+    return [spelling(b" ".join(words_of(t, lower=True))) if len(s) else (None, None) for t, s in zip(texts, sets, strict=True)]
 
 
 def _parity(shingles: np.ndarray) -> np.ndarray:
@@ -91,14 +92,15 @@ def _measure(k: int, buckets: int):
         sketch = np.zeros(buckets, np.uint32)
         once, twice = np.zeros(PLACES // 8, np.uint8), np.zeros(PLACES // 8, np.uint8)
         for part in pieces(batches):
-            sets = shingle_sets(part.column(1).to_pylist(), k)
+            texts = part.column(1).to_pylist()
+            sets = shingle_sets(texts, k)
             if any(map(len, sets)):
                 sketch += np.bincount((np.concatenate(sets) >> shift).astype(np.int64), minlength=buckets).astype(np.uint32)
             for s in sets:
                 at, bit = _place(s)
                 np.bitwise_or.at(twice, at, once[at] & bit)
                 np.bitwise_or.at(once, at, bit)
-            keys = [_digest(s) if len(s) else (None, None) for s in sets]
+            keys = _spelt(texts, sets)
             yield _rows([part.column(0).to_pylist(), [len(s) for s in sets], [a for a, _ in keys], [b for _, b in keys], [_parity(s).tobytes() if len(s) else None for s in sets], *[[None] * len(sets)] * 4])
         for at in range(0, buckets, SLICE):
             if sketch[at : at + SLICE].any():
@@ -168,9 +170,10 @@ def _prefixes(k: int, percent: int, counts, alone, buckets: int):
         sketch = counts.value
         for part in pieces(batches):
             columns: list[list[np.ndarray]] = [[] for _ in DEALT.split(", ")]
-            for s in shingle_sets(part.column(1).to_pylist(), k):
-                key = _digest(s) if len(s) else None
-                if key is None or key in seen:
+            texts = part.column(1).to_pylist()
+            sets = shingle_sets(texts, k)
+            for s, key in zip(sets, _spelt(texts, sets), strict=True):
+                if not len(s) or key in seen:
                     continue
                 if len(seen) >= 1_000_000:
                     seen.clear()
@@ -272,22 +275,27 @@ def _first_pairs(percent: int):
 
 
 def _later_pairs(percent: int):
-    """Between components, in runs longer than SHORT; rows have label and parity."""
+    """Between components, in runs longer than SHORT or parts of such; rows have label and parity, part, split (parts of the run), home and is_main."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for c in _runs(batches, "token"):
-            starts = [*np.flatnonzero(np.append(True, c["token"][1:] != c["token"][:-1])), len(c["token"])]
+            new = np.logical_or.reduce([c[k][1:] != c[k][:-1] for k in ("token", "split", "part")])
+            starts = [*np.flatnonzero(np.append(True, new)), len(c["token"])]
             for a, b in pairwise(starts):
                 names, own = np.unique(c["label"][a:b], return_inverse=True)
                 if len(names) < 2:
                     continue
-                doc, n, pos, parity = (c[k][a:b] for k in ("doc", "n", "pos", "parity"))
-                small = np.flatnonzero(own != np.bincount(own).argmax())
-                rank = np.full(b - a, -1)
-                rank[small] = np.arange(len(small))
+                doc, n, pos, parity, home = (c[k][a:b] for k in ("doc", "n", "pos", "parity", "home"))
+                part, split = int(c["part"][a]), int(c["split"][a])
+                main = c["is_main"][a:b]
+                large, small = np.flatnonzero(main), np.flatnonzero(~main)
+                small = small[np.argsort(home[small], kind="stable")]  # of two rows that lie in every part, one part has the pair
+                first = np.searchsorted(home[small], np.arange(split + 1))
                 pairs, held = [], 0
                 for k, i in enumerate(small):
-                    j = np.flatnonzero((own != own[i]) & (rank < k))  # each pair once
+                    mate = (part - home[i]) % split
+                    j = np.concatenate([large, small[first[mate] : min(k, first[mate + 1])]])  # each pair once
+                    j = j[own[j] != own[i]]
                     j = j[_allowed(n[i], pos[i], n[j], pos[j], percent)]
                     j = j[_near_enough(parity[i], parity[j], n[i], n[j], percent)]
                     pairs.append((np.full(len(j), doc[i]), doc[j]))
@@ -304,18 +312,21 @@ def _verified(k: int, percent: int):
     """Rows sorted by (a, salt, b null first): the leader's text, then its partners'."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lead, key, parity = None, None, None
+        lead, key, parity, exact = None, None, None, None
         for part in pieces(batches, 6):
             found = []
-            sets = shingle_sets(part.column(6).to_pylist(), k)
-            for a, salt, b, n, hi, lo, s in zip(*(part.column(i).to_pylist() for i in range(6)), sets, strict=True):
-                if len(s) != n or _digest(s) != (hi, lo):
+            texts = part.column(6).to_pylist()
+            sets = shingle_sets(texts, k)
+            for a, salt, b, hi, lo, s, spelt, text in zip(*(part.column(i).to_pylist() for i in (0, 1, 2, 4, 5)), sets, _spelt(texts, sets), texts, strict=True):
+                if spelt != (hi, lo):
                     continue  # another row with the same id
                 if b is None:
-                    lead, key, parity = s, (a, salt), _parity(s)
-                elif key == (a, salt) and _near_enough(parity, _parity(s), len(lead), n, percent):
-                    if len(np.intersect1d(lead, s, assume_unique=True)) >= least_overlap(len(lead), n, percent):
-                        found.append((a, b))
+                    lead, key, parity, exact = s, (a, salt), _parity(s), exact_shingles(words_of(text, lower=True), k)
+                elif key == (a, salt) and _near_enough(parity, _parity(s), len(lead), len(s), percent):
+                    if len(np.intersect1d(lead, s, assume_unique=True)) >= least_overlap(len(lead), len(s), percent):
+                        other = exact_shingles(words_of(text, lower=True), k)  # equal hashes don't make equal words
+                        if len(exact & other) >= least_overlap(len(exact), len(other), percent):
+                            found.append((a, b))
             if found:
                 yield pa.record_batch([pa.array([x[0] for x in found]), pa.array([x[1] for x in found])], names=["a", "b"])
 
@@ -359,7 +370,7 @@ def _linked(rows: DataFrame, k: int, percent: int, buckets: int) -> DataFrame:
     near = bloom.only(rows, "doc_id", bloom.build(wanted, "doc", ID_BITS))
     texts = written(wanted.join(near, F.col("doc") == F.col("doc_id")).select("doc", "n", "hi", "lo", "text"), "texts")
 
-    dealt = lambda t: t.repartition(parts, "token").sortWithinPartitions("token")
+    dealt = lambda t, *more: t.repartition(parts, "token").sortWithinPartitions("token", *more)
     split = lambda token, part: F.xxhash64(token, part)  # noqa: E731  a part of a run; two that fell together would only add candidates
     runs = tokens.groupBy("token").agg(F.count("*").alias("rows"), F.min("n").alias("least"), F.max("n").alias("most")).filter(F.col("rows") > SHORT)
     hot = written(runs, "runs").withColumn("split", F.ceil(F.col("rows") / RUN).cast("int"))
@@ -377,10 +388,12 @@ def _linked(rows: DataFrame, k: int, percent: int, buckets: int) -> DataFrame:
     most = rest.groupBy("token", "label").agg(F.count("*").alias("rows")).groupBy("token").agg(F.max_by("label", F.struct("rows", "label")).alias("main"), F.count("*").alias("labels"))
     rest = rest.join(written(most.filter("labels > 1").select("token", "main"), "mains"), "token")
     # of a long run, rows of the main component lie in one part each, the others in every part: all pairs between components still meet
-    every = F.when(F.col("split") == 1, F.array("token")).when(F.col("label") == F.col("main"), F.array(split("token", F.pmod(F.xxhash64("doc"), F.col("split")))))
-    every = every.otherwise(F.transform(F.sequence(F.lit(0), F.col("split") - 1), lambda i: split("token", i.cast("long"))))
-    rest = rest.select(F.explode(every).alias("token"), "doc", "n", "pos", "label", "parity")
-    later = dealt(rest).mapInArrow(_later_pairs(percent), "a long, b long").distinct().join(first, ["a", "b"], "left_anti")
+    # and two rows that are in every part meet in the part that the sum of their own parts names
+    rest = rest.withColumns({"is_main": F.col("label") == F.col("main"), "home": F.pmod(F.xxhash64("doc"), F.col("split")).cast("int")})
+    every = F.when(F.col("is_main") | (F.col("split") == 1), F.array("home")).otherwise(F.sequence(F.lit(0), F.col("split") - 1))
+    rest = rest.withColumn("part", F.explode(every)).withColumn("token", F.when(F.col("split") == 1, F.col("token")).otherwise(split("token", F.col("part").cast("long"))))
+    rest = rest.select("token", "doc", "n", "pos", "label", "parity", "part", "split", "home", "is_main")
+    later = dealt(rest, "split", "part").mapInArrow(_later_pairs(percent), "a long, b long").distinct().join(first, ["a", "b"], "left_anti")
     more = written(_verify(written(later, "pairs"), texts, k, percent), "links")
     joined = components(links.unionByName(more)) if more.take(1) else labels
 

@@ -1,7 +1,8 @@
-"""Words and word shingles of texts as 64-bit hashes, many texts at once.
+"""Words and word shingles of texts as 64-bit hashes, many texts at once, and what is exact about them.
 
-A word's hash is a sum over its bytes of a random number of the byte times a power for its place, modulo 2**64, then mixed. Sums
-of all words come from one running sum over the bytes: differences between ends and starts, divided by the power of the start.
+A word's bytes are taken eight at a time as integers; each is mixed into the word's state, which starts from its length. Words of more than
+LANES such integers go through XXH3. Nothing here is linear in the bytes, so no family of words collides by its shape; still, hashes only find
+candidates. Equality of word sequences is decided by `spelling`, and what two sets share by `exact_shingles`.
 """
 
 from __future__ import annotations
@@ -9,11 +10,12 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 import numpy as np
+import xxhash
 
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 ODD = np.uint64(0x9E3779B97F4A7C15)
-#: Bytes that are summed at once (a longer word is summed alone).
-STRETCH = 1 << 18
+#: Integers of eight bytes that a word may have before XXH3 takes it.
+LANES = 4
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -24,37 +26,46 @@ def mixed(x: np.ndarray) -> np.ndarray:
 
 
 SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
-VALUE = mixed(np.arange(1, 257, dtype=np.uint64) * ODD)
-BASE = np.uint64(0xD1342543DE82EF95)
-INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
-
-
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    return np.multiply.accumulate(np.concatenate([np.ones(1, np.uint64), np.full(n - 1, base, np.uint64)]))
-
-
-_power, _inverse = _powers(BASE, STRETCH), _powers(INVERSE, STRETCH)
+BELOW = np.array([(1 << 8 * k) - 1 for k in range(8)] + [(1 << 64) - 1], np.uint64)
 
 
 def hashed_words(texts: Iterable[str | None], lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
     r"""Hashes of the words [^\x20\x09-\x0D]+ of all texts, end to end, and how many each has; lower: A-Z first become a-z."""
     raw = [(t or "").encode(errors="surrogatepass") for t in texts]
     joined = b" ".join([*raw, b""])
-    text = np.frombuffer(joined.translate(LOWER) if lower else joined, np.uint8)
-    space = SPACE[text]
+    joined = joined.translate(LOWER) if lower else joined
+    space = SPACE[np.frombuffer(joined, np.uint8)]
     edge = np.flatnonzero(np.diff(space, prepend=True, append=True))
     starts, ends = edge[::2], edge[1::2]
-    out = np.empty(len(starts), np.uint64)
-    at = 0
-    while at < len(starts):
-        to = max(at + 1, int(np.searchsorted(ends, starts[at] + STRETCH, "right")))
-        begin, n = starts[at], int(ends[to - 1] - starts[at])
-        power, inverse = (_power, _inverse) if n <= STRETCH else (_powers(BASE, n), _powers(INVERSE, n))
-        sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(VALUE[text[begin : begin + n]] * power[:n], dtype=np.uint64)])
-        out[at:to] = (sums[ends[at:to] - begin] - sums[starts[at:to] - begin]) * inverse[starts[at:to] - begin]
-        at = to
+    padded = joined + b"\0" * 8
+    lanes = np.ndarray(len(joined) + 1, "<u8", padded, strides=(1,))  # the eight bytes from each place on
+    size = ends - starts
+    out = mixed(size.astype(np.uint64) * ODD)
+    for k in range(LANES):
+        on = np.flatnonzero((size > 8 * k) & (size <= 8 * LANES)) if k else np.flatnonzero(size <= 8 * LANES)
+        if len(on):
+            out[on] = mixed(out[on] ^ (lanes[starts[on] + 8 * k] & BELOW[np.minimum(size[on] - 8 * k, 8)]))
+    for i in np.flatnonzero(size > 8 * LANES):
+        out[i] = xxhash.xxh3_64_intdigest(joined[starts[i] : ends[i]])
     bounds = np.cumsum([0, *(len(r) + 1 for r in raw)])
-    return mixed(out), np.diff(np.searchsorted(starts, bounds))
+    return out, np.diff(np.searchsorted(starts, bounds))
+
+
+def words_of(text: str | None, lower: bool = False) -> list[bytes]:
+    """The words themselves."""
+    raw = (text or "").encode(errors="surrogatepass")
+    return (raw.translate(LOWER) if lower else raw).split()
+
+
+def spelling(spelt: bytes, seed: int = 0) -> tuple[int, int]:
+    """128 bits of words in order, joined by spaces."""
+    d = xxhash.xxh3_128_digest(spelt, seed)
+    return int.from_bytes(d[:8], "little", signed=True), int.from_bytes(d[8:], "little", signed=True)
+
+
+def exact_shingles(words: list[bytes], k: int) -> set[tuple[bytes, ...]]:
+    """The distinct shingles, spelt out; of fewer than k words the whole sequence is one."""
+    return set(zip(*(words[j:] for j in range(k)), strict=False)) if len(words) >= k else {tuple(words)} if words else set()
 
 
 def shingle_sets(texts: Iterable[str | None], k: int) -> list[np.ndarray]:

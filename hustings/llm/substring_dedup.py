@@ -8,7 +8,8 @@
    context, with the least and the largest id that have it.
 3. Distinct contexts go to the shard of their anchor, become an FM-index there (fm_index), separated, and are streamed through it
    by backward search; each place that matches `window` words learns the least id of all documents that have those words.
-   Word numbers are given to whole words, so matches are exact. Where very many documents share a passage, the anchors near its
+   Contexts are told apart by 128 bits of their spelling, and word numbers are given to whole words, so matches are exact; hashes of
+   words only choose anchors. Where very many documents share a passage, the anchors near its
    edges have a context of its own in each of them. So the contexts of anchors with more than CROWD of them are first trimmed to
    windows that more than one document may have (by a bit map of fixed size; a false hit costs a row) and aggregated again, which
    leaves few. What was found is joined back to the rows of documents, which are told apart by a hash of the text if they share an id.
@@ -23,6 +24,7 @@ empty result. Other columns don't matter.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -33,15 +35,14 @@ from pyspark.sql import functions as F
 from hustings.llm import bloom
 from hustings.llm.batches import pieces
 from hustings.llm.fm_index import FMIndex
-from hustings.llm.shingles import ODD, hashed_words, mixed
+from hustings.llm.shingles import ODD, hashed_words, mixed, spelling, words_of
 from hustings.workers import importable, temporary, written
 
 WINDOW, GRAM = 50, 8
 #: Bits of the filters and of the bit map (8 MB, 4 MB, 4 MB), distinct contexts of an anchor that are not trimmed at most.
 ANCHOR_BITS, ID_BITS, WINDOW_BITS, CROWD = 1 << 26, 1 << 25, 1 << 25, 128
-#: Words of a shard's index at least, contexts that are cut at once.
-SHARD_WORDS, AT_ONCE = 400_000, 20_000
-MORE = np.uint64(0xD6E8FEB86659FD93)
+#: Words of a shard's index at least.
+SHARD_WORDS = 400_000
 
 
 def _slide(x: np.ndarray, w: int, f) -> np.ndarray:
@@ -130,38 +131,30 @@ def _contexts(window: int, known):
             if not len(place):
                 continue
             ends = np.cumsum(sizes)
-            row = np.searchsorted(ends, place, "right")
-            begin, end = place - last, place - first + window  # words of all windows that the anchor stands for
-            one, two = np.zeros(len(place), np.uint64), np.zeros(len(place), np.uint64)
-            for k in range(0, len(place), AT_ONCE):
-                s = slice(k, k + AT_ONCE)
-                long = end[s] - begin[s]
-                for j in range(int(long.max())):
-                    on = j < long
-                    w = words[np.where(on, begin[s] + j, 0)]
-                    one[s] = np.where(on, one[s] * ODD + w, one[s])
-                    two[s] = np.where(on, two[s] * MORE + w, two[s])
-            one, two = mixed(one ^ last.astype(np.uint64)), mixed(two ^ (end - begin).astype(np.uint64))
-            order = np.lexsort((place, two, one, value, row))
-            r, v, a, b = row[order], value[order], one[order], two[order]
-            new = np.flatnonzero(np.append(True, (r[1:] != r[:-1]) | (v[1:] != v[:-1]) | (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
             base = ends - sizes
-            spelt: tuple[int, list[bytes]] = (-1, [])
+            row = np.searchsorted(ends, place, "right")
+            order = np.lexsort((place, value, row))
+            place, row, value, left = (x[order] for x in (place, row, value, last))
+            begin = place - base[row] - left  # words of all windows that the anchor stands for, within the text
+            end = (place - base[row] - first[order] + window).tolist()
             out: list[tuple] = []
-            for x, y in zip(new.tolist(), [*new[1:].tolist(), len(order)], strict=True):
-                k = int(order[x])
-                q, own = int(row[k]), order[x:y]
-                key = (int(v[x]), int(a[x]), int(b[x]))
-                text = None
-                if key not in sent:
-                    if len(sent) >= 1_000_000:
-                        sent.clear()
-                    sent.add(key)
-                    if spelt[0] != q:
-                        spelt = (q, part.column(1)[q].as_py().encode(errors="surrogatepass").split())
-                    text = b" ".join(spelt[1][int(begin[k] - base[q]) : int(end[k] - base[q])])
-                at = (place[own] - base[q]).astype(np.int32)
-                out.append((*(np.array(key, np.uint64).view(np.int64).tolist()), int(ids[q]), marks[q], int(last[k]), at, text))
+            edge = [*np.flatnonzero(np.diff(row, prepend=-1)).tolist(), len(row)]
+            for x, y in pairwise(edge):
+                q = int(row[x])
+                text = b" ".join(words_of(part.column(1)[q].as_py()))
+                gaps = np.flatnonzero(np.frombuffer(text, np.uint8) == 32)
+                starts, stops = np.concatenate([[0], gaps + 1]).tolist(), [*gaps.tolist(), len(text)]
+                same: dict[tuple, tuple[list[int], bytes]] = {}  # places by context: by what the words are, not by hashes of words
+                for v, a, lead, e, at in zip(value[x:y].view(np.int64).tolist(), begin[x:y].tolist(), left[x:y].tolist(), end[x:y], (place[x:y] - base[q]).tolist(), strict=True):
+                    spelt = text[starts[a] : stops[e - 1]]
+                    same.setdefault((v, *spelling(spelt, lead), lead), ([], spelt))[0].append(at)
+                for (v, one, two, lead), (at, spelt) in same.items():
+                    new = (v, one, two) not in sent
+                    if new:
+                        if len(sent) >= 1_000_000:
+                            sent.clear()
+                        sent.add((v, one, two))
+                    out.append((v, one, two, int(ids[q]), marks[q], lead, at, spelt if new else None))
             yield pa.record_batch([pa.array(c, t) for c, t in zip(zip(*out, strict=True), COLUMNS, strict=True)], names=[f.split()[0] for f in CONTEXT.split(", ")])
 
     return run
@@ -206,7 +199,7 @@ def _trimmed(window: int, often):
             last = np.append(first[1:], len(row)) - 1
             spelt = {r: part.column(5)[r].as_py().split(b" ") for r in np.unique(row).tolist()}
             texts = [b" ".join(spelt[r][a : b + window]) for r, a, b in zip(row[first].tolist(), start[first].tolist(), start[last].tolist(), strict=True)]
-            digests = [np.array([xxhash.xxh64_intdigest(t, seed) for t in texts], np.uint64).view(np.int64) for seed in (0, 1)]
+            digests = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, texts)), "<i8").reshape(-1, 2).T.copy()
             anchor, one, two, oldest, newest = (part.column(k).to_numpy()[row[first]] for k in range(5))
             columns = [anchor, one, two, start[first].astype(np.int32), *digests, oldest, newest]
             yield pa.record_batch([*map(pa.array, columns), pa.array(texts, pa.binary())], names=[f.split()[0] for f in TRIMMED.split(", ")])

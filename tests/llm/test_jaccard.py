@@ -116,3 +116,31 @@ def test_lengths():
             for m in (n, n + 3, 2 * n):
                 o = jaccard_join.least_overlap(n, m, percent)
                 assert 100 * o >= percent * (n + m - o) and 100 * (o - 1) < percent * (n + m - o + 1)
+
+
+def twins(n=1024):
+    """Two words that collide under any polynomial modulo 2^64."""
+    word = "".join("ab"[bin(i).count("1") & 1] for i in range(n))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_are_alike_but_not_equal(spark):
+    one, other = twins()
+    rows = [(1, one), (2, other), (3, one.upper()), (4, f"x {one} y z"), (5, f"x {other} y z"), (6, f"{one} {other} " * 40), (7, f"{other} {one} " * 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted(tuple(r) for r in jaccard_join.link(docs).collect()) == brute(rows, 4, 85)
+
+
+def test_small_components_in_runs_dealt_out_in_parts(spark, monkeypatch):
+    """Many groups of two that share common shingles, and one large group: pairs meet once, whatever parts they lie in."""
+    for name, value in (("RUN", 8), ("HEAVY", 8), ("SPREAD", 0)):
+        monkeypatch.setattr(jaccard_join, name, value)
+    common = [f"c{i}" for i in range(50)]
+    rows = []
+    for g in range(40):
+        tail = [f"t{g}_{i}" for i in range(11 + g % 5)]
+        rows += [(2 * g, " ".join(common + tail)), (2 * g + 1, " ".join(common + tail + [f"e{g}"]))]
+    rows += [(1000 + i, " ".join([*common, *(f"m{j}" for j in range(9)), f"v{i}"])) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for percent in (85, 70):
+        assert sorted(tuple(r) for r in jaccard_join.link(docs, percent=percent).collect()) == brute(rows, 4, percent)

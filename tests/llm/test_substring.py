@@ -116,3 +116,15 @@ def test_word_hashes():
         assert known.setdefault(w, h) == h
     assert len(set(known.values())) == len(known)
     assert shingles.hashed_words(["AÉ b"], lower=True)[0].tolist() == shingles.hashed_words(["aÉ", "B "], lower=True)[0].tolist()
+    word = "".join("ab"[bin(i).count("1") & 1] for i in range(4096))  # collides with its complement under polynomials modulo 2^64
+    both = shingles.hashed_words([word, word.translate(str.maketrans("ab", "ba"))])[0]
+    assert both[0] != both[1]
+
+
+def test_words_that_are_alike_but_not_equal(spark):
+    word = "".join("ab"[bin(i).count("1") & 1] for i in range(1024))
+    words = random.choices(VOCABULARY, k=61)
+    rows = [(1, " ".join([*words[:30], word, *words[30:60]])), (2, " ".join([*words[:30], word.translate(str.maketrans("ab", "ba")), *words[30:60]])), (3, " ".join([*words[:30], word, *words[30:60]]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((r.doc_id, r.n_words, r.n_removed, r.kept) for r in substring_dedup.remove_repeats(docs).collect())
+    assert got == brute(rows, 50) and [r[2] for r in got] == [0, 0, 61]
