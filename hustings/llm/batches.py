@@ -20,3 +20,8 @@ def pieces(batches: Iterator[pa.RecordBatch], column: int = 1) -> Iterator[pa.Re
                 n = max(1, n // 2)
             yield batch.slice(at, n)
             at += n
+
+
+def quoted(name: str) -> str:
+    """A column's name as an expression, whatever is in it."""
+    return "`" + name.replace("`", "``") + "`"

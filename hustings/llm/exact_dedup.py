@@ -17,6 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hustings.llm.batches import quoted
 from hustings.workers import written
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -51,12 +52,13 @@ def annotate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", he
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", heavy: int = HEAVY, tracked: int = TRACKED) -> DataFrame:
     """The rows that stay, with all their columns: of equal texts the one with the largest id.
 
-    Losing copies of heavy digests leave before the shuffle; what is left of a heavy digest, and all others, are settled after it.
+    Losing copies of heavy digests leave before the shuffle. What is left of a heavy digest (rows that share the winner's id), and all others, are settled
+    by rank; a task sends one row of a digest at most, for the rank is pruned before the shuffle.
     """
-    digest = F.sha2(normalised(F.col(text_col)), 256)
-    digests = written(docs.select(F.col(id_col).alias(ID), digest.alias(D)).withColumn(R, F.monotonically_increasing_id()), "digests")
-    winners = written(_heavy(digests, heavy, tracked), "winners").select(D, F.col(f"winner.{ID}").alias("__dedup_keep"), F.lit(True).alias("__dedup_heavy"))
-    rows = docs.withColumn(D, digest).join(F.broadcast(winners), D, "left")
-    rows = rows.filter(F.col("__dedup_heavy").isNull() | F.col(id_col).eqNullSafe(F.col("__dedup_keep")))
-    first = F.row_number().over(Window.partitionBy(D).orderBy(F.col(id_col).desc_nulls_last()))
-    return rows.withColumn("__dedup_rank", first).filter("__dedup_rank = 1").select(*docs.columns)
+    row = F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias(R)
+    rows = docs.select(F.col(quoted(id_col)).alias(ID), F.sha2(normalised(F.col(quoted(text_col))), 256).alias(D), row)
+    digests = written(rows.select(ID, D).withColumn(R, F.monotonically_increasing_id()), "digests")
+    winners = written(_heavy(digests, heavy, tracked), "winners").select(D, F.col(f"winner.{ID}").alias("keep"), F.lit(True).alias("heavy"))
+    rows = rows.join(F.broadcast(winners), D, "left").filter(F.col("heavy").isNull() | F.col(ID).eqNullSafe(F.col("keep")))
+    first = F.row_number().over(Window.partitionBy(D).orderBy(F.col(ID).desc_nulls_last()))
+    return rows.withColumn("rank", first).filter("rank = 1").select(*[F.col(f"{R}.{quoted(c)}").alias(c) for c in docs.columns])

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hustings.llm.batches import pieces
+from hustings.llm.batches import pieces, quoted
 from hustings.workers import importable, written
 
 FEATURES = 1 << 14
@@ -195,8 +195,8 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     return Model(idf, np.stack([np.frombuffer(r["c"], "<f8") for r in found], 1), languages, _limits(stats, languages, spread))
 
 
-def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred, score and rejected (columns of these names are replaced)."""
+def classified(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """(row, guess): each row of docs as a struct, whatever its columns are called, and guess: lang_pred, score, rejected."""
     importable(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -207,9 +207,17 @@ def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
         return pd.DataFrame([held.value.predict(t) for t in texts], columns=["lang_pred", "score", "rejected"])
 
-    out = docs.withColumn("__guess", guess.asNondeterministic()(F.col(text_col)))
-    return out.withColumns({c: F.col(f"__guess.{c}") for c in ("lang_pred", "score", "rejected")}).drop("__guess")
+    row = F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("row")
+    return docs.select(row, guess.asNondeterministic()(F.col(quoted(text_col))).alias("guess"))
+
+
+def predict(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """docs with lang_pred, score and rejected (columns of these names are replaced)."""
+    found = ("lang_pred", "score", "rejected")
+    own = [F.col(f"row.{quoted(c)}").alias(c) for c in docs.columns if c not in found]
+    return classified(docs, model, text_col).select(*own, *[F.col(f"guess.{c}").alias(c) for c in found])
 
 
 def held_out(id_col: str = "doc_id") -> Column:
-    return F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(3)) == 1
+    """Rows that are kept from learning; those of a null id aren't."""
+    return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(3)) == 1, F.lit(False))

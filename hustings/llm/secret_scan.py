@@ -22,6 +22,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hustings.llm.batches import quoted
+
 #: The base patterns, and the least length of what they must hold (assign: of group 2).
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]+"
@@ -176,10 +178,6 @@ def written_out(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", kind(x), x["start"].cast("string"), x["end"].cast("string"))), ",")
 
 
-def _quoted(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
-
-
 def _redacted(text: Column, spans: Column, mark: str) -> Column:
     """The text with a mark for each stretch of overlapping spans, which come by start."""
 
@@ -196,7 +194,7 @@ def _redacted(text: Column, spans: Column, mark: str) -> Column:
 
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """docs with every span of text_col replaced by the mark, overlapping spans by one; all rows stay, null text stays null."""
-    names = [_quoted(c) for c in docs.columns]
-    found = scan(docs.select(F.struct(*names).alias("__scan_row"), F.col(_quoted(text_col)).alias("__scan_text")), "__scan_text")
+    names = [quoted(c) for c in docs.columns]
+    found = scan(docs.select(F.struct(*names).alias("__scan_row"), F.col(quoted(text_col)).alias("__scan_text")), "__scan_text")
     clean = F.when(F.size("spans") > 0, _redacted(F.col("__scan_text"), F.col("spans"), mark)).otherwise(F.col("__scan_text"))
     return found.select(*[clean.alias(c) if c == text_col else F.col(f"__scan_row.{n}").alias(c) for c, n in zip(docs.columns, names, strict=True)])

@@ -62,3 +62,17 @@ def test_pipeline(spark):
 def test_run_gives_the_last_stage(spark):
     out = corpus_pipeline.run(spark, SF)
     assert {"doc_id", "sequence_id", "offset", "length"} <= {*out.columns} and out.count() > 0
+
+
+def test_columns_of_any_name_survive_every_stage(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    names = ["score", "rejected", "lang_pred", "a.b", "back`tick", "guess", "row", "rank", "keep", "heavy", "spans", "guess.score"]
+    for k, c in enumerate(names):
+        docs = docs.withColumn(c, F.col("doc_id") * 10 + k)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes
+        got = out.collect()
+        assert got and all(r[c] == r.doc_id * 10 + k for r in got for k, c in enumerate(names))
