@@ -11,13 +11,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hustings.llm import exact_dedup, jaccard_join, language_id, packing, secret_scan
+from hustings.llm.batches import quoted
 from hustings.workers import temporary, written
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, learnt from the labelled ones, doesn't reject; lang becomes what it predicts."""
-    out = language_id.predict(docs, language_id.fit(docs)).filter("NOT rejected")
-    return out.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    found = language_id.classified(docs, language_id.fit(docs)).filter("NOT guess.rejected")
+    return found.select(*[F.col("guess.lang_pred" if c == "lang" else f"row.{quoted(c)}").alias(c) for c in docs.columns])
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +33,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, secrets in their texts replaced; n_chars follows."""
-    return secret_scan.redact(docs).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    length = F.length("text").cast("long").alias("n_chars")
+    return secret_scan.redact(docs).select(*[length if c == "n_chars" else F.col(quoted(c)) for c in docs.columns])
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
