@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hustings.operators.turns import in_turn
+from hustings.workers import temporary, written
+
 
 def first_match(text: Column, patterns: list[str], fallback: Column | None = None) -> Column:
     """Group 1 of the first pattern that is found and isn't empty, trimmed; else the fallback."""
@@ -45,43 +48,48 @@ def header(rows: DataFrame, table: list[str], row: str, cells: str) -> DataFrame
     return g.groupBy(*table).agg(F.transform(F.array_sort(F.collect_list(F.struct("__at", "__t"))), lambda x: F.struct(x["__at"].alias("column"), x["__t"].alias("text"))).alias("header"))
 
 
-def paired_header(lines: DataFrame, page: list[str], line: str, text: str, parties: list[str], least: int = 2, window: int = 3, below: int = 7) -> DataFrame:
-    """(page, pos, party, name): the first `window` lines that hold `least` distinct parties, and as many names in the `below` lines after them.
+def paired_header(
+    lines: DataFrame, page: list[str], line: str, text: str, parties: list[str], least: int = 2, window: int = 3, below: int = 7,
+    name: str = r"\p{L}{2,4}", words: list[str] = [], data: str = r"^\s*[0-9(]",  # noqa: B006
+) -> DataFrame:
+    """(page, pos, party, name): parties of the first `window` lines that together hold `least` distinct ones, paired with names from the lines after the
+    first of them.
 
-    A party within a longer one that is found doesn't count. Names are words of 2 to 4 letters that are no party, in order of reading;
-    pages of which parties and names don't have the same number have no pairs.
+    A party within a longer one that is there doesn't count; longer parties come first, equally long ones as listed. Nothing is sought from a data line
+    on (`data`, a pattern). Names are matches of `name` in up to `below` lines, in order of reading, but for parties, beginnings and ends of
+    parties, and `words` of headers. The shorter of the two lists settles how many pairs there are. Null texts are empty.
     """
     w = Window.partitionBy(*page).orderBy(line)
-    near = F.array_join(F.collect_list(text).over(w.rowsBetween(0, window - 1)), " ")
-    after = F.array_join(F.collect_list(text).over(w.rowsBetween(window, window + below - 1)), " ")
-    longest = "|".join(sorted(parties, key=lambda p: (-len(p), p)))
-    found = lines.withColumn("__parties", F.array_distinct(F.regexp_extract_all(near, F.lit(f"({longest})"), F.lit(1)))).withColumn("__after", after)
-    first = found.filter(F.size("__parties") >= least).groupBy(*page).agg(F.min_by(F.struct("__parties", "__after"), line).alias("h"))
-    words = F.filter(F.split("h.__after", r"\s+"), lambda x: x.rlike(r"^\p{L}{2,4}$") & ~x.isin(parties))
-    both = first.select(*page, F.col("h.__parties").alias("__p"), words.alias("__n")).filter(F.size("__p") <= F.size("__n"))
-    return both.select(*page, F.posexplode(F.arrays_zip("__p", F.slice("__n", F.lit(1), F.size("__p")).alias("__n"))).alias("pos", "z")).select(*page, "pos", F.col("z.__p").alias("party"), F.col("z.__n").alias("name"))
+    t = F.coalesce(F.col(text), F.lit(""))
+    ranked = sorted(dict.fromkeys(parties), key=lambda p: -len(p))
+    strings = lambda x: F.array(*map(F.lit, x)).cast("array<string>")
+    near = F.array_join(F.collect_list(t).over(w.rowsBetween(0, window - 1)), " ")
+    found = lines.withColumn("__near", near).withColumn("__after", F.collect_list(t).over(w.rowsBetween(1, below)))
+    found = found.withColumn("__data", F.exists(F.collect_list(t).over(w.rowsBetween(0, window - 1)), lambda x: x.rlike(data)).cast("int"))
+    found = found.withColumn("__seen", F.max("__data").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    hits = F.filter(strings(ranked), lambda p: F.contains(F.col("__near"), p))
+    alone = F.filter(hits, lambda p: ~F.exists(hits, lambda q: (q != p) & F.contains(q, p)))
+    found = found.withColumn("__p", alone).filter((F.size("__p") >= least) & (F.col("__seen") == 0))
+    first = found.groupBy(*page).agg(F.min_by(F.struct("__p", "__after"), line).alias("h")).select(*page, "h.*")
+    stops = F.filter(F.transform("__after", lambda x, i: F.when(x.rlike(data), i)), lambda i: i.isNotNull())
+    heads = F.slice("__after", F.lit(1), F.coalesce(F.array_min(stops), F.size("__after")))
+    tokens = F.flatten(F.transform(heads, lambda x: F.regexp_extract_all(x, F.lit(f"({name})"), F.lit(1))))
+    part = lambda x: F.exists(strings(ranked), lambda p: p.startswith(x) | p.endswith(x))
+    names = F.filter(tokens, lambda x: ~x.isin(words) & ~part(x)) if words else F.filter(tokens, lambda x: ~part(x))
+    both = first.withColumn("__n", names).withColumn("__k", F.least(F.size("__p"), F.size("__n")))
+    zipped = F.arrays_zip(F.slice("__p", F.lit(1), F.col("__k")).alias("party"), F.slice("__n", F.lit(1), F.col("__k")).alias("name"))
+    return both.select(*page, F.posexplode(zipped).alias("pos", "z")).select(*page, "pos", "z.party", "z.name")
 
 
 def names_above(words: DataFrame, anchors: DataFrame, page: list[str], x: str, y: str, text: str, anchor: str, within: float) -> DataFrame:
-    """(page, anchor, text): for each anchor from left to right the topmost word within `within` that no anchor took before.
-
-    Taking turns is sequential, so a page is worked on by one task; a page's words are few.
-    """
-    import pandas as pd
-
-    schema = f"{', '.join(f'{c} {words.schema[c].dataType.simpleString()}' for c in page)}, {anchor} double, {text} string"
-
-    def take(key: tuple, w: pd.DataFrame, a: pd.DataFrame) -> pd.DataFrame:
-        used, out = set(), []
-        rows = sorted(zip(w[y], w[x], w[text], strict=True)) if len(w) else []
-        for at in sorted(a[anchor]) if len(a) else []:
-            hit = next((t for _, wx, t in rows if abs(wx - at) <= within and t not in used), None)
-            if hit is not None:
-                used.add(hit)
-                out.append((*key, float(at), hit))
-        return pd.DataFrame(out, columns=[*page, anchor, text])
-
-    return words.groupBy(*page).cogroup(anchors.groupBy(*page)).applyInPandas(take, schema)
+    """(page, anchor, text): for each anchor from left to right the topmost word within `within` that no anchor took before. Repeated anchors take one each."""
+    with temporary(words.sparkSession) as keep:
+        a = written(anchors.select(*page, F.col(anchor).cast("double").alias("at")).withColumn("agent", F.monotonically_increasing_id()), "anchors")
+        w = words.select(*page, F.col(x).alias("x"), F.col(y).alias("y"), F.col(text).alias("item"))
+        near = a.join(w, page).filter(F.abs(F.col("x") - F.col("at")) <= within)
+        place = near.groupBy(*page, "agent", "at", "item").agg(F.min(F.struct("y", "x")).alias("place"))
+        taken = in_turn(place.withColumn("rank", F.struct("at", "agent")), page, "agent", "rank", "item", "place")
+        return keep(written(taken.join(a.select("agent", "at"), "agent").select(*page, F.col("at").alias(anchor), F.col("item").alias(text)), "names-above"))
 
 
 def clusters(values: DataFrame, group: list[str], x: str, pos: str, within: float) -> DataFrame:

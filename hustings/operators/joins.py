@@ -17,8 +17,10 @@ def backfill(target: DataFrame, source: DataFrame, keys: list[str]) -> DataFrame
 
 
 def pending(registered: DataFrame, results: DataFrame, key: str) -> DataFrame:
-    """All registered rows with their results; is_pending where there is none."""
-    return registered.join(results.withColumn("__hit", F.lit(True)), key, "left").withColumn("is_pending", F.col("__hit").isNull()).drop("__hit")
+    """All registered rows with their results; is_pending where there is none. Of several results of a key the least row counts, so a row in is a row out."""
+    values = [c for c in results.columns if c != key]
+    one = results.groupBy(key).agg(F.min(F.struct(*values, F.lit(True).alias("__there"))).alias("__hit"))
+    return registered.join(one, key, "left").select(*registered.columns, *[F.col(f"__hit.{c}").alias(c) for c in values], F.col("__hit").isNull().alias("is_pending"))
 
 
 def set_differences(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
@@ -54,8 +56,9 @@ def priority_lookup(df: DataFrame, lookups: list[tuple[DataFrame, list[str], str
 
 
 def roster_status(df: DataFrame, roster: DataFrame, keys: list[str], present: str) -> DataFrame:
-    """Adds status: registered, absent (looked up, confirmed not there) or unknown (never looked up)."""
-    r = roster.select(*keys, F.col(present).alias("__present"))
+    """Adds status: registered, absent (looked up, confirmed not there) or unknown (never looked up). A key looked up more than once is registered if any
+    look-up says so; a row in is a row out."""
+    r = roster.groupBy(*keys).agg(F.max(present).alias("__present"))
     return df.join(r, keys, "left").withColumn("status", F.when(F.col("__present").isNull(), UNKNOWN).when(F.col("__present"), REGISTERED).otherwise(ABSENT)).drop("__present")
 
 

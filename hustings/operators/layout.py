@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hustings.operators.graph import components
-from hustings.workers import written
+from hustings.operators.turns import in_turn
+from hustings.workers import temporary, written
 
 #: Neighbours in odd-r offset coordinates, for even and odd rows: (column, row) steps.
 EVEN = ((1, 0), (-1, 0), (0, -1), (-1, -1), (0, 1), (-1, 1))
@@ -92,27 +93,15 @@ def anchored(words: DataFrame, anchors: DataFrame, page: list[str], x: str, anch
 
 
 def greedy_alignment(labels: DataFrame, numbers: DataFrame, page: list[str], x: str, label: str, value: str) -> DataFrame:
-    """Labels, left to right, each take the nearest number of their page that no earlier label took: (page, label, value).
-
-    Taking turns is sequential, so a page is worked on by one task; a page's words are few.
-    """
-    import pandas as pd
-
-    schema = f"{', '.join(f'{c} {labels.schema[c].dataType.simpleString()}' for c in page)}, {label} {labels.schema[label].dataType.simpleString()}, {value} double"
-
-    def align(key: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        free = list(zip(right.iloc[:, -2], right.iloc[:, -1], strict=True)) if len(right) else []
-        free.sort()
-        out = []
-        for at, name in sorted(zip(left["__x"], left[label], strict=True)) if len(left) else []:
-            if free:
-                k = min(range(len(free)), key=lambda i: (abs(free[i][0] - at), free[i][0]))
-                out.append((*key, name, float(free.pop(k)[1])))
-        return pd.DataFrame(out, columns=[*page, label, value])
-
-    left = labels.select(*page, F.col(x).alias("__x"), label)
-    right = numbers.select(*page, F.col(x).cast("double").alias("__x"), F.col(value).cast("double").alias("__v"))
-    return left.groupBy(*page).cogroup(right.groupBy(*page)).applyInPandas(align, schema)
+    """Labels, left to right, each take the nearest number of their page that no earlier label took, the left one of two as near: (page, label, value)."""
+    with temporary(labels.sparkSession) as keep:
+        left = written(labels.select(*page, F.col(x).cast("double").alias("at"), F.col(label).alias("label")).withColumn("agent", F.monotonically_increasing_id()), "labels")
+        right = written(numbers.select(*page, F.col(x).cast("double").alias("x"), F.col(value).cast("double").alias("v")).withColumn("item", F.monotonically_increasing_id()), "numbers")
+        near = left.join(right, page).filter("at IS NOT NULL AND x IS NOT NULL")
+        wishes = near.select(*page, "agent", F.struct("at", "label", "agent").alias("rank"), "item", F.struct(F.abs(F.col("x") - F.col("at")).alias("d"), "x", "v", "item").alias("place"))
+        taken = in_turn(wishes, page, "agent", "rank", "item", "place")
+        named = taken.join(left.select("agent", F.col("label").alias("__l")), "agent").join(right.select("item", "v"), "item")
+        return keep(written(named.select(*page, F.col("__l").alias(label), F.col("v").alias(value)), "aligned"))
 
 
 def lanes(intervals: DataFrame, group: list[str], start: str, end: str, pos: str) -> DataFrame:

@@ -74,7 +74,7 @@ def dissolved(e: DataFrame, key: str) -> DataFrame:
 
     An edge that a part of the key has the other way round is inner and goes. Rings of what is left are found by doubling: each edge knows one that
     lies 1, 2, 4, ... steps ahead, and the least edge seen; then all know their ring and their place in it, after about log2 of the longest ring rounds.
-    Where more than two edges meet in a vertex, the path turns to the rightmost one, which keeps the inside of each part to its left apart.
+    Where more than two edges meet in a vertex, the path takes the sharpest turn to the left, so parts that touch in a vertex alone are rings of their own.
     """
     with temporary(e.sparkSession) as keep:
         one, two = F.struct("ax", "ay"), F.struct("bx", "by")
@@ -83,7 +83,7 @@ def dissolved(e: DataFrame, key: str) -> DataFrame:
         outer = written(sums.select(key, *turned).withColumn("e", F.monotonically_increasing_id()), "outer")
         ahead = outer.select(key, F.col("ax").alias("bx"), F.col("ay").alias("by"), F.col("e").alias("next"), F.atan2(F.col("by") - F.col("ay"), F.col("bx") - F.col("ax")).alias("out"))
         back = F.atan2(F.col("ay") - F.col("by"), F.col("ax") - F.col("bx"))
-        turn = F.pmod(F.col("out") - back - 1e-9, F.lit(2 * 3.141592653589793))  # counter-clockwise from where we came: the greatest turns right
+        turn = F.pmod(F.col("out") - back - 1e-9, F.lit(2 * 3.141592653589793))  # counter-clockwise from where we came: the greatest is the sharpest left
         jump = outer.join(ahead, [key, "bx", "by"]).groupBy("e").agg(F.max_by("next", F.struct(turn, "next")).alias("next"))
         # the least edge of each ring
         seen = written(jump.withColumn("least", F.least("e", "next")), "jumps")

@@ -82,39 +82,28 @@ def decayed_top2(polls: DataFrame, region: list[str], key: Column, name: str, pc
     return out.withColumn("effective_gap", F.greatest(F.lit(0.0), F.col("gap") - F.coalesce("error", F.lit(0.0)))).withColumn("low_recent", F.col("n_recent") < recent_n)
 
 
-def _median(counts: Column) -> Column:
-    """The exact median of array<struct<v, n>>, value v occurring n times; null for an empty array."""
-    total = F.aggregate(counts, F.lit(0).cast("long"), lambda a, x: a + x["n"])
-    none = F.lit(None).cast("double")
-    start = F.struct(F.lit(0).cast("long").alias("seen"), none.alias("low"), none.alias("high"))
-
-    def step(a: Column, x: Column, half: Column, n: Column) -> Column:
-        seen = a["seen"] + x["n"]
-        reach = lambda old, place: F.when(old.isNull() & (seen > place), x["v"]).otherwise(old)
-        return F.struct(seen.alias("seen"), reach(a["low"], F.floor((n - 1) / 2)).alias("low"), reach(a["high"], half).alias("high"))
-
-    of = lambda n: F.aggregate(F.array_sort(counts), start, lambda a, x: step(a, x, F.floor(n / 2), n), lambda a: (a["low"] + a["high"]) / 2)
-    return F.get(F.transform(F.array(total), of), F.lit(0))
-
-
 def mad_outliers(samples: DataFrame, key: list[str], day: str, value: str, sample_id: str, days: int = 21, least: int = 3, least_mad: float = 2.0, floor: float = 15.0, times: float = 4.0) -> DataFrame:
     """Samples further than max(floor, times * mad) from the median of their key's samples within `days` days, themselves included.
 
-    Needs `least` samples and a mad of `least_mad`. Values are counted by day, map-side; a range frame gathers the counts of each day's window
-    and medians are read off them, so cost follows a key's days and distinct values, not its samples. Null keys are a key; samples without
-    a day or a value are in no window and never outliers.
+    Needs `least` samples and a mad of `least_mad`. Values are counted by day, map-side; each count goes once to each day with samples whose window it is
+    in (stretches of days meet by an equi-join), and medians are percentiles weighted by counts, which aggregate partially: no array grows with a
+    window. Null keys are a key; samples without a day or a value are in no window and never outliers.
     """
-    counts = samples.filter(F.col(day).isNotNull() & F.col(value).isNotNull()).groupBy(*key, F.unix_date(day).alias("__day"), F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
-    of_day = counts.groupBy(*key, "__day").agg(F.collect_list(F.struct("v", "n")).alias("__counts"))
-    w = Window.partitionBy(*key).orderBy("__day").rangeBetween(-days, days)
-    s = of_day.withColumn("__all", F.flatten(F.collect_list("__counts").over(w))).withColumn("n", F.aggregate("__all", F.lit(0).cast("long"), lambda a, x: a + x["n"]))
-    s = s.filter(F.col("n") >= least).withColumn("median", _median(F.col("__all")))
-    s = s.withColumn("mad", _median(F.transform("__all", lambda x: F.struct(F.abs(x["v"] - F.col("median")).alias("v"), x["n"].alias("n"))))).filter(F.col("mad") >= least_mad)
-    stats = s.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(key)], F.col("__day").alias("__d"), F.col("n").alias("__n"), F.col("median").alias("__median"), F.col("mad").alias("__mad"))
-    on = [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(key)] + [F.unix_date(day) == F.col("__d")]
+    names = [f"__k{i}" for i in range(len(key))]
+    on = lambda a, b: [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in names]
+    own = [F.col(k).alias(n) for k, n in zip(key, names, strict=True)]
+    counts = samples.filter(F.col(day).isNotNull() & F.col(value).isNotNull()).groupBy(*own, F.unix_date(day).alias("d"), F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    width = days + 1
+    stretch = counts.withColumn("s", F.floor(F.col("d") / width)).alias("a")
+    middle = counts.select(*names, "d").distinct().withColumn("s", F.explode(F.sequence(F.floor((F.col("d") - days) / width), F.floor((F.col("d") + days) / width)))).alias("b")
+    near = stretch.join(middle, [*on("a", "b"), F.col("a.s") == F.col("b.s"), F.abs(F.col("a.d") - F.col("b.d")) <= days]).select(*[f"b.{k}" for k in names], F.col("b.d").alias("d"), "a.v", "a.n")
+    median = near.groupBy(*names, "d").agg(F.sum("n").alias("total"), F.expr("percentile(v, 0.5, n)").alias("median")).filter(F.col("total") >= least)
+    off = near.alias("a").join(median.alias("b"), [*on("a", "b"), F.col("a.d") == F.col("b.d")]).select(*[f"b.{k}" for k in names], "b.d", "total", "median", "a.n", F.abs(F.col("a.v") - F.col("median")).alias("v"))
+    stats = off.groupBy(*names, "d").agg(F.first("total").alias("__n"), F.first("median").alias("__median"), F.expr("percentile(v, 0.5, n)").alias("__mad")).filter(F.col("__mad") >= least_mad)
+    same = [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(key, names, strict=True)] + [F.unix_date(day) == F.col("d")]
     far = F.abs(F.col(value) - F.col("__median")) > F.greatest(F.lit(floor), F.col("__mad") * times)
     out = [F.col("__n").alias("n"), F.col("__median").alias("median"), F.col("__mad").alias("mad")]
-    return samples.join(stats, on).filter(far).select(*key, sample_id, day, value, *out)
+    return samples.join(stats, same).filter(far).select(*key, sample_id, day, value, *out)
 
 
 def gap_sessions(points: DataFrame, by: list[str], when: str, gap_seconds: float, pos: list[str]) -> DataFrame:

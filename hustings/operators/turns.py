@@ -36,19 +36,18 @@ def in_turn(wishes: DataFrame, group: list[str], agent: str, rank: str, item: st
         raise RuntimeError(f"turns did not settle in {MOST_ROUNDS} rounds")
 
 
-def ring_cell(c: Column, r: Column, j: Column) -> tuple[Column, Column]:
-    """(column, row), odd rows shifted right, of the j-th cell around (c, r): ring by ring, each by row and column; 0 is the cell itself."""
-    guess = F.ceil((F.sqrt(9 + 12 * j.cast("double")) - 3) / 6)
-    d = F.when(3 * guess * (guess + 1) < j, guess + 1).when((guess > 0) & (3 * guess * (guess - 1) >= j), guess - 1).otherwise(guess)
-    t = j - 3 * d * (d - 1) - 1
-    low = 5 * d - 1  # places of the ring's lowest row
-    dr = F.when(j == 0, 0).when(t <= d, -d).when(t >= low, d).otherwise(F.floor((t - d - 1) / 2) - d + 1)
-    side = F.when(F.pmod(t - d - 1, F.lit(2)) == 1, F.least(d, d - dr)).otherwise(F.greatest(-d, -d - dr))
-    dq = F.when(j == 0, 0).when(t <= d, t).when(t >= low, t - low - d).otherwise(side)
+def ring_cells(df: DataFrame, c0: str, r0: str, j: str) -> DataFrame:
+    """Adds c, r: the j-th cell (column and row, odd rows shifted right) around (c0, r0): ring by ring, each by row and column; 0 is the cell itself."""
     odd = lambda x: F.pmod(x, F.lit(2))
-    row = (r + dr).cast("long")
-    q = c - (r - odd(r)) / 2 + dq
-    return (q + (row - odd(row)) / 2).cast("long"), row
+    # a step at a time: one expression of it all would be written out many times over
+    df = df.withColumn("__d", F.ceil((F.sqrt(9 + 12 * F.col(j).cast("double")) - 3) / 6))  # exact: (6d + 3)^2 is where ring d ends
+    df = df.withColumn("__t", F.col(j) - 3 * F.col("__d") * (F.col("__d") - 1) - 1).withColumn("__low", 5 * F.col("__d") - 1)  # __low: places of the lowest row
+    d, t, low = F.col("__d"), F.col("__t"), F.col("__low")
+    df = df.withColumn("__dr", F.when(F.col(j) == 0, 0).when(t <= d, -d).when(t >= low, d).otherwise(F.floor((t - d - 1) / 2) - d + 1).cast("long"))
+    side = F.when(F.pmod(t - d - 1, F.lit(2)) == 1, F.least(d, d - F.col("__dr"))).otherwise(F.greatest(-d, -d - F.col("__dr")))
+    df = df.withColumn("__dq", F.when(F.col(j) == 0, 0).when(t <= d, t).when(t >= low, t - low - d).otherwise(side).cast("long")).withColumn("r", F.col(r0) + F.col("__dr"))
+    q = F.col(c0) - F.floor((F.col(r0) - odd(F.col(r0))) / 2) + F.col("__dq")
+    return df.withColumn("c", q + F.floor((F.col("r") - odd(F.col("r"))) / 2)).drop("__d", "__t", "__low", "__dr", "__dq")
 
 
 def grid_start(units: DataFrame, x: str, y: str, aspect: float = 2.3, fill: float = 1.3) -> DataFrame:
@@ -81,11 +80,11 @@ def placed(units: DataFrame, order: list[Column], c0: str = "c0", r0: str = "r0"
         for _ in range(MOST_ROUNDS):
             state = running_max(state.withColumn("lag", F.col("wish") - F.col("seat")), ["c0", "r0"], "seat", "lag", "most")
             state = state.withColumn("wish", F.col("most") + F.col("seat")).drop("lag", "most")
-            state = written(state.withColumns(dict(zip(("c", "r"), ring_cell(F.col("c0"), F.col("r0"), F.col("wish")), strict=True))), "wishes")
+            state = written(ring_cells(state, "c0", "r0", "wish"), "wishes")
             held = state.groupBy("c", "r").agg(F.min("__rank").alias("held"))
             away = state.join(held, ["c", "r"]).filter(F.col("__rank") > F.col("held"))
-            near = away.select("__rank", "c0", "r0", F.explode(F.sequence(F.lit(1), F.lit(look))).alias("step"), "wish")
-            near = near.withColumns(dict(zip(("c", "r"), ring_cell(F.col("c0"), F.col("r0"), F.col("wish") + F.col("step")), strict=True)))
+            near = away.select("__rank", "c0", "r0", "wish", F.explode(F.sequence(F.lit(1), F.lit(look))).alias("step"))
+            near = ring_cells(near.withColumn("j", F.col("wish") + F.col("step")), "c0", "r0", "j")
             free = near.join(held, ["c", "r"], "left").groupBy("__rank").agg(F.coalesce(F.min(F.when(F.col("held").isNull() | (F.col("held") > F.col("__rank")), F.col("step"))), F.lit(look)).alias("step"))
             steps = written(free, "steps")
             if steps.isEmpty():

@@ -48,12 +48,13 @@ def tsv_numbers(spark, sf_dir):
 
 
 def encoded_csv(spark, sf_dir):
-    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("k"), F.concat(F.lit("é"), "n_name", F.lit("ü")).alias("name"))
-    path, plain = scratch(spark, "latin"), scratch(spark, "utf8")
-    n.coalesce(1).write.option("header", True).option("encoding", "ISO-8859-1").csv(path)
-    n.coalesce(1).write.option("header", True).csv(plain)
-    read = lambda p, kind: readers.encoded_csv(spark, p, "k long, name string").withColumn("kind", F.lit(kind))
-    return read(path, "latin").unionByName(read(plain, "utf8"))
+    """Documents in one folder, a file a language, each in another character set."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.nullif(F.trim(F.regexp_replace("text", r"[^ !#-\[\]-~À-ÿ]", "")), F.lit("")).alias("t"), "lang")
+    path = scratch(spark, "sets")
+    for lang, kind in (("fr", "ISO-8859-1"), ("de", "ISO-8859-1"), ("es", "UTF-16")):
+        d.filter(F.col("lang") == lang).drop("lang").coalesce(1).write.mode("append").option("header", True).option("encoding", kind).csv(path)
+    d.filter(~F.coalesce(F.col("lang").isin("fr", "de", "es"), F.lit(False))).drop("lang").write.mode("append").option("header", True).csv(path)
+    return readers.encoded_csv(spark, path, "doc_id long, t string")
 
 
 def sparql_solutions(spark, sf_dir):
@@ -315,10 +316,10 @@ def column_values(spark, sf_dir):
 
 
 def paired_header(spark, sf_dir):
-    s = table(spark, sf_dir, "supplier")
-    line = lambda k, t: F.struct(F.lit(k).alias("line"), t.alias("t"))
-    lines = s.select("s_suppkey", F.inline(F.array(line(1, F.lit("poll")), line(2, F.when(F.col("s_suppkey") % 5 == 0, "Union").otherwise("Union Labour")), line(3, F.lit("Union")), line(4, F.lit("12 % 7")), line(5, F.lit("Kim Lee")))))
-    return extraction.paired_header(lines, ["s_suppkey"], "line", "t", ["Union", "Labour", "Uni"]).select("s_suppkey", F.col("pos").cast("long").alias("pos"), "party", "name")
+    """Six parts a page, their names as lines; some lines are data."""
+    p = table(spark, sf_dir, "part").select(F.floor(F.col("p_partkey") / 6).alias("page"), (F.col("p_partkey") % 6).alias("line"), F.concat(F.when(F.col("p_size") % 17 == 0, "=").otherwise(""), "p_name").alias("t"))
+    out = extraction.paired_header(p, ["page"], "line", "t", ["red", "ol", "hot", "blue", "bolt", "ring", "widget"], name="[a-z]{2,5}", words=["new", "small"], data="^=")
+    return out.select("page", F.col("pos").cast("long").alias("pos"), "party", "name")
 
 
 def leak_repair(spark, sf_dir):
@@ -369,7 +370,7 @@ ORACLE_SQL = {
     "csv_first_wins": "select o_orderkey, case when o_orderstatus = 'F' then 'X' else o_orderstatus end as o_orderstatus from orders",
     "json_folder": "select cast(c_nationkey as bigint) as c_nationkey, case when c_nationkey = 3 then -1 else count(*) end as n, case when c_nationkey <> 3 then round(sum(c_acctbal), 2) end as total from customer group by c_nationkey",
     "tsv_numbers": "select cast(s_suppkey as bigint) as key, case when s_suppkey % 7 <> 0 then cast(s_suppkey * 1234 as double) end as votes from supplier",
-    "encoded_csv": "select cast(n_nationkey as bigint) as k, 'é' || n_name || 'ü' as name, kind from nation, (values ('latin'), ('utf8')) v(kind)",
+    "encoded_csv": r"select doc_id, nullif(trim(regexp_replace(text, '[^ !#-\[\]-~À-ÿ]', '', 'g')), '') as t from documents",
     "sparql_solutions": "select o_orderkey as node, o_orderstatus as status, o_orderpriority as priority from orders",
     "sparql_races": "select o_custkey as race, o_orderkey as candidate, row_number() over w as rank, row_number() over w = 1 as won from orders window w as (partition by o_custkey order by o_totalprice desc nulls last, o_orderkey)",
     "present_union": "select cast(r_regionkey as bigint) as r_regionkey, r_name from region",
@@ -428,7 +429,16 @@ select event_id, coalesce(v.office, p.office) as office from p left join v on p.
     "total_lines": "select p_partkey, cast(case when p_size % 2 = 0 then 3 else 2 end as bigint) as line from part",
     "column_values": f"""with {LINES_SQL} select p_partkey, line, cast(case line when 1 then 3 when 2 then 3 else case when p_size % 2 = 0 then 2 else 4 end end as bigint) as n,
   round(cast(case line when 1 then p_size + 5 when 2 then p_size + 23.5 else case when p_size % 2 = 0 then p_size + 1 else 10 end end as double), 4) as total from l""",
-    "paired_header": "select s_suppkey, cast(0 as bigint) as pos, 'Union' as party, 'Kim' as name from supplier where s_suppkey % 5 <> 0 union all select s_suppkey, 1, 'Labour', 'Lee' from supplier where s_suppkey % 5 <> 0",
+    "paired_header": """with l as (select p_partkey // 6 as page, p_partkey % 6 as line, case when p_size % 17 = 0 then '=' else '' end || p_name as t from part),
+w as (select page, line, string_agg(t, ' ') over (partition by page order by line rows between current row and 2 following) as near from l),
+h as (select page, line, contains(near, '=') as data, list_filter(['widget', 'blue', 'bolt', 'ring', 'red', 'hot', 'ol'], lambda p: contains(near, p)) as hits from w),
+u as (select page, line, list_filter(hits, lambda p: len(list_filter(hits, lambda q: q <> p and contains(q, p))) = 0) as p, max(cast(data as int)) over (partition by page order by line) as seen from h),
+f as (select page, min(line) as spot, arg_min(p, line) as p from u where seen = 0 and len(p) >= 2 group by 1),
+b as (select l.page, line, t, p, min(case when starts_with(t, '=') then line end) over (partition by l.page) as stop from f join l on l.page = f.page and line > spot and line <= spot + 7),
+n as (select page, line, p, unnest(regexp_extract_all(t, '[a-z]{2,5}')) as name, generate_subscripts(regexp_extract_all(t, '[a-z]{2,5}'), 1) as k from b where stop is null or line < stop),
+r as (select page, p, name, row_number() over (partition by page order by line, k) as pos from n where name not in ('new', 'small')
+  and len(list_filter(['widget', 'blue', 'bolt', 'ring', 'red', 'hot', 'ol'], lambda q: starts_with(q, name) or ends_with(q, name))) = 0)
+select page, pos - 1 as pos, p[pos] as party, name from r where pos <= len(p)""",
     "leak_repair": "select s_suppkey, case s_suppkey % 3 when 0 then 'Kimab' when 1 then 'giKimabcd' else 'Leexy' end as name from supplier",
     "preferred_rows": """with o as (select l_orderkey, count(*) as n, bool_and(l_quantity > 5) as clean, sum(l_suppkey) as s from lineitem where l_returnflag <> 'A' group by 1),
 s as (select l_orderkey, count(*) as m, sum(l_partkey) as p from lineitem group by 1)

@@ -44,22 +44,59 @@ def tsv(spark: SparkSession, path: str, names: dict[str, str], numbers: list[str
     return raw.select(*[(F.regexp_replace(F.col(f"`{h}`"), ",", "").try_cast("double") if o in numbers else F.col(f"`{h}`")).alias(o) for o, h in names.items()])
 
 
-def encoding_of(spark: SparkSession, path: str, fallback: str = "ISO-8859-1", head: int = 4096) -> str:
-    """The character set of the first file of a path, by its first bytes: a mark at its start, else UTF-8 if they are, else the fallback."""
-    start = bytes(spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path).orderBy("path").select(F.substring("content", 1, head)).first()[0])
-    if start[:2] in (b"\xff\xfe", b"\xfe\xff"):
-        return "UTF-16"
-    try:
-        start.decode("utf-8-sig")
-    except UnicodeDecodeError as e:
-        if e.start < len(start) - 3:  # a character cut off at the end of the head is none of another set
-            return fallback
-    return "UTF-8"
-
-
-def encoded_csv(spark: SparkSession, path: str, schema: str, fallback: str = "ISO-8859-1") -> DataFrame:
-    """A CSV file or folder in the character set that its first bytes tell."""
-    return spark.read.schema(schema).option("header", True).option("encoding", encoding_of(spark, path, fallback)).csv(path)
+def encodings(spark: SparkSession, path: str, fallback: str = "ISO-8859-1", others: tuple[str, ...] = ("cp949",)) -> DataFrame:
+    """(file, encoding) of each file of a path, by its whole content, line by line in tasks: a mark at its start (UTF-16), UTF-8 if all lines are, else the
+    first of `others` (Python's names) in which all lines can be read, else the fallback."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("raw"))
+    wide = F.substring(F.hex("raw"), 1, 4).isin("FFFE", "FEFF")
+    kinds = lines.groupBy("file").agg(F.max(wide).alias("wide"), F.min(F.expr("is_valid_utf8(cast(raw as string))")).alias("utf8"))
+
+    @F.pandas_udf("array<string>")
+    def readable(raw):
+        def fits(b: bytes, kind: str) -> bool:
+            try:
+                b.decode(kind)
+            except UnicodeDecodeError:
+                return False
+            return True
+
+        return raw.map(lambda b: [k for k in others if fits(bytes(b), k)])
+
+    unclear = kinds.filter("NOT wide AND NOT utf8").select("file")
+    tried = lines.join(unclear, "file").select("file", readable("raw").alias("fits"))
+    able = tried.groupBy("file").agg(*[F.min(F.array_contains("fits", k)).alias(f"__{i}") for i, k in enumerate(others)]) if others else unclear
+    other = F.coalesce(*[F.when(F.col(f"__{i}"), F.lit(k)) for i, k in enumerate(others)], F.lit(fallback))
+    return kinds.join(able, "file", "left").select("file", F.when(F.col("wide"), "UTF-16").when(F.col("utf8"), "UTF-8").otherwise(other).alias("encoding"))
+
+
+#: What Spark's CSV reader can read itself.
+SPARK_SETS = ("US-ASCII", "ISO-8859-1", "UTF-8", "UTF-16BE", "UTF-16LE", "UTF-16", "UTF-32")
+
+
+def encoded_csv(spark: SparkSession, path: str, schema: str, fallback: str = "ISO-8859-1", others: tuple[str, ...] = ("cp949",)) -> DataFrame:
+    """A CSV file or folder, each file in its own character set; rows come without their file's order. The first line of a file is its header; in sets that
+    Spark doesn't know, lines that spell the schema's names are headers."""
+    shape = T._parse_datatype_string(schema)
+    files: dict[str, list[str]] = {}
+    for r in encodings(spark, path, fallback, others).collect():  # a row a file, as a listing has
+        files.setdefault(r["encoding"], []).append(r["file"])
+    parts = [spark.createDataFrame([], shape)]
+    for kind, names in sorted(files.items()):
+        if kind in SPARK_SETS:
+            wide = kind.startswith(("UTF-16", "UTF-32"))  # a line's end isn't one byte: such files are read whole
+            parts.append(spark.read.schema(shape).option("header", True).option("encoding", kind).option("multiLine", wide).csv(names))
+            continue
+
+        @F.pandas_udf("string")
+        def decoded(raw, kind=kind):
+            return raw.map(lambda b: bytes(b).decode(kind).rstrip("\r"))
+
+        plain = T.StructType([T.StructField(f.name, T.StringType()) for f in shape])
+        text = spark.read.text(names).select(decoded(F.col("value").cast("binary")).alias("line")).filter("line <> ''")
+        rows = text.select(F.from_csv("line", ", ".join(f"`{f.name}` string" for f in plain)).alias("s"), F.from_csv("line", ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in shape)).alias("r"))
+        is_header = reduce(lambda a, b: a & b, [F.coalesce(F.lower(F.trim(F.col("s").getField(f.name))) == f.name.lower(), F.lit(False)) for f in plain])
+        parts.append(rows.filter(~is_header).select("r.*"))
+    return reduce(DataFrame.unionByName, parts)
 
 
 def unpivot(df: DataFrame, meta: list[str], name: str = "option", value: str = "votes") -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hustings.workers import scratch
+from hustings.workers import remove, scratch
 
 
 def source(spark: SparkSession, folder: str, name: str, schema, per_batch: int = 1) -> DataFrame:
@@ -48,21 +48,30 @@ def windowed_counts(stream: DataFrame, by: list[str], when: str, size: str, slid
 
 
 def completeness(stream: DataFrame, by: list[str], pct: str, name: str, least: float = 98.0, mean: float = 99.5) -> DataFrame:
-    """Counting state after the last batch, each batch's snapshot in place of the one before: final when the least share reaches `least` and the mean `mean`."""
+    """Counting state after the last batch: final when the least share reaches `least` and the mean `mean`.
+
+    Each batch writes a snapshot of its own; the one before goes when the new one is whole, so there is always one to read.
+    """
     out = stream.groupBy(*by).agg(F.min(pct).alias("least"), F.avg(pct).alias("mean"))
     out = out.withColumn("is_final", F.coalesce((F.col("least") >= least) & (F.col("mean") >= mean), F.lit(False)))
     path = scratch(stream.sparkSession, f"stream-{name}")
 
+    last = [-1]
+
     def replace(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{path}/rows")
+        batch.write.mode("overwrite").parquet(f"{path}/rows-{number}")
+        if last[0] not in (-1, number):
+            remove(batch.sparkSession, f"{path}/rows-{last[0]}")
+        last[0] = number
 
     query = out.writeStream.foreachBatch(replace).option("checkpointLocation", f"{path}/checkpoint").outputMode("complete").trigger(availableNow=True).start()
     query.awaitTermination()
-    return stream.sparkSession.read.schema(out.schema).parquet(f"{path}/rows")
+    spark = stream.sparkSession
+    return spark.read.schema(out.schema).parquet(f"{path}/rows-{last[0]}") if last[0] >= 0 else spark.createDataFrame([], out.schema)
 
 
 def merged(stream: DataFrame, path: str, key: list[str], name: str) -> None:
-    """Append rows with unseen keys to a Parquet table, batch by batch; a batch that runs again adds nothing twice."""
+    """Append rows with unseen keys to a Parquet table, batch by batch; a batch that runs again adds nothing twice. Null keys are keys."""
 
     def add(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
@@ -70,7 +79,8 @@ def merged(stream: DataFrame, path: str, key: list[str], name: str) -> None:
         jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
         p = jvm.org.apache.hadoop.fs.Path(path)
         if p.getFileSystem(conf).exists(p):
-            fresh = fresh.join(spark.read.parquet(path).select(*key), key, "left_anti").select(*batch.columns)
+            there = spark.read.parquet(path).select(*[F.col(k).alias(f"__{i}") for i, k in enumerate(key)])
+            fresh = fresh.join(there, [F.col(k).eqNullSafe(F.col(f"__{i}")) for i, k in enumerate(key)], "left_anti")
         fresh.write.mode("append").parquet(path)
 
     query = stream.writeStream.foreachBatch(add).option("checkpointLocation", scratch(stream.sparkSession, f"merge-{name}")).trigger(availableNow=True).start()

@@ -34,8 +34,7 @@ def in_order(starts):
 def test_ring_cells(spark):
     for c0, r0 in ((0, 0), (3, 5), (-2, -7)):
         df = spark.range(200).select(F.lit(c0).alias("c0"), F.lit(r0).alias("r0"), "id")
-        c, r = turns.ring_cell(F.col("c0"), F.col("r0"), F.col("id"))
-        got = [(x.c, x.r) for x in df.select("id", c.alias("c"), r.alias("r")).orderBy("id").collect()]
+        got = [(x.c, x.r) for x in turns.ring_cells(df, "c0", "r0", "id").orderBy("id").collect()]
         want = sorted(((distance((c, r), (c0, r0)), r, c) for r in range(r0 - 9, r0 + 10) for c in range(c0 - 10, c0 + 11)))[:200]
         assert got == [(c, r) for _, r, c in want]
 
