@@ -32,7 +32,7 @@ def _ends() -> list[Column]:
 
 
 SEGMENT = ["lx", "ly", "hx", "hy"]
-LENGTH = F.expr("sqrt((hx - lx) * (hx - lx) + (hy - ly) * (hy - ly))")
+LENGTH = "sqrt((hx - lx) * (hx - lx) + (hy - ly) * (hy - ly))"
 
 
 def noded(e: DataFrame, cell: float) -> DataFrame:
@@ -57,7 +57,7 @@ def shared_borders(e: DataFrame, key: str) -> DataFrame:
     """(a, b, length) of keys a < b with a common border: the segments that both have."""
     s = e.select(key, *_ends()).distinct()
     both = s.withColumnRenamed(key, "a").join(s.withColumnRenamed(key, "b"), SEGMENT).filter("a < b")
-    return both.groupBy("a", "b").agg(F.sum(LENGTH).alias("length"))
+    return both.groupBy("a", "b").agg(F.sum(F.expr(LENGTH)).alias("length"))
 
 
 def coast_ratio(e: DataFrame, key: str, least: float = 0.2) -> DataFrame:
@@ -65,7 +65,7 @@ def coast_ratio(e: DataFrame, key: str, least: float = 0.2) -> DataFrame:
     once = e.select(key, *_ends()).groupBy(key, *SEGMENT).agg(F.count("*").alias("n")).filter("n = 1")
     keys = once.groupBy(*SEGMENT).agg(F.count("*").alias("n"), F.min(key).alias(key))
     border = once.join(keys.filter("n = 1").select(*SEGMENT, F.lit(True).alias("__alone")), SEGMENT, "left")
-    s = border.groupBy(key).agg(F.sum(LENGTH).alias("border"), F.sum(F.when(F.col("__alone"), LENGTH).otherwise(0.0)).alias("coast"))
+    s = border.groupBy(key).agg(F.sum(F.expr(LENGTH)).alias("border"), F.sum(F.when(F.col("__alone"), F.expr(LENGTH)).otherwise(0.0)).alias("coast"))
     return s.withColumn("ratio", F.col("coast") / F.col("border")).withColumn("is_coastal", F.col("ratio") > least)
 
 
