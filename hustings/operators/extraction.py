@@ -50,14 +50,15 @@ def header(rows: DataFrame, table: list[str], row: str, cells: str) -> DataFrame
 
 def paired_header(
     lines: DataFrame, page: list[str], line: str, text: str, parties: list[str], least: int = 2, window: int = 3, below: int = 7,
-    name: str = r"\p{L}{2,4}", words: list[str] = [], data: str = r"^\s*[0-9(]",  # noqa: B006
+    name: str = r"\p{L}{2,4}", words: list[str] = [], data: str = r"^\s*[0-9(]", body: str | None = None,  # noqa: B006
 ) -> DataFrame:
     """(page, pos, party, name): parties of the first `window` lines that together hold `least` distinct ones, paired with names from the lines after the
     first of them.
 
-    A party within a longer one that is there doesn't count; longer parties come first, equally long ones as listed. Nothing is sought from a data line
-    on (`data`, a pattern). Names are matches of `name` in up to `below` lines, in order of reading, but for parties, beginnings and ends of
-    parties, and `words` of headers. The shorter of the two lists settles how many pairs there are. Null texts are empty.
+    A party within a longer one that is there doesn't count; longer parties come first, equally long ones as listed. Lines that together hold the
+    pattern `body` end the search for parties. Names are matches of `name` in up to `below` lines, up to one that holds the pattern `data`, in order of
+    reading, but for parties, beginnings and ends of parties, and `words` of headers. The shorter of the two lists settles how many pairs
+    there are. Null texts are empty.
     """
     w = Window.partitionBy(*page).orderBy(line)
     t = F.coalesce(F.col(text), F.lit(""))
@@ -65,7 +66,7 @@ def paired_header(
     strings = lambda x: F.array(*map(F.lit, x)).cast("array<string>")
     near = F.array_join(F.collect_list(t).over(w.rowsBetween(0, window - 1)), " ")
     found = lines.withColumn("__near", near).withColumn("__after", F.collect_list(t).over(w.rowsBetween(1, below)))
-    found = found.withColumn("__data", F.exists(F.collect_list(t).over(w.rowsBetween(0, window - 1)), lambda x: x.rlike(data)).cast("int"))
+    found = found.withColumn("__data", F.col("__near").rlike(body).cast("int") if body is not None else F.lit(0))
     found = found.withColumn("__seen", F.max("__data").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     hits = F.filter(strings(ranked), lambda p: F.contains(F.col("__near"), p))
     alone = F.filter(hits, lambda p: ~F.exists(hits, lambda q: (q != p) & F.contains(q, p)))

@@ -318,7 +318,7 @@ def column_values(spark, sf_dir):
 def paired_header(spark, sf_dir):
     """Six parts a page, their names as lines; some lines are data."""
     p = table(spark, sf_dir, "part").select(F.floor(F.col("p_partkey") / 6).alias("page"), (F.col("p_partkey") % 6).alias("line"), F.concat(F.when(F.col("p_size") % 17 == 0, "=").otherwise(""), "p_name").alias("t"))
-    out = extraction.paired_header(p, ["page"], "line", "t", ["red", "ol", "hot", "blue", "bolt", "ring", "widget"], name="[a-z]{2,5}", words=["new", "small"], data="^=")
+    out = extraction.paired_header(p, ["page"], "line", "t", ["red", "ol", "hot", "blue", "bolt", "ring", "widget"], name="[a-z]{2,5}", words=["new", "small"], data="^=", body="=")
     return out.select("page", F.col("pos").cast("long").alias("pos"), "party", "name")
 
 

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 from hustings.functions import text
 from hustings.operators import trends
 from hustings.plans.tables import POLLS_SQL, polls, table
-from hustings.sources import readers, sinks
-from hustings.streaming import twins
+from hustings.sources import paged, readers, sinks
+from hustings.streaming import scans, twins
 from hustings.workers import scratch
 
 
@@ -121,11 +121,41 @@ def stream_late_join(spark, sf_dir):
     return twins.drained(out, "late").filter("id >= 0").select("id", "is_pending")
 
 
+def paged_stream(spark, sf_dir):
+    """Lists of events by type, newest first: a stream reads the older half, ends, and goes on when the newer half is there."""
+    e = table(spark, sf_dir, "events").select("event_id", "event_type", "user_id")
+    paged.register(spark)
+    folder, path = scratch(spark, "pages"), scratch(spark, "paged-stream")
+    half = e.agg(F.percentile_approx("event_id", 0.5)).first()[0]
+    kinds = ",".join(sorted(r[0] for r in e.select("event_type").distinct().collect()))  # a list for each is what the stream is told to read
+    stream = lambda: spark.readStream.format("paged_json").option("template", folder + "/{key}-{page}.json").option("keys", kinds).option("id", "event_id").load()
+    for rows in (e.filter(F.col("event_id") <= half), e):
+        paged.write_pages(rows, "event_type", "event_id", folder, 200)
+        out = twins.drained(stream(), "paged", path=path)
+    got = out.select("key", F.from_json("row", "event_id long, user_id long").alias("r"))
+    return got.select("r.event_id", F.col("key").alias("event_type"), "r.user_id")
+
+
+def scans_due(spark, sf_dir):
+    """Users are candidates at each event; their version changes now and then, and a scan counts for a day and a half."""
+    folder = scratch(spark, "candidates")
+    days = polls(spark, sf_dir).agg(F.min("day").alias("a"), F.max("day").alias("z")).first()
+    step = max(1, ((days["z"] - days["a"]).days + 4) // 4)
+    whole = polls(spark, sf_dir).select("user_id", F.floor(F.col("k") / 40).cast("string").alias("version"), "ts", F.floor(F.date_diff("day", F.lit(days["a"])) / step).alias("part"))
+    path = scratch(spark, "scans")
+    for k in range(4):  # each run goes on from the state of the one before
+        whole.filter(F.col("part") == k).select("user_id", "version", "ts").coalesce(1).write.mode("append").parquet(folder)
+        with scans.rocks(spark):
+            out = twins.drained(scans.due(twins.source(spark, folder, "*.parquet", "user_id long, version string, ts timestamp"), "user_id", "version", "ts", 1.5), "scans", path=path)
+    return out
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         unpivot_wide, numbered_unpivot, pseudo_attributes, subtotal_policy, filled_down, chunk_split, upsert_preserving, overwrite_guard, incremental_merge,
         file_catalog, wiki_cells, xml_rows, stream_dedup_append, stream_sessions, batch_sessions, stream_late_join,
+        paged_stream, scans_due,
     )
 }
 
@@ -134,6 +164,12 @@ s as (select *, sum(fresh) over (partition by user_id order by ts, event_id rows
 select user_id, min(ts) as start, max(ts) as stop, count(*) as n from s group by user_id, session"""
 
 ORACLE_SQL = {
+    "paged_stream": "select event_id, event_type, user_id from events",
+    "scans_due": f"""with recursive {POLLS_SQL}, e as materialized (select user_id, ts, cast(k // 40 as varchar) as version, row_number() over (partition by user_id order by ts, k // 40) as n from polls),
+r(user_id, n, version, at_, scan) as (select user_id, n, version, ts, true from e where n = 1
+  union all select e.user_id, e.n, case when e.version <> r.version or e.ts > r.at_ + interval 36 hours then e.version else r.version end,
+    case when e.version <> r.version or e.ts > r.at_ + interval 36 hours then e.ts else r.at_ end, e.version <> r.version or e.ts > r.at_ + interval 36 hours from r join e on e.user_id = r.user_id and e.n = r.n + 1)
+select user_id, version, at_ as "at" from r where scan""",
     "unpivot_wide": f"with {POLLS_SQL} select day, agency, party as option, cast(sum(k) as double) as votes from polls group by all having sum(k) is not null",
     "numbered_unpivot": "select l_orderkey, cast(l_linenumber as bigint) as pos, max(l_suppkey) as option, max(l_quantity) as votes from lineitem where l_linenumber <= 7 group by 1, 2",
     "pseudo_attributes": f"""with {POLLS_SQL} select day, agency, cast(sum(k) filter (party = 'signup') as bigint) as electors, cast(sum(k) filter (party = 'view') as bigint) as voters,

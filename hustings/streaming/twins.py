@@ -13,10 +13,10 @@ def source(spark: SparkSession, folder: str, name: str, schema, per_batch: int =
     return spark.readStream.schema(schema).option("pathGlobFilter", name).option("maxFilesPerTrigger", per_batch).parquet(folder)
 
 
-def drained(stream: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run the stream over all there is, into a table in the shared folder, and read that."""
+def drained(stream: DataFrame, name: str, mode: str = "append", path: str | None = None) -> DataFrame:
+    """Run the stream over all there is, into a table in the shared folder, and read that. With the path of a run before it goes on where that ended."""
     spark = stream.sparkSession
-    path = scratch(spark, f"stream-{name}")
+    path = path or scratch(spark, f"stream-{name}")
     query = stream.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/checkpoint").outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/rows")
