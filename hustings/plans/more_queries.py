@@ -271,25 +271,32 @@ def gate_with_parties(spark, sf_dir):
 
 
 def district_parts(spark, sf_dir):
-    n = table(spark, sf_dir, "supplier").select("s_suppkey", F.concat(F.lit("Nord-si·Sud-gun·"), F.col("s_nationkey").cast("string"), F.when(F.col("s_suppkey") % 3 == 0, " gap").when(F.col("s_suppkey") % 3 == 1, " eul").otherwise("-gu")).alias("name"), F.when(F.col("s_suppkey") % 2 == 0, "list-byeong.csv").otherwise("list.csv").alias("file"))
-    d = text.district_parts(F.col("name"), F.col("file"), ["gap", "eul", "byeong"], ["-si", "-gun", "-gu"])
-    return n.select("s_suppkey", F.array_join(d["parts"], "/").alias("parts"), d["marker"].alias("marker"))
+    """Parts' names as compound districts; the type is a marker at the end of some, in the file's name of others."""
+    p = table(spark, sf_dir, "part")
+    name = F.concat(F.replace("p_name", F.lit(" "), F.lit("·")), F.when(F.col("p_size") % 2 == 0, F.concat(F.lit(" "), "p_type")).otherwise(""))
+    d = text.district_parts(name, F.concat(F.lit("list-"), F.reverse("p_type"), F.when(F.col("p_size") % 3 == 0, F.col("p_type")).otherwise("")), ["ECONOMY", "PROMO", "SMALL"], ["ing", "ot", "d", "e"])
+    return p.select("p_partkey", F.array_join(d["parts"], "/").alias("parts"), d["marker"].alias("marker"))
 
 
 def _grid(spark, sf_dir):
-    """Tables of four rows of cells: two of headings, one of data, one of notes."""
-    o = table(spark, sf_dir, "orders")
-    row = lambda k, *cells: F.struct(F.lit(k).alias("row"), F.array(*[F.lit(c) if isinstance(c, str) else c for c in cells]).alias("cells"))
-    return o.select("o_orderkey", F.inline(F.array(row(1, "Name", F.col("o_orderstatus"), ""), row(2, "", "share", F.col("o_orderpriority")), row(3, "sum", "12.5%", "(1,234)"), row(4, "note", "", ""))))
+    """Tables of four parts, a row each, of cells that are words, numbers, shares or empty."""
+    p = table(spark, sf_dir, "part")
+    words = F.split("p_name", " ")
+    cells = [
+        F.when(F.col("p_size") % 2 == 0, F.col("p_size").cast("string")).otherwise(F.get(words, F.lit(0))),
+        F.when(F.col("p_size") % 3 == 0, F.concat((F.col("p_size") * 100).cast("string"), F.lit(",5"))).otherwise(F.get(words, F.lit(1))),
+        F.when(F.col("p_size") % 5 == 0, "").when(F.col("p_size") % 7 < 3, F.concat(F.lit("("), (F.col("p_size") % 7).cast("string"), F.lit("%)"))).otherwise(F.get(words, F.lit(1))),
+    ]
+    return p.select(F.floor(F.col("p_partkey") / 4).alias("tab"), (F.col("p_partkey") % 4).alias("row"), F.array(*cells).alias("cells"))
 
 
 def table_headers(spark, sf_dir):
-    h = extraction.header(_grid(spark, sf_dir), ["o_orderkey"], "row", "cells")
-    return h.select("o_orderkey", F.inline("header")).select("o_orderkey", F.col("column").cast("long").alias("place"), "text")
+    h = extraction.header(_grid(spark, sf_dir), ["tab"], "row", "cells")
+    return h.select("tab", F.inline("header")).select("tab", F.col("column").cast("long").alias("place"), "text")
 
 
 def data_rows(spark, sf_dir):
-    return _grid(spark, sf_dir).groupBy("row").agg(F.count_if(extraction.data_row(F.col("cells"))).alias("n")).select(F.col("row").cast("long").alias("row"), "n")
+    return _grid(spark, sf_dir).select("tab", "row", extraction.data_row(F.col("cells")).alias("is_data"))
 
 
 def title_cascade(spark, sf_dir):
@@ -298,21 +305,20 @@ def title_cascade(spark, sf_dir):
 
 
 def _page_lines(spark, sf_dir):
-    p = table(spark, sf_dir, "part")
-    line = lambda k, t: F.struct(F.lit(k).cast("long").alias("line"), t.alias("t"))
-    size = F.col("p_size").cast("string")
-    return p.select("p_partkey", F.inline(F.array(
-        line(1, F.concat(F.lit("all "), size, F.lit(" 2 3"))), line(2, F.concat(F.lit("all "), size, F.lit(" 20.5 (77) 3 100.2"))), line(3, F.when(F.col("p_size") % 2 == 0, F.concat(F.lit("[total] "), size, F.lit(" 1"))).otherwise("all 1 2 3 4")),
-    )))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t"))
+    return d.withColumn("line", F.col("line").cast("long"))
 
 
 def total_lines(spark, sf_dir):
-    return extraction.total_line(_page_lines(spark, sf_dir), ["p_partkey"], "line", "t", "[total]", "all").select("p_partkey", "line")
+    return extraction.total_line(_page_lines(spark, sf_dir), ["doc_id"], "line", "t", " la ", "The", 1).select("doc_id", "line")
 
 
 def column_values(spark, sf_dir):
-    v = _page_lines(spark, sf_dir).select("p_partkey", "line", extraction.column_values(F.col("t")).alias("v"))
-    return v.select("p_partkey", "line", F.size("v").cast("long").alias("n"), F.round(F.aggregate("v", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
+    """The numbers of each line, and of parts' sizes that make up a whole or not."""
+    p = table(spark, sf_dir, "part").select("p_partkey", F.lit(-1).cast("long").alias("line"), F.concat_ws(" ", "p_size", F.lit("(n=77)"), (F.col("p_size") * 2.5).cast("string"), (F.col("p_size") % 3 + 99).cast("string")).alias("t"))
+    both = _page_lines(spark, sf_dir).withColumnRenamed("doc_id", "p_partkey").unionByName(p)
+    v = both.select(F.col("p_partkey").alias("page"), "line", extraction.column_values(F.col("t")).alias("v"))
+    return v.select("page", "line", F.size("v").cast("long").alias("n"), F.array_max("v").alias("most"), F.element_at("v", -1).alias("last")).filter("n > 0")
 
 
 def paired_header(spark, sf_dir):
@@ -340,8 +346,9 @@ def question_overlay(spark, sf_dir):
 
 
 def glyph_repair(spark, sf_dir):
-    t = F.when(F.col("s_suppkey") % 2 == 0, "가αβ").when(F.col("s_suppkey") % 3 == 0, "가α조사").otherwise("αβ only")
-    return table(spark, sf_dir, "supplier").select("s_suppkey", extraction.repaired_glyphs(t, {"α": "나", "β": "다", "o": "x"}, ["조사"]).alias("t"))
+    """Parts' names of which some have letters turned into syllables."""
+    t = F.when(F.col("p_size") % 2 == 0, F.translate("p_name", "sr", "가나")).otherwise(F.col("p_name"))
+    return table(spark, sf_dir, "part").select("p_partkey", extraction.repaired_glyphs(t, {"o": "오", "e": "에", "l": "x", "gi": "기"}, ["widget", "old"]).alias("t"))
 
 
 def best_files(spark, sf_dir):
@@ -362,8 +369,12 @@ QUERIES = {
 
 WITH_SUFFIX = "case when n % 100 between 11 and 13 then 'th' when n % 10 = 1 then 'st' when n % 10 = 2 then 'nd' when n % 10 = 3 then 'rd' else 'th' end"
 STEM_SQL = "case when w like '%ing' and length(w) > 3 then left(w, length(w) - 3) when w like '%er' and length(w) > 2 then left(w, length(w) - 2) when w like '%e' and length(w) > 1 then left(w, length(w) - 1) when w like '%n' and length(w) > 1 then left(w, length(w) - 1) else w end"
-LINES_SQL = """l as (select p_partkey, cast(1 as bigint) as line, 'all ' || p_size || ' 2 3' as t, p_size from part union all select p_partkey, 2, 'all ' || p_size || ' 20.5 (77) 3 100.2', p_size from part
-  union all select p_partkey, 3, case when p_size % 2 = 0 then '[total] ' || p_size || ' 1' else 'all 1 2 3 4' end, p_size from part)"""
+LINES_SQL = r"l as (select doc_id, unnest(generate_series(0, len(string_split(text, chr(10))) - 1)) as line, unnest(string_split(text, chr(10))) as t from documents)"
+GRID_SQL = """with w as (select p_partkey // 4 as tab, p_partkey % 4 as row, p_size, string_split(p_name, ' ') as w from part),
+c as (select tab, row, [case when p_size % 2 = 0 then cast(p_size as varchar) else w[1] end, case when p_size % 3 = 0 then (p_size * 100) || ',5' else w[2] end,
+  case when p_size % 5 = 0 then '' when p_size % 7 < 3 then '(' || (p_size % 7) || '%)' else w[2] end] as cells from w),
+d as (select *, list_filter(cells, lambda x: x <> '') as filled from c),
+g as (select *, len(list_filter(filled, lambda x: regexp_matches(x, '^[(]?[0-9]+([.,][0-9]+)?%?[)]?$'))) >= 0.6 * len(filled) as is_data from d)"""
 
 ORACLE_SQL = {
     "csv_last_wins": "select o_orderkey, case when o_orderstatus = 'F' then 'X' else o_orderstatus end as o_orderstatus from orders",
@@ -422,13 +433,23 @@ select user_id, day, party, pct from g window w as (partition by user_id, day) q
     "office_reclassified": f"""with {POLLS_SQL}, p as (select event_id, user_id % 200 as unit, party as office, k from polls), g as (select unit, office, count(*) as n, min(event_id) as f from p where k % 9 = 0 group by 1, 2),
 t as (select *, sum(n) over (partition by unit) as total, row_number() over (partition by unit order by n desc, f) as r from g), v as (select unit, office from t where r = 1 and (n = total or n >= 2 * (total - n)))
 select event_id, coalesce(v.office, p.office) as office from p left join v on p.unit = v.unit""",
-    "district_parts": """select s_suppkey, 'Nord/Sud/' || s_nationkey as parts, case when s_suppkey % 3 = 0 then 'gap' when s_suppkey % 3 = 1 then 'eul' when s_suppkey % 2 = 0 then 'byeong' else '' end as marker from supplier""",
-    "table_headers": """select o_orderkey, cast(0 as bigint) as place, 'Name' as text from orders union all select o_orderkey, 1, o_orderstatus || ' share' from orders union all select o_orderkey, 2, o_orderpriority from orders""",
-    "data_rows": "select cast(r as bigint) as row, case when r = 3 then count(*) else 0 end as n from orders, (values (1), (2), (3), (4)) v(r) group by r",
+    "district_parts": """with p as (select p_partkey, p_size, p_type, unnest(generate_series(1, len(string_split(p_name, ' ')))) as i, unnest(string_split(p_name, ' ')) as w from part),
+s as (select *, case when w like '%ing' and length(w) > 3 then left(w, length(w) - 3) when w like '%ot' and length(w) > 2 then left(w, length(w) - 2) when w like '%d' and length(w) > 1 then left(w, length(w) - 1)
+  when w like '%e' and length(w) > 1 then left(w, length(w) - 1) else w end as stem, p_type in ('ECONOMY', 'PROMO', 'SMALL') as known from p),
+n as (select *, max(i) over (partition by p_partkey) as last from s)
+select p_partkey, string_agg(case when i = last and p_size % 2 = 0 and not known then w || ' ' || p_type else stem end, '/' order by i) as parts,
+  any_value(case when known and (p_size % 2 = 0 or p_size % 3 = 0) then p_type else '' end) as marker from n group by 1""",
+    "table_headers": f"""{GRID_SQL}, a as (select *, max(cast(is_data as int)) over (partition by tab order by row) as seen from g),
+x as (select tab, row, unnest([0, 1, 2]) as place, unnest(cells) as t from a where seen = 0), f as (select tab, place, t, min(row) as first from x where t <> '' group by 1, 2, 3)
+select tab, cast(place as bigint) as place, string_agg(t, ' ' order by first) as text from f group by 1, 2""",
+    "data_rows": f"{GRID_SQL} select tab, row, is_data from g",
     "title_cascade": r"select doc_id, coalesce(nullif(regexp_extract(text, '([0-9]{4})', 1), ''), nullif(regexp_extract(text, '(?:^|\s)(th[a-z]+)', 1), ''), 'none') as title from documents",
-    "total_lines": "select p_partkey, cast(case when p_size % 2 = 0 then 3 else 2 end as bigint) as line from part",
-    "column_values": f"""with {LINES_SQL} select p_partkey, line, cast(case line when 1 then 3 when 2 then 3 else case when p_size % 2 = 0 then 2 else 4 end end as bigint) as n,
-  round(cast(case line when 1 then p_size + 5 when 2 then p_size + 23.5 else case when p_size % 2 = 0 then p_size + 1 else 10 end end as double), 4) as total from l""",
+    "total_lines": f"""with {LINES_SQL}, k as (select *, case when contains(t, ' la ') then 0 when starts_with(ltrim(t), 'The') and regexp_matches(t, '[0-9]') then 1 end as kind from l)
+select doc_id, line from k where kind is not null qualify row_number() over (partition by doc_id order by kind, line) = 1""",
+    "column_values": rf"""with {LINES_SQL}, b as (select doc_id as page, line, t from l union all select p_partkey, -1, p_size || ' (n=77) ' || (p_size * 2.5) || ' ' || (p_size % 3 + 99) from part),
+v as (select page, line, list_transform(regexp_extract_all(regexp_replace(t, '\([^)]*\)', ' ', 'g'), '[0-9]+(?:\.[0-9]+)?'), lambda x: cast(x as double)) as v from b),
+u as (select page, line, case when len(v) > 0 and abs(v[len(v)] - 100) <= 0.5 then v[1 : len(v) - 1] else v end as v from v)
+select page, line, len(v) as n, list_max(v) as most, v[len(v)] as last from u where len(v) > 0""",
     "paired_header": """with l as (select p_partkey // 6 as page, p_partkey % 6 as line, case when p_size % 17 = 0 then '=' else '' end || p_name as t from part),
 w as (select page, line, string_agg(t, ' ') over (partition by page order by line rows between current row and 2 following) as near from l),
 h as (select page, line, contains(near, '=') as data, list_filter(['widget', 'blue', 'bolt', 'ring', 'red', 'hot', 'ol'], lambda p: contains(near, p)) as hits from w),
@@ -446,7 +467,8 @@ select s.l_orderkey, case when clean and n >= m then n else m end as n, cast(cas
     "question_overlay": """with q as (select l_orderkey, l_linenumber, count(*) as n, min(l_returnflag) as flag from lineitem group by 1, 2), m as (select distinct l_orderkey from q where l_linenumber = 2)
 select l_orderkey, cast(l_linenumber as bigint) as question, n, flag from q where l_linenumber <> 2 and (l_orderkey not in (select l_orderkey from m) or (flag <> 'R' and n < 2))
 union all select l_orderkey, 2, 9, 'new' from m""",
-    "glyph_repair": "select s_suppkey, case when s_suppkey % 2 = 0 then '가나다' when s_suppkey % 3 = 0 then '가α조사' else 'αβ only' end as t from supplier",
+    "glyph_repair": """with t as (select p_partkey, case when p_size % 2 = 0 then translate(p_name, 'sr', '가나') else p_name end as t from part)
+select p_partkey, case when regexp_matches(t, '[가-힣]') and not contains(t, 'widget') and not contains(t, 'old') then translate(t, 'oe', '오에') else t end as t from t""",
     "best_files": """with f as (select l_orderkey, case when l_linenumber = 1 then 'form' when l_linenumber % 3 = 0 then 'stats' when l_linenumber % 3 = 1 then 'result' else 'annex' end as kind, l_suppkey from lineitem)
 select l_orderkey, kind || '-' || l_suppkey as name from f where kind <> 'form' qualify row_number() over (partition by l_orderkey order by case kind when 'result' then 0 when 'stats' then 1 else 2 end, kind || '-' || l_suppkey) = 1""",
     "gate_with_parties": f"""with {POLLS_SQL}, n as (select *, case when k % 9 = 0 then '' else regexp_replace(left(sha256(cast(pct as varchar)), 3), '[0-9]', 'q', 'g') end as name, case when user_id % 3 <> 0 then party else '' end as side from polls),

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from hustings.operators import polygons, turns
+from hustings.operators import assignment, polygons, turns
 from hustings.plans.layout_queries import CELLS_SQL, _cells
 from hustings.plans.tables import POLLS_SQL, polls, table
 
@@ -71,9 +71,19 @@ def hex_bins(spark, sf_dir):
     return turns.placed(turns.grid_start(s, "x", "y"), [F.desc("y"), F.col("x"), F.col("s_suppkey")]).select("s_suppkey", "c", "r")
 
 
+def optimal_assignment(spark, sf_dir):
+    """Suppliers of each nation are given the nation's places, one each, at the least sum of distances."""
+    s = table(spark, sf_dir, "supplier").select("s_nationkey", "s_suppkey", (F.col("s_suppkey") * 37 % 101).alias("x"), (F.col("s_suppkey") * 59 % 97).alias("spot"))
+    pairs = s.select("s_nationkey", "s_suppkey", "x").join(s.select("s_nationkey", F.col("s_suppkey").alias("place"), "spot"), "s_nationkey")
+    costs = pairs.withColumn("cost", F.abs(F.col("x") - F.col("spot")))
+    chosen, report = assignment.assigned(costs, ["s_nationkey"], "s_suppkey", "place", "cost")
+    n = chosen.groupBy("s_nationkey").agg(F.count_distinct("s_suppkey").alias("agents"), F.count_distinct("place").alias("places"))
+    return report.join(n, "s_nationkey").select("s_nationkey", "agents", "places", "total", (F.col("gap") < 1).alias("proven"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (coast_ratio, shared_borders, dissolved_outlines, simplified_lines, polygon_contacts, voronoi_cells, absorbed_parts, hex_bins)
+    for f in (coast_ratio, shared_borders, dissolved_outlines, simplified_lines, polygon_contacts, voronoi_cells, absorbed_parts, hex_bins, optimal_assignment)
 }
 
 #: Sides of cells: the cell beside each, and the side's place.
@@ -81,6 +91,13 @@ SIDES_SQL = f"""{CELLS_SQL}, sides as (select cells.*, c + dc as nc, r + dr as n
 met as (select s.*, o.zone as other, o.key as other_key, o.c is not null as there from sides s left join cells o on o.c = s.nc and o.r = s.nr)"""
 
 ORACLE_SQL = {
+    # the least costs over sets of places that are taken, agent by agent
+    "optimal_assignment": """with recursive s as materialized (select s_nationkey as g, s_suppkey * 37 % 101 as x, s_suppkey * 59 % 97 as spot, row_number() over (partition by s_nationkey order by s_suppkey) as i from supplier),
+n as (select g, count(*) as n from s group by 1),
+d(g, i, mask, cost) as (select g, 0, cast(0 as bigint), cast(0 as bigint) from n
+  union all select g, i, mask, min(cost) from (select d.g, d.i + 1 as i, d.mask | (cast(1 as bigint) << (p.i - 1)) as mask, d.cost + abs(a.x - p.spot) as cost
+    from d join s a on a.g = d.g and a.i = d.i + 1 join s p on p.g = d.g and d.mask & (cast(1 as bigint) << (p.i - 1)) = 0) group by 1, 2, 3)
+select d.g as s_nationkey, n as agents, n as places, cost as total, true as proven from d join n on n.g = d.g and d.i = n.n""",
     "coast_ratio": f"""with {SIDES_SQL} select zone, cast(count(*) as double) as border, cast(count(*) filter (not there) as double) as coast, count(*) filter (not there) > 0.2 * count(*) as is_coastal
 from met where not there or other <> zone group by 1""",
     "shared_borders": f"with {SIDES_SQL} select key as a, other_key as b, cast(count(*) as double) as length from met where there and key < other_key group by 1, 2",

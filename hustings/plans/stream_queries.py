@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from hustings.functions import text
 from hustings.operators import trends
 from hustings.plans.tables import POLLS_SQL, polls, table
 from hustings.sources import paged, readers, sinks
@@ -66,19 +65,26 @@ def incremental_merge(spark, sf_dir):
 
 
 def file_catalog(spark, sf_dir):
-    files = readers.catalogue(spark, sf_dir, [(r"/(lineitem|orders)\.parquet", "facts"), (r"/(nation|region)\.parquet", "dims")])
+    """Orders written in a file a priority; files are told apart by their paths."""
+    folder = scratch(spark, "catalogue")
+    table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority").coalesce(1).write.partitionBy("o_orderpriority").parquet(folder)
+    files = readers.catalogue(spark, folder, [(r"o_orderpriority=[12]-", "high"), (r"o_orderpriority=3-", "medium")])
     return readers.catalogue_summary(files).select("kind", "files")
 
 
 def wiki_cells(spark, sf_dir):
-    n = table(spark, sf_dir, "nation").select("n_nationkey", F.concat(F.lit("{|\n|-\n| [[x|"), "n_name", F.lit("]] || "), "n_regionkey", F.lit(" || 1,234\n|}")).alias("markup"))
-    w = readers.wiki_cells(n, "markup")
-    return w.select("n_nationkey", F.get("cells", F.lit(0)).alias("name"), text.number(F.get("cells", F.lit(2))).alias("votes"))
+    """Documents as wiki tables: sentences are rows, commas part cells, some words are links."""
+    d = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace("text", "[^A-Za-zÀ-ÿ,. ]", "").alias("t"))
+    rows = F.replace(F.replace(F.replace("t", F.lit(". "), F.lit("\n| ")), F.lit(", "), F.lit(" || ")), F.lit(" de "), F.lit(" [[x y|de]] "))
+    w = readers.wiki_cells(d.select("doc_id", F.concat(F.lit("{|\n|-\n| "), rows, F.lit("\n|}")).alias("markup")), "markup")
+    return w.select("doc_id", F.array_join("cells", "/").alias("cells"))
 
 
 def xml_rows(spark, sf_dir):
-    s = table(spark, sf_dir, "supplier").select("s_suppkey", F.concat(F.lit("<r><item><name>a"), "s_nationkey", F.lit("</name><v>1</v></item><item><name>b</name><v>"), "s_suppkey", F.lit("</v></item></r>")).alias("payload"))
-    return readers.xml_rows(s, "payload", "item array<struct<name:string,v:bigint>>", "item").select("s_suppkey", "name", "v")
+    """Parts as XML, an item for each word of the name; some of it is cut off and has none."""
+    item = lambda w: F.concat(F.lit("<item><name>"), w, F.lit("</name><v>"), F.col("p_size").cast("string"), F.lit("</v></item>"))
+    xml = F.concat(F.lit("<r>"), F.array_join(F.transform(F.split("p_name", " "), item), ""), F.when(F.col("p_size") % 10 == 0, "<r").otherwise("</r>"))
+    return readers.xml_rows(table(spark, sf_dir, "part").select("p_partkey", xml.alias("payload")), "payload", "item array<struct<name:string,v:bigint>>", "item").select("p_partkey", "name", "v")
 
 
 def _stream(spark, sf_dir):
@@ -183,8 +189,10 @@ select l_linestatus, sum(l_quantity), 'totals' from lineitem where l_returnflag
     "overwrite_guard": """select o_orderkey, o_custkey, o_orderstatus from orders where o_orderstatus = 'P' union all
 select o_orderkey, o_custkey, o_orderstatus from orders where o_orderstatus <> 'P' and o_custkey not in (select o_custkey from orders where o_orderstatus = 'P')""",
     "incremental_merge": "select event_id, user_id, case when event_type < 'p' then event_type else upper(event_type) end as event_type from events",
-    "wiki_cells": "select n_nationkey, n_name as name, cast(1234 as double) as votes from nation",
-    "xml_rows": "select s_suppkey, 'a' || s_nationkey as name, cast(1 as bigint) as v from supplier union all select s_suppkey, 'b', s_suppkey from supplier",
+    "wiki_cells": """with l as (select doc_id, unnest(string_split(regexp_replace(text, '[^A-Za-zÀ-ÿ,. ]', '', 'g'), '. ')) as line from documents)
+select doc_id, array_to_string(list_transform(string_split(line, ', '), lambda c: trim(c)), '/') as cells from l""",
+    "xml_rows": "select p_partkey, unnest(string_split(p_name, ' ')) as name, cast(p_size as bigint) as v from part where p_size % 10 <> 0",
+    "file_catalog": "select case when o_orderpriority < '3' then 'high' when o_orderpriority < '4' then 'medium' else 'other' end as kind, count(distinct o_orderpriority) as files from orders group by 1",
     "stream_dedup_append": "select distinct user_id as id from events",
     "stream_sessions": SESSIONS_SQL,
     "batch_sessions": SESSIONS_SQL,
