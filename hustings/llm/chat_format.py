@@ -20,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from hustings.llm.higher_order import let, running
+
 #: Control strings of common chat templates, escaped wherever a text holds them.
 CONTROLS = ("<|im_start|>", "<|im_end|>", "<s>", "</s>", "[INST]", "[/INST]", "<<SYS>>", "<</SYS>>")
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
@@ -123,15 +125,13 @@ def format_turns(conversations: DataFrame, loss_role: str = LOSS_ROLE) -> DataFr
         (t["role"] == loss_role).alias("learn"),
     )
     pieces = conversations.select("conv_id", F.transform("turns", piece).alias("pieces"))
-    none = F.expr("cast(array() as array<struct<start:int,end:int>>)")
     tail = len(CLOSE) + 1
 
-    def step(a: Column, p: Column) -> Column:
-        start = a["at"] + F.length(p["head"])
-        end = start + F.length(p["body"])
-        return F.struct((end + tail).alias("at"), F.when(p["learn"], F.array_append(a["spans"], F.struct(start.alias("start"), end.alias("end")))).otherwise(a["spans"]).alias("spans"))
+    def spans(ends: Column) -> Column:
+        close = lambda p, e: F.struct((e - tail - F.length(p["body"])).alias("start"), (e - tail).alias("end"), p["learn"].alias("learn"))
+        return F.transform(F.filter(F.zip_with("pieces", ends, close), lambda s: s["learn"]), lambda s: F.struct(s["start"], s["end"]))
 
-    loss = F.aggregate("pieces", F.struct(F.lit(0).alias("at"), none.alias("spans")), step, lambda a: a["spans"])
+    loss = let(running(F.col("pieces"), F.lit(0), lambda at, p: at + F.length(p["head"]) + F.length(p["body"]) + tail), spans)
     formatted = F.array_join(F.transform("pieces", lambda p: F.concat(p["head"], p["body"], F.lit(CLOSE + "\n"))), "")
     return pieces.select("conv_id", formatted.alias("formatted"), loss.alias("loss"))
 

@@ -6,7 +6,7 @@ values decides nearly all pairs: surely below the threshold, or surely above it;
 computed again in double precision. (Tiles multiply as float32, in which products of int8 vectors of up to 1040 parts are
 exact; longer ones multiply as float64.)
 
-Vectors lie in cells around up to `pivots` vectors, a bounded sample; cells are cut into tiles of about `tile` rows by a hash. A pair
+Vectors lie in cells around up to `pivots` vectors, a bounded sample that grows with the rows; cells are cut into tiles of about `tile` rows by a hash. A pair
 of cells is left out only if the angle between their centres less both radii is over the threshold's angle, so no link is
 lost. Tiles are dealt out in squares of SIDE by SIDE, so a task gets each tile once for SIDE products. A tile pair gives each
 vector's weighted number of links and a spanning set of its links, never all pairs.
@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from hustings.llm.components import components, spanning
 from hustings.workers import importable, temporary, written
 
-THRESHOLD, PIVOTS, TILE, SIDE = 0.9, 64, 4096, 4
+THRESHOLD, PIVOTS, TILE, SIDE = 0.9, 1024, 4096, 4
 #: Above all rounding of double arithmetic here.
 EPS = 1e-11
 
@@ -75,18 +75,19 @@ def linked(u: np.ndarray, v: np.ndarray, threshold: float, same: bool) -> tuple[
 
 
 def _payload(ids: np.ndarray, weight: np.ndarray, x: np.ndarray) -> bytes:
-    return np.array([len(ids), x.shape[1]], "<i8").tobytes() + ids.astype("<i8").tobytes() + weight.astype("<i8").tobytes() + x.astype("<f4").tobytes()
+    return np.array([len(ids), x.shape[1], x.itemsize], "<i8").tobytes() + ids.astype("<i8").tobytes() + weight.astype("<i8").tobytes() + x.tobytes()
 
 
 def _opened(b: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    n, d = np.frombuffer(b, "<i8", 2)
-    return np.frombuffer(b, "<i8", n, 16), np.frombuffer(b, "<i8", n, 16 + 8 * n), np.frombuffer(b, "<f4", n * d, 16 + 16 * n).reshape(n, d)
+    n, d, size = np.frombuffer(b, "<i8", 3)
+    return np.frombuffer(b, "<i8", n, 24), np.frombuffer(b, "<i8", n, 24 + 8 * n), np.frombuffer(b, f"<f{size}", n * d, 24 + 16 * n).reshape(n, d)
 
 
 def near_duplicates(table: DataFrame, threshold: float = THRESHOLD, pivots: int = PIVOTS, tile: int = TILE, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """One row per vector: vec_id, n_links, component_id, kept."""
     importable(table.sparkSession)
-    rows = table.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<float>").alias("x"))
+    kind = "float" if table.schema[vector_col].dataType.simpleString() == "array<float>" else "double"  # doubles stay what they are
+    rows = table.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast(f"array<{kind}>").alias("x"))
     with temporary(table.sparkSession) as keep:
         return keep(written(_labelled(rows, threshold, pivots, tile), "near-duplicates"))
 
@@ -114,7 +115,7 @@ def _linked(distinct: DataFrame, threshold: float, pivots: int, tile: int) -> Da
     spark = distinct.sparkSession
     cells_wanted = max(1, min(pivots, distinct.count() // (2 * tile)))  # cells of two tiles or more: each tile is sent to all tiles near it
     chosen = distinct.withColumn("d", F.size("x")).orderBy(F.xxhash64("node"), "node").limit(cells_wanted).collect()
-    centres = {d: unit(np.array([r.x for r in chosen if r.d == d], np.float32)) for d in {r.d for r in chosen}}
+    centres = {d: unit(np.array([r.x for r in chosen if r.d == d])) for d in {r.d for r in chosen}}
 
     def celled(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -128,7 +129,7 @@ def _linked(distinct: DataFrame, threshold: float, pivots: int, tile: int) -> Da
                     angle[at] = np.arccos(np.clip(near.max(1), -1, 1))
             yield pd.DataFrame({"node": pdf["node"], "weight": pdf["weight"], "x": pdf["x"], "d": size, "cell": cell, "angle": angle})
 
-    cells = written(distinct.mapInPandas(celled, "node long, weight long, x array<float>, d int, cell int, angle double"), "cells")
+    cells = written(distinct.mapInPandas(celled, f"node long, weight long, x {distinct.schema['x'].dataType.simpleString()}, d int, cell int, angle double"), "cells")
     # a row for each dimension and cell: `pivots` rows, and one for each vector length without a pivot
     held = cells.groupBy("d", "cell").agg(F.count("*").alias("n"), F.max("angle").alias("radius"))
     tiled = cells.join(held, ["d", "cell"]).withColumn("chunk", F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / tile)).cast("int"))
@@ -138,13 +139,15 @@ def _linked(distinct: DataFrame, threshold: float, pivots: int, tile: int) -> Da
 
     tiles = written(tiled.groupBy("d", "cell", "chunk").applyInPandas(packed, "d int, cell int, chunk int, tile binary"), "tiles")
     far = math.acos(max(-1.0, min(1.0, threshold))) + 1e-6
-    radius = {(r.d, r.cell): r.radius for r in held.filter(F.col("d").isin(list(centres))).collect()} if centres else {}
-    close = [
-        (d, a, b)
-        for (d, a), ra in radius.items()
-        for (o, b), rb in radius.items()
-        if o == d and a <= b and math.acos(max(-1.0, min(1.0, float(centres[d][a] @ centres[d][b])))) - ra - rb <= far
-    ]
+    close = []
+    radii = held.filter(F.col("d").isin(list(centres))).collect() if centres else []  # a row a pivot at most
+    for d, c in centres.items():
+        found = {r.cell: r.radius for r in radii if r.d == d}
+        at = np.array(sorted(found))
+        radius = np.array([found[k] for k in sorted(found)])
+        if len(at):
+            between = np.arccos(np.clip(c[at] @ c[at].T, -1, 1)) - radius[:, None] - radius
+            close += [(int(d), int(at[i]), int(at[j])) for i, j in zip(*np.nonzero(np.triu(between <= far)), strict=True)]
     pairs = spark.createDataFrame(close, "d int, cell int, other int")
     rest = held.filter(~F.col("d").isin(list(centres))).select("d", "cell", F.col("cell").alias("other"))
     pairs = pairs.unionByName(rest)

@@ -26,7 +26,7 @@ from hustings.llm.batches import pieces
 from hustings.llm.word_tokens import encoder
 from hustings.workers import importable
 
-WINDOW, BLOCK, SLACK = 2048, 8_000_000, 8
+WINDOW, BLOCK, SLACK = 2048, 4_000_000, 8
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 Piece = tuple[int, int, int]  # document's place in the block, start, length
 

@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hustings.llm.batches import quoted
+from hustings.llm.higher_order import let, running
 
 #: The base patterns, and the least length of what they must hold (assign: of group 2).
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -54,29 +55,8 @@ ALLOWED = (
 MARKS, WORDS = r"[./_=-]+", r"^([A-Za-z]*|[0-9]{1,4})$"
 POINTS, NUMBER, SHORT = r"[._-]", r"^v?[0-9]+$", r"^[A-Za-z0-9]{1,8}$"
 
-#: Steps of a running value that are kept together, counters in a whole number, and units of a bit in exact sums of c * log2(c).
-BLOCK, PACKED, UNIT = 512, 12, 1 << 40
-
-
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body of a value that is computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def _running(items: Column, zero: Column, step: Callable[[Column, Column], Column]) -> Column:
-    """The running value after each item: linear, for stretches of BLOCK are appended to the result whole."""
-    run = lambda carry, part: F.aggregate(
-        part, F.struct(carry.alias("at"), F.array_repeat(zero, 0).alias("out")),
-        lambda a, x: _let(step(a["at"], x), lambda now: F.struct(now.alias("at"), F.array_append(a["out"], now).alias("out"))),
-    )
-
-    def blocks(all_: Column) -> Column:
-        cut = F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / BLOCK).cast("int")), lambda k: F.slice(all_, k * BLOCK + 1, F.lit(BLOCK)))
-        start = F.struct(zero.alias("at"), F.array_repeat(F.array_repeat(zero, 0), 0).alias("out"))
-        joined = lambda a, part: _let(run(a["at"], part), lambda r: F.struct(r["at"].alias("at"), F.array_append(a["out"], r["out"]).alias("out")))
-        return F.flatten(F.aggregate(cut, start, joined, lambda a: a["out"]))
-
-    return _let(items, lambda all_: F.when(F.size(all_) > 0, blocks(all_)).otherwise(F.array_repeat(zero, 0)))
+#: Counters in a whole number, and units of a bit in exact sums of c * log2(c).
+PACKED, UNIT = 12, 1 << 40
 
 
 def _matches(text: Column, pattern: str) -> Column:
@@ -88,10 +68,10 @@ def _located(text: Column, pattern: str) -> Column:
     """array<struct<start, end, hit>> of the leftmost non-overlapping matches: lengths of what lies between them give places."""
 
     def places(found: Column) -> Column:
-        ends = _running(found, F.lit(0), lambda at, x: at + F.length(x["before"]) + F.length(x["hit"]))
+        ends = running(found, F.lit(0), lambda at, x: at + F.length(x["before"]) + F.length(x["hit"]))
         return F.zip_with(found, ends, lambda x, e: F.struct((e - F.length(x["hit"])).alias("start"), e.alias("end"), x["hit"].alias("hit")))
 
-    return _let(F.filter(_matches(text, pattern), lambda x: x["hit"].isNotNull()), places)
+    return let(F.filter(_matches(text, pattern), lambda x: x["hit"].isNotNull()), places)
 
 
 def _blanked(text: Column, pattern: str, keep: Callable[[Column], Column]) -> Column:
@@ -120,7 +100,7 @@ def least_sum(s: Column, alphabet: str, window: int = WINDOW) -> Column:
         grown = F.get(weight, was + 1) - F.get(weight, was)
         shrunk = F.coalesce(F.get(weight, gone) - F.get(weight, gone - 1), F.lit(0).cast("long"))
         total = F.when(enters == leaves, a["sum"]).otherwise(a["sum"] + grown - shrunk)
-        return _let(total, lambda now: F.struct(
+        return let(total, lambda now: F.struct(
             moved.alias("n"), now.alias("sum"), (a["seen"] + 1).alias("seen"), F.when(a["seen"] + 1 >= window, F.least(a["least"], now)).otherwise(a["least"]).alias("least")
         ))
 
@@ -130,7 +110,7 @@ def least_sum(s: Column, alphabet: str, window: int = WINDOW) -> Column:
         start = F.struct(counters.alias("n"), F.lit(0).cast("long").alias("sum"), F.lit(0).alias("seen"), F.lit((1 << 62)).cast("long").alias("least"))
         return F.aggregate(moves, start, step, lambda a: a["least"])
 
-    return _let(F.transform(F.split(s, ""), lambda c: number(F.instr(F.lit(alphabet), c))), slid)
+    return let(F.transform(F.split(s, ""), lambda c: number(F.instr(F.lit(alphabet), c))), slid)
 
 
 def best_entropy(s: Column, alphabet: str, window: int = WINDOW) -> Column:
@@ -143,7 +123,7 @@ def _allowed(s: Column) -> Column:
     for pattern in ALLOWED:
         told = told | s.rlike(pattern)
     version = lambda p: (F.size(p) > 1) & F.get(p, F.lit(0)).rlike(NUMBER) & F.forall(F.slice(p, F.lit(2), F.size(p)), lambda x: x.rlike(SHORT))
-    return told | F.forall(F.split(s, MARKS, -1), lambda x: x.rlike(WORDS)) | _let(F.split(s, POINTS, -1), version)
+    return told | F.forall(F.split(s, MARKS, -1), lambda x: x.rlike(WORDS)) | let(F.split(s, POINTS, -1), version)
 
 
 def _random(s: Column) -> Column:
@@ -168,7 +148,7 @@ def scan(docs: DataFrame, text_col: str = "text") -> DataFrame:
         rest = F.when(t.rlike(may), _blanked(rest, pattern, keep)).otherwise(rest)
     out = docs.withColumn("base_spans", F.array_sort(F.concat(*base)))
     random = lambda text: _spans("entropy", _located(text, CANDIDATE), _random)
-    extra = F.when(t.rlike(CANDIDATE), _let(rest, random)).otherwise(none)
+    extra = F.when(t.rlike(CANDIDATE), let(rest, random)).otherwise(none)
     return out.withColumn("spans", F.array_sort(F.concat(F.col("base_spans"), extra)))
 
 
@@ -182,14 +162,14 @@ def _redacted(text: Column, spans: Column, mark: str) -> Column:
     """The text with a mark for each stretch of overlapping spans, which come by start."""
 
     def cut(chars: Column) -> Column:
-        covered = _running(spans, F.lit(0), lambda at, x: F.greatest(at, x["end"]))  # by this span and those before it
+        covered = running(spans, F.lit(0), lambda at, x: F.greatest(at, x["end"]))  # by this span and those before it
         before = F.concat(F.array(F.lit(0)), F.slice(covered, F.lit(1), F.size(covered) - 1))
         kept = lambda start, end: F.array_join(F.slice(chars, start + 1, end - start), "")
         pieces = F.zip_with(spans, before, lambda x, at: F.when(x["start"] < at, "").otherwise(F.concat(kept(at, F.greatest(at, x["start"])), F.lit(mark))))
         end = F.element_at(covered, -1)
         return F.concat(F.array_join(pieces, ""), kept(end, F.greatest(end, F.size(chars))))
 
-    return _let(F.split(text, ""), cut)
+    return let(F.split(text, ""), cut)
 
 
 def redact(docs: DataFrame, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:

@@ -195,3 +195,16 @@ def test_layouts(spark):
     assert {r.conv_id: [(t.role, t.text) for t in r.turns] for r in both.collect()} == {1: [("user", "do\nthis"), ("assistant", "a")], 2: [("user", "do")]}
     with pytest.raises(ValueError, match="no mapping"):
         chat_format.canonical(spark.range(1))
+
+
+def test_a_long_conversation(spark):
+    """Places are running sums: time grows with the turns, not with their square."""
+    from hustings.llm import chat_format
+
+    n = 20_000
+    rows = [(1, k, "assistant" if k % 2 else "user", f"t{k}") for k in range(n)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    row = chat_format.format_turns(chat_format.canonical(turns)).first()
+    assert len(row.loss) == n // 2
+    for k in (0, 7, n // 2 - 1):
+        assert row.formatted[row.loss[k].start : row.loss[k].end] == f"t{2 * k + 1}"
