@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hustings.operators.graph import components
+from hustings.operators.ranges import numbered
 from hustings.operators.turns import in_turn
 from hustings.workers import temporary, written
 
@@ -82,14 +85,70 @@ def lines(words: DataFrame, page: list[str], y: str, gap: float, pos: list[str])
     return words.withColumn("__new", F.coalesce(F.col(y) - F.lag(y).over(w) > gap, F.lit(True)).cast("int")).withColumn("line", F.sum("__new").over(w)).drop("__new")
 
 
-def anchored(words: DataFrame, anchors: DataFrame, page: list[str], x: str, anchor: str, most: float, pos: tuple[str, ...] | list[str] = ()) -> DataFrame:
+def anchored(
+    words: DataFrame, anchors: DataFrame, page: list[str], x: str, anchor: str, most: float, pos: tuple[str, ...] | list[str] = (), avoid: DataFrame | None = None, apart: float = 14.0
+) -> DataFrame:
     """words with the nearest anchor of their page within `most`, the lower of two as near (so pos settles nothing); null if there is none.
 
-    Anchors of a page are few: they form one list, and each word stays one row.
+    Words nearer than `apart` to an anchor of `avoid` (columns of pages, and anchor) belong to none. Anchors of a page are few: they form one list, and
+    each word stays one row.
     """
-    listed = anchors.groupBy(*page).agg(F.collect_set(F.col(anchor)).alias("__anchors"))
+    list_of = lambda df, name: df.groupBy(*page).agg(F.collect_set(F.col(anchor)).alias(name))
     near = F.filter(F.transform("__anchors", lambda a: F.struct(F.abs(F.col(x) - a).alias("d"), a.alias("a"))), lambda s: s["d"] <= most)
-    return words.join(listed, page, "left").select(*words.columns, F.array_min(near)["a"].alias("anchor"))
+    listed = words.join(list_of(anchors, "__anchors"), page, "left")
+    if avoid is None:
+        return listed.select(*words.columns, F.array_min(near)["a"].alias("anchor"))
+    listed = listed.join(list_of(avoid, "__avoid"), page, "left")
+    beside = F.coalesce(F.exists("__avoid", lambda a: F.abs(F.col(x) - a) < apart), F.lit(False))
+    return listed.select(*words.columns, F.when(~beside, F.array_min(near)["a"]).alias("anchor"))
+
+
+def _rank_correlation(df: DataFrame, x: str, y: str, pos: str, name: str) -> DataFrame:
+    """(measure, value): the correlation of ordinal ranks, ties by pos; 0 where there is none. Ranks come from ranges, not from one sorted task."""
+    ranked = numbered(numbered(df.select(x, y, pos), [F.col(x), F.col(pos)], "__x"), [F.col(y), F.col(pos)], "__y")
+    return ranked.agg(F.coalesce(F.nanvl(F.corr("__x", "__y"), F.lit(0.0)), F.lit(0.0)).alias("value")).select(F.lit(name).alias("measure"), "value")
+
+
+#: Points that each measure of a layout can earn, 120 in all.
+POINTS = {"connected": 30, "group_adjacency": 15, "group_order": 10, "adjacency": 25, "order": 10, "holes": 10, "pairs": 10, "tests": 10}
+
+
+def layout_score(cells: DataFrame, truth: DataFrame, key: str, group: str, x: str, y: str, tests: DataFrame | None = None, c: str = "c", r: str = "r") -> DataFrame:
+    """(measure, points) of a grid layout against a map, and their `total`, of 120 at most; points are whole, cut down.
+
+    cells: key, group, c, r and the unit's place on the map (x to the east, y to the north); truth: pairs (a < b) of neighbours on the map. Measures: all groups
+    connected; adjacency of groups and of units (F1); ranks of groups' and units' places, east to west and north to south, on the map and on the
+    grid; free cells among four or more others; neighbours that keep their order; and tests: rows (a, b, axis) that say that a lies before b on axis `c` or `r`.
+    """
+    with temporary(cells.sparkSession) as keep:
+        u = written(cells.select(F.col(key).alias("k"), F.col(group).alias("g"), F.col(c).alias("c"), F.col(r).alias("r"), F.col(x).alias("x"), F.col(y).alias("y")), "units")
+        u2 = lambda s: u.select(*[F.col(n).alias(n + s) for n in ("k", "g", "c", "r", "x", "y")])
+        parts = grid_components(u, "g").groupBy("g").agg(F.count_distinct("component").alias("n"))
+        rows = [parts.agg(F.when(F.count_if(F.col("n") > 1) == 0, 1.0).otherwise(0.0).alias("value")).select(F.lit("connected").alias("measure"), "value")]
+
+        place = u.withColumns({"gx": F.col("c") + F.pmod(F.col("r"), F.lit(2)) * 0.5, "gy": F.col("r") * (3**0.5 / 2)})
+        of_groups = truth.join(u2("a"), F.col("a") == F.col("ka")).join(u2("b"), F.col("b") == F.col("kb")).filter("ga <> gb").select(F.least("ga", "gb").alias("a"), F.greatest("ga", "gb").alias("b")).distinct()
+        beside = adjacency(u, "k")
+        beside_groups = beside.join(u2("a"), F.col("a") == F.col("ka")).join(u2("b"), F.col("b") == F.col("kb")).filter("ga <> gb").select(F.least("ga", "gb").alias("a"), F.greatest("ga", "gb").alias("b")).distinct()
+        score = lambda found, true, name: agreement(found, true, ["a", "b"]).select(F.lit(name).alias("measure"), F.col("f1").cast("double").alias("value"))
+        rows += [score(beside_groups, of_groups, "group_adjacency"), score(beside, truth, "adjacency")]
+        means = written(place.groupBy("g").agg(*[F.avg(n).alias(n) for n in ("x", "y", "gx", "gy")]), "means")
+        for name, t, pos in (("group_order", means, "g"), ("order", place, "k")):
+            both = _rank_correlation(t, "x", "gx", pos, "x").union(_rank_correlation(t, "y", "gy", pos, "y"))
+            kept = F.greatest(F.lit(0.0), F.when(F.col("measure") == "x", F.col("value")).otherwise(-F.col("value")))
+            rows.append(both.agg((F.sum(kept) / 2).alias("value")).select(F.lit(name).alias("measure"), "value"))
+        rows.append(holes(u, 4).agg((F.greatest(F.lit(0), 10 - F.count("*")) / 10).cast("double").alias("value")).select(F.lit("holes").alias("measure"), "value"))
+        pairs = truth.join(u2("a"), F.col("a") == F.col("ka")).join(u2("b"), F.col("b") == F.col("kb"))
+        same = ((F.col("xa") > F.col("xb")) == (F.col("ca") > F.col("cb"))).cast("int") + ((F.col("ya") > F.col("yb")) == (F.col("ra") < F.col("rb"))).cast("int")
+        rows.append(pairs.agg(F.coalesce(F.sum(same) / (2 * F.count("*")), F.lit(0.0)).cast("double").alias("value")).select(F.lit("pairs").alias("measure"), "value"))
+        if tests is not None:
+            t = tests.join(u2("1"), F.col("a") == F.col("k1")).join(u2("2"), F.col("b") == F.col("k2"))
+            holds = F.when(F.col("axis") == "c", F.col("c1") < F.col("c2")).otherwise(F.col("r1") < F.col("r2"))
+            rows.append(t.agg(F.coalesce(F.count_if(holds) / F.count("*"), F.lit(0.0)).cast("double").alias("value")).select(F.lit("tests").alias("measure"), "value"))
+        every = reduce(DataFrame.unionByName, rows)
+        worth = F.coalesce(*[F.when(F.col("measure") == n, p) for n, p in POINTS.items()])
+        points = written(every.select("measure", F.floor(F.col("value") * worth).cast("long").alias("points")), "points")
+        return keep(written(points.union(points.agg(F.lit("total"), F.sum("points"))), "score"))
 
 
 def greedy_alignment(labels: DataFrame, numbers: DataFrame, page: list[str], x: str, label: str, value: str) -> DataFrame:

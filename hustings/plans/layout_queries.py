@@ -62,7 +62,16 @@ def line_grouping(spark, sf_dir):
 def anchor_assignment(spark, sf_dir):
     e = polls(spark, sf_dir).select("event_id", "user_id", "pct")
     anchors = polls(spark, sf_dir).filter("k % 7 = 0 AND party = 'click'").select("user_id", F.floor("pct").cast("double").alias("at")).distinct()
-    return layout.anchored(e, anchors, ["user_id"], "pct", "at", 14).select("event_id", "anchor")
+    counts = polls(spark, sf_dir).filter("k % 7 = 1 AND party = 'view'").select("user_id", F.floor("pct").cast("double").alias("at")).distinct()
+    return layout.anchored(e, anchors, ["user_id"], "pct", "at", 14, avoid=counts, apart=5).select("event_id", "anchor")
+
+
+def layout_score(spark, sf_dir):
+    """The parts' grid against a map that has some of its neighbours and the same order but for small shifts."""
+    cells = _cells(spark, sf_dir).withColumns({"x": F.col("c") + F.col("key") % 5 + 0.01 * F.col("key"), "y": 0.01 * (F.col("key") % 300) - F.col("r")})
+    truth = layout.adjacency(cells.filter("zone < 2"), "key")
+    tests = cells.filter("key % 9 = 0").select(F.col("key").alias("a"), (F.col("key") + 9).alias("b"), F.when(F.col("key") % 2 == 0, "c").otherwise("r").alias("axis"))
+    return layout.layout_score(cells, truth, "key", "zone", "x", "y", tests)
 
 
 def greedy_align(spark, sf_dir):
@@ -198,7 +207,7 @@ def raw_completeness(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        hex_neighbours, hex_distance, hex_pixels, border_edges, grid_holes, adjacency_f1, grid_components, line_grouping, anchor_assignment, greedy_align, lane_pack,
+        hex_neighbours, hex_distance, hex_pixels, border_edges, grid_holes, adjacency_f1, grid_components, line_grouping, anchor_assignment, layout_score, greedy_align, lane_pack,
         next_first_wednesday, phase_of_day, explode_json, range_parse, region_parse, zip_careers, aggregate_or_sum, label_cascade, answer_validation, noise_names,
         fused_tokens, person_clusters, person_collapse, person_summary, lineage_edges, audit_union, audit_diff, audit_exit, roster_gaps, funnel_counts, raw_completeness,
     )
@@ -232,8 +241,25 @@ reach(a, b) as (select c * 1000000 + r, c * 1000000 + r from cells union select
 select a // 1000000 as c, a % 1000000 as r, min(b) as component from reach group by a""",
     "line_grouping": """with f as (select *, case when coalesce(value - lag(value) over (partition by user_id order by value, event_id) > 3.0, true) then 1 else 0 end as fresh from events)
 select event_id, cast(sum(fresh) over (partition by user_id order by value, event_id rows unbounded preceding) as bigint) as line from f""",
-    "anchor_assignment": f"""with {POLLS_SQL}, a as (select distinct user_id, floor(pct) as place from polls where k % 7 = 0 and party = 'click')
-select event_id, place as anchor from polls left join a on polls.user_id = a.user_id and abs(pct - place) <= 14 qualify row_number() over (partition by event_id order by abs(pct - place), place) = 1""",
+    "layout_score": f"""with recursive {NEAR_SQL}, u as (select *, c + key % 5 + 0.01 * key as x, 0.01 * (key % 300) - r as y, c + 0.5 * (r % 2) as gx, r * sqrt(3.0) / 2 as gy from cells),
+j as materialized (select n.key as a, o.key as b, n.zone as ga, o.zone as gb from near n join cells o on n.nc = o.c and n.nr = o.r), adj as (select a, b, ga < 2 and gb < 2 as inside from j where a < b),
+reach(a, b) as (select key, key from cells union select reach.a, j.b from reach join j on reach.b = j.a where ga = gb), comps as (select zone, count(distinct least) as n from (select a, min(b) as least from reach group by 1) q join cells on a = key group by 1),
+ga as (select distinct least(ga, gb) as a, greatest(ga, gb) as b, ga < 2 and gb < 2 as inside from j where ga <> gb),
+m as (select zone, avg(x) as x, avg(y) as y, avg(gx) as gx, avg(gy) as gy from u group by 1),
+rm as (select corr(row_number_x, row_number_gx) as cx, corr(row_number_y, row_number_gy) as cy from (select row_number() over (order by x, zone) as row_number_x, row_number() over (order by gx, zone) as row_number_gx, row_number() over (order by y, zone) as row_number_y, row_number() over (order by gy, zone) as row_number_gy from m)),
+ru as (select corr(a, b) as cx, corr(c, d) as cy from (select row_number() over (order by x, key) as a, row_number() over (order by gx, key) as b, row_number() over (order by y, key) as c, row_number() over (order by gy, key) as d from u)),
+h as (select count(*) as n from (select 1 from near where (nc, nr) not in (select c, r from cells) group by nc, nr having count(*) >= 4)),
+o as (select count(*) as n, sum(cast((p.x > q.x) = (p.c > q.c) as int) + cast((p.y > q.y) = (p.r < q.r) as int)) as s from adj join u p on p.key = a join u q on q.key = b where inside),
+t as (select count(*) as n, count(*) filter (case when p.key % 2 = 0 then p.c < q.c else p.r < q.r end) as s from u p join u q on q.key = p.key + 9 where p.key % 9 = 0),
+s as (select 'connected' as measure, 30 * cast(max(n) = 1 as int) as points from comps
+  union all select 'group_adjacency', floor(15 * 2.0 * count(*) filter (inside) / (count(*) + count(*) filter (inside))) from ga
+  union all select 'adjacency', floor(25 * (2.0 * count(*) filter (inside) / (count(*) + count(*) filter (inside)))) from adj
+  union all select 'group_order', floor((greatest(0, cx) + greatest(0, -cy)) / 2 * 10) from rm union all select 'order', floor((greatest(0, cx) + greatest(0, -cy)) / 2 * 10) from ru
+  union all select 'holes', greatest(0, 10 - n) from h union all select 'pairs', floor(s / (2 * n) * 10) from o union all select 'tests', floor(s / n * 10) from t)
+select measure, cast(points as bigint) as points from s union all select 'total', cast(sum(points) as bigint) from s""",
+    "anchor_assignment": f"""with {POLLS_SQL}, a as (select distinct user_id, floor(pct) as place from polls where k % 7 = 0 and party = 'click'), v as (select distinct user_id, floor(pct) as place from polls where k % 7 = 1 and party = 'view'),
+n as (select event_id, exists (select 1 from v where v.user_id = polls.user_id and abs(polls.pct - v.place) < 5) as beside from polls)
+select polls.event_id, case when not beside then place end as anchor from polls join n using (event_id) left join a on polls.user_id = a.user_id and abs(pct - place) <= 14 qualify row_number() over (partition by polls.event_id order by abs(pct - place), place) = 1""",
     "lane_pack": """with recursive o as (select o_orderkey as k, o_custkey as c, cast(o_orderdate as date) as a, cast(o_orderdate as date) + cast(o_orderkey % 300 as int) as b from orders),
 n as (select *, row_number() over (partition by c order by a, k) as i from o),
 r(c, i, k, lane, ends) as (select c, i, k, cast(0 as bigint), [b] from n where i = 1 union all

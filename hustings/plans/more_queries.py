@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hustings.functions import text
-from hustings.operators import audit, dedup, extraction, filters, joins, ranking, rollups
+from hustings.operators import audit, dedup, extraction, filters, joins, ranking, rollups, tables
+from hustings.operators.tables import Words
 from hustings.plans.tables import PLACED_SQL, POLLS_SQL, placed, polls, table
 from hustings.sources import readers, sinks
 from hustings.streaming import twins
@@ -299,6 +300,30 @@ def data_rows(spark, sf_dir):
     return _grid(spark, sf_dir).select("tab", "row", extraction.data_row(F.col("cells")).alias("is_data"))
 
 
+WORDS = Words(
+    parties=("red", "blue", "ring", "redring"), name="[a-z]{3,5}", total="^(large|total)$", metric=("PROMO",), party_title="ECO", offices=("gear", "plate"),
+    no_names=("hot", "old"), no_columns=("cold",), answers=("bolt", "rod"),
+)
+
+
+def table_options(spark, sf_dir):
+    """Six parts a table: words of their names, sizes and shares are cells; the first part's type is the title."""
+    p = table(spark, sf_dir, "part")
+    one, two = F.get(F.split("p_name", " "), F.lit(0)), F.get(F.split("p_name", " "), F.lit(1))
+    row, size = F.col("p_partkey") % 6, F.col("p_size")
+    late = row >= 3
+    cells = F.array(
+        F.when(late & (size % 2 == 0), size.cast("string")).otherwise(one),
+        F.when(late, F.concat((size % 101).cast("string"), F.lit("%"))).when(size % 3 == 0, "").otherwise(F.concat(two, one)),
+        F.when(late, F.concat(size.cast("string"), F.lit(".5"))).when(size % 4 == 0, "").otherwise(F.concat(one, two)),
+        F.when(late, (size * 3).cast("string")).when(size % 5 < 3, "").otherwise(two),
+    )
+    rows = p.select(F.floor(F.col("p_partkey") / 6).alias("tab"), row.alias("row"), cells.alias("cells"), "p_type")
+    titles = rows.groupBy("tab").agg(F.min_by("p_type", "row").alias("title"))
+    found = tables.headed(tables.whole(rows, ["tab"], "row", "cells"), WORDS).join(titles, "tab")
+    return tables.options(found, ["tab"], WORDS, "title").withColumn("place", F.col("place").cast("long"))
+
+
 def title_cascade(spark, sf_dir):
     d = table(spark, sf_dir, "documents")
     return d.select("doc_id", extraction.first_match(F.col("text"), [r"([0-9]{4})", r"(?:^|\s)(th[a-z]+)"], F.lit("none")).alias("title"))
@@ -362,7 +387,7 @@ QUERIES = {
         csv_last_wins, csv_first_wins, json_folder, tsv_numbers, encoded_csv, sparql_solutions, sparql_races, present_union, chunks_all, stats_sink, lite_projection, csv_append,
         stream_merge_twice, match_gate, rounded_coordinates, negative_cache, round_labels, ordinals, stem_join, paired_rows, scope_filter, partial_sample_drop, campaign_start, own_polls,
         roster_semi, half_open_terms, person_rows, parent_broadcast, merged_units, code_sums, party_appearances, office_summary, counting_completeness, manifest_summary, multi_key_sort,
-        custom_order, newest_then_drop, mixed_union, replaced_part, party_support, office_reclassified, gate_with_parties, district_parts, table_headers, data_rows, title_cascade,
+        custom_order, newest_then_drop, mixed_union, replaced_part, party_support, office_reclassified, gate_with_parties, district_parts, table_headers, data_rows, table_options, title_cascade,
         total_lines, column_values, paired_header, leak_repair, preferred_rows, question_overlay, glyph_repair, best_files,
     )
 }
@@ -443,6 +468,27 @@ select p_partkey, string_agg(case when i = last and p_size % 2 = 0 and not known
 x as (select tab, row, unnest([0, 1, 2]) as place, unnest(cells) as t from a where seen = 0), f as (select tab, place, t, min(row) as first from x where t <> '' group by 1, 2, 3)
 select tab, cast(place as bigint) as place, string_agg(t, ' ' order by first) as text from f group by 1, 2""",
     "data_rows": f"{GRID_SQL} select tab, row, is_data from g",
+    "table_options": r"""with w as (select p_partkey // 6 as tab, p_partkey % 6 as row, p_size as s, p_type, string_split(p_name, ' ') as w from part),
+c as (select tab, row, p_type, [case when row >= 3 and s % 2 = 0 then cast(s as varchar) else w[1] end, case when row >= 3 then (s % 101) || '%' when s % 3 = 0 then '' else w[2] || w[1] end,
+  case when row >= 3 then s || '.5' when s % 4 = 0 then '' else w[1] || w[2] end, case when row >= 3 then cast(s * 3 as varchar) when s % 5 < 3 then '' else w[2] end] as cells from w),
+f as (select *, len(list_filter(cells, lambda x: x <> '')) as n, len(list_filter(cells, lambda x: regexp_matches(x, '^\(?[0-9]+([.,][0-9]+)?%?\)?$'))) as numbers,
+  len(list_filter(cells, lambda x: x in ('large', 'total'))) > 0 as is_total, list_max(list_transform(cells, lambda x: length(x))) as longest from c),
+d as (select *, n >= 3 and numbers >= greatest(2, floor(n * 0.6)) as is_data, n = 1 or (longest > 10 and n <= 2) as is_title from f),
+t as (select tab, coalesce(min(row) filter (is_total), min(row) filter (is_data), 0) as start, arg_min(p_type, row) as title from d group by 1),
+h as (select tab, title, start, place, string_agg(case when (start = 0 and row = 0) or (row < start and not is_title) then cells[place + 1] else '' end, '' order by row) as h
+  from d join t using (tab), (values (0), (1), (2), (3)) v(place) group by all),
+b as (select *, replace(replace(replace(replace(h, 'redring', ''), 'blue', ''), 'ring', ''), 'red', '') as bare, regexp_matches(h, 'red|blue|ring') as has from h),
+n as (select *, case when length(bare) <= 6 then regexp_extract(bare, '^([a-z]{3,5})$', 1) when contains(bare, 'gear') or contains(bare, 'plate') then regexp_extract(bare, '^([a-z]{3,5})', 1) else '' end as named from b),
+k as (select tab, case when any_value(title) = 'PROMO' then 'metric' when contains(any_value(title), 'ECO') and count(*) filter (has) >= 3 then 'party'
+  when count(*) filter (named not in ('', 'hot', 'old')) > 0 then 'candidate' when count(*) filter (has) > 0 then 'party' else 'skip' end as kind from n group by 1),
+x as (select d.tab, row, cells, is_total from d join t using (tab) where row >= greatest(start, 1)), r as (select tab, arg_min(cells, (not is_total, row)) as data from x group by 1),
+o as (select tab, kind, place, h, case when contains(h, 'redring') then 'redring' when contains(h, 'blue') then 'blue' when contains(h, 'ring') then 'ring' when contains(h, 'red') then 'red' else '' end as party,
+  nullif(regexp_extract(data[place + 1], '([0-9]{1,3}(?:\.[0-9]+)?)', 1), '') as share from b join k using (tab) join r using (tab) where kind in ('candidate', 'party') and h <> ''),
+p as (select *, case when party = '' then 0 else strpos(h, party) end as spot from o where not contains(h, 'cold') and (party <> '' or not regexp_matches(h, 'bolt|rod'))),
+q as (select *, list_filter(regexp_extract_all(case when party = '' then '' else left(h, spot - 1) end, '[a-z]{3,5}'), lambda z: z not in ('hot', 'old')) as before,
+  list_filter(regexp_extract_all(case when party = '' then h else substr(h, spot + length(party)) end, '[a-z]{3,5}'), lambda z: z not in ('hot', 'old')) as after from p),
+z as (select tab, kind, cast(place as bigint) as place, party, case when kind = 'party' then '' when len(before) > 0 then before[len(before)] else after[1] end as name, cast(share as double) as share from q)
+select * from z where share between 0 and 100 and name is not null""",
     "title_cascade": r"select doc_id, coalesce(nullif(regexp_extract(text, '([0-9]{4})', 1), ''), nullif(regexp_extract(text, '(?:^|\s)(th[a-z]+)', 1), ''), 'none') as title from documents",
     "total_lines": f"""with {LINES_SQL}, k as (select *, case when contains(t, ' la ') then 0 when starts_with(ltrim(t), 'The') and regexp_matches(t, '[0-9]') then 1 end as kind from l)
 select doc_id, line from k where kind is not null qualify row_number() over (partition by doc_id order by kind, line) = 1""",
