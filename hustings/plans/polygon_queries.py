@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from hustings.operators import assignment, polygons, turns
+from hustings.operators import assignment, matching, polygons, turns
 from hustings.plans.layout_queries import CELLS_SQL, _cells
 from hustings.plans.tables import POLLS_SQL, polls, table
 
@@ -81,9 +81,13 @@ def optimal_assignment(spark, sf_dir):
     return report.join(n, "s_nationkey").select("s_nationkey", "agents", "places", "total", (F.col("gap") < 1).alias("proven"))
 
 
+def paired_cells(spark, sf_dir):
+    return matching.paired(_cells(spark, sf_dir), "zone").groupBy("zone", "component").agg(F.count("*").alias("cells"), (F.count("c2") / 2).cast("long").alias("pairs"))
+
+
 QUERIES = {
     f.__name__: f
-    for f in (coast_ratio, shared_borders, dissolved_outlines, simplified_lines, polygon_contacts, voronoi_cells, absorbed_parts, hex_bins, optimal_assignment)
+    for f in (coast_ratio, shared_borders, dissolved_outlines, simplified_lines, polygon_contacts, voronoi_cells, absorbed_parts, hex_bins, optimal_assignment, paired_cells)
 }
 
 #: Sides of cells: the cell beside each, and the side's place.
