@@ -72,13 +72,16 @@ def _ends(rows: DataFrame, budgets: DataFrame, key: str) -> DataFrame:
     state = budgets.select("source", "budget", F.lit(0).cast("long").alias("before"))
     for shift in range(BITS - STEP, -1, -STEP):
         prefix = F.shiftright(F.col(key), shift)
-        sums = rows.groupBy("source", prefix.alias("prefix")).agg(F.sum("size").alias("sum"))  # at most 2^STEP a source
+        if shift == BITS - STEP:  # all rows: summed first
+            sums = rows.groupBy("source", prefix.alias("prefix")).agg(F.sum("size").alias("sum")).join(state, "source")  # at most 2^STEP a source
+        else:  # those of one bucket, which carry what is left of their budget
+            sums = rows.groupBy("source", "budget", "before", prefix.alias("prefix")).agg(F.sum("size").alias("sum"))
         upto = F.sum("sum").over(Window.partitionBy("source").orderBy("prefix"))
-        over = sums.withColumn("inner", upto - F.col("sum")).join(state.select("source", "budget", "before"), "source").filter((F.col("inner") <= F.col("budget")) & (F.col("inner") + F.col("sum") > F.col("budget")))
-        state = written(over.select("source", "prefix", (F.col("budget") - F.col("inner")).alias("budget"), (F.col("before") + F.col("inner")).alias("before")), "boundaries")
+        over = sums.withColumn("inner", upto - F.col("sum")).filter((F.col("inner") <= F.col("budget")) & (F.col("inner") + F.col("sum") > F.col("budget")))
+        state = over.select("source", "prefix", (F.col("budget") - F.col("inner")).alias("budget"), (F.col("before") + F.col("inner")).alias("before"))
         if shift:
-            rows = written(rows.join(state.select("source", "prefix"), "source").filter(prefix == F.col("prefix")).drop("prefix"), "refined")
-    return state.select("source", F.col("prefix").alias(key), "before")
+            rows = written(rows.select("source", key, "size").join(state, "source").filter(prefix == F.col("prefix")).drop("prefix"), "refined")
+    return written(state.select("source", F.col("prefix").alias(key), "before"), "boundaries")
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, percent: int = PERCENT, most: int = MOST, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
