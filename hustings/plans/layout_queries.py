@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from hustings.functions import calendar, text
-from hustings.operators import audit, filters, joins, layout, resolve
+from hustings.operators import audit, extraction, filters, joins, layout, resolve
 from hustings.plans.tables import POLLS_SQL, polls, table
 
 
@@ -79,6 +79,14 @@ def greedy_align(spark, sf_dir):
     return layout.greedy_alignment(p.filter("party = 'click'"), p.filter("party = 'view'"), ["user_id"], "x", "event_id", "pct")
 
 
+def names_above(spark, sf_dir):
+    """Clicks are anchors of a user's page, other events words at their value, the least k on top; names repeat."""
+    p = polls(spark, sf_dir)
+    words = p.filter("party <> 'click'").select("user_id", F.col("pct").alias("x"), F.col("k").alias("y"), F.concat(F.lit("n"), F.col("event_id") % 9).alias("t"))
+    anchors = p.filter("party = 'click' AND k % 3 = 0").select("user_id", F.floor("pct").cast("double").alias("spot"))
+    return extraction.names_above(words, anchors, ["user_id"], "x", "y", "t", "spot", 5.0)
+
+
 def lane_pack(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), "o_custkey", F.to_date("o_orderdate").alias("a"), F.date_add(F.to_date("o_orderdate"), F.col("o_orderkey").cast("int") % 300).alias("b"))
     return layout.lanes(o, ["o_custkey"], "a", "b", "k").select("k", "lane")
@@ -207,7 +215,7 @@ def raw_completeness(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        hex_neighbours, hex_distance, hex_pixels, border_edges, grid_holes, adjacency_f1, grid_components, line_grouping, anchor_assignment, layout_score, greedy_align, lane_pack,
+        hex_neighbours, hex_distance, hex_pixels, border_edges, grid_holes, adjacency_f1, grid_components, line_grouping, anchor_assignment, layout_score, greedy_align, names_above, lane_pack,
         next_first_wednesday, phase_of_day, explode_json, range_parse, region_parse, zip_careers, aggregate_or_sum, label_cascade, answer_validation, noise_names,
         fused_tokens, person_clusters, person_collapse, person_summary, lineage_edges, audit_union, audit_diff, audit_exit, roster_gaps, funnel_counts, raw_completeness,
     )
@@ -260,6 +268,12 @@ select measure, cast(points as bigint) as points from s union all select 'total'
     "anchor_assignment": f"""with {POLLS_SQL}, a as (select distinct user_id, floor(pct) as place from polls where k % 7 = 0 and party = 'click'), v as (select distinct user_id, floor(pct) as place from polls where k % 7 = 1 and party = 'view'),
 n as (select event_id, exists (select 1 from v where v.user_id = polls.user_id and abs(polls.pct - v.place) < 5) as beside from polls)
 select polls.event_id, case when not beside then place end as anchor from polls join n using (event_id) left join a on polls.user_id = a.user_id and abs(pct - place) <= 14 qualify row_number() over (partition by polls.event_id order by abs(pct - place), place) = 1""",
+    "names_above": f"""with recursive {POLLS_SQL}, a as materialized (select user_id, cast(floor(pct) as double) as spot, row_number() over (partition by user_id order by floor(pct), event_id) as i from polls where party = 'click' and k % 3 = 0),
+w as materialized (select user_id, pct as x, k as y, 'n' || event_id % 9 as t from polls where party <> 'click'),
+r(user_id, i, taken) as (select distinct user_id, cast(0 as bigint), cast([] as varchar[]) from a
+  union all select r.user_id, r.i + 1, list_append(any_value(taken), arg_min(t, (y, x, t))) from r join a on a.user_id = r.user_id and a.i = r.i + 1
+    left join w on w.user_id = r.user_id and abs(x - spot) <= 5 and not list_contains(list_filter(taken, lambda z: z is not null), t) group by r.user_id, r.i)
+select a.user_id, spot, taken[a.i] as t from a join (select user_id, arg_max(taken, i) as taken from r group by 1) f on f.user_id = a.user_id where taken[a.i] is not null""",
     "lane_pack": """with recursive o as (select o_orderkey as k, o_custkey as c, cast(o_orderdate as date) as a, cast(o_orderdate as date) + cast(o_orderkey % 300 as int) as b from orders),
 n as (select *, row_number() over (partition by c order by a, k) as i from o),
 r(c, i, k, lane, ends) as (select c, i, k, cast(0 as bigint), [b] from n where i = 1 union all
