@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hustings.llm.batches import pieces, quoted
-from hustings.workers import importable, written
+from hustings.workers import importable, temporary, written
 
 FEATURES = 1 << 14
 PER_LANGUAGE, MOST_LANGUAGES, CLUSTERS, SPREAD = 300, 256, 4, 6.0
@@ -134,6 +134,11 @@ def _limits(stats: np.ndarray, languages: list[str], spread: float) -> np.ndarra
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE, clusters: int = CLUSTERS, spread: float = SPREAD) -> Model:
     """Learn from rows with a language and a text; sampled, clustered and measured on the executors, centroids alone come back."""
+    with temporary(labelled.sparkSession):  # the sample goes when it has been learnt from
+        return _fitted(labelled, id_col, text_col, lang_col, per_language, clusters, spread)
+
+
+def _fitted(labelled: DataFrame, id_col: str, text_col: str, lang_col: str, per_language: int, clusters: int, spread: float) -> Model:
     importable(labelled.sparkSession)
     known = labelled.select(F.col(id_col).alias("i"), F.col(text_col).alias("t"), F.col(lang_col).cast("string").alias("l")).filter("l IS NOT NULL AND t IS NOT NULL")
     sizes = {r["l"]: r["n"] for r in known.groupBy("l").agg(F.count("*").alias("n")).limit(MOST_LANGUAGES + 1).collect()}

@@ -83,3 +83,12 @@ def test_components(spark, kind):
     if edges:
         a, b = np.array(edges).T
         assert all(components.spanning(a, b, 100)[k] == v for k, v in label.items())
+
+
+def test_doubles_are_not_rounded(spark):
+    """0.9 within rounding of floats: the double cosine decides."""
+    b = [0.9 - 1e-9, (1 - (0.9 - 1e-9) ** 2) ** 0.5]
+    c = [0.9 + 1e-9, -((1 - (0.9 + 1e-9) ** 2) ** 0.5)]
+    rows = [(1, [1.0, 0.0]), (2, b), (3, c)]
+    got = embedding_dedup.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert {r.vec_id: (r.n_links, r.component_id) for r in got} == {1: (1, 1), 2: (0, 2), 3: (1, 1)}

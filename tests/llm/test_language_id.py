@@ -125,3 +125,11 @@ def test_predictions_as_plain_centroids_give_them(spark):
                 for k, x in v.items():
                     mean[k] = mean.get(k, 0.0) + x
             assert dot(unit(mean), own[i]) > 0.99
+
+
+def test_a_null_id_is_not_held_out(spark):
+    df = spark.createDataFrame([(None,), (1,), (4,)], "doc_id long")
+    import zlib
+
+    got = [r[0] for r in df.select(language_id.held_out()).collect()]
+    assert got == [False, zlib.crc32(b"1") % 3 == 1, zlib.crc32(b"4") % 3 == 1]
