@@ -14,13 +14,13 @@ def person_clusters(df: DataFrame, name: str, row_id: str, birth: str, script: s
 
     Two rows of a name never link if both births or both second spellings (script) are there and differ. They link if one of
     these is equal, or else if they share the area and lie at most most_years apart. Clusters are what links reach; one with
-    several births is split by birth, its rows without one apart. Rows of a name that agree in all attributes, one of which is there, are
+    several births is split by birth, its rows without one apart. Rows of a name that agree in all attributes and have some evidence are
     one node, so only distinct combinations of attributes are compared, however many rows share them, and only within a birth, a script or an
-    area and stretch of years, never all of a name. Row ids are distinct numbers; rows of a null name, or without birth, script and area, link with
-    nothing. A missing year is year 0: in one area it links with missing years alone.
+    area and stretch of years, never all of a name. Row ids are distinct numbers; rows of a null name, or without any evidence (a birth, a script, or an area
+    with its year), link with nothing.
     """
-    rows = written(df.select(F.col(row_id).alias("id"), F.col(name).alias("name"), F.col(birth).alias("b"), F.col(script).alias("s"), F.col(area).alias("a"), F.coalesce(F.col(year), F.lit(0)).alias("y")), "candidacies")
-    evident = F.col("name").isNotNull() & (F.col("b").isNotNull() | F.col("s").isNotNull() | F.col("a").isNotNull())
+    rows = written(df.select(F.col(row_id).alias("id"), F.col(name).alias("name"), F.col(birth).alias("b"), F.col(script).alias("s"), F.col(area).alias("a"), F.col(year).alias("y")), "candidacies")
+    evident = F.col("name").isNotNull() & (F.col("b").isNotNull() | F.col("s").isNotNull() | (F.col("a").isNotNull() & F.col("y").isNotNull()))
     # rows that agree in name, birth, script, area and year are one node
     node = rows.filter(evident).groupBy("name", "b", "s", "a", "y").agg(F.min("id").alias("n"))
     node = written(node, "nodes")
@@ -33,7 +33,7 @@ def person_clusters(df: DataFrame, name: str, row_id: str, birth: str, script: s
 
     # rows of one area and at most most_years apart lie in the same or neighbouring stretches of years
     width = most_years + 1
-    stretch = node.filter("a IS NOT NULL").withColumn("k", F.floor(F.col("y") / width))
+    stretch = node.filter("a IS NOT NULL AND y IS NOT NULL").withColumn("k", F.floor(F.col("y") / width))
     p, q = stretch.alias("p"), stretch.withColumn("k", F.explode(F.array("k", F.col("k") + 1))).alias("q")
     pairs = p.join(q, (F.col("p.name") == F.col("q.name")) & (F.col("p.a") == F.col("q.a")) & (F.col("p.k") == F.col("q.k")) & (F.col("p.n") != F.col("q.n")))
     vetoed = F.coalesce(F.col("p.b") != F.col("q.b"), F.lit(False)) | F.coalesce(F.col("p.s") != F.col("q.s"), F.lit(False))

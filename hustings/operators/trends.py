@@ -92,15 +92,16 @@ def mad_outliers(samples: DataFrame, key: list[str], day: str, value: str, sampl
     names = [f"__k{i}" for i in range(len(key))]
     on = lambda a, b: [F.col(f"{a}.{k}").eqNullSafe(F.col(f"{b}.{k}")) for k in names]
     own = [F.col(k).alias(n) for k, n in zip(key, names, strict=True)]
-    counts = samples.filter(F.col(day).isNotNull() & F.col(value).isNotNull()).groupBy(*own, F.unix_date(day).alias("d"), F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    dated = samples.filter(F.col(day).isNotNull() & F.col(value).isNotNull()).select(*own, F.unix_date(day).alias("d"), F.col(value).cast("double").alias("v"))
+    counts = dated.groupBy(*names, "d", "v").agg(F.count("*").alias("n"))
     width = days + 1
     stretch = counts.withColumn("s", F.floor(F.col("d") / width)).alias("a")
     middle = counts.select(*names, "d").distinct().withColumn("s", F.explode(F.sequence(F.floor((F.col("d") - days) / width), F.floor((F.col("d") + days) / width)))).alias("b")
     near = stretch.join(middle, [*on("a", "b"), F.col("a.s") == F.col("b.s"), F.abs(F.col("a.d") - F.col("b.d")) <= days]).select(*[f"b.{k}" for k in names], F.col("b.d").alias("d"), "a.v", "a.n")
     median = near.groupBy(*names, "d").agg(F.sum("n").alias("total"), F.expr("percentile(v, 0.5, n)").alias("median")).filter(F.col("total") >= least)
     off = near.alias("a").join(median.alias("b"), [*on("a", "b"), F.col("a.d") == F.col("b.d")]).select(*[f"b.{k}" for k in names], "b.d", "total", "median", "a.n", F.abs(F.col("a.v") - F.col("median")).alias("v"))
-    stats = off.groupBy(*names, "d").agg(F.first("total").alias("__n"), F.first("median").alias("__median"), F.expr("percentile(v, 0.5, n)").alias("__mad")).filter(F.col("__mad") >= least_mad)
-    same = [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(key, names, strict=True)] + [F.unix_date(day) == F.col("d")]
+    stats = off.groupBy(*names, F.col("d").alias("__d")).agg(F.first("total").alias("__n"), F.first("median").alias("__median"), F.expr("percentile(v, 0.5, n)").alias("__mad")).filter(F.col("__mad") >= least_mad)
+    same = [F.col(k).eqNullSafe(F.col(n)) for k, n in zip(key, names, strict=True)] + [F.unix_date(day) == F.col("__d")]
     far = F.abs(F.col(value) - F.col("__median")) > F.greatest(F.lit(floor), F.col("__mad") * times)
     out = [F.col("__n").alias("n"), F.col("__median").alias("median"), F.col("__mad").alias("mad")]
     return samples.join(stats, same).filter(far).select(*key, sample_id, day, value, *out)

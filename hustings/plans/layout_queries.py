@@ -309,7 +309,7 @@ c as (select p_partkey, t, p, suffix(t, p) as ends from t join p on length(t) >=
 select p_partkey, case when ends then left(t, length(t) - length(p)) else right(t, length(t) - length(p)) end as name, p as party from c
 qualify row_number() over (partition by p_partkey order by length(p) desc, p desc, ends desc) = 1""",
     "person_clusters": """with recursive c as (select c_custkey as id, 'n' || (c_custkey % 60) as name, case when c_custkey % 3 <> 0 then c_custkey % 7 end as b, case when c_custkey % 5 = 0 then c_custkey % 4 end as s,
-  case when c_custkey % 4 <> 0 then c_nationkey % 6 end as a, case when c_custkey % 9 <> 0 then 1950 + c_custkey % 71 else 0 end as y from customer),
+  case when c_custkey % 4 <> 0 then c_nationkey % 6 end as a, case when c_custkey % 9 <> 0 then 1950 + c_custkey % 71 end as y from customer),
 e as (select p.id as u, q.id as v from c p join c q on p.name = q.name and p.id <> q.id where not coalesce(p.b <> q.b, false) and not coalesce(p.s <> q.s, false)
   and (coalesce(p.b = q.b, false) or coalesce(p.s = q.s, false) or (p.a = q.a and abs(p.y - q.y) <= 16))),
 reach(u, v) as (select id, id from c union select reach.u, e.v from reach join e on reach.v = e.u),

@@ -70,7 +70,7 @@ def persons(rows):
     for i, n, b, s, a, y in rows:
         for j, m, c, t, d, z in rows:
             if i < j and n is not None and n == m and not (b is not None and c is not None and b != c) and not (s is not None and t is not None and s != t):
-                if (b is not None and b == c) or (s is not None and s == t) or (a is not None and a == d and abs((y or 0) - (z or 0)) <= 16):
+                if (b is not None and b == c) or (s is not None and s == t) or (a is not None and a == d and y is not None and z is not None and abs(y - z) <= 16):
                     x, w = sorted((group[i], group[j]))
                     group = {k: x if v == w else v for k, v in group.items()}
     out = {}
