@@ -10,7 +10,7 @@ occurrences within pieces, overlaps included.
    of prefixes at a time: the prefix's bitmap is shifted by one position (gaps keep pieces apart), ANDed with the bitmaps of words, and what is left
    is counted by popcount. Popcounts are summed over shards.
 3. That is done once for each length: phrases of k words grow only from those of k - 1 that are frequent over all shards and whose last
-   pair is, which is known to each shard by another join.
+   pair is, which is known to each shard from the shuffle that summed them.
 
 A phrase is a candidate with f >= `least`; all its parts are then as frequent. Its score is the least of floor(10^6 a^2 / (l r)) over its
 cuts (l and r being f of the two parts), in 38-digit integers. Candidates within a longer candidate that has `share` percent of their
@@ -34,6 +34,8 @@ from hustings.llm.batches import pieces
 from hustings.workers import importable, temporary, written
 
 LEAST, LONGEST, SHARE, TOP, SHARD = 10, 3, 50, 2000, 2_000_000
+#: Full shards' worth of words that a task holds at most.
+MOST_HELD = 4
 #: Positions of a bitmap's block; entries of prefixes that are extended at once; parts of a language that are ranked by themselves first.
 BITS, BUNDLE, SALTS = 16, 1 << 16, 32
 #: A-Z become a-z and what ends a piece becomes a line feed, byte by byte.
@@ -50,12 +52,14 @@ class _Shard:
     def __init__(self) -> None:
         self.known: dict[bytes, int] = {b"\n": 0}
         self.parts: list[np.ndarray] = []
+        self.size = 0
 
     def add(self, text: bytes) -> int:
         known = self.known
         ids = [known.setdefault(w, len(known)) for w in TOKENS.findall(text.translate(BYTES))]
         self.parts.append(np.array([*ids, 0], np.int32))
-        return len(ids)
+        self.size += len(ids) + 1
+        return len(ids) + 1
 
     def row(self, number: int, lang: str) -> dict:
         sequence = np.concatenate(self.parts)
@@ -78,15 +82,24 @@ def _shards(docs: DataFrame, text_col: str, lang_col: str, most: int) -> DataFra
 
         number = TaskContext.get().partitionId() << 32
         held: dict[str, _Shard] = {}
-        size = 0
+        total = 0
         for chunk in pieces(batches):
             for lang, text in zip(chunk.column(0).to_pylist(), chunk.column(1).cast(pa.binary()).to_pylist(), strict=True):
-                size += held.setdefault("und" if lang is None else lang, _Shard()).add(text or b"") + 1
-                if size >= most:
-                    yield batch([s.row(number + k, x) for k, (x, s) in enumerate(held.items())])
-                    number, held, size = number + len(held), {}, 0
-        if held:
-            yield batch([s.row(number + k, x) for k, (x, s) in enumerate(held.items())])
+                name = "und" if lang is None else lang
+                own = held.setdefault(name, _Shard())
+                added = own.add(text or b"")
+                total += added
+                # a language's shard goes when it is full; the largest goes when all that is held is too much
+                while held and (own.size >= most or total >= MOST_HELD * most):
+                    full = name if own.size >= most else max(held, key=lambda x: held[x].size)
+                    total -= held[full].size
+                    yield batch([held.pop(full).row(number, full)])
+                    number += 1
+                    if full == name:
+                        break
+        for name, own in held.items():
+            yield batch([own.row(number, name)])
+            number += 1
 
     return docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, SHARDS)
 
@@ -212,22 +225,26 @@ def counted(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, text_co
     own = shards.select("shard", "lang", F.posexplode(F.arrays_zip("words", "counts")).alias("p", "z"))
     own = own.select("shard", "lang", (F.col("p") + 1).cast("long").alias("number"), F.col("z.words").alias("phrase"), F.col("z.counts").alias("n"))
     total = written(own.groupBy("lang").agg(F.sum("n").alias("n")), "totals")
-    numbered = lambda df, name: written(df.withColumn("id", F.monotonically_increasing_id()), name)  # noqa: E731  ids are fixed once written
-    words = numbered(own.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).filter(F.col("f") >= least), "words")
+    words = own.groupBy("lang", "phrase").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
+    words = written(words.withColumn("id", F.monotonically_increasing_id()), "words")  # ids are fixed once written
     lists = own.join(words, ["lang", "phrase"]).select("shard", F.lit(1).alias("level"), F.lit(-1).cast("long").alias("parent"), F.col("number").alias("word"), "id")
     lists = written(lists, "lists")
     spelt, found = words.select(F.col("id").alias("word"), F.col("phrase").alias("last")), words.withColumn("size", F.lit(1))
     every = found.select("lang", "phrase", "size", "f")
+    phrase = Window.partitionBy("parent", "word")
     for size in range(2, longest + 1):
         grown = written(_grown(shards, lists, size - 1), "grown")
-        frequent = grown.groupBy("parent", "word").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
+        if size < longest:  # one shuffle brings a phrase's shards together: its count, a number for it, and the shards that grow it further
+            seen = grown.withColumn("row", F.monotonically_increasing_id()).withColumns({"f": F.sum("n").over(phrase), "id": F.min("row").over(phrase)})
+            seen = written(seen.filter(F.col("f") >= least), "phrases")
+            lists = lists.unionByName(seen.select("shard", F.lit(size).alias("level"), "parent", "word", "id"))
+            frequent = seen.filter("row = id").select("parent", "word", "f", "id")
+        else:
+            frequent = grown.groupBy("parent", "word").agg(F.sum("n").alias("f")).filter(F.col("f") >= least)
         above = found.select(F.col("id").alias("parent"), "lang", F.col("phrase").alias("first"))
-        frequent = frequent.join(above, "parent").join(spelt, "word").select("lang", F.concat_ws(" ", "first", "last").alias("phrase"), F.lit(size).alias("size"), "f", "parent", "word")
-        found = numbered(frequent, "phrases")
+        found = frequent.join(above, "parent").join(spelt, "word").drop("parent", "word").withColumns({"phrase": F.concat_ws(" ", "first", "last"), "size": F.lit(size)})
+        found = written(found.drop("first", "last"), "found")
         every = every.unionByName(found.select("lang", "phrase", "size", "f"))
-        if size < longest:
-            more = grown.join(found.select("parent", "word", "id"), ["parent", "word"]).select("shard", F.lit(size).alias("level"), "parent", "word", "id")
-            lists = lists.unionByName(written(more, "lists"))
     return every, total
 
 
