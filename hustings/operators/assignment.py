@@ -1,21 +1,87 @@
-"""Optimal assignment by auction: agents bid for items in rounds, over tables of costs and prices; all groups at once."""
+"""Optimal assignment: groups that fit in a task by shortest augmenting paths, larger ones by auction, agents bidding for items in rounds over tables of
+costs and prices."""
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from hustings.workers import temporary, written
+from hustings.workers import importable, temporary, written
 
+#: Agents of a group that one task assigns: its matrix of costs takes 128 MB.
+MOST_IN_TASK = 4000
 MOST_ROUNDS = 2000
 #: By how much the step of prices shrinks from phase to phase.
 SHRINK = 16
 
 
+def paths(costs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(item of each agent, u, v) of a square matrix of whole costs: the least total, and prices u + v <= costs that are equal where agents have items."""
+    n = len(costs)
+    v = costs.min(axis=0)
+    u = (costs - v).min(axis=1)
+    agent, item = np.full(n, -1), np.full(n, -1)
+    for i in range(n):
+        free = np.flatnonzero((costs[i] - v == u[i]) & (agent < 0))
+        if len(free):
+            agent[free[0]], item[i] = i, free[0]
+    far = np.iinfo(np.int64).max
+    for i in np.flatnonzero(item < 0):
+        # distances to items from i over reduced costs; `open_` ones may still get nearer
+        distance, via, open_ = np.full(n, far), np.full(n, -1), np.ones(n, bool)
+        done: list[int] = []
+        k, at = i, 0
+        while True:
+            through = costs[k] - v + (at - u[k])
+            nearer = open_ & (through < distance)
+            distance[nearer], via[nearer] = through[nearer], k
+            j = int(np.where(open_, distance, far).argmin())
+            open_[j], at = False, distance[j]
+            if agent[j] < 0:
+                break
+            done.append(j)
+            k = agent[j]
+        u[i] += at
+        if done:
+            less = at - distance[done]
+            u[agent[done]] += less
+            v[done] -= less
+        while j >= 0:
+            k = via[j]
+            agent[j], item[k], j = k, j, item[k]
+            if k == i:
+                break
+    return item, u, v
+
+
+def _in_tasks(c: DataFrame, sizes: DataFrame, group: list[str]) -> DataFrame:
+    """(group, i, j, c, price) of groups that fit in a task; the prices of a group add to the least total there can be."""
+    importable(c.sparkSession)
+    known = F.broadcast(sizes.filter(F.col("n") <= MOST_IN_TASK).select(*group, "least"))
+    lists = c.join(known, group).groupBy(*group, "i").agg(F.sort_array(F.collect_list(F.struct("j", "c"))).alias("l"), F.first("least").alias("least"))
+    lists = lists.select(*group, "i", F.col("l.c").alias("costs"), F.when(F.col("i") == F.col("least"), F.col("l.j")).alias("items"))  # items are the same for all
+    schema = T.StructType([*c.select(*group).schema, *[T.StructField(x, T.LongType()) for x in ("i", "j", "c", "price")]])
+
+    def solve(t: pa.Table) -> pa.Table:
+        t = t.sort_by("i")
+        n = t.num_rows
+        costs = t.column("costs").combine_chunks().flatten().to_numpy().reshape(n, n)
+        items = t.column("items").combine_chunks().flatten().to_numpy()
+        item, u, v = paths(costs)
+        out = [items[item], costs[np.arange(n), item], u + v[item]]
+        return pa.table([*[t.column(g) for g in group], t.column("i"), *map(pa.array, out)], names=schema.names)
+
+    return lists.groupBy(*group).applyInArrow(solve, schema)
+
+
 def assigned(costs: DataFrame, group: list[str], agent: str, item: str, cost: str) -> tuple[DataFrame, DataFrame]:
     """Of costs (group, agent, item, whole cost), each pair of a group once: (group, agent, item) of least total cost, and (group, total, bound, gap).
 
-    In a round, each agent without an item finds the item that is worth most to it at present prices and bids what it is worth more than the second best,
+    Groups of at most MOST_IN_TASK agents are assigned by a task each, by shortest augmenting paths; their bound is the total. Larger ones by auction: in
+    a round, each agent without an item finds the item that is worth most to it at present prices and bids what it is worth more than the second best,
     and a step; an item goes to the highest bid (the least agent of equal ones) and its price rises to it. Costs are multiplied by one more than
     the agents of a group, and steps end at 1, so that the total is the least possible; larger steps first keep prices from creeping. Prices carry
     over from one phase to the next, items don't. bound is what the final prices prove no assignment can beat, gap (total - bound) is below 1.
@@ -25,10 +91,27 @@ def assigned(costs: DataFrame, group: list[str], agent: str, item: str, cost: st
     """
     with temporary(costs.sparkSession) as keep:
         c = costs.select(*group, F.col(agent).cast("long").alias("i"), F.col(item).cast("long").alias("j"), F.col(cost).cast("long").alias("c")).filter("c IS NOT NULL")
-        sizes = c.groupBy(*group).agg(F.count_distinct("i").alias("n"), F.count_distinct("j").alias("m"), F.count("*").alias("pairs"), F.max(F.abs("c")).alias("most"))
-        sizes = written(sizes, "sizes")
-        if odd := sizes.filter("n <> m OR pairs <> n * m").limit(5).collect():
+        c = written(c, "costs")
+        of_agents = c.groupBy(*group, "i").agg(F.count("*").alias("k"), F.max(F.abs("c")).alias("most")).groupBy(*group)
+        of_agents = of_agents.agg(F.count("*").alias("n"), F.min("i").alias("least"), F.min("k").alias("fewest"), F.sum("k").alias("pairs"), F.max("most").alias("most"))
+        of_items = c.groupBy(*group, "j").agg(F.count("*").alias("k")).groupBy(*group).agg(F.count("*").alias("m"))
+        sizes = written(of_agents.join(of_items, group), "sizes")
+        if odd := sizes.filter("n <> m OR fewest <> n OR pairs <> n * m").select(*group, "n", "m", "pairs", "most").limit(5).collect():
             raise ValueError(f"not square: {[tuple(r) for r in odd]}")
+        small = written(_in_tasks(c, sizes, group), "paths")
+        chosen = small.select(*group, F.col("i").alias(agent), F.col("j").alias(item))
+        report = small.groupBy(*group).agg(F.sum("c").alias("total"), F.sum("price").cast("double").alias("bound")).withColumn("gap", F.col("total") - F.col("bound"))
+        large = sizes.filter(F.col("n") > MOST_IN_TASK)
+        if not large.isEmpty():
+            more, of_more = _auction(c.join(F.broadcast(large.select(*group)), group), large, group)
+            chosen = chosen.unionByName(more.select(*group, F.col("i").alias(agent), F.col("j").alias(item)))
+            report = report.unionByName(of_more)
+        return keep(written(chosen, "assigned")), keep(written(report, "totals"))
+
+
+def _auction(c: DataFrame, sizes: DataFrame, group: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(group, i, j) and (group, total, bound, gap) of groups of any size, in rounds."""
+    with temporary(c.sparkSession) as keep:
         value = written(c.join(sizes.select(*group, (F.col("n") + 1).alias("by")), group).select(*group, "i", "j", (-F.col("c") * F.col("by")).alias("v")), "values")
         agents = written(value.select(*group, "i").distinct(), "agents")
         prices = value.select(*group, "j").distinct().withColumns({"price": F.lit(0).cast("long"), "owner": F.lit(None).cast("long")})
@@ -62,5 +145,4 @@ def assigned(costs: DataFrame, group: list[str], agent: str, item: str, cost: st
         dual = prices.groupBy(*group).agg(F.sum("price").alias("p")).join(most, group).join(sizes.select(*group, "n"), group)
         bound = dual.select(*group, (-(F.col("p") + F.col("w")) / (F.col("n") + 1)).alias("bound"))
         report = total.join(bound, group).withColumn("gap", F.col("total") - F.col("bound"))
-        named = out.select(*group, F.col("i").alias(agent), F.col("j").alias(item))
-        return keep(written(named, "assigned")), keep(written(report, "totals"))
+        return keep(written(out, "auction")), keep(written(report, "totals"))

@@ -40,3 +40,30 @@ def test_what_is_not_square(spark):
         assignment.assigned(df, ["g"], "a", "b", "cost")
     chosen, report = assignment.assigned(df.limit(0), ["g"], "a", "b", "cost")
     assert chosen.count() == report.count() == 0
+
+
+def test_auction_and_paths_agree(spark, monkeypatch):
+    rng = random.Random(7)
+    rows = [(g, i, j, rng.randrange(-9, 40)) for g, n in ((1, 2), (2, 6), (3, 9)) for i in range(n) for j in range(n)]
+    df = spark.createDataFrame(rows, "g long, a long, b long, cost long")
+    totals = lambda: {r.g: (r.total, r.gap < 1) for r in assignment.assigned(df, ["g"], "a", "b", "cost")[1].collect()}
+    by_paths = totals()
+    monkeypatch.setattr(assignment, "MOST_IN_TASK", 5)  # the two larger groups take the auction
+    assert totals() == by_paths and len(by_paths) == 3
+
+
+def test_large_groups_are_settled_without_rounds(spark, monkeypatch):
+    """Places on a line: matching both in order costs least. The auction took a hundred jobs or more for this."""
+    monkeypatch.setattr(assignment, "MOST_ROUNDS", 0)
+    n = 120
+    df = spark.range(n * n).selectExpr("1 AS g", f"id div {n} AS a", f"id % {n} AS b").selectExpr("*", "abs(a * 37 % 101 - b * 59 % 97) AS cost")
+    chosen, report = assignment.assigned(df, ["g"], "a", "b", "cost")
+    best = sum(abs(x - y) for x, y in zip(sorted(i * 37 % 101 for i in range(n)), sorted(i * 59 % 97 for i in range(n)), strict=True))
+    r = report.first()
+    assert (r.total, r.gap) == (best, 0) and chosen.select("a").distinct().count() == chosen.select("b").distinct().count() == n
+
+
+def test_a_pair_twice_is_not_square(spark):
+    df = spark.createDataFrame([(1, 1, 1, 5), (1, 1, 2, 6), (1, 1, 2, 6), (1, 2, 1, 5)], "g long, a long, b long, cost long")
+    with pytest.raises(ValueError):
+        assignment.assigned(df, ["g"], "a", "b", "cost")
