@@ -1,13 +1,14 @@
-"""A Python data source for paged JSON lists, read whole or as a stream: one partition a key, pages read until the total is reached.
+"""A Python data source for paged JSON lists, read whole (one partition a key) or as a stream (a partition a hundred pages), until the total is reached.
 
 Options: template, a path or URL with {key} and {page}; keys, comma-separated; most, pages of a key at most (an error beyond it,
-never a silent end); known, ids already there, comma-separated, of rows' field `id`, and stop: newest come first, so a key ends after
+never a silent end; unset: as many as the list's total needs); known, ids already there, comma-separated, of rows' field `id`, and stop: newest come first, so a key ends after
 `stop` pages in a row whose rows are all known. Pages are {"total": n, "rows": [{...}]}; rows come as JSON text with their key and page. A missing first page
 is an empty list.
 
 As a stream it remembers one number a key, the newest id, however many rows there are: lists are newest first and their ids are numbers that grow. A batch is
 what lies between two such marks, so it can be read again with the same result while new rows come in before it; it ends at the first
-known row and never looks at older pages.
+known row and never looks at older pages. Long lists, whose pages but the last have one size, are parted by
+ids, not by pages, for rows move to later pages as new ones come in.
 """
 
 from __future__ import annotations
@@ -28,6 +29,10 @@ from hustings.operators.ranges import numbered
 from hustings.workers import importable
 
 
+#: Pages that one task of a stream reads.
+SPAN = 100
+
+
 class PagedSource(DataSource):
     @classmethod
     def name(cls) -> str:
@@ -62,15 +67,19 @@ def _page(template: str, key: str, page: int) -> dict | None:
 
 
 class Between(InputPartition):
-    """The rows of a key that came after `start` (None: all) and not after `end`."""
+    """The rows of a key that came after `start` (None: all) and not after `end`, which was on this page; pages had `size` rows."""
+
+    def __init__(self, key: str, start: int | None, end: int, page: int = 1, size: int = 0):
+        self.key, self.start, self.end, self.page, self.size = key, start, end, page, size
 
-    def __init__(self, key: str, start: int | None, end: int):
-        self.key, self.start, self.end = key, start, end
+
+def _limit(options) -> float:
+    return int(options["most"]) if options.get("most") else float("inf")
 
 
 class PagedStream(DataSourceStreamReader):
     def __init__(self, options):
-        self.template, self.keys, self.most, self.id = options["template"], options["keys"].split(","), int(options.get("most", "1000")), options.get("id", "id")
+        self.template, self.keys, self.most, self.id = options["template"], options["keys"].split(","), _limit(options), options.get("id", "id")
 
     def initialOffset(self) -> dict:
         return dict.fromkeys(self.keys)
@@ -80,10 +89,31 @@ class PagedStream(DataSourceStreamReader):
         return {k: max((int(r[self.id]) for r in p["rows"]), default=None) if p else None for k, p in first.items()}
 
     def partitions(self, start: dict, end: dict) -> list[InputPartition]:
-        return [Between(k, start.get(k), z) for k, z in end.items() if z is not None and z != start.get(k)]
+        return [part for k, z in end.items() if z is not None and z != start.get(k) for part in self._parts(k, start.get(k), z)]
+
+    def _parts(self, key: str, start: int | None, end: int) -> Iterator[Between]:
+        """Parts from the newest rows to the oldest: one page in SPAN is looked up, and its newest id is where the next part ends."""
+        first, page, upper = _page(self.template, key, 1), 1, end
+        size = len(first["rows"]) if first else 0
+        pages = -(-int(first["total"]) // size) if size else 1
+        for at in range(1 + SPAN, int(min(pages, self.most)) + 1, SPAN):
+            got = _page(self.template, key, at)
+            mark = max((int(r[self.id]) for r in got["rows"]), default=None) if got else None
+            if mark is None or (start is not None and mark <= start):
+                break
+            if mark < upper:
+                yield Between(key, mark, upper, page, size)
+                page, upper = at, mark
+        yield Between(key, start, upper, page, size)
 
     def read(self, partition: Between) -> Iterator[tuple]:
-        page, seen = 1, 0
+        page, got = partition.page, None
+        while page > 1:  # back to where all rows of the part come after, if some have gone since
+            got = _page(self.template, partition.key, page)
+            if got and got["rows"] and int(got["rows"][0][self.id]) > partition.end:
+                break
+            page -= 1
+        seen = (page - 1) * partition.size
         while True:
             if page > self.most:
                 raise ValueError(f"{partition.key} has more than {self.most} pages")
@@ -95,14 +125,14 @@ class PagedStream(DataSourceStreamReader):
                 if at <= partition.end:
                     yield partition.key, page, json.dumps(row, ensure_ascii=False)
             seen += len(got["rows"]) if got else 0
-            if not got or not got["rows"] or seen >= int(got["total"]):
+            if not got or not got["rows"] or (seen >= int(got["total"]) and (partition.page == 1 or len(got["rows"]) < partition.size)):
                 return
             page += 1
 
 
 class PagedReader(DataSourceReader):
     def __init__(self, options):
-        self.template, self.keys, self.most = options["template"], options["keys"].split(","), int(options.get("most", "1000"))
+        self.template, self.keys, self.most = options["template"], options["keys"].split(","), _limit(options)
         self.known, self.id, self.stop = {k for k in options.get("known", "").split(",") if k}, options.get("id", "id"), int(options.get("stop", "0"))
 
     def partitions(self) -> list[InputPartition]:

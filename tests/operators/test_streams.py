@@ -3,6 +3,7 @@
 import random
 from datetime import datetime, timedelta
 
+import pytest
 from pyspark.sql import functions as F
 
 from hustings.sources import paged
@@ -34,6 +35,23 @@ def test_a_batch_is_the_same_when_it_is_read_again(tmp_path, spark):
     assert reader.partitions({"a": 29}, {"a": 29}) == [] == reader.partitions({"a": None}, {"a": None})
 
 
+def test_long_lists_are_read_in_parts(tmp_path, spark):
+    """More than a thousand pages were an error, and a list was one task's."""
+    folder = f"file://{tmp_path}"
+    write = lambda n: paged.write_pages(spark.range(n).withColumn("k", F.lit("a")), "k", "id", folder, 2)
+    write(2201)
+    reader = paged.PagedStream({"template": folder + "/{key}-{page}.json", "keys": "a"})
+    ids = lambda parts: [int(r[2].split(":")[1].split(",")[0].strip(" }")) for p in parts for r in reader.read(p)]
+    parts, some = reader.partitions({"a": None}, {"a": 2200}), reader.partitions({"a": 1500}, {"a": 2200})
+    assert len(parts) == 12 and len(some) == 4
+    assert ids(parts) == list(range(2200, -1, -1)) and ids(some) == list(range(2200, 1500, -1))
+    write(2208)  # rows move on, some over the edge of a page, after the parts were cut
+    assert ids(parts) == list(range(2200, -1, -1)) and ids(some) == list(range(2200, 1500, -1))
+    short = paged.PagedStream({"template": folder + "/{key}-{page}.json", "keys": "a", "most": "50"})
+    with pytest.raises(ValueError):
+        list(short.read(short.partitions({"a": None}, {"a": 2200})[0]))
+
+
 def test_scans(spark, tmp_path):
     rng = random.Random(7)
     start = datetime(2024, 1, 1)
