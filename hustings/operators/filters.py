@@ -8,17 +8,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _total(value: str, poll: list[str]) -> Column:
+    """A poll's sum, added in decimals: it doesn't hang on the order of rows, as a sum of doubles near a bound does. Beyond their range it is one of doubles."""
+    w = Window.partitionBy(*poll)
+    exact = F.col(value).try_cast("decimal(38,18)")
+    wide = F.max(F.col(value).isNotNull() & (exact.isNull() | (F.abs(F.col(value)) >= 1e9))).over(w)
+    return F.when(wide, F.sum(value).over(w)).otherwise(F.sum(F.when(F.abs(F.col(value)) < 1e9, exact)).over(w).cast("double"))
+
+
 def scale_repair(df: DataFrame, poll: list[str], pct: str, least: float = 30, most: float = 110) -> DataFrame:
     """Sums of 700..1100 are per mille: divided by 10, one decimal. Then polls with a sum of 0, under least or over most go."""
-    total = F.sum(pct).over(Window.partitionBy(*poll))
+    total = _total(pct, poll)
     fixed = df.withColumn(pct, F.when(total.between(700, 1100), F.round(F.col(pct) / 10, 1)).otherwise(F.col(pct)))
-    fixed = fixed.withColumn("__sum", F.sum(pct).over(Window.partitionBy(*poll)))
+    fixed = fixed.withColumn("__sum", _total(pct, poll))
     return fixed.filter(F.col("__sum").between(least, most) & (F.col("__sum") != 0)).drop("__sum")
 
 
 def over_sum(df: DataFrame, poll: list[str], pct: str, most: float = 113) -> DataFrame:
     """Polls whose shares add to more than `most` go."""
-    return df.withColumn("__sum", F.sum(pct).over(Window.partitionBy(*poll))).filter(F.col("__sum") <= most).drop("__sum")
+    return df.withColumn("__sum", _total(pct, poll)).filter(F.col("__sum") <= most).drop("__sum")
 
 
 def both_present(df: DataFrame, poll: list[str], party: str, a: list[str], b: list[str]) -> DataFrame:

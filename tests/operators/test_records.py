@@ -1,8 +1,11 @@
 """Joins, dedup, filters, trends, layout, text, sources and streams: the quirks of each, by hand."""
 
 import datetime as dt
+import itertools
 import json
 import math
+import operator
+from functools import reduce
 
 import pytest
 from pyspark.sql import functions as F
@@ -257,3 +260,12 @@ def test_streams(spark, tmp_path):
     assert rows(spark.read.parquet(target), "id") == [(1,), (2,), (3,)]
     windows = twins.drained(twins.windowed_counts(stream(), ["id"], "ts", "4 hours", "2 hours", "1 hour"), "w")
     assert windows.filter("id = 1").count() > 0
+
+
+def test_sums_at_a_bound_dont_hang_on_the_order_of_rows(spark):
+    """As doubles, some orders of 63.6, 5.7, 29.1 and 11.6 add to 110.00000000000001."""
+    orders = list(itertools.permutations((63.6, 5.7, 29.1, 11.6)))
+    assert {reduce(operator.add, o) > 110 for o in orders} == {True, False}
+    df = spark.createDataFrame([(p, v) for p, o in enumerate(orders) for v in o] + [(99, float("nan")), (98, 1e30), (97, 90.0), (97, None)], "p int, v double").coalesce(1)
+    assert {r.p for r in filters.scale_repair(df, ["p"], "v").collect()} == {*range(len(orders)), 97}
+    assert {r.p for r in filters.over_sum(df, ["p"], "v", 110).collect()} == {*range(len(orders)), 97}
