@@ -14,6 +14,8 @@ from hustings.operators.graph import components
 from hustings.workers import temporary, written
 
 MOST_ROUNDS = 64
+#: Pairs that one task compares, about.
+PAIRS = 8_000_000
 
 
 def edges(polygons: DataFrame, key: str, ring: str) -> DataFrame:
@@ -151,11 +153,26 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
+def _in_blocks(left: DataFrame, right: DataFrame, name: str) -> tuple[DataFrame, DataFrame, int]:
+    """Both with their cells' blocks, partitioned to be joined by cx, cy and block, and how many partitions there are: a cell whose pairs are too many for a
+    task is cut into blocks of right rows by the column name, and left rows go to each of them."""
+    count = lambda df, c: df.groupBy("cx", "cy").agg(F.count("*").alias(c))
+    cells = count(left, "n").join(count(right, "m"), ["cx", "cy"]).withColumn("__pairs", F.col("n").cast("double") * F.col("m"))
+    cells = written(cells.select("cx", "cy", F.ceil(F.col("__pairs") / PAIRS).alias("__blocks"), "__pairs"), "cells")
+    parts = int((cells.agg(F.sum("__pairs")).first()[0] or 0) // PAIRS) + int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cells = cells.drop("__pairs")
+    by = [F.col(c) for c in ("cx", "cy", "block")]
+    every = left.join(cells, ["cx", "cy"]).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__blocks") - 1))).drop("__blocks")
+    own = right.join(cells, ["cx", "cy"]).withColumn("block", F.pmod(F.xxhash64(name), "__blocks")).drop("__blocks")
+    return every.repartition(parts, *by), own.repartition(parts, *by), parts
+
+
 def contacts(polygons: DataFrame, key: str, ring: str, cell: float) -> DataFrame:
     """(a, b) of keys a < b whose polygons touch, cross or hold one another.
 
     Edges meet in the grid cells of their boxes; a pair of edges counts in one cell only, that of the lower left corner of what their boxes share. A
-    polygon within another shares no edge with it: a vertex of each ring is looked up in the rings of its cell, too. Even-odd, so a hole's inside is outside.
+    polygon within another shares no edge with it: a vertex of each ring is looked up in the polygons whose boxes it is in, too. Even-odd, so a hole's inside is
+    outside. Pairs in crowded cells are as many as they are; they are compared in blocks of bounded size, and the more there are the more tasks there are.
     """
     with temporary(polygons.sparkSession) as keep:
         e = written(edges(polygons, key, ring), "edges")
@@ -164,22 +181,29 @@ def contacts(polygons: DataFrame, key: str, ring: str, cell: float) -> DataFrame
         spread = box.withColumn("cx", F.explode(F.sequence(down(F.col("x0")), down(F.col("x1"))))).withColumn("cy", F.explode(F.sequence(down(F.col("y0")), down(F.col("y1")))))
         spread = written(spread, "spread")
         other = spread.select("cx", "cy", *[F.col(c).alias(f"{c}2") for c in (key, "ax", "ay", "bx", "by", "x0", "x1", "y0", "y1")])
-        near = spread.join(other, ["cx", "cy"]).filter((F.col(key) < F.col(f"{key}2")) & F.expr("greatest(x0, x02) <= least(x1, x12) AND greatest(y0, y02) <= least(y1, y12)"))
+        every, own, parts = _in_blocks(spread, other, f"{key}2")
+        near = every.join(own, ["cx", "cy", "block"]).filter((F.col(key) < F.col(f"{key}2")) & F.expr("greatest(x0, x02) <= least(x1, x12) AND greatest(y0, y02) <= least(y1, y12)"))
         near = near.filter((down(F.greatest("x0", "x02")) == F.col("cx")) & (down(F.greatest("y0", "y02")) == F.col("cy")))
         side = lambda ax, ay, bx, by, x, y: f"sign(({bx} - {ax}) * ({y} - {ay}) - ({by} - {ay}) * ({x} - {ax}))"
         first = [side("ax", "ay", "bx", "by", *p) for p in (("ax2", "ay2"), ("bx2", "by2"))]
         second = [side("ax2", "ay2", "bx2", "by2", *p) for p in (("ax", "ay"), ("bx", "by"))]
         meet = F.expr(f"{first[0]} * {first[1]} <= 0 AND {second[0]} * {second[1]} <= 0")  # boxes meet, so edges in one line meet, too
-        crossing = near.filter(meet).select(F.col(key).alias("a"), F.col(f"{key}2").alias("b"))
+        crossing = near.filter(meet).groupBy("cx", "cy", "block", F.col(key).alias("a"), F.col(f"{key}2").alias("b")).agg(F.count("*")).select("a", "b")
 
-        # a vertex of each ring against the edges right of it, in the cells of its row
+        # a vertex of each ring against the edges right of it, of polygons whose boxes it is in
         dots = polygons.filter(F.size(ring) > 0).select(F.col(key).alias("inner"), F.get(ring, F.lit(0))["x"].cast("double").alias("x"), F.get(ring, F.lit(0))["y"].cast("double").alias("y"))
-        dots = written(dots.withColumn("dot", F.monotonically_increasing_id()).withColumn("cy", down(F.col("y"))), "dots")
+        dots = written(dots.withColumns({"dot": F.monotonically_increasing_id(), "cx": down(F.col("x")), "cy": down(F.col("y"))}), "dots")
+        whole = box.groupBy(F.col(key).alias("outer")).agg(*[f(c).alias(c) for f, c in ((F.min, "x0"), (F.max, "x1"), (F.min, "y0"), (F.max, "y1"))])
+        boxes = whole.withColumn("cx", F.explode(F.sequence(down(F.col("x0")), down(F.col("x1"))))).withColumn("cy", F.explode(F.sequence(down(F.col("y0")), down(F.col("y1")))))
+        every_dot, own_boxes, dot_parts = _in_blocks(dots, written(boxes, "boxes"), "outer")
+        within = every_dot.join(own_boxes, ["cx", "cy", "block"]).filter(F.expr("inner <> outer AND x BETWEEN x0 AND x1 AND y BETWEEN y0 AND y1")).select("dot", "inner", "outer", "x", "y", "cy")
         rows = box.withColumn("cy", F.explode(F.sequence(down(F.col("y0")), down(F.col("y1"))))).select("cy", F.col(key).alias("outer"), "ax", "ay", "bx", "by")
-        right = dots.join(rows, "cy").filter(F.expr("inner <> outer AND (ay > y) <> (by > y) AND x < (bx - ax) * (y - ay) / (by - ay) + ax"))
-        inside = right.groupBy("dot", "inner", "outer").agg(F.count("*").alias("n")).filter("n % 2 = 1")
+        places = [F.col("outer"), F.col("cy")]
+        met = within.repartition(dot_parts, *places).join(rows.repartition(dot_parts, *places), ["outer", "cy"])
+        right = met.filter(F.expr("(ay > y) <> (by > y) AND x < (bx - ax) * (y - ay) / (by - ay) + ax"))
+        inside = right.groupBy("outer", "cy", "dot", "inner").agg(F.count("*").alias("n")).filter("n % 2 = 1")
         held = inside.select(F.least("inner", "outer").alias("a"), F.greatest("inner", "outer").alias("b"))
-        return keep(written(crossing.unionByName(held).distinct(), "contacts"))
+        return keep(written(crossing.unionByName(held).repartition(parts, "a", "b").distinct(), "contacts"))
 
 
 def absorbed(parts: DataFrame, borders: DataFrame, part: str, owner: str, loose: str) -> DataFrame:

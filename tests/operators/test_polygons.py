@@ -148,3 +148,20 @@ def test_absorbed_and_enclosed(spark):
         out |= more
     got = polygons.enclosed(df.withColumn("covered", ~F.col("loose")), b, coast, "p", "covered").collect()
     assert {r.p: r.is_enclosed for r in got} == {i: i not in out for i in bare}
+
+
+def test_contacts_of_a_crowd_are_the_same_in_blocks(spark, monkeypatch):
+    """All polygons in few cells, some within others, one with a hole and one of two parts; cells were one task's each."""
+    box = lambda x, y, w, h: [(x, y), (x + w, y), (x + w, y + h), (x, y + h)]
+    rng = random.Random(3)
+    spots = [(k, rng.randrange(40), rng.randrange(40), rng.randrange(1, 12), rng.randrange(1, 12)) for k in range(60)]
+    rows = [(k, [(float(a), float(b)) for a, b in box(*r)]) for k, *r in spots]
+    rows += [(100, [(float(a), float(b)) for a, b in box(100, 100, 30, 30)]), (100, [(float(a), float(b)) for a, b in reversed(box(105, 105, 20, 20))])]
+    rows += [(101, [(float(a), float(b)) for a, b in box(110, 110, 2, 2)]), (102, [(float(a), float(b)) for a, b in box(101, 101, 2, 2)])]
+    want = {(p[0], q[0]) for p in spots for q in spots if p[0] < q[0] and p[1] <= q[1] + q[3] and q[1] <= p[1] + p[3] and p[2] <= q[2] + q[4] and q[2] <= p[2] + p[4]} | {(100, 102)}
+    df = spark.createDataFrame(rows, "k long, ring array<struct<x: double, y: double>>")
+    assert {tuple(r) for r in polygons.contacts(df, "k", "ring", 16.0).collect()} == want
+    monkeypatch.setattr(polygons, "PAIRS", 500)
+    every, own, parts = polygons._in_blocks(*[df.selectExpr(f"k AS {c}", "0 AS cx", "0 AS cy") for c in ("a", "b")], "b")
+    assert parts > 4 and every.select("block").distinct().count() == 9 and every.join(own, ["cx", "cy", "block"]).count() == 64 * 64
+    assert {tuple(r) for r in polygons.contacts(df, "k", "ring", 16.0).collect()} == want
