@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructType
 
 from hustings.operators.graph import components
 from hustings.operators.ranges import numbered
@@ -164,23 +168,30 @@ def greedy_alignment(labels: DataFrame, numbers: DataFrame, page: list[str], x:
 
 
 def lanes(intervals: DataFrame, group: list[str], start: str, end: str, pos: str) -> DataFrame:
-    """Adds lane: intervals by start take the first lane that is free (its last end at or before their start). Sequential within a group."""
-    import pandas as pd
-    from pyspark.sql.types import LongType, StructType
+    """Adds lane: intervals by start, then pos, take the first lane that is free (its last end at or before their start). Null starts come last and find no
+    free lane, null ends free none.
 
+    Sequential within a group: tasks read sorted rows as a stream and keep no more than the lanes of the group they are in.
+    """
     schema = StructType([*intervals.schema.fields]).add("lane", LongType())
 
-    def place(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([start, pos], kind="stable")
-        ends: list = []
-        lane = []
-        for a, b in zip(pdf[start], pdf[end], strict=True):
-            k = next((i for i, e in enumerate(ends) if e <= a), len(ends))
-            if k == len(ends):
-                ends.append(b)
-            else:
-                ends[k] = b
-            lane.append(k)
-        return pdf.assign(lane=lane)
-
-    return intervals.groupBy(*group).applyInPandas(place, schema)
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, count, free, busy = None, 0, [], []
+        for b in batches:
+            lane = []
+            for *key, at, to in zip(*(b.column(c).to_pylist() for c in (*group, start, end)), strict=True):
+                if key != last:
+                    last, count, free, busy = key, 0, [], []
+                while at is not None and busy and busy[0][0] <= at:
+                    heapq.heappush(free, heapq.heappop(busy)[1])
+                if at is not None and free:
+                    k = heapq.heappop(free)
+                else:
+                    k, count = count, count + 1
+                if to is not None:
+                    heapq.heappush(busy, (to, k))
+                lane.append(k)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(lane, pa.int64())], names=schema.names)
+
+    ordered = intervals.repartition(*group).sortWithinPartitions(*group, F.col(start).asc_nulls_last(), F.col(pos).asc_nulls_last())
+    return ordered.mapInArrow(place, schema)

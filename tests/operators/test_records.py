@@ -5,6 +5,7 @@ import itertools
 import json
 import math
 import operator
+import random
 from functools import reduce
 
 import pytest
@@ -269,3 +270,21 @@ def test_sums_at_a_bound_dont_hang_on_the_order_of_rows(spark):
     df = spark.createDataFrame([(p, v) for p, o in enumerate(orders) for v in o] + [(99, float("nan")), (98, 1e30), (97, 90.0), (97, None)], "p int, v double").coalesce(1)
     assert {r.p for r in filters.scale_repair(df, ["p"], "v").collect()} == {*range(len(orders)), 97}
     assert {r.p for r in filters.over_sum(df, ["p"], "v", 110).collect()} == {*range(len(orders)), 97}
+
+
+def test_lanes_read_sorted_rows_as_a_stream(spark):
+    """One task a group in pandas before: null starts and ends, and many lanes, against a plain list of ends."""
+    rng = random.Random(5)
+    data = [(rng.randrange(6), k, a, a + rng.randrange(0, 400)) for k, a in enumerate(rng.randrange(500) for _ in range(3000))]
+    want = {}
+    for g in range(6):
+        ends = []
+        for _, k, a, b in sorted((r for r in data if r[0] == g), key=lambda r: (r[2], r[1])):
+            lane = next((i for i, e in enumerate(ends) if e <= a), len(ends))
+            ends[lane : lane + 1] = [b]
+            want[k] = lane
+    odd = [(7, 9001, 1, None), (7, 9002, 5, 6), (7, 9003, 7, 9), (7, 9004, None, 3), (None, 9005, 1, 2), (None, 9006, 2, 3)]
+    df = spark.createDataFrame(data + odd, "g int, k long, a int, b int").repartition(5)
+    plan = layout.lanes(df, ["g"], "a", "b", "k")
+    assert {r.k: r.lane for r in plan.collect()} == want | {9001: 0, 9002: 1, 9003: 1, 9004: 2, 9005: 0, 9006: 0}
+    assert "FlatMapGroups" not in plan._jdf.queryExecution().toString()
