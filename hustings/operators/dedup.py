@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import pairwise
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from hustings.workers import importable
+
 
 def first_source(parts: list[DataFrame], key: list[str], pos: list[str]) -> DataFrame:
     """Union in order of priority; each key keeps its row of the first part that has it."""
@@ -116,29 +120,60 @@ def continued(df: DataFrame, by: list[str], order: list[str], same: list[str]) -
     return df.withColumn("__new", new.cast("int")).withColumn("run", F.sum("__new").over(w)).drop("__new")
 
 
+class _Values:
+    """The clusters that have a label, with their values, in arrays that grow."""
+
+    def __init__(self, dtype):
+        self.n, self.cluster, self.value = 0, np.empty(4, np.int64), np.empty(4, dtype)
+
+    def add(self, cluster: int, value) -> None:
+        if self.n == len(self.cluster):
+            self.cluster, self.value = np.resize(self.cluster, 2 * self.n), np.resize(self.value, 2 * self.n)
+        self.cluster[self.n], self.value[self.n] = cluster, value
+        self.n += 1
+
+    def split(self, value, tolerance: float) -> tuple[np.ndarray, np.ndarray]:
+        """Clusters that agree with the value, and those that don't."""
+        near = (np.abs(self.value[: self.n] - value) <= tolerance).astype(bool)
+        return self.cluster[: self.n][near], self.cluster[: self.n][~near]
+
+
 def agreement_merge(df: DataFrame, group: list[str], record: str, label: str, value: str, tolerance: float = 1.0) -> DataFrame:
     """Records of a group are merged greedily, in order of record: into the first cluster that shares a label with it and whose shared values
     differ by at most the tolerance; a cluster keeps the largest value of each label. Output: group, cluster, label, value.
 
-    Greedy order is sequential by nature, so a group is worked on by one task; groups are one contest's records.
+    Greedy order is sequential by nature, so a group is worked on by one task; groups are one contest's records. A record is compared with all clusters that
+    have its labels at once, label by label.
     """
     import pandas as pd
 
+    importable(df.sparkSession)
     out = f"{', '.join(f'{c} {df.schema[c].dataType.simpleString()}' for c in group)}, cluster long, {label} {df.schema[label].dataType.simpleString()}, {value} double"
 
     def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        clusters: list[dict] = []
-        for _, rec in pdf.sort_values([record, label]).groupby(record, sort=True):
-            own = rec.groupby(label)[value].max().to_dict()
-            for c in clusters:
-                shared = own.keys() & c.keys()
-                if shared and all(abs(own[k] - c[k]) <= tolerance for k in shared):
-                    for k, v in own.items():
-                        c[k] = max(c.get(k, v), v)
-                    break
-            else:
-                clusters.append(own)
-        rows = [(*key, i, k, float(v)) for i, c in enumerate(clusters) for k, v in sorted(c.items())]
+        best = pdf.groupby([record, label], sort=True)[value].max()
+        of, labels, values = best.index.codes[0], best.index.get_level_values(1), best.to_numpy()
+        clusters: list[dict] = []  # label -> its place in the label's arrays
+        known: dict[object, _Values] = {}
+        cuts = [0, *(np.flatnonzero(of[1:] != of[:-1]) + 1), len(of)] if len(of) else []
+        for lo, hi in pairwise(cuts):
+            own = list(zip(labels[lo:hi], values[lo:hi], strict=True))
+            sides = [known[k].split(v, tolerance) for k, v in own if k in known]
+            able = np.concatenate([s[0] for s in sides]) if sides else np.empty(0, np.int64)
+            if len(sides) > 1 and len(able):
+                able = able[~np.isin(able, np.concatenate([s[1] for s in sides]))]
+            c = int(able.min()) if len(able) else len(clusters)
+            if c == len(clusters):
+                clusters.append({})
+            for k, v in own:
+                at = clusters[c].get(k)
+                held = known.setdefault(k, _Values(values.dtype))
+                if at is None:
+                    clusters[c][k] = held.n
+                    held.add(c, v)
+                else:
+                    held.value[at] = max(held.value[at], v)
+        rows = [(*key, i, k, float(known[k].value[at])) for i, c in enumerate(clusters) for k, at in sorted(c.items())]
         return pd.DataFrame(rows, columns=[*group, "cluster", label, value])
 
     return df.groupBy(*group).applyInPandas(merge, out)

@@ -288,3 +288,23 @@ def test_lanes_read_sorted_rows_as_a_stream(spark):
     plan = layout.lanes(df, ["g"], "a", "b", "k")
     assert {r.k: r.lane for r in plan.collect()} == want | {9001: 0, 9002: 1, 9003: 1, 9004: 2, 9005: 0, 9006: 0}
     assert "FlatMapGroups" not in plan._jdf.queryExecution().toString()
+
+
+def test_agreement_merge_of_a_large_group(spark):
+    """Against the plain loop over clusters, which took pandas objects record by record."""
+    rng = random.Random(11)
+    data = [(1, r, rng.choice("abcdef"), rng.choice([None, float(rng.randrange(60))]) if r % 50 == 0 else float(rng.randrange(60))) for r in range(1500) for _ in range(rng.choice((1, 1, 2, 4)))]
+    recs, clusters = {}, []
+    for _, r, k, v in data:
+        own = recs.setdefault(r, {})
+        own[k] = v if own.get(k) is None else own[k] if v is None else max(v, own[k])
+    near = lambda a, b: a is not None and b is not None and abs(a - b) <= 3
+    for _, own in sorted(recs.items()):
+        c = next((c for c in clusters if own.keys() & c.keys() and all(near(own[k], c[k]) for k in own.keys() & c.keys())), None)
+        if c is None:
+            clusters.append(dict(own))
+        else:
+            c |= {k: max(v, c[k]) if k in c else v for k, v in own.items()}
+    df = spark.createDataFrame(data + [(2, None, "a", 1.0), (3, 1, None, 1.0)], "g int, r int, n string, v double")
+    got = {(r.cluster, r.n, r.v) for r in dedup.agreement_merge(df, ["g"], "r", "n", "v", 3.0).collect()}
+    assert got == {(i, k, v) for i, c in enumerate(clusters) for k, v in c.items()} and len(clusters) > 20
