@@ -49,11 +49,11 @@ def tsv_numbers(spark, sf_dir):
 
 
 def encoded_csv(spark, sf_dir):
-    """Documents in one folder, a file a language, each in another character set."""
+    """Documents in one folder, languages in files of their own, in several character sets."""
     d = table(spark, sf_dir, "documents").select("doc_id", F.nullif(F.trim(F.regexp_replace("text", r"[^ !#-\[\]-~À-ÿ]", "")), F.lit("")).alias("t"), "lang")
     path = scratch(spark, "sets")
     for lang, kind in (("fr", "ISO-8859-1"), ("de", "ISO-8859-1"), ("es", "UTF-16")):
-        d.filter(F.col("lang") == lang).drop("lang").coalesce(1).write.mode("append").option("header", True).option("encoding", kind).csv(path)
+        d.filter(F.col("lang") == lang).drop("lang").write.mode("append").option("header", True).option("encoding", kind).csv(path)
     d.filter(~F.coalesce(F.col("lang").isin("fr", "de", "es"), F.lit(False))).drop("lang").write.mode("append").option("header", True).csv(path)
     return readers.encoded_csv(spark, path, "doc_id long, t string")
 

@@ -2,6 +2,7 @@
 
 import datetime as dt
 
+from hustings.plans import more_queries
 from hustings.plans import filter_queries, layout_queries, links, records, trend_queries
 
 
@@ -63,3 +64,11 @@ def test_region_parse_reads_past_full_stops(spark, tmp_path):
     rows = [(1, "de", "Das. Von x"), (2, "de", "Eins zwei. Drei"), (3, "de", "Ja."), (4, "de", ". Nach vorn"), (5, "de", None), (6, "de", "4 Orte")]
     out = layout_queries.region_parse(spark, stored(spark, tmp_path, "documents", rows, "doc_id long, lang string, text string"))
     assert sorted(tuple(r) for r in out.collect()) == [(1, "Das", "Von"), (2, "Eins", "zwei"), (3, "Ja", ""), (4, "Nach", "vorn")]
+
+
+def test_no_file_is_one_tasks_work(spark, tmp_path):
+    """All of a language's documents were written and, in UTF-16, read by one task."""
+    rows = spark.range(40).selectExpr("id AS doc_id", "concat('año ', id) AS text", "'es' AS lang")
+    rows.repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    got = more_queries.encoded_csv(spark, str(tmp_path))
+    assert len(got.inputFiles()) >= 4 and {(r.doc_id, r.t) for r in got.collect()} == {(i, f"año {i}") for i in range(40)}
