@@ -67,7 +67,7 @@ def incremental_merge(spark, sf_dir):
 def file_catalog(spark, sf_dir):
     """Orders written in a file a priority; files are told apart by their paths."""
     folder = scratch(spark, "catalogue")
-    table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority").coalesce(1).write.partitionBy("o_orderpriority").parquet(folder)
+    table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority").repartition("o_orderpriority").write.partitionBy("o_orderpriority").parquet(folder)
     files = readers.catalogue(spark, folder, [(r"o_orderpriority=[12]-", "high"), (r"o_orderpriority=3-", "medium")])
     return readers.catalogue_summary(files).select("kind", "files")
 
@@ -150,9 +150,9 @@ def scans_due(spark, sf_dir):
     whole = polls(spark, sf_dir).select("user_id", F.floor(F.col("k") / 40).cast("string").alias("version"), "ts", F.floor(F.date_diff("day", F.lit(days["a"])) / step).alias("part"))
     path = scratch(spark, "scans")
     for k in range(4):  # each run goes on from the state of the one before
-        whole.filter(F.col("part") == k).select("user_id", "version", "ts").coalesce(1).write.mode("append").parquet(folder)
+        whole.filter(F.col("part") == k).select("user_id", "version", "ts").write.mode("append").parquet(folder)
         with scans.rocks(spark):
-            out = twins.drained(scans.due(twins.source(spark, folder, "*.parquet", "user_id long, version string, ts timestamp"), "user_id", "version", "ts", 1.5), "scans", path=path)
+            out = twins.drained(scans.due(twins.source(spark, folder, "*.parquet", "user_id long, version string, ts timestamp", per_batch=1_000_000), "user_id", "version", "ts", 1.5), "scans", path=path)
     return out
 
 

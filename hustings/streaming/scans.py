@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from contextlib import contextmanager
-from datetime import timedelta
+from datetime import UTC, timedelta
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,19 +38,20 @@ class _Scans(StatefulProcessor):
         self.last = handle.getValueState("last", "version string, at timestamp")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        asked = pd.concat(list(rows)).sort_values(["at", "version"], kind="stable")
-        version, at = self.last.get() if self.last.exists() else (None, None)
+        asked = sorted(pair for b in rows for pair in zip(b["at"].to_numpy().astype("datetime64[us]").tolist(), b["version"], strict=True))
+        version, at = self.last.get() or (None, None)
         before, out = at, []
-        for v, t in zip(asked["version"], asked["at"], strict=True):
-            if at is None or v != version or t > pd.Timestamp(at) + self.wait:
-                version, at = v, t.to_pydatetime()
+        for t, v in asked:
+            if at is None or v != version or t > at + self.wait:
+                version, at = v, t
                 out.append((key[0], version, t))
         if out:
             self.last.update((version, at))
             if before is not None:
                 self.handle.deleteTimer(self._due(before))
             self.handle.registerTimer(self._due(at))
-        yield pd.DataFrame(out, columns=[self.key, "version", "at"]).astype({"at": "datetime64[ns]"})
+            keys, versions, times = zip(*out, strict=True)
+            yield pd.DataFrame({self.key: keys, "version": versions, "at": np.array(times, "datetime64[us]").astype("datetime64[ns]")})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.last.clear()
@@ -59,7 +61,7 @@ class _Scans(StatefulProcessor):
         pass
 
     def _due(self, at) -> int:
-        return int(pd.Timestamp(at, tz="UTC").timestamp() * 1000 + self.wait.total_seconds() * 1000) + 1
+        return int(at.replace(tzinfo=UTC).timestamp() * 1000 + self.wait.total_seconds() * 1000) + 1
 
 
 def due(candidates: DataFrame, key: str, version: str, when: str, days: float = 30, late: str = "0 seconds") -> DataFrame:
