@@ -155,16 +155,41 @@ def layout_score(cells: DataFrame, truth: DataFrame, key: str, group: str, x: st
         return keep(written(points.union(points.agg(F.lit("total"), F.sum("points"))), "score"))
 
 
+#: Pairs of a page's labels and numbers that are served within a row.
+MOST_PAIRS = 100_000
+
+
 def greedy_alignment(labels: DataFrame, numbers: DataFrame, page: list[str], x: str, label: str, value: str) -> DataFrame:
-    """Labels, left to right, each take the nearest number of their page that no earlier label took, the left one of two as near: (page, label, value)."""
+    """Labels, left to right, each take the nearest number of their page that no earlier label took, the left one of two as near: (page, label, value).
+
+    Pages of at most MOST_PAIRS pairs are two lists in a row, served one label after the other; larger ones take turns in rounds, over tables of pairs.
+    """
     with temporary(labels.sparkSession) as keep:
-        left = written(labels.select(*page, F.col(x).cast("double").alias("at"), F.col(label).alias("label")).withColumn("agent", F.monotonically_increasing_id()), "labels")
-        right = written(numbers.select(*page, F.col(x).cast("double").alias("x"), F.col(value).cast("double").alias("v")).withColumn("item", F.monotonically_increasing_id()), "numbers")
-        near = left.join(right, page).filter("at IS NOT NULL AND x IS NOT NULL")
-        wishes = near.select(*page, "agent", F.struct("at", "label", "agent").alias("rank"), "item", F.struct(F.abs(F.col("x") - F.col("at")).alias("d"), "x", "v", "item").alias("place"))
-        taken = in_turn(wishes, page, "agent", "rank", "item", "place")
-        named = taken.join(left.select("agent", F.col("label").alias("__l")), "agent").join(right.select("item", "v"), "item")
-        return keep(written(named.select(*page, F.col("__l").alias(label), F.col("v").alias(value)), "aligned"))
+        left = labels.select(*page, F.col(x).cast("double").alias("at"), F.col(label).alias("label")).filter("at IS NOT NULL")
+        right = numbers.select(*page, F.col(x).cast("double").alias("x"), F.col(value).cast("double").alias("v")).filter("x IS NOT NULL")
+        left = written(left.withColumn("agent", F.monotonically_increasing_id()), "labels")
+        right = written(right.withColumn("item", F.monotonically_increasing_id()), "numbers")
+        pairs = left.groupBy(*page).agg(F.count("*").alias("n")).join(right.groupBy(*page).agg(F.count("*").alias("m")), page)
+        sizes = written(pairs.select(*page, (F.col("n").cast("double") * F.col("m") <= MOST_PAIRS).alias("small")), "sizes")
+        small, large = sizes.filter("small").select(*page), sizes.filter("NOT small").select(*page)
+
+        asks = left.join(small, page).groupBy(*page).agg(F.array_sort(F.collect_list(F.struct("at", "label", "agent"))).alias("asks"))
+        free = right.join(small, page).groupBy(*page).agg(F.array_sort(F.collect_list(F.struct("x", "v", "item"))).alias("free"))
+        taken = F.filter("free", lambda f: F.lit(False))
+
+        def serve(state: Column, ask: Column) -> Column:
+            best = F.array_min(F.transform(F.array_except(F.col("free"), state), lambda f: F.struct(F.abs(f["x"] - ask["at"]).alias("d"), f["x"].alias("x"), f["v"].alias("v"), f["item"].alias("item"))))
+            return F.when(F.size(state) < F.size("free"), F.array_append(state, F.struct(best["x"].alias("x"), best["v"].alias("v"), best["item"].alias("item")))).otherwise(state)
+
+        served = asks.join(free, page).select(*page, "asks", F.aggregate("asks", taken, serve).alias("taken"))
+        out = served.select(*page, F.inline(F.arrays_zip("asks", F.col("taken")))).filter("taken IS NOT NULL").select(*page, F.col("asks.label").alias(label), F.col("taken.v").alias(value))
+        if not large.isEmpty():
+            near = left.join(large, page).join(right, page)
+            wishes = near.select(*page, "agent", F.struct("at", "label", "agent").alias("rank"), "item", F.struct(F.abs(F.col("x") - F.col("at")).alias("d"), "x", "v", "item").alias("place"))
+            turns = in_turn(wishes, page, "agent", "rank", "item", "place")
+            named = turns.join(left.select("agent", F.col("label").alias("__l")), "agent").join(right.select("item", "v"), "item")
+            out = out.unionByName(named.select(*page, F.col("__l").alias(label), F.col("v").alias(value)))
+        return keep(written(out, "aligned"))
 
 
 def lanes(intervals: DataFrame, group: list[str], start: str, end: str, pos: str) -> DataFrame:

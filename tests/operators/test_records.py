@@ -308,3 +308,27 @@ def test_agreement_merge_of_a_large_group(spark):
     df = spark.createDataFrame(data + [(2, None, "a", 1.0), (3, 1, None, 1.0)], "g int, r int, n string, v double")
     got = {(r.cluster, r.n, r.v) for r in dedup.agreement_merge(df, ["g"], "r", "n", "v", 3.0).collect()}
     assert got == {(i, k, v) for i, c in enumerate(clusters) for k, v in c.items()} and len(clusters) > 20
+
+
+def test_alignment_in_rows_and_in_rounds_agree(spark, monkeypatch):
+    """Small pages are served within a row, without tables of pairs; more labels than numbers, and the other way round."""
+    rng = random.Random(2)
+    lab = [(p, float(rng.randrange(40)), f"l{i}") for p in range(6) for i in range(rng.randrange(1, 14))]
+    num = [(p, float(rng.randrange(40)), float(i)) for p in range(5) for i in range(rng.randrange(1, 14))]
+    want = set()
+    for p in range(6):
+        free = sorted((x, v) for q, x, v in num if q == p)
+        for _, at, name in sorted(r for r in lab if r[0] == p):
+            if free:
+                best = min(free, key=lambda f: (abs(f[0] - at), f))
+                free.remove(best)
+                want.add((p, name, best[1]))
+    a = spark.createDataFrame([*lab, (0, None, "z")], "p int, x double, name string")
+    b = spark.createDataFrame([*num, (0, None, 99.0)], "p int, x double, v double")
+    got = lambda: sorted(map(tuple, layout.greedy_alignment(a, b, ["p"], "x", "name", "v").collect()))
+    rounds = layout.in_turn
+    monkeypatch.setattr(layout, "in_turn", None)
+    assert got() == sorted(want)
+    monkeypatch.setattr(layout, "in_turn", rounds)
+    monkeypatch.setattr(layout, "MOST_PAIRS", 30)
+    assert got() == sorted(want)
