@@ -74,9 +74,8 @@ def hex_bins(spark, sf_dir):
 def optimal_assignment(spark, sf_dir):
     """Suppliers of each nation are given the nation's places, one each, at the least sum of distances."""
     s = table(spark, sf_dir, "supplier").select("s_nationkey", "s_suppkey", (F.col("s_suppkey") * 37 % 101).alias("x"), (F.col("s_suppkey") * 59 % 97).alias("spot"))
-    pairs = s.select("s_nationkey", "s_suppkey", "x").join(s.select("s_nationkey", F.col("s_suppkey").alias("place"), "spot"), "s_nationkey")
-    costs = pairs.withColumn("cost", F.abs(F.col("x") - F.col("spot")))
-    chosen, report = assignment.assigned(costs, ["s_nationkey"], "s_suppkey", "place", "cost")
+    places = s.select("s_nationkey", F.col("s_suppkey").alias("place"), "spot")
+    chosen, report = assignment.assigned_by_kind(s.drop("spot"), places, ["s_nationkey"], "s_suppkey", "place", F.abs(F.col("x") - F.col("spot")))
     n = chosen.groupBy("s_nationkey").agg(F.count_distinct("s_suppkey").alias("agents"), F.count_distinct("place").alias("places"))
     return report.join(n, "s_nationkey").select("s_nationkey", "agents", "places", "total", (F.col("gap") < 1).alias("proven"))
 
